@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mixing, simhash
+from strandloom.llm import media, mixing, simhash, toxicity
 
 QUERIES = {
+    "op1_telephony": media.op1_telephony,
     "op5_simhash_pigeonring": simhash.op5_simhash_pigeonring,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op10_fair_queueing": mixing.op10_fair_queueing,
 }
 
