@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandloom.llm import media, mixing, simhash, toxicity
+from strandloom.llm import media, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_telephony": media.op1_telephony,
     "op5_simhash_pigeonring": simhash.op5_simhash_pigeonring,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_personal_data": pii.op8_personal_data,
     "op10_fair_queueing": mixing.op10_fair_queueing,
 }
 
