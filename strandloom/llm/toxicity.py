@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import slices, table, words
+from strandloom.llm.common import keep, slices, table, words
 
 #: At most about so many labelled documents are used for fitting (chosen by a hash of the id), and so many words.
 SAMPLE, VOCABULARY, GRADES = 16000, 512, 3
@@ -91,22 +91,18 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: floa
     return w, np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
 
 
-def chosen_words(bags: list[Counter], toxic: np.ndarray, most: int = VOCABULARY) -> list[str]:
-    """The words that mark toxic documents most, by chi-square: each in 3 or more, thrice as common there."""
-    inside, every = Counter(), Counter()
-    for bag, t in zip(bags, toxic):
-        every.update(bag.keys())
-        if t:
-            inside.update(bag.keys())
-    n, n1 = len(bags), int(toxic.sum())
-    rank = []
-    for w, d in every.items():
-        if d >= 3 and w and n > d:
-            a = inside[w]
-            chi = n * (a * (n - n1 - d + a) - (n1 - a) * (d - a)) ** 2 / max(1, n1 * (n - n1) * d * (n - d))
-            if chi > 10 and a * (n - n1) > 3 * (d - a) * n1:
-                rank.append((-chi, w))
-    return [w for _, w in sorted(rank)[:most]]
+def chosen_words(bags: DataFrame, most: int = VOCABULARY) -> list[str]:
+    """The words that mark toxic documents most, by chi-square: each in 3 or more, thrice as common there.
+
+    ``bags`` holds toxic (0 or 1) and names (distinct words) of each document.
+    """
+    whole = bags.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")).first()
+    n, n1 = float(whole["n"]), float(whole["n1"] or 0)
+    d, a = F.col("d"), F.col("a")
+    spread = F.lit(n) * F.pow(a * (n - n1 - d + a) - (n1 - a) * (d - a), 2) / (n1 * (n - n1) * d * (n - d))
+    rank = bags.select("toxic", F.explode("names").alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("d"), F.sum("toxic").cast("double").alias("a"))
+    rank = rank.filter((d >= 3) & (d < n) & (F.length("word") > 0) & (a * (n - n1) > 3 * (d - a) * n1)).withColumn("chi", spread).filter("chi > 10")
+    return [r["word"] for r in rank.orderBy(F.desc("chi"), "word").limit(most).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
@@ -133,22 +129,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_toxic"), pa.array(lists, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["id", "toxic", "names", "counts"])
 
     joined = picked.join(marks, F.col("_doc") == F.col("_id")).select(F.col("_doc").cast("long").alias("_doc"), "_toxic", "text")
-    rows = joined.mapInArrow(bags_of, "id long, toxic int, names array<string>, counts array<int>").limit(2 * sample).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["names"]))
-    bags = [Counter(dict(zip(r["names"], r["counts"]))) for r in rows]
-    toxic = np.array([r["toxic"] > 0 for r in rows], bool)
-    if not toxic.any() or toxic.all():
+    bags = keep(joined.mapInArrow(bags_of, "id long, toxic int, names array<string>, counts array<int>").withColumn("toxic", (F.col("toxic") > 0).cast("int")).limit(2 * sample), "toxicity-sample")
+    if bags.select("toxic").distinct().count() < 2:
         return Severity([], np.zeros(0), np.array([50.0, 51.0]))
-    names = chosen_words(bags, toxic)
+    names = chosen_words(bags)
     place = {w: i for i, w in enumerate(names)}
-    x = np.zeros((len(bags), len(names)), np.float32)
-    for i, bag in enumerate(bags):
-        for w, c in bag.items():
-            if w in place:
-                x[i, place[w]] = np.log1p(c)
+    # Only the chosen words' counts of the sample come to the driver: at most 2 * sample short lists.
+    of_names = F.transform(F.filter(F.arrays_zip("names", "counts"), lambda z: z["names"].isin(names)), lambda z: F.struct(z["names"].alias("w"), z["counts"].alias("c")))
+    total = F.aggregate("counts", F.lit(0), lambda x, y: x + y)
+    rows = bags.select("id", "toxic", total.alias("total"), of_names.alias("hits")).toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["id"], r["total"], sorted((h["w"], h["c"]) for h in r["hits"])))
+    toxic = np.array([r["toxic"] > 0 for r in rows], bool)
+    x = np.zeros((len(rows), len(names)), np.float32)
+    for i, r in enumerate(rows):
+        for h in r["hits"]:
+            x[i, place[h["w"]]] = np.log1p(h["c"])
     rate_in, rate_out = (x[toxic] > 0).mean(axis=0), (x[~toxic] > 0).mean(axis=0)
     telling = rate_in > 10 * rate_out + 1e-3
-    share_of = np.array([sum(bag[w] for w, t in zip(names, telling) if t) / max(1, bag.total()) for bag in bags])
+    share_of = np.array([sum(h["c"] for h in r["hits"] if telling[place[h["w"]]]) / max(1, r["total"]) for r in rows])
     grade = toxic.astype(np.int64) + (toxic & (share_of > np.median(share_of[toxic])))
     weights, thresholds = fit_ordinal(x, grade)
     return Severity(names, weights, thresholds)
