@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import media, mixing, pii, simhash, toxicity
+from strandloom.llm import decontaminate, media, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_telephony": media.op1_telephony,
     "op5_simhash_pigeonring": simhash.op5_simhash_pigeonring,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_personal_data": pii.op8_personal_data,
+    "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
     "op10_fair_queueing": mixing.op10_fair_queueing,
 }
 
