@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, media, mixing, pii, simhash, toxicity
+from strandloom.llm import decontaminate, html, language_model, media, mixing, pii, simhash, suffixes, toxicity, viterbi
 
 QUERIES = {
     "op1_telephony": media.op1_telephony,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op3_ngram_trie": language_model.op3_ngram_trie,
+    "op4_viterbi_counts": viterbi.op4_viterbi_counts,
     "op5_simhash_pigeonring": simhash.op5_simhash_pigeonring,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_visible_text": html.op7_visible_text,
     "op8_personal_data": pii.op8_personal_data,
     "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
     "op10_fair_queueing": mixing.op10_fair_queueing,
