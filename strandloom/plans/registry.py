@@ -1,7 +1,161 @@
-"""The queries over the sequence operators, and their SQL."""
+"""The queries over the sequence operators, and their SQL.
+
+Texts become sequences over ACGT; each document is a reference of its own, benchmark items are patterns.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions.sequence import bases, chains, ladder, tiles
+from strandloom.operators.find import exact_find
+from strandloom.operators.pairs import nearest_ahead
+from strandloom.operators.pileup import depth, majority
+from strandloom.plans.mapping import map_reads, mutations
+from strandloom.sources.text import concat_lines, mean_read_length
+
+K = 24
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref_id"), bases().alias("seq"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", bases().alias("seq"))
+
+
+def reference_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_lines(table(spark, sf_dir, "documents"), "text").select("doc_id", "seq")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").withColumn("rec", (F.row_number().over(order) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    rows = rows.filter(F.col("rec") < F.expr("n - n % 2"))
+    return rows.select("conv_id", F.expr("rec div 2").alias("pair_id"), (F.col("rec") % 2).cast("int").alias("mate"), F.col("role").alias("label"), F.col("text").alias("seq"))
+
+
+def read_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(spark, sf_dir)
+
+
+def mean_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mean_read_length(turns(spark, sf_dir))
+
+
+def short_read_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = references(spark, sf_dir).filter(F.length("seq") > 15)
+    return rows.select("ref_id", F.length("seq").alias("length"), F.array_join(ladder(F.length("seq"), 0), ",").alias("divisions"))
+
+
+def tile_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).filter(F.length("seq") > 40).withColumn("padding", F.explode(F.sequence(F.lit(0), F.lit(10))))
+    rows = rows.withColumn("div", F.explode(F.array(*[F.lit(d) for d in range(2, 9)])))
+    return rows.select("item_id", "padding", "div", F.posexplode(tiles(F.col("seq"), F.col("padding"), F.col("div"))).alias("tile_idx", "tile"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = items(spark, sf_dir).select(F.col("item_id").alias("pattern_id"), F.col("seq").alias("pattern"))
+    return exact_find(references(spark, sf_dir), patterns, K).withColumnRenamed("pattern_id", "item_id")
+
+
+def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir)
+
+
+def coverage_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = found(spark, sf_dir).join(items(spark, sf_dir), "item_id")
+    return depth(hits.select("ref_id", F.col("pos").alias("start"), (F.col("pos") + F.length("seq")).alias("end")), ["ref_id"])
+
+
+def mean_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = found(spark, sf_dir).join(items(spark, sf_dir), "item_id").groupBy("ref_id").agg(F.sum(F.length("seq")).alias("covered"))
+    refs = references(spark, sf_dir).filter(F.length("seq") > 0).select("ref_id", F.length("seq").alias("bases"))
+    return refs.join(hits, "ref_id", "left").select("ref_id", (F.coalesce("covered", F.lit(0)) / F.col("bases")).alias("mean_coverage"))
+
+
+def mapping_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = found(spark, sf_dir).select("item_id").distinct().withColumn("hit", F.lit(1))
+    return items(spark, sf_dir).join(hits, "item_id", "left").agg(F.count("hit").alias("mapped"), F.count(F.lit(1)).alias("reads"))
+
+
+def mapping_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = found(spark, sf_dir).groupBy("item_id").agg(F.min("pos").alias("position"))
+    rows = items(spark, sf_dir).join(first, "item_id", "left")
+    order = Window.orderBy(F.col("position").asc_nulls_last(), "item_id")
+    return rows.select((F.row_number().over(order) - 1).cast("long").alias("rank"), "item_id", "position")
+
+
+def increasing_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains through the places at which an item's three tiles stand in a document."""
+    cut = items(spark, sf_dir).filter(F.length("seq") >= 3 * K).select("item_id", F.posexplode(tiles(F.col("seq"), F.lit(0), F.lit(3))).alias("tile_idx", "tile"))
+    cut = cut.select(F.struct("item_id", "tile_idx").alias("pattern_id"), F.col("tile").alias("pattern"))
+    hits = exact_find(references(spark, sf_dir), cut, K).groupBy("ref_id", "pattern_id.item_id", "pattern_id.tile_idx").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    rows = hits.groupBy("ref_id", "item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("tile_idx", "hits"))), lambda x: x["hits"]).alias("h"))
+    got = rows.select("ref_id", "item_id", F.explode(chains(F.col("h"), 1000)).alias("chain"))
+    return got.select("ref_id", "item_id", F.array_join(F.transform("chain", lambda p: p.cast("string")), ",").alias("chain"))
+
+
+def pair_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    side = lambda kind, name: events.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("ord"), F.col("us").alias(name))
+    return nearest_ahead(side("click", "reach"), side("purchase", "place"), "user_id")
+
+
+def majority_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
+    totals = events.groupBy("user_id", "hour").agg(F.count(F.lit(1)).alias("total"))
+    return majority(events, ["user_id", "hour"], ["event_type"], ["event_id"], totals)
+
+
+def global_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).filter("n > 1000")
+    rows = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(900))).alias("left"))
+    return rows.select("doc_id", "left", F.least(F.col("left") + 1000, F.col("n")).alias("right"))
+
+
+def call_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two mates of 60 bases from each document of 400 or more, the first with a base changed, called against it."""
+    refs = references(spark, sf_dir).filter("length(seq) >= 400")
+    at = F.pmod(F.xxhash64("ref_id"), F.length("seq") - 300).cast("int")
+    rows = refs.withColumn("at", at).withColumn("left", F.expr("substring(seq, at + 1, 60)")).withColumn("right", F.expr("substring(seq, at + 161, 60)"))
+    changed = F.concat(F.substring("left", 1, 44), F.translate(F.substring("left", 45, 1), "ACGT", "GTAC"), F.substring("left", 46, 15))
+    reads = rows.select("ref_id", F.posexplode(F.array(changed, "right")).alias("mate", "seq"))
+    reads = reads.select("ref_id", (F.col("ref_id") * 2 + F.col("mate")).alias("read_idx"), F.col("ref_id").alias("pair_id"), "mate", F.col("ref_id").cast("string").alias("label"), "seq")
+    return mutations(map_reads(reads, refs), refs)
+
+
 FLAGSHIP = "call_mutations"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "reference_concat": reference_concat, "read_pairing": read_pairing, "mean_read_length": mean_length, "short_read_filter": short_read_filter,
+    "tile_reads": tile_reads, "exact_find": exact, "coverage_depth": coverage_depth, "mean_coverage": mean_coverage, "mapping_rate": mapping_rate,
+    "mapping_order": mapping_order, "increasing_chains": increasing_chains, "pair_select": pair_select, "majority_call": majority_call,
+    "global_chunks": global_chunks, "call_mutations": call_mutations,
+}
+
+SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+REFS = f"refs AS (SELECT doc_id AS ref_id, {SEQ} AS seq FROM documents), items AS (SELECT item_id, {SEQ} AS seq FROM benchmark)"
+INDEX = f"idx AS (SELECT ref_id, seq AS ref, pos::INT AS pos, substr(seq, pos::INT + 1, {K}) AS kmer FROM refs, unnest(range(greatest(length(seq) - {K} + 1, 0))) AS u(pos))"
+FOUND = f"{REFS}, {INDEX}, found AS (SELECT ref_id, item_id, pos, length(i.seq) AS len FROM idx JOIN items i ON kmer = substr(i.seq, 1, {K}) AND length(i.seq) >= {K} AND substr(ref, pos + 1, length(i.seq)) = i.seq)"
+TURNS = "t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS rec, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
+ORACLE_SQL = {
+    "reference_concat": "SELECT doc_id, array_to_string(list_slice(CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN list_slice(string_split(text, chr(10)), 1, len(string_split(text, chr(10))) - 1) ELSE string_split(text, chr(10)) END, 2, NULL), '') AS seq FROM documents",
+    "read_pairing": f"WITH {TURNS} SELECT conv_id, rec // 2 AS pair_id, (rec % 2)::INT AS mate, role AS label, text AS seq FROM t WHERE rec < n - n % 2",
+    "mean_read_length": f"WITH {TURNS} SELECT (sum(length(text)) // count(*))::BIGINT AS mean_read_length FROM t WHERE rec < n - n % 2",
+    "short_read_filter": f"WITH {REFS} SELECT ref_id, length(seq)::INT AS length, CASE WHEN length(seq) <= 30 THEN '2' ELSE '3,4,5,6,7,8' END AS divisions FROM refs WHERE length(seq) > 15",
+    "tile_reads": f"WITH {REFS}, a AS (SELECT item_id, seq, p::INT AS padding, d::INT AS div, length(seq) - p AS body, (length(seq) - p) // d AS step FROM items, range(11) AS x(p), range(2, 9) AS y(d) WHERE length(seq) > 40), b AS (SELECT *, ceil(body / step)::INT AS cnt FROM a), c AS (SELECT *, CASE WHEN body - (cnt - 1) * step < 8 AND cnt > 1 THEN cnt - 2 ELSE cnt - 1 END AS fin FROM b) SELECT item_id, padding, div, i::INT AS tile_idx, substr(seq, CASE WHEN i = 0 THEN 1 ELSE padding + i * step + 1 END, CASE WHEN i = fin THEN length(seq) ELSE (CASE WHEN i = 0 THEN padding ELSE 0 END) + step END) AS tile FROM c, unnest(range(fin + 1)) AS u(i)",
+    "exact_find": f"WITH {FOUND} SELECT ref_id, item_id, pos FROM found",
+    "coverage_depth": f"WITH {FOUND}, e AS (SELECT ref_id, pos AS position, 1 AS n FROM found UNION ALL SELECT ref_id, pos + len, -1 FROM found), c AS (SELECT ref_id, position::INT AS position, sum(n) AS n FROM e GROUP BY ALL) SELECT ref_id, position, (sum(n) OVER (PARTITION BY ref_id ORDER BY position))::BIGINT AS depth FROM c",
+    "mean_coverage": f"WITH {FOUND} SELECT r.ref_id, coalesce(c.n, 0)::DOUBLE / length(seq) AS mean_coverage FROM refs r LEFT JOIN (SELECT ref_id, sum(len) AS n FROM found GROUP BY 1) c USING (ref_id) WHERE length(seq) > 0",
+    "mapping_rate": f"WITH {FOUND} SELECT count(*) FILTER (item_id IN (SELECT item_id FROM found)) AS mapped, count(*) AS reads FROM items",
+    "mapping_order": f"WITH {FOUND}, f AS (SELECT item_id, min(pos)::INT AS position FROM found GROUP BY 1) SELECT row_number() OVER (ORDER BY position NULLS LAST, item_id) - 1 AS rank, item_id, position FROM items LEFT JOIN f USING (item_id)",
+    "pair_select": "WITH b AS (SELECT l.user_id, l.event_id AS left_order, r.event_id AS right_order, epoch_us(r.ts) - epoch_us(l.ts) AS distance FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'click' AND r.event_type = 'purchase' AND r.ts > l.ts) SELECT user_id, left_order, right_order, distance FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY distance, left_order, right_order) = 1",
+    "majority_call": "WITH c AS (SELECT user_id, hour(ts)::INT AS hour, event_type, count(*) AS n, min(event_id) AS first, sum(count(*)) OVER (PARTITION BY user_id, hour(ts)) AS total FROM events GROUP BY user_id, hour(ts), event_type) SELECT user_id, hour, event_type, n FROM c WHERE n > total // 2",
+    "global_chunks": "SELECT doc_id, i::INT AS left, least(i + 1000, length(text))::INT AS right FROM documents, unnest(range(0, length(text), 900)) AS u(i) WHERE length(text) > 1000",
+}
