@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Starts of one block of a reference's index.
+BLOCK = 256
+
 
 def exact_find(refs: DataFrame, patterns: DataFrame, k: int, by_ref: bool = False) -> DataFrame:
     """ref_id, pattern_id, pos: all starts, overlapping ones too, of patterns (pattern_id, pattern) of ``k`` or more
@@ -13,10 +16,16 @@ def exact_find(refs: DataFrame, patterns: DataFrame, k: int, by_ref: bool = Fals
     Substring search can't be a join key, so each reference is cut into its ``k``-base strings, joined with the
     patterns' first ``k`` bases, and the rest compared. With ``by_ref``, patterns carry ref_id and meet it only.
     """
-    starts = F.when(F.length("seq") >= k, F.sequence(F.lit(0), F.length("seq") - k)).otherwise(F.array().cast("array<int>"))
-    index = refs.select("ref_id", "seq", F.explode(starts).alias("pos")).withColumn("kmer", F.expr(f"substring(seq, pos + 1, {k})"))
+    # A substring is found by counting from the front, so a sequence is cut into blocks first. The exploded rows carry
+    # k bases each, not their sequence; that is joined again to the few rows that match.
+    none = F.array().cast("array<string>")
+    blocks = F.when(F.length("seq") >= k, F.transform(F.sequence(F.lit(0), F.length("seq") - k, F.lit(BLOCK)), lambda b: F.substring("seq", b + 1, F.lit(BLOCK + k - 1)))).otherwise(none)
+    index = refs.select("ref_id", F.posexplode(blocks).alias("block", "part"))
+    kmers = F.transform(F.sequence(F.lit(0), F.length("part") - k), lambda i: F.substring("part", i + 1, F.lit(k)))
+    index = index.select("ref_id", "block", F.posexplode(kmers).alias("off", "kmer")).select("ref_id", (F.col("block") * BLOCK + F.col("off")).alias("pos"), "kmer")
     want = patterns.filter(F.length("pattern") >= k).withColumn("kmer", F.substring("pattern", 1, k))
-    got = index.join(want, ["ref_id", "kmer"] if by_ref else ["kmer"])
+    got = index.join(want, ["ref_id", "kmer"] if by_ref else ["kmer"]).select("ref_id", "pattern_id", "pos", "pattern")
+    got = got.join(refs.select("ref_id", "seq"), "ref_id")
     return got.filter(F.expr("substring(seq, pos + 1, length(pattern)) = pattern")).select("ref_id", "pattern_id", "pos")
 
 

@@ -145,7 +145,7 @@ INDEX = f"idx AS (SELECT ref_id, seq AS ref, pos::INT AS pos, substr(seq, pos::I
 FOUND = f"{REFS}, {INDEX}, found AS (SELECT ref_id, item_id, pos, length(i.seq) AS len FROM idx JOIN items i ON kmer = substr(i.seq, 1, {K}) AND length(i.seq) >= {K} AND substr(ref, pos + 1, length(i.seq)) = i.seq)"
 TURNS = "t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS rec, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
 ORACLE_SQL = {
-    "reference_concat": "SELECT doc_id, array_to_string(list_slice(CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN list_slice(string_split(text, chr(10)), 1, len(string_split(text, chr(10))) - 1) ELSE string_split(text, chr(10)) END, 2, NULL), '') AS seq FROM documents",
+    "reference_concat": "SELECT doc_id, array_to_string(list_slice(CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN list_slice(string_split(text, chr(10)), 1, len(string_split(text, chr(10))) - 1) ELSE string_split(text, chr(10)) END, 2, 1000000000), '') AS seq FROM documents",
     "read_pairing": f"WITH {TURNS} SELECT conv_id, rec // 2 AS pair_id, (rec % 2)::INT AS mate, role AS label, text AS seq FROM t WHERE rec < n - n % 2",
     "mean_read_length": f"WITH {TURNS} SELECT (sum(length(text)) // count(*))::BIGINT AS mean_read_length FROM t WHERE rec < n - n % 2",
     "short_read_filter": f"WITH {REFS} SELECT ref_id, length(seq)::INT AS length, CASE WHEN length(seq) <= 30 THEN '2' ELSE '3,4,5,6,7,8' END AS divisions FROM refs WHERE length(seq) > 15",
