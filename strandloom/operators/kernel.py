@@ -8,6 +8,7 @@ best score the one with the fewest errors counts, then with the fewest indels, t
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,11 +74,17 @@ def align(ref: Window, read: str, left: int, right: int, max_gap: int, tolerance
         above = score[i - deep : i][::-1] - np.arange(2, deep + 2)[:, None]
         gone, skip = above.max(axis=0).tolist(), (above.argmax(axis=0) + 1).tolist()
         line = [0] * (m + 1)
+        ahead: deque[int] = deque()  # columns a gap may come from, the best first; of equals only the nearest stays
         for j in range(1, m + 1):
-            match, deletion, insertion, jump = diagonal[j - 1], gone[j], -1, 0
-            for k in range(1, min(j, max_gap) + 1):
-                if line[j - k] - k - 1 > insertion:
-                    insertion, jump = line[j - k] - k - 1, k
+            worth = line[j - 1] + j - 1
+            while ahead and line[ahead[-1]] + ahead[-1] <= worth:
+                ahead.pop()
+            ahead.append(j - 1)
+            if ahead[0] < j - max_gap:
+                ahead.popleft()
+            match, deletion = diagonal[j - 1], gone[j]
+            insertion, jump = line[ahead[0]] + ahead[0] - j - 1, j - ahead[0]
+            insertion = max(insertion, -1)
             best = max(match, deletion, insertion)
             if best < 0:
                 line[j] = -1  # points at the origin

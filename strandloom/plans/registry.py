@@ -131,7 +131,7 @@ def call_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations(map_reads(reads, refs), refs)
 
 
-FLAGSHIP = "call_mutations"
+FLAGSHIP = "coverage_depth"
 QUERIES = {
     "reference_concat": reference_concat, "read_pairing": read_pairing, "mean_read_length": mean_length, "short_read_filter": short_read_filter,
     "tile_reads": tile_reads, "exact_find": exact, "coverage_depth": coverage_depth, "mean_coverage": mean_coverage, "mapping_rate": mapping_rate,
