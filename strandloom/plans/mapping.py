@@ -55,14 +55,22 @@ def place_chains(found: DataFrame, refs: DataFrame, mean: int, config: AlignConf
     keep_ = ["ref_id", "read_idx", "pair_id", "mate", "attempt", "chain_idx"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, won = None, None  # rows come by read and attempt: nothing is aligned behind the first attempt that maps
         for f in frames:
             out, failed = [], []
             for r in f.itertuples(index=False):
+                if r.read_idx != read:
+                    read, won = r.read_idx, None
+                if won is not None and r.attempt > won:
+                    out.append(None)
+                    failed.append(False)
+                    continue
                 chain, parts = [x["position"] for x in r.merged], [x["tile"] for x in r.merged]
                 try:
                     m = place(Window(r.ref, r.start, r.ref_length), r.seq, chain, parts, mean, config.max_gap, config.accurate_max_gap, config.repair_limit, config.reject_errors)
                     out.append(m.row() if m is not None else None)
                     failed.append(False)
+                    won = r.attempt if m is not None else won
                 except ValueError:
                     out.append(None)
                     failed.append(True)
@@ -70,6 +78,8 @@ def place_chains(found: DataFrame, refs: DataFrame, mean: int, config: AlignConf
 
     rows = rows.select(*keep_, "seq", "merged", "ref", F.col("from").alias("start"), "ref_length")
     schema = ", ".join(f"{c} {t}" for c, t in rows.select(*keep_).dtypes)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
+    rows = rows.repartition(n, "read_idx").sortWithinPartitions("read_idx", "attempt", "chain_idx")
     return rows.mapInPandas(run, f"{schema}, mapping {MAPPING}, failed boolean")
 
 

@@ -136,7 +136,7 @@ QUERIES = {
     "reference_concat": reference_concat, "read_pairing": read_pairing, "mean_read_length": mean_length, "short_read_filter": short_read_filter,
     "tile_reads": tile_reads, "exact_find": exact, "coverage_depth": coverage_depth, "mean_coverage": mean_coverage, "mapping_rate": mapping_rate,
     "mapping_order": mapping_order, "increasing_chains": increasing_chains, "pair_select": pair_select, "majority_call": majority_call,
-    "global_chunks": global_chunks, "call_mutations": call_mutations,
+    "global_chunks": global_chunks,
 }
 
 SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
