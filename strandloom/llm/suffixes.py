@@ -70,7 +70,7 @@ def minimizers(hashes: Hashes, n: int) -> np.ndarray:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with one minimizer: its hash v, the run's hash s, document, first window, number of windows."""
+    """Runs of windows with one minimizer: its hash v, the run's hash s, document, packed place of the run."""
     for batch in slices(batches, "text", 2 << 20):
         body, offs = text_bytes(batch.column("text"))
         n = len(body)
@@ -91,13 +91,15 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = mixed(hashes.of(a, GRAM))
         s = mixed(hashes.of(p0, LENGTH - 1 + count) + mixed(((a - p0) * 4096 + count).astype(np.uint64)))
         rows = owner[p0]
+        place_ = (p0 - offs[rows]) << 16 | count << 8 | (a - p0)  # number of windows and place of the minimizer: under 256
         yield pa.RecordBatch.from_arrays(
-            [pa.array(v.view(np.int64)), pa.array(s.view(np.int64)), batch.column("doc").take(pa.array(rows)), batch.column("th").take(pa.array(rows)), pa.array((p0 - offs[rows]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array((a - p0).astype(np.int32))],
-            ["v", "s", "doc", "th", "p", "count", "anchor"],
+            [pa.array(v.view(np.int64)), pa.array(s.view(np.int64)), batch.column("doc").take(pa.array(rows)), batch.column("th").take(pa.array(rows)), pa.array(place_.astype(np.int64))],
+            ["v", "s", "doc", "th", "place"],
         )
 
 
-RUN = "v long, s long, doc long, th long, p int, count int, anchor int"
+RUN = "v long, s long, doc long, th int, place long"
+P, COUNT, ANCHOR = "shiftright(place, 16)", "(shiftright(place, 8) & 255)", "(place & 255)"
 
 
 def agree(h: Hashes, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -209,14 +211,14 @@ def sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each of a document's runs."""
     for batch in slices(batches, "text", 2 << 20):
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for doc, th, text, todo in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "text", "todo")]):
             body = text.encode()
             for r in todo:
-                for x, y in zip(out, (r["v"], doc, th, r["p"], r["count"], r["anchor"], body[r["p"] : r["p"] + r["count"] - 1 + LENGTH])):
+                for x, y in zip(out, (r["v"], doc, th, r["p"], r["count"], r["anchor"], body[r["p"] : r["p"] + r["count"] - 1 + LENGTH], r["large"])):
                     x.append(y)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["v", "doc", "th", "p", "count", "anchor", "span"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["v", "doc", "th", "p", "count", "anchor", "span", "large"])
 
 
 def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             body = (text or "").encode()
             merged: list[list[int]] = []
-            for s in sorted((s["a"], s["b"]) for s in spans or ()):
+            for s in ((x >> 16, (x >> 16) + (x & 65535)) for x in sorted(spans or ())):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -257,24 +259,33 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_intervals(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
-    """doc, th, a, b: byte intervals of documents (doc, th: id and text hash) that repeated windows cover."""
-    found = keep(docs.select("doc", "th", "text").mapInArrow(runs, RUN), "suffix-runs")
-    kinds = keep(found.groupBy("v", "s").agg(F.count(F.lit(1)).alias("n")), "suffix-classes")
-    several = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    whole = found.join(kinds.filter("n > 1").select("v", "s"), ["v", "s"])
-    whole = whole.select("doc", "th", F.col("p").cast("long").alias("a"), (F.col("p") + F.col("count") - 1 + LENGTH).cast("long").alias("b"))
+    """doc, th, a, b: byte intervals of documents (doc, th: id and text hash) that repeated windows cover.
+
+    A run whose minimizer stands nowhere else is dropped first; runs are found again from the text rather than stored.
+    """
+    found = docs.select("doc", "th", "text").mapInArrow(runs, RUN)
+    shared = found.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
+    shared = keep(shared.filter("n > 1").select("v", F.expr("low <> high").alias("mixed")), "suffix-minimizers")
+    # A minimizer with one class is repeated as a whole wherever it stands.
+    again = keep(found.join(shared, "v"), "suffix-runs")
+    interval = [F.expr(P).alias("a"), F.expr(f"{P} + {COUNT} - 1 + {LENGTH}").alias("b")]
+    whole = again.filter("not mixed").select("doc", "th", *interval)
+    mixed = again.filter("mixed")
     # One run stands for each class of the minimizers that have several.
-    todo = found.join(kinds.join(several, "v").select("v", "s", "classes"), ["v", "s"]).dropDuplicates(["v", "s"])
-    by_doc = todo.groupBy("doc", "th").agg(F.collect_list(F.struct("v", "p", "count", "anchor", (F.col("classes") > classes).alias("large"))).alias("todo"))
+    kinds = mixed.groupBy("v", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "place")).alias("one"))
+    kinds = keep(kinds.select("v", "s", "n", "one.*"), "suffix-classes")
+    copies = mixed.join(kinds.filter("n > 1").select("v", "s"), ["v", "s"]).select("doc", "th", *interval)
+    wide = kinds.groupBy("v").agg((F.count(F.lit(1)) > classes).alias("large"))
+    todo = kinds.join(wide, "v").select("doc", "th", "v", F.expr(f"cast({P} as int)").alias("p"), F.expr(f"cast({COUNT} as int)").alias("count"), F.expr(f"cast({ANCHOR} as int)").alias("anchor"), "large")
+    by_doc = todo.groupBy("doc", "th").agg(F.collect_list(F.struct("v", "p", "count", "anchor", "large")).alias("todo"))
     texts = docs.select("doc", "th", "text").join(by_doc, ["doc", "th"])
-    span = "v long, doc long, th long, p int, count int, anchor int, span binary"
-    small = texts.withColumn("todo", F.filter("todo", lambda r: ~r["large"])).filter(F.size("todo") > 0).mapInArrow(cut_spans, span)
-    sorted_ = small.repartition("v").sortWithinPartitions("v").mapInArrow(sorted_spans, "doc long, th long, a long, b long")
-    large = texts.withColumn("todo", F.filter("todo", lambda r: r["large"])).filter(F.size("todo") > 0)
-    windows = keep(large.mapInArrow(cut_spans, span).mapInArrow(window_hashes, "h1 long, h2 long, doc long, th long, a long"), "suffix-windows")
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    counted = windows.join(again, ["h1", "h2"]).select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
-    return whole.unionByName(sorted_).unionByName(counted)
+    spans = keep(texts.mapInArrow(cut_spans, "v long, doc long, th int, p int, count int, anchor int, span binary, large boolean"), "suffix-spans")
+    small = spans.filter("not large").drop("large").repartition("v").sortWithinPartitions("v")
+    sorted_ = small.mapInArrow(sorted_spans, "doc long, th int, a long, b long")
+    windows = keep(spans.filter("large").mapInArrow(window_hashes, "h1 long, h2 long, doc long, th int, a long"), "suffix-windows")
+    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    counted = windows.join(twice, ["h1", "h2"]).select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
+    return whole.unionByName(copies).unionByName(sorted_).unionByName(counted)
 
 
 def without_repeats(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
@@ -282,11 +293,14 @@ def without_repeats(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
 
     A byte goes if a string of ``LENGTH`` bytes over it also starts at another place, in any document. Null texts are
     empty; shorter texts stay whole. Repeated rows are copies of each other and go. Other columns are ignored.
+    Rows that share an id are told apart by a 32-bit hash of their texts.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))).withColumn("th", F.xxhash64("text"))
-    spans = repeated_intervals(docs, classes).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    docs = docs.withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))).withColumn("th", F.hash("text"))
+    # Both ends of an interval in one number: it is shorter than 512 bytes.
+    found = repeated_intervals(docs, classes).select("doc", "th", F.expr("shiftleft(a, 16) + b - a").alias("ab"))
+    spans = found.groupBy("doc", "th").agg(F.collect_list("ab").alias("spans"))
     out = docs.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
