@@ -274,7 +274,7 @@ def repeated_intervals(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     # One run stands for each class of the minimizers that have several.
     kinds = mixed.groupBy("v", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "place")).alias("one"))
     kinds = keep(kinds.select("v", "s", "n", "one.*"), "suffix-classes")
-    copies = mixed.join(kinds.filter("n > 1").select("v", "s"), ["v", "s"]).select("doc", "th", *interval)
+    copies = mixed.join(kinds.filter("n > 1").select("v", "s"), ["v", "s"], "left_semi").select("doc", "th", *interval)
     wide = kinds.groupBy("v").agg((F.count(F.lit(1)) > classes).alias("large"))
     todo = kinds.join(wide, "v").select("doc", "th", "v", F.expr(f"cast({P} as int)").alias("p"), F.expr(f"cast({COUNT} as int)").alias("count"), F.expr(f"cast({ANCHOR} as int)").alias("anchor"), "large")
     by_doc = todo.groupBy("doc", "th").agg(F.collect_list(F.struct("v", "p", "count", "anchor", "large")).alias("todo"))
@@ -284,7 +284,7 @@ def repeated_intervals(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     sorted_ = small.mapInArrow(sorted_spans, "doc long, th int, a long, b long")
     windows = keep(spans.filter("large").mapInArrow(window_hashes, "h1 long, h2 long, doc long, th int, a long"), "suffix-windows")
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    counted = windows.join(twice, ["h1", "h2"]).select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
+    counted = windows.join(twice, ["h1", "h2"], "left_semi").select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
     return whole.unionByName(copies).unionByName(sorted_).unionByName(counted)
 
 
