@@ -222,7 +222,10 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every window of the spans of minimizers with very many classes."""
+    """Two hashes of every window of the spans of minimizers with very many classes.
+
+    Equal windows of a block share a row, with their number and places.
+    """
     for batch in slices(batches, "span", BLOCK):
         spans = batch.column("span").to_pylist()
         sizes = np.array([len(x) for x in spans])
@@ -231,9 +234,18 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         row = np.repeat(np.arange(len(spans)), count)
         k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         at = (np.cumsum(sizes) - sizes)[row] + k
+        h1, h2 = Hashes(body, 1).of(at, LENGTH), Hashes(body, 2).of(at, LENGTH)
+        order = np.lexsort((h2, h1))
+        h1, h2, row, k = h1[order], h2[order], row[order], k[order]
+        first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(row)])
+        ends = np.append(first, len(row))
+        places = pa.StructArray.from_arrays(
+            [pa.array(np.asarray(batch.column("doc"))[row]), pa.array(np.asarray(batch.column("th"))[row]), pa.array(np.asarray(batch.column("p"))[row].astype(np.int64) + k)],
+            ["doc", "th", "a"],
+        )
         yield pa.RecordBatch.from_arrays(
-            [pa.array(Hashes(body, 1).of(at, LENGTH).view(np.int64)), pa.array(Hashes(body, 2).of(at, LENGTH).view(np.int64)), pa.array(np.asarray(batch.column("doc"))[row]), pa.array(np.asarray(batch.column("th"))[row]), pa.array(np.asarray(batch.column("p"))[row].astype(np.int64) + k)],
-            ["h1", "h2", "doc", "th", "a"],
+            [pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)],
+            ["h1", "h2", "n", "places"],
         )
 
 
@@ -282,9 +294,9 @@ def repeated_intervals(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     spans = keep(texts.mapInArrow(cut_spans, "v long, doc long, th int, p int, count int, anchor int, span binary, large boolean"), "suffix-spans")
     small = spans.filter("not large").drop("large").repartition("v").sortWithinPartitions("v")
     sorted_ = small.mapInArrow(sorted_spans, "doc long, th int, a long, b long")
-    windows = keep(spans.filter("large").mapInArrow(window_hashes, "h1 long, h2 long, doc long, th int, a long"), "suffix-windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    counted = windows.join(twice, ["h1", "h2"], "left_semi").select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
+    windows = keep(spans.filter("large").mapInArrow(window_hashes, "h1 long, h2 long, n long, places array<struct<doc: long, th: int, a: long>>"), "suffix-windows")
+    twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
+    counted = windows.join(twice, ["h1", "h2"], "left_semi").select(F.inline("places")).select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
     return whole.unionByName(copies).unionByName(sorted_).unionByName(counted)
 
 
