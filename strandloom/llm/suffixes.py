@@ -6,7 +6,8 @@ named by its minimizer, the ``GRAM``-byte string in it whose hash is least. Neig
 minimizer form a run. Runs with the same text are one class, counted by Spark; a class of several runs is repeated as
 a whole. Where a minimizer has several classes, their windows go through a mergesort, and neighbours in the sorted
 order that agree in ``LENGTH`` bytes are repeated; that is verified byte by byte. A minimizer with more than
-``CLASSES`` classes is not gathered: its windows are counted one by one under 128 bits of hash.
+``CLASSES`` classes is not gathered: its windows are counted under 128 bits of hash, ``STRIDE`` neighbours at once where
+their text is the same.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LENGTH, GRAM = 200, 64
 CLASSES = 64
 #: Bytes of spans that one sort works on, besides the group at hand.
 BLOCK = 1 << 20
+#: Neighbouring windows that are counted together where a minimizer has more classes than that.
+STRIDE = 8
 PLACE = 28  # bits for a place in a piece of text
 
 
@@ -221,34 +224,54 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["v", "doc", "th", "p", "count", "anchor", "span", "large"])
 
 
-def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every window of the spans of minimizers with very many classes.
+def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of spans whose minimizer has very many classes, ``STRIDE`` neighbours a row.
 
-    Equal windows of a block share a row, with their number and places.
+    Rows are cut at multiples of ``STRIDE`` from the minimizer, so that equal text gives equal rows: two hashes of the
+    row's text, its place and number of windows, and two hashes of each window.
     """
     for batch in slices(batches, "span", BLOCK):
         spans = batch.column("span").to_pylist()
+        if not spans:
+            continue
         sizes = np.array([len(x) for x in spans])
         count = np.asarray(batch.column("count"))
         body = np.frombuffer(b"".join(spans), np.uint8)
         row = np.repeat(np.arange(len(spans)), count)
         k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         at = (np.cumsum(sizes) - sizes)[row] + k
-        h1, h2 = Hashes(body, 1).of(at, LENGTH), Hashes(body, 2).of(at, LENGTH)
-        order = np.lexsort((h2, h1))
-        h1, h2, row, k = h1[order], h2[order], row[order], k[order]
-        first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(row)])
+        part = (np.asarray(batch.column("anchor"))[row] - k) // STRIDE
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
         ends = np.append(first, len(row))
-        places = pa.StructArray.from_arrays(
-            [pa.array(np.asarray(batch.column("doc"))[row]), pa.array(np.asarray(batch.column("th"))[row]), pa.array(np.asarray(batch.column("p"))[row].astype(np.int64) + k)],
-            ["doc", "th", "a"],
-        )
+        c = np.diff(ends)
+        keys, windows = [], []
+        for seed in (1, 2):
+            h = Hashes(body, seed)
+            keys.append(pa.array(mixed(h.of(at[first], LENGTH - 1 + c) + mixed(c.astype(np.uint64))).view(np.int64)))
+            windows.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.of(at, LENGTH).view(np.int64))))
+        place = np.asarray(batch.column("p"))[row[first]].astype(np.int64) + k[first]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)],
-            ["h1", "h2", "n", "places"],
+            [*keys, pa.array(np.asarray(batch.column("doc"))[row[first]]), pa.array(np.asarray(batch.column("th"))[row[first]]), pa.array(place), pa.array(place + c - 1 + LENGTH), *windows],
+            ["b1", "b2", "doc", "th", "a", "b", "w1", "w2"],
         )
 
 
+def counted_windows(spans: DataFrame) -> DataFrame:
+    """Intervals doc, th, a, b that repeated windows of the large spans cover, from counts of 128-bit hashes.
+
+    Equal rows of neighbouring windows are copies of each other; one of each goes on to be counted window by window.
+    """
+    rows = keep(spans.mapInArrow(block_hashes, "b1 long, b2 long, doc long, th int, a long, b long, w1 array<long>, w2 array<long>"), "suffix-blocks")
+    kinds = rows.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "a", "w1", "w2")).alias("one"))
+    kinds = keep(kinds.select("b1", "b2", "n", "one.*"), "suffix-block-classes")
+    copies = rows.join(kinds.filter("n > 1").select("b1", "b2"), ["b1", "b2"], "left_semi").select("doc", "th", "a", "b")
+    each = kinds.select("doc", "th", "a", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    windows = keep(each.select("w.w1", "w.w2", "doc", "th", (F.col("a") + F.col("i")).alias("a")), "suffix-windows")
+    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    single = windows.join(twice, ["w1", "w2"], "left_semi").select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
+    return copies.unionByName(single)
+
+
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 4 << 20):
         rows = []
@@ -294,10 +317,7 @@ def repeated_intervals(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     spans = keep(texts.mapInArrow(cut_spans, "v long, doc long, th int, p int, count int, anchor int, span binary, large boolean"), "suffix-spans")
     small = spans.filter("not large").drop("large").repartition("v").sortWithinPartitions("v")
     sorted_ = small.mapInArrow(sorted_spans, "doc long, th int, a long, b long")
-    windows = keep(spans.filter("large").mapInArrow(window_hashes, "h1 long, h2 long, n long, places array<struct<doc: long, th: int, a: long>>"), "suffix-windows")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
-    counted = windows.join(twice, ["h1", "h2"], "left_semi").select(F.inline("places")).select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
-    return whole.unionByName(copies).unionByName(sorted_).unionByName(counted)
+    return whole.unionByName(copies).unionByName(sorted_).unionByName(counted_windows(spans.filter("large")))
 
 
 def without_repeats(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
