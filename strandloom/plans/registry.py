@@ -155,6 +155,7 @@ ORACLE_SQL = {
     "mean_coverage": f"WITH {FOUND} SELECT r.ref_id, coalesce(c.n, 0)::DOUBLE / length(seq) AS mean_coverage FROM refs r LEFT JOIN (SELECT ref_id, sum(len) AS n FROM found GROUP BY 1) c USING (ref_id) WHERE length(seq) > 0",
     "mapping_rate": f"WITH {FOUND} SELECT count(*) FILTER (item_id IN (SELECT item_id FROM found)) AS mapped, count(*) AS reads FROM items",
     "mapping_order": f"WITH {FOUND}, f AS (SELECT item_id, min(pos)::INT AS position FROM found GROUP BY 1) SELECT row_number() OVER (ORDER BY position NULLS LAST, item_id) - 1 AS rank, item_id, position FROM items LEFT JOIN f USING (item_id)",
+    "increasing_chains": f"WITH {REFS}, {INDEX}, cut AS (SELECT item_id, t::INT AS t, substr(seq, t::INT * (length(seq) // 3) + 1, CASE WHEN t = 2 THEN length(seq) ELSE length(seq) // 3 END) AS tile FROM items, range(3) AS x(t) WHERE length(seq) >= 3 * {K}), h AS (SELECT ref_id, item_id, t, pos FROM idx JOIN cut ON kmer = substr(tile, 1, {K}) AND substr(ref, pos + 1, length(tile)) = tile), k AS (SELECT DISTINCT ref_id, item_id FROM h), c AS (SELECT ref_id, item_id, a.pos AS a, b.pos AS b, c.pos AS c FROM k LEFT JOIN (SELECT * FROM h WHERE t = 0) a USING (ref_id, item_id) LEFT JOIN (SELECT * FROM h WHERE t = 1) b USING (ref_id, item_id) LEFT JOIN (SELECT * FROM h WHERE t = 2) c USING (ref_id, item_id)) SELECT ref_id, item_id, concat_ws(',', a, b, c) AS chain FROM c WHERE coalesce(b - a BETWEEN 1 AND 1000, true) AND coalesce(c - coalesce(b, a) BETWEEN 1 AND 1000, true)",
     "pair_select": "WITH b AS (SELECT l.user_id, l.event_id AS left_order, r.event_id AS right_order, epoch_us(r.ts) - epoch_us(l.ts) AS distance FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'click' AND r.event_type = 'purchase' AND r.ts > l.ts) SELECT user_id, left_order, right_order, distance FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY distance, left_order, right_order) = 1",
     "majority_call": "WITH c AS (SELECT user_id, hour(ts)::INT AS hour, event_type, count(*) AS n, min(event_id) AS first, sum(count(*)) OVER (PARTITION BY user_id, hour(ts)) AS total FROM events GROUP BY user_id, hour(ts), event_type) SELECT user_id, hour, event_type, n FROM c WHERE n > total // 2",
     "global_chunks": "SELECT doc_id, i::INT AS left, least(i + 1000, length(text))::INT AS right FROM documents, unnest(range(0, length(text), 900)) AS u(i) WHERE length(text) > 1000",
