@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.shared import written
+
 
 def depth(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """keys, position, depth: where the number of intervals [start, end) that hold a position changes, and to what.
@@ -61,7 +63,19 @@ def mutation_lines(calls: DataFrame, ref: DataFrame) -> DataFrame:
     return calls.join(F.broadcast(ref), F.lit(True)).select("position", F.concat(F.lit(">"), "type", F.col("position").cast("string"), F.lit(" "), line).alias("line"))  # ref is one row
 
 
+def ranked(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """``rows`` with rank: the place, from 0, by ``first`` (nulls last), then ``second``.
+
+    Rows are dealt by ranges and numbered within each; only the ranges' sizes are summed up in one place.
+    """
+    order = [F.col(first).asc_nulls_last(), F.col(second).asc()]
+    dealt = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "rank-ranges")
+    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(before), "range").withColumn("rank", (place + F.col("before")).cast("long")).drop("range", "before")
+
+
 def mapping_order(mapped: DataFrame) -> DataFrame:
     """rank, label, position: all reads by mapped position, unmapped ones last."""
-    order = Window.orderBy(F.col("position").asc_nulls_last(), "read_idx")
-    return mapped.select((F.row_number().over(order) - 1).cast("long").alias("rank"), "label", "position")
+    return ranked(mapped.select("label", "position", "read_idx"), "position", "read_idx").select("rank", "label", "position")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import bases, chains, ladder, tiles
 from strandloom.operators.find import exact_find
 from strandloom.operators.pairs import nearest_ahead
-from strandloom.operators.pileup import depth, majority
+from strandloom.operators.pileup import depth, majority, ranked
 from strandloom.plans.mapping import map_reads, mutations
 from strandloom.sources.text import concat_lines, mean_read_length
 
@@ -88,8 +88,7 @@ def mapping_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapping_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = found(spark, sf_dir).groupBy("item_id").agg(F.min("pos").alias("position"))
     rows = items(spark, sf_dir).join(first, "item_id", "left")
-    order = Window.orderBy(F.col("position").asc_nulls_last(), "item_id")
-    return rows.select((F.row_number().over(order) - 1).cast("long").alias("rank"), "item_id", "position")
+    return ranked(rows.select("item_id", "position"), "position", "item_id").select("rank", "item_id", "position")
 
 
 def increasing_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

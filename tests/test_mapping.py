@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as s
 from strandloom.operators.find import exact_find, suffix_order
 from strandloom.operators.kernel import Window, align, drawn
+from strandloom.operators.pileup import ranked
 from strandloom.plans.mapping import map_files, map_reads
 from strandloom.sources.text import mean_read_length, read_reads, read_reference
 
@@ -103,3 +104,12 @@ def test_kernel_errors_are_those_of_some_best_end():
             matched = len(read) - inserted - len(m.mismatches)
             score = 2 * matched - 2 * len(m.mismatches) - sum(n + 1 for _, _, n in m.indels)
             assert score <= max(last) or m.position < 0
+
+
+def test_ranked(spark):
+    rows = [(None if i % 7 == 0 else i * 37 % 50, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "position int, read_idx long")
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    got = sorted((r["rank"], r["position"], r["read_idx"]) for r in ranked(df, "position", "read_idx").collect())
+    assert got == [(i, *r) for i, r in enumerate(want)]
+    assert ranked(df.limit(0), "position", "read_idx").collect() == []
