@@ -2,6 +2,7 @@
 
 A tree is built from the tags, with the ends that HTML implies. What is not shown is left out. Blocks stand on lines
 of their own, paragraphs and headings apart, list items behind marks, and table cells in aligned columns.
+Of form controls, the texts of textarea, select with its options and datalist, and the values of input are left out.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ CLOSES_P = BLOCK - frozenset("html body tr caption thead tbody tfoot".split())
 #: Elements that a start tag ends, and the elements at which the search for them stops.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "caption"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "caption"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "caption"}, {"table"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}), "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "tbody": ({"tbody", "thead", "tfoot", "tr", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+SECTIONS = frozenset("thead tbody tfoot colgroup".split())
 SCOPES = frozenset("table td th caption html template".split())
 #: Deeper elements join the one at this depth; their text stays.
 DEEPEST = 200
@@ -119,6 +121,17 @@ def build(html: str) -> Node:
             pop_to({"p"}, SCOPES)
         if tag in ENDS:
             pop_to(*ENDS[tag])
+        if tag in ("td", "th"):  # the row that a cell implies
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in SECTIONS or stack[i].tag == "table":
+                    cut(i + 1)
+                    row = Node("tr")
+                    (stack[-1] if len(stack) <= DEEPEST else stack[DEEPEST]).children.append(row)
+                    stack.append(row)
+                    open_now["tr"] += 1
+                    break
+                if stack[i].tag == "tr" or stack[i].tag in SCOPES:
+                    break
         node = Node(tag, m[3])
         (stack[-1] if len(stack) <= DEEPEST else stack[DEEPEST]).children.append(node)
         if tag in RAW:
@@ -192,14 +205,23 @@ def rows_of(node: Node) -> Iterator[Node]:
         if isinstance(c, Node) and c.shown():
             if c.tag == "tr":
                 yield c
-            elif c.tag in ("thead", "tbody", "tfoot"):
+            elif c.tag in SECTIONS:
                 yield from rows_of(c)
 
 
+def strays_of(node: Node) -> Iterator[Node | str]:
+    """What stands in a table or its sections, but in no row."""
+    for c in node.children:
+        if isinstance(c, Node) and c.tag in SECTIONS:
+            if c.shown():
+                yield from strays_of(c)
+        elif isinstance(c, str) or c.tag != "tr":
+            yield c
+
+
 def render_table(node: Node, page: Page) -> None:
-    for c in node.children:  # a caption stands above, stray content too
-        if isinstance(c, str) or c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
-            render(c, page)
+    for c in strays_of(node):  # a caption stands above, stray content too
+        render(c, page)
     page.end()
     grid = []
     for row in rows_of(node):

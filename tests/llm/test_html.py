@@ -79,3 +79,15 @@ def test_long_and_deep():
     assert len(visible_text("<p>a</p>" * 50_000).split("\n\n")) == 50_000
     visible_text("<" * 200_000), visible_text("<!--" * 50_000), visible_text("<ul><li>" * 20_000 + "deep")
     assert time.time() - start < 60
+
+
+def test_cells_imply_rows():
+    assert visible_text("<table><tbody><td>a<td>b</table>") == "a  b"
+    assert visible_text("<table><td>a<th>b<tr><td>c</table>") == "a  b\nc"
+    assert visible_text("<table><colgroup><col><tr><td>a<td>b</table>") == "a  b"
+    assert visible_text("<table><caption>t<td>a<tfoot><b><td>z</b></table>") == "t\na\nz"
+
+
+def test_stray_content_of_sections():
+    assert visible_text("<table><thead>up<tr><th>a</thead><tbody><p>in</p><tr><td>b</tbody><tfoot>down</table>x") == "up\n\nin\n\ndown\na\nb\n\nx"
+    assert visible_text("<table><tbody hidden>no<tr><td>no</tbody><tbody>yes</table>") == "yes"
