@@ -1,6 +1,9 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandloom.llm import toxicity
 from strandloom.llm.toxicity import fit, fit_ordinal, severity, toxicity_stage
@@ -40,11 +43,43 @@ def test_held_out(spark):
     assert len(got) == len(fresh) + len(extra)
     want = {a: bool(c) for a, _, c in fresh + extra}
     assert np.mean([r["toxic"] == want[r["doc_id"]] for r in got]) > 0.97
-    assert all(0 <= r["expected_severity"] <= 2 and r["toxic"] == (r["p_toxic"] >= toxicity.REJECT) for r in got)
+    assert all(0 <= r["expected_severity"] <= 2 and r["toxic"] == (r["p_toxic"] >= model.reject) for r in got)
     most = {r["doc_id"]: r["expected_severity"] for r in got}
     assert most[7002] > most[7000] == most[7001]
 
 
+def test_scores_equal_a_plain_sum(spark):
+    rows = corpus(600, 4)
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows] + [(5000, "!!! ... " + "idiot" * 40 + " moron-lout idiotic"), (5001, None)], "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, toxic int"))
+    weight = dict(zip(model.features, model.weights))
+    for r in severity(docs, model).collect():
+        text = dict([(a, b) for a, b, _ in rows] + [(5000, "!!! ... " + "idiot" * 40 + " moron-lout idiotic"), (5001, "")])[r["doc_id"]]
+        times = Counter(f for w in text.split() for f in toxicity.features_of(w.strip(toxicity.EDGES).lower()))
+        score = sum(weight.get(f, 0) * math.log1p(n) for f, n in times.items())
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert math.isclose(r["p_toxic"], above[0], rel_tol=1e-6, abs_tol=1e-12) and math.isclose(r["expected_severity"], sum(above), rel_tol=1e-6)
+        assert r["grade"] == sum(p >= 0.5 for p in above)
+
+
+def test_held_out_labels(spark):
+    """Fitted on one half of the labels; the other half's labels are noisy, so some toxic documents hold no sign."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    model = fit(docs, labels.filter(half == 0))
+    got = severity(docs, model).join(labels.filter(half == 1).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    caught, kept = got.agg(F.avg(F.when(F.col("label") == 1, F.col("toxic").cast("int"))), F.avg(F.when(F.col("label") == 0, (~F.col("toxic")).cast("int")))).first()
+    assert caught >= 0.85 and kept >= 0.97
+
+
+def test_threshold():
+    score, toxic = np.array([5.0, 4, 3, 2, 1, 0]), np.array([True, True, False, True, False, False])
+    assert toxicity.reject_from(score, toxic, 0.01, 5.0) == 3.5
+    assert toxicity.reject_from(score, toxic, 1.0, 0.1) == 1.5
+    assert toxicity.reject_from(-score, toxic) > 0
+
+
 def test_stage_and_empty(spark):
     rows = corpus(300, 3)
     docs = spark.createDataFrame([(a, b, "x") for a, b, _ in rows] + [(None, None, None)], "doc_id long, text string, grade string")
