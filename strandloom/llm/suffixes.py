@@ -1,13 +1,18 @@
 """Removal of repeated byte strings by a hash-compared suffix sort.
 
-Suffixes are compared by prefix polynomial hashes: a binary search finds how far two of them agree, and the byte
-behind decides. Only suffixes that can be equal for ``LENGTH`` bytes are ever compared: each window of that length is
-named by its minimizer, the ``GRAM``-byte string in it whose hash is least. Neighbouring windows with the same
-minimizer form a run. Runs with the same text are one class, counted by Spark; a class of several runs is repeated as
-a whole. Where a minimizer has several classes, their windows go through a mergesort, and neighbours in the sorted
-order that agree in ``LENGTH`` bytes are repeated; that is verified byte by byte. A minimizer with more than
-``CLASSES`` classes is not gathered: its windows are counted under 128 bits of hash, ``STRIDE`` neighbours at once where
-their text is the same.
+Suffixes are compared by prefix polynomial hashes modulo the prime 2**61 - 1: a binary search finds how far two of
+them agree, and the byte behind decides. Only suffixes that can be equal for ``LENGTH`` bytes are ever compared: each
+window of that length is named by its minimizer, the ``GRAM``-byte string in it whose hash is least. Neighbouring
+windows with the same minimizer form a run. Runs with the same text, told by a 128-bit cryptographic digest, are one
+class and are counted by Spark; two runs of each class stand for it. All runs that stand for a class of a minimizer
+with several runs go through a mergesort of suffixes, and neighbours in the sorted order that agree in ``LENGTH`` bytes
+are repeated. Each such pair is verified byte by byte. The other runs of a class share the fate of the two.
+
+A minimizer with more than ``CLASSES`` classes is dealt out before it is sorted, so that no group grows with the data:
+its windows are counted under two independent hashes modulo the prime, ``STRIDE`` neighbours at once where their
+text is the same, and two of each kind that is met again go through the same sort, a group for each kind. That is
+exact: equal windows have equal hashes, and unequal windows under one pair of hashes, which the sort would show, raise
+an error.
 """
 
 from __future__ import annotations
@@ -25,31 +30,66 @@ from strandloom.llm.common import keep, slices, table, text_bytes
 LENGTH, GRAM = 200, 64
 #: Classes of one minimizer that are sorted in one group.
 CLASSES = 64
-#: Bytes of spans that one sort works on, besides the group at hand.
-BLOCK = 1 << 20
+#: Bytes of spans that one sort works on, besides the group at hand; bytes of a text that are hashed at once.
+BLOCK, PIECE = 1 << 20, 2 << 20
 #: Neighbouring windows that are counted together where a minimizer has more classes than that.
 STRIDE = 8
 PLACE = 28  # bits for a place in a piece of text
+PRIME = np.uint64((1 << 61) - 1)
+LOW32, LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo 2**61 - 1."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return x - PRIME * (x >= PRIME)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 of numbers below it; the 128-bit product is put together from halves."""
+    ah, al, bh, bl = a >> np.uint64(32), a & LOW32, b >> np.uint64(32), b & LOW32
+    low, mid, high = al * bl, ah * bl + al * bh, ah * bh
+    return folded((high << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & LOW29) << np.uint64(32)) + (low & PRIME) + (low >> np.uint64(61)))
 
 
 class Hashes:
-    """Prefix hashes of a byte array modulo 2**64; any two places' strings are compared in constant time."""
+    """Prefix hashes of a byte array modulo 2**61 - 1; any two places' strings are compared in constant time."""
 
     def __init__(self, body: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
-        base = int(rng.integers(1 << 62, 1 << 63)) * 2 + 1
-        values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        n = len(body)
-        step = np.full(n + 1, base, np.uint64)
-        back = np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
-        step[0] = back[0] = 1
-        self.back = np.cumprod(back, dtype=np.uint64)
+        base, n = np.uint64(rng.integers(1 << 60, (1 << 61) - 1)), len(body)
+        values = rng.integers(1, (1 << 61) - 1, 256, dtype=np.uint64)
+        self.power = np.ones(n + 1, np.uint64)
+        done, step = 1, base
+        while done <= n:  # twice as many powers in each pass
+            more = min(done, n + 1 - done)
+            self.power[done : done + more] = times(self.power[:more], step)
+            step, done = times(step, step), done + more
+        terms = times(values[body], self.power[:n])
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[body] * np.cumprod(step, dtype=np.uint64)[:n], out=self.sums[1:], dtype=np.uint64)
+        high, low = np.cumsum(terms >> np.uint64(30), dtype=np.uint64), np.cumsum(terms & np.uint64((1 << 30) - 1), dtype=np.uint64)
+        self.sums[1:] = folded(times(folded(high), np.uint64(1 << 30)) + folded(low))
+
+    def span(self, start: np.ndarray, size) -> np.ndarray:
+        return folded(self.sums[start + size] + PRIME - self.sums[start])
+
+    def same(self, x: np.ndarray, y: np.ndarray, size) -> np.ndarray:
+        """Whether the strings of ``size`` bytes from each ``x`` and ``y`` have the same hash."""
+        left, right = np.minimum(x, y), np.maximum(x, y)
+        return times(self.span(left, size), self.power[right - left]) == self.span(right, size)
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
-        """Hash of ``size`` bytes from each of ``start``, the same wherever the string stands."""
-        return (self.sums[start + size] - self.sums[start]) * self.back[start]
+        """Hash of ``size`` bytes from each of ``start``, the same wherever the string stands, in this or another body."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        if not hasattr(self, "back"):
+            inverse = pow(int(self.power[1]), -1, int(PRIME))
+            self.back, done, step = np.ones(len(self.power), np.uint64), 1, np.uint64(inverse)
+            while done < len(self.back):
+                more = min(done, len(self.back) - done)
+                self.back[done : done + more] = times(self.back[:more], step)
+                step, done = times(step, step), done + more
+        return times(self.span(start, size), self.back[start])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -58,11 +98,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def minimizers(hashes: Hashes, n: int) -> np.ndarray:
+def gram_hashes(body: np.ndarray) -> np.ndarray:
+    """A hash of each ``GRAM``-byte string, modulo 2**64. It only deals windows into groups: equal strings have equal
+    ones, and unequal strings under one hash merely share a group."""
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(1 << 62, 1 << 63)) * 2 + 1
+    values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    n = len(body)
+    step, back = np.full(n, base, np.uint64), np.full(n - GRAM + 1, pow(base, -1, 1 << 64), np.uint64)
+    step[0] = back[0] = 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values[body] * np.cumprod(step, dtype=np.uint64), out=sums[1:], dtype=np.uint64)
+    return mixed((sums[GRAM:] - sums[:-GRAM]) * np.cumprod(back, dtype=np.uint64))
+
+
+def minimizers(grams: np.ndarray) -> np.ndarray:
     """For each window start, the place of its least string (the leftmost of equals)."""
     width = LENGTH - GRAM + 1
-    grams = np.arange(n - GRAM + 1)
-    least = (mixed(hashes.of(grams, GRAM)) >> np.uint64(PLACE) << np.uint64(PLACE)) | grams.astype(np.uint64)
+    least = (grams >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -72,51 +125,65 @@ def minimizers(hashes: Hashes, n: int) -> np.ndarray:
     return (least & np.uint64((1 << PLACE) - 1)).astype(np.int64)
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with one minimizer: its hash v, the run's hash s, document, packed place of the run."""
-    for batch in slices(batches, "text", 2 << 20):
+def pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """Bytes of texts back to back, their offsets, and row, place in its text, doc and th of each.
+
+    A long text comes in pieces that overlap by ``LENGTH`` - 1 bytes, so each window lies in one of them.
+    """
+    for batch in slices(batches, "text", piece):
         body, offs = text_bytes(batch.column("text"))
+        doc, th = batch.column("doc"), batch.column("th")
+        for at in range(0, max(1, len(body) - LENGTH + 1), piece) if batch.num_rows == 1 else [0]:
+            part = body[at : at + piece + LENGTH - 1] if batch.num_rows == 1 else body
+            if len(part) >= LENGTH:
+                yield part, np.array([0, len(part)]) if batch.num_rows == 1 else offs, np.arange(batch.num_rows), np.full(batch.num_rows, at), doc, th
+
+
+def runs(batches: Iterator[pa.RecordBatch], digests: bool, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with one minimizer: its hash v; with ``digests`` the run's digest s, s2, its document and place."""
+    for body, offs, rows, base, doc, th in pieces(batches, piece):
         n = len(body)
-        if n < LENGTH:
-            continue
-        if n >= 1 << PLACE:
-            raise ValueError("a text of 256 MB or more")
-        hashes = Hashes(body)
-        place = minimizers(hashes, n)
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+        grams = gram_hashes(body)
+        place = minimizers(grams)
+        owner = np.repeat(rows, np.diff(offs))
         start = np.flatnonzero(owner[: n - LENGTH + 1] == owner[LENGTH - 1 :])
         if not len(start):
             continue
         at = place[start]
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
+        v = grams[at[first]].view(np.int64)
+        if not digests:
+            yield pa.RecordBatch.from_arrays([pa.array(v)], ["v"])
+            continue
         count = np.diff(np.concatenate([first, [len(start)]]))
         p0, a = start[first], at[first]
-        v = mixed(hashes.of(a, GRAM))
-        s = mixed(hashes.of(p0, LENGTH - 1 + count) + mixed(((a - p0) * 4096 + count).astype(np.uint64)))
-        rows = owner[p0]
-        place_ = (p0 - offs[rows]) << 16 | count << 8 | (a - p0)  # number of windows and place of the minimizer: under 256
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v.view(np.int64)), pa.array(s.view(np.int64)), batch.column("doc").take(pa.array(rows)), batch.column("th").take(pa.array(rows)), pa.array(place_.astype(np.int64))],
-            ["v", "s", "doc", "th", "place"],
-        )
+        view, digest = memoryview(body), hashlib.blake2b
+        s = np.frombuffer(b"".join([digest(view[x:y], digest_size=16).digest() for x, y in zip(p0.tolist(), (p0 + LENGTH - 1 + count).tolist())]), np.int64)
+        mine = owner[p0]
+        packed = (p0 - offs[mine] + base[mine]) << 16 | count << 8 | (a - p0)  # number of windows and place of the minimizer: under 256
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(s[::2]), pa.array(s[1::2]), doc.take(pa.array(mine)), th.take(pa.array(mine)), pa.array(packed.astype(np.int64))], ["v", "s", "s2", "doc", "th", "place"])
 
 
-RUN = "v long, s long, doc long, th int, place long"
+RUN = "v long, s long, s2 long, doc long, th long, place long"
 P, COUNT, ANCHOR = "shiftright(place, 16)", "(shiftright(place, 8) & 255)", "(place & 255)"
 
 
-def agree(h: Hashes, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Length of the longest common extension of each two places, up to ``LENGTH``, by binary search."""
-    low, high = np.zeros(len(x), np.int64), np.full(len(x), LENGTH, np.int64)
+def agree(h: Hashes, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length of the longest common extension of each two places, up to ``size``, by binary search."""
+    out = size.copy()
+    some = np.flatnonzero(~h.same(x, y, size))
+    x, y, low, high = x[some], y[some], np.zeros(len(some), np.int64), size[some] - 1
     while (low < high).any():
         mid = (low + high + 1) // 2
-        same = h.of(x, mid) == h.of(y, mid)
+        same = h.same(x, y, mid)
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    out[some] = low
+    return out
 
 
-def suffix_sort(h: Hashes, body: np.ndarray, group: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Order of the suffixes at ``at`` by (group, next ``LENGTH`` bytes); stable. ``group`` ascends.
+def suffix_sort(h: Hashes, body: np.ndarray, group: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Order of the suffixes at ``at`` by (group, next ``length`` bytes); stable. ``group`` ascends, and ``length`` is
+    the same throughout a group.
 
     Bottom-up mergesort. In each pass every suffix finds its rank in the neighbouring sorted piece of its group by
     binary search, all at once.
@@ -137,8 +204,8 @@ def suffix_sort(h: Hashes, body: np.ndarray, group: np.ndarray, at: np.ndarray)
         while (some := np.flatnonzero(left < right)).size:
             mid = (left[some] + right[some]) // 2
             x, y = mine[some], at[order[mid]]
-            common = agree(h, x, y)
-            end = common >= LENGTH
+            common = agree(h, x, y, length[some])
+            end = common >= length[some]
             bx, by = body[np.minimum(x + common, len(body) - 1)], body[np.minimum(y + common, len(body) - 1)]
             # Equal suffixes keep their order: those of the second piece come after those of the first.
             after = np.where(end, piece[some] % 2 == 1, by < bx)
@@ -152,58 +219,68 @@ def suffix_sort(h: Hashes, body: np.ndarray, group: np.ndarray, at: np.ndarray)
     return order
 
 
-def repeated(body: np.ndarray, group: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the suffixes share their next ``LENGTH`` bytes with another one of their group."""
+def repeated(body: np.ndarray, group: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the suffixes share their next ``length`` bytes (``LENGTH`` to twice that) with another one of their group."""
     h = Hashes(body)
-    order = suffix_sort(h, body, group, at)
-    x, y = at[order[:-1]], at[order[1:]]
+    order = suffix_sort(h, body, group, at, length)
+    x, y, size = at[order[:-1]], at[order[1:]], length[order[:-1]]
     pair = np.flatnonzero((group[order[:-1]] == group[order[1:]]))
-    pair = pair[h.of(x[pair], LENGTH) == h.of(y[pair], LENGTH)]
+    pair = pair[h.same(x[pair], y[pair], size[pair])]
     out = np.zeros(len(at), bool)
     view = np.lib.stride_tricks.sliding_window_view(body, LENGTH)
-    for k in range(0, len(pair), 20_000):  # byte by byte, against collisions of hashes
+    for k in range(0, len(pair), 20_000):  # byte by byte, against collisions of hashes: the first and the last window
         p = pair[k : k + 20_000]
-        p = p[(view[x[p]] == view[y[p]]).all(axis=1)]
+        last = size[p] - LENGTH
+        p = p[(view[x[p]] == view[y[p]]).all(axis=1) & (view[x[p] + last] == view[y[p] + last]).all(axis=1)]
         out[order[p]] = out[order[p + 1]] = True
     return out
 
 
+SPAN = "v long, w long, doc long, th long, p long, count int, anchor int, whole boolean, must boolean, span binary"
+
+
 def sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals doc, th, a, b that repeated windows cover, from a partition of spans that is sorted by minimizer."""
+    """Intervals doc, th, a, b that repeated windows cover, from a partition of spans that is sorted by v, w.
+
+    ``whole``: the spans of this v, w have one text, or should, and are compared as one suffix each, not by windows.
+    ``must``: another span with the same text is known to be there; if the sort doesn't find it, a digest collided.
+    """
 
     def block(cols: list) -> Iterator[pa.RecordBatch]:
-        v, doc, th, p, count, anchor, span = cols
+        v, w, doc, th, p, count, anchor, whole, must, span = cols
         sizes = np.array([len(x) for x in span])
         base = np.cumsum(sizes) - sizes
         body = np.frombuffer(b"".join(span), np.uint8)
-        row = np.repeat(np.arange(len(v)), count)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        each = np.where(whole, 1, count)
+        row = np.repeat(np.arange(len(v)), each)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
         # Windows can be equal only if the minimizer stands at the same place in both.
-        order = np.lexsort((k, anchor[row] - k, v[row]))
+        order = np.lexsort((k, anchor[row] - k, w[row], v[row]))
         row, k = row[order], k[order]
         off = anchor[row] - k
-        group = np.cumsum(np.concatenate([[0], (v[row][1:] != v[row][:-1]) | (off[1:] != off[:-1])])) if len(row) else row
-        many = np.flatnonzero(np.bincount(group)[group] > 1) if len(row) else row
+        group = np.cumsum(np.concatenate([[0], (v[row][1:] != v[row][:-1]) | (w[row][1:] != w[row][:-1]) | (off[1:] != off[:-1])]))
+        many = np.flatnonzero(np.bincount(group)[group] > 1)
         row, k, group = row[many], k[many], group[many]
+        hit = repeated(body, group, base[row] + k, LENGTH - 1 + np.where(whole[row], count[row], 1)) if len(row) else np.zeros(0, bool)
+        row, k = row[hit], k[hit]
+        if (np.bincount(row, minlength=len(v)) < each)[must].any():
+            raise ValueError("two different texts have the same digest")
         if not len(row):
             return
-        hit = repeated(body, group, base[row] + k)
-        row, k = row[hit], k[hit]
         order = np.lexsort((k, row))
         row, k = row[order], k[order]
-        if not len(row):
-            return
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1)]))
         last = np.concatenate([first[1:], [len(row)]]) - 1
         r = row[first]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array((p[r] + k[first]).astype(np.int64)), pa.array((p[r] + k[last] + LENGTH).astype(np.int64))], ["doc", "th", "a", "b"])
+        end = np.where(whole[r], count[r] - 1, k[last])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array((p[r] + k[first]).astype(np.int64)), pa.array((p[r] + end + LENGTH).astype(np.int64))], ["doc", "th", "a", "b"])
 
     held: list = []
     for batch in slices(batches, "span", BLOCK):
-        cols = [np.asarray(batch.column(i)) for i in range(6)] + [batch.column(6).to_pylist()]
-        held = [np.concatenate(x) for x in zip(held[:6], cols[:6])] + [held[6] + cols[6]] if held else cols
-        change = np.flatnonzero(held[0][1:] != held[0][:-1])
-        if len(change):  # the last minimizer may go on
+        cols = [np.asarray(batch.column(i)) for i in range(9)] + [batch.column(9).to_pylist()]
+        held = [np.concatenate(x) for x in zip(held[:9], cols[:9])] + [held[9] + cols[9]] if held else cols
+        change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+        if len(change):  # the last group may go on
             cut = change[-1] + 1
             yield from block([x[:cut] for x in held])
             held = [x[cut:] for x in held]
@@ -213,15 +290,29 @@ def sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each of a document's runs."""
-    for batch in slices(batches, "text", 2 << 20):
-        out: list[list] = [[] for _ in range(8)]
+    names = ["v", "w", "p", "count", "anchor", "whole", "must", "large"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()]
+    for batch in slices(batches, "text", PIECE):
         for doc, th, text, todo in zip(*[batch.column(c).to_pylist() for c in ("doc", "th", "text", "todo")]):
             body = text.encode()
-            for r in todo:
-                for x, y in zip(out, (r["v"], doc, th, r["p"], r["count"], r["anchor"], body[r["p"] : r["p"] + r["count"] - 1 + LENGTH], r["large"])):
-                    x.append(y)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["v", "doc", "th", "p", "count", "anchor", "span", "large"])
+            for at in range(0, len(todo), 4096):
+                some = todo[at : at + 4096]
+                cols = [pa.array([r[n] for r in some], k) for n, k in zip(names, kinds)]
+                spans = pa.array([body[r["p"] : r["p"] + r["count"] - 1 + LENGTH] for r in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([doc] * len(some), pa.int64()), pa.array([th] * len(some), pa.int64()), spans], [*names, "doc", "th", "span"])
+
+
+def with_text(docs: DataFrame, todo: DataFrame) -> DataFrame:
+    """The rows of ``todo`` (doc, th, and what ``cut_spans`` needs) with their spans' texts. Equal rows of ``docs`` are one."""
+    by_doc = todo.groupBy("doc", "th").agg(F.collect_list(F.struct("v", "w", "p", "count", "anchor", "whole", "must", "large")).alias("todo"))
+    texts = docs.select("doc", "th", "text").join(by_doc, ["doc", "th"]).groupBy("doc", "th").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    return texts.mapInArrow(cut_spans, "v long, w long, p long, count int, anchor int, whole boolean, must boolean, large boolean, doc long, th long, span binary")
+
+
+def in_sorted_groups(spans: DataFrame) -> DataFrame:
+    """Intervals doc, th, a, b of the repeated windows of spans, each v, w a group of its own."""
+    rows = spans.selectExpr(*[c.split()[0] for c in SPAN.split(", ")]).repartition("v", "w").sortWithinPartitions("v", "w")
+    return rows.mapInArrow(sorted_spans, "doc long, th long, a long, b long")
 
 
 def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,29 +338,46 @@ def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, windows = [], []
         for seed in (1, 2):
             h = Hashes(body, seed)
-            keys.append(pa.array(mixed(h.of(at[first], LENGTH - 1 + c) + mixed(c.astype(np.uint64))).view(np.int64)))
+            keys.append(pa.array(h.of(at[first], LENGTH - 1 + c).view(np.int64)))
             windows.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.of(at, LENGTH).view(np.int64))))
         place = np.asarray(batch.column("p"))[row[first]].astype(np.int64) + k[first]
         yield pa.RecordBatch.from_arrays(
-            [*keys, pa.array(np.asarray(batch.column("doc"))[row[first]]), pa.array(np.asarray(batch.column("th"))[row[first]]), pa.array(place), pa.array(place + c - 1 + LENGTH), *windows],
-            ["b1", "b2", "doc", "th", "a", "b", "w1", "w2"],
+            [*keys, pa.array(c.astype(np.int32)), pa.array(np.asarray(batch.column("doc"))[row[first]]), pa.array(np.asarray(batch.column("th"))[row[first]]), pa.array(place), *windows],
+            ["b1", "b2", "count", "doc", "th", "a", "w1", "w2"],
         )
 
 
-def counted_windows(spans: DataFrame) -> DataFrame:
-    """Intervals doc, th, a, b that repeated windows of the large spans cover, from counts of 128-bit hashes.
+def two_of_each(rows: DataFrame, keys: list[str], also: list[str]) -> DataFrame:
+    """keys, n, low, high: the number of rows of each kind, and the first and the last of them in order of doc, th, ``also``."""
+    one = F.struct("doc", "th", *also)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("low"), F.max(one).alias("high"))
+
+
+def standing(kinds: DataFrame) -> DataFrame:
+    """The rows that stand for each kind, one or two; ``must``: it is one of two different ones."""
+    two = F.col("low") != F.col("high")
+    rest = [c for c in kinds.columns if c not in ("low", "high", "n")]
+    return kinds.select(*rest, two.alias("must"), F.explode(F.when(two, F.array("low", "high")).otherwise(F.array("low"))).alias("one")).select(*rest, "must", "one.*")
+
+
+def dealt_windows(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Intervals doc, th, a, b that repeated windows of the large spans cover.
 
     Equal rows of neighbouring windows are copies of each other; one of each goes on to be counted window by window.
     """
-    rows = keep(spans.mapInArrow(block_hashes, "b1 long, b2 long, doc long, th int, a long, b long, w1 array<long>, w2 array<long>"), "suffix-blocks")
-    kinds = rows.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "a", "w1", "w2")).alias("one"))
-    kinds = keep(kinds.select("b1", "b2", "n", "one.*"), "suffix-block-classes")
-    copies = rows.join(kinds.filter("n > 1").select("b1", "b2"), ["b1", "b2"], "left_semi").select("doc", "th", "a", "b")
-    each = kinds.select("doc", "th", "a", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
-    windows = keep(each.select("w.w1", "w.w2", "doc", "th", (F.col("a") + F.col("i")).alias("a")), "suffix-windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    single = windows.join(twice, ["w1", "w2"], "left_semi").select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
-    return copies.unionByName(single)
+    rows = keep(spans.mapInArrow(block_hashes, "b1 long, b2 long, count int, doc long, th long, a long, w1 array<long>, w2 array<long>"), "suffix-blocks")
+    kinds = keep(two_of_each(rows.withColumnRenamed("w1", "_w1").withColumnRenamed("w2", "_w2"), ["b1", "b2", "count"], ["a", "_w1", "_w2"]), "suffix-block-classes")
+    many = kinds.filter("n > 1")
+    copies = rows.join(many.select("b1", "b2", "count"), ["b1", "b2", "count"], "left_semi").select("doc", "th", "a", F.expr(f"a + count - 1 + {LENGTH}").alias("b"))
+    each = kinds.select("low.*").select("doc", "th", "a", F.posexplode(F.arrays_zip("_w1", "_w2")).alias("i", "w"))
+    windows = keep(each.select(F.col("w._w1").alias("w1"), F.col("w._w2").alias("w2"), "doc", "th", (F.col("a") + F.col("i")).alias("a")), "suffix-windows")
+    twice = keep(two_of_each(windows, ["w1", "w2"], ["a"]).filter("n > 1"), "suffix-window-classes")
+    single = windows.join(twice.select("w1", "w2"), ["w1", "w2"], "left_semi").select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
+    # Two of each kind that is met again are sorted and compared byte by byte.
+    of_blocks = standing(many).select("doc", "th", F.col("b1").alias("v"), F.col("b2").alias("w"), F.col("a").alias("p"), "count", "must")
+    of_windows = standing(twice).select("doc", "th", F.col("w1").alias("v"), F.col("w2").alias("w"), F.col("a").alias("p"), F.lit(1).alias("count"), "must")
+    todo = of_blocks.unionByName(of_windows).select("*", F.lit(0).alias("anchor"), F.lit(True).alias("whole"), F.lit(False).alias("large"))
+    return copies.unionByName(single).unionByName(in_sorted_groups(with_text(docs, todo)))
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,45 +401,43 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_intervals(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
+def repeated_intervals(docs: DataFrame, classes: int = CLASSES, piece: int = PIECE) -> DataFrame:
     """doc, th, a, b: byte intervals of documents (doc, th: id and text hash) that repeated windows cover.
 
     A run whose minimizer stands nowhere else is dropped first; runs are found again from the text rather than stored.
     """
-    found = docs.select("doc", "th", "text").mapInArrow(runs, RUN)
-    shared = found.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
-    shared = keep(shared.filter("n > 1").select("v", F.expr("low <> high").alias("mixed")), "suffix-minimizers")
-    # A minimizer with one class is repeated as a whole wherever it stands.
-    again = keep(found.join(shared, "v"), "suffix-runs")
-    interval = [F.expr(P).alias("a"), F.expr(f"{P} + {COUNT} - 1 + {LENGTH}").alias("b")]
-    whole = again.filter("not mixed").select("doc", "th", *interval)
-    mixed = again.filter("mixed")
-    # One run stands for each class of the minimizers that have several.
-    kinds = mixed.groupBy("v", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "place")).alias("one"))
-    kinds = keep(kinds.select("v", "s", "n", "one.*"), "suffix-classes")
-    copies = mixed.join(kinds.filter("n > 1").select("v", "s"), ["v", "s"], "left_semi").select("doc", "th", *interval)
-    wide = kinds.groupBy("v").agg((F.count(F.lit(1)) > classes).alias("large"))
-    todo = kinds.join(wide, "v").select("doc", "th", "v", F.expr(f"cast({P} as int)").alias("p"), F.expr(f"cast({COUNT} as int)").alias("count"), F.expr(f"cast({ANCHOR} as int)").alias("anchor"), "large")
-    by_doc = todo.groupBy("doc", "th").agg(F.collect_list(F.struct("v", "p", "count", "anchor", "large")).alias("todo"))
-    texts = docs.select("doc", "th", "text").join(by_doc, ["doc", "th"])
-    spans = keep(texts.mapInArrow(cut_spans, "v long, doc long, th int, p int, count int, anchor int, span binary, large boolean"), "suffix-spans")
-    small = spans.filter("not large").drop("large").repartition("v").sortWithinPartitions("v")
-    sorted_ = small.mapInArrow(sorted_spans, "doc long, th int, a long, b long")
-    return whole.unionByName(copies).unionByName(sorted_).unionByName(counted_windows(spans.filter("large")))
-
-
-def without_repeats(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
+    texts = docs.select("doc", "th", "text")
+    shared = texts.mapInArrow(lambda b: runs(b, False, piece), "v long").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    shared = keep(shared.filter("n > 1").select("v"), "suffix-minimizers")
+    again = keep(texts.mapInArrow(lambda b: runs(b, True, piece), RUN).join(shared, "v", "left_semi"), "suffix-runs")
+    kinds = keep(two_of_each(again, ["v", "s", "s2"], ["place"]), "suffix-classes")
+    copies = again.join(kinds.filter("n > 1").select("v", "s", "s2"), ["v", "s", "s2"], "left_semi")
+    copies = copies.select("doc", "th", F.expr(P).alias("a"), F.expr(f"{P} + {COUNT} - 1 + {LENGTH}").alias("b"))
+    wide = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("classes"))
+    todo = standing(kinds).join(wide, "v").select(
+        "doc", "th", "v", F.lit(0).cast("long").alias("w"), F.expr(P).alias("p"), F.expr(f"cast({COUNT} as int)").alias("count"), F.expr(f"cast({ANCHOR} as int)").alias("anchor"),
+        (F.col("classes") == 1).alias("whole"), "must", (F.col("classes") > classes).alias("large"),
+    )
+    spans = keep(with_text(docs, todo), "suffix-spans")
+    small = in_sorted_groups(spans.filter("not large"))
+    found = copies.unionByName(small)
+    large = spans.filter("large")
+    return found if large.isEmpty() else found.unionByName(dealt_windows(docs, large))
+
+
+def without_repeats(docs: DataFrame, classes: int = CLASSES, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every row of ``docs``.
 
     A byte goes if a string of ``LENGTH`` bytes over it also starts at another place, in any document. Null texts are
-    empty; shorter texts stay whole. Repeated rows are copies of each other and go. Other columns are ignored.
-    Rows that share an id are told apart by a 32-bit hash of their texts.
+    empty; shorter texts stay whole. Repeated rows are copies of each other and go. Texts of any length are read in
+    pieces. No rows: no rows. Other columns are ignored. Rows that share an id (null ids are one) are told apart by a
+    64-bit hash of their texts.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))).withColumn("th", F.hash("text"))
+    docs = docs.withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))).withColumn("th", F.xxhash64("text"))
     # Both ends of an interval in one number: it is shorter than 512 bytes.
-    found = repeated_intervals(docs, classes).select("doc", "th", F.expr("shiftleft(a, 16) + b - a").alias("ab"))
+    found = repeated_intervals(docs, classes, piece).select("doc", "th", F.expr("shiftleft(a, 16) + b - a").alias("ab"))
     spans = found.groupBy("doc", "th").agg(F.collect_list("ab").alias("spans"))
     out = docs.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -46,6 +46,41 @@ def test_suffix_sort():
         body[200:300] = 97
         at = rng.integers(0, size + 200, size)
         group = np.sort(rng.integers(0, 4, size))
-        order = suffixes.suffix_sort(suffixes.Hashes(body), body, group, at)
-        key = lambda i: (group[i], bytes(body[at[i] : at[i] + 200]))
+        length = np.array([200, 210, 399, 200])[group]
+        body = np.append(body, np.zeros(400, np.uint8))
+        order = suffixes.suffix_sort(suffixes.Hashes(body), body, group, at, length)
+        key = lambda i: (group[i], bytes(body[at[i] : at[i] + length[i]]))
         assert order.tolist() == sorted(range(size), key=key)
+
+
+def test_hashes():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, (1 << 61) - 1, 1000, dtype=np.uint64), rng.integers(0, (1 << 61) - 1, 1000, dtype=np.uint64)
+    assert suffixes.times(a, b).tolist() == [x * y % ((1 << 61) - 1) for x, y in zip(a.tolist(), b.tolist())]
+    body = rng.integers(0, 256, 500).astype(np.uint8)
+    h = suffixes.Hashes(np.concatenate([body, body[100:400]]))
+    x = np.arange(100, 300)
+    assert h.same(x, x + 400, 100).all() and not h.same(x, x + 401, 99).any() and (h.of(x, 100) == h.of(x + 400, 100)).all()
+
+
+def test_strings_that_collide_modulo_a_power_of_two(spark):
+    """Thue-Morse strings have equal polynomial hashes modulo 2**64 whatever the base; they are no repeats."""
+    rng = random.Random(8)
+    lead = "".join(rng.choice("abcdefgh é") for _ in range(110))
+    for n in (128, 256, 1024, 4096):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        docs = [(1, lead + word[:n]), (2, lead + word[:n].translate(str.maketrans("ab", "ba")))]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        for classes in (suffixes.CLASSES, 0):
+            got = without_repeats(df, classes).collect()
+            assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == slow(docs)
+
+
+def test_long_text_in_pieces(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    x, y = line(900), line(3000)
+    docs = [(1, line(2000) + x + line(333) + x + y), (2, y[5:] + line(10)), (3, x), (4, line(699)), (4, y), (4, y)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = without_repeats(df, piece=700).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == slow(docs)
