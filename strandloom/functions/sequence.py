@@ -47,6 +47,16 @@ def chains(hits: Column, max_gap: int = DEFAULT.max_gap) -> Column:
     return F.transform(F.aggregate(hits, start, lambda acc, s: F.flatten(F.transform(acc, lambda a: grow(a, s))).cast(state)), lambda a: a["chain"])
 
 
+def has_hit(chain: Column) -> Column:
+    """Whether a chain has a found tile at all."""
+    return F.exists(chain, lambda p: p >= 0)
+
+
+def insertion_point(values: Column, value: Column) -> Column:
+    """First place in an ascending array whose value isn't below ``value``; the array's size if there is none."""
+    return F.size(F.filter(values, lambda x: x < value))
+
+
 def merge_unmatched(chain: Column, parts: Column) -> Column:
     """Tiles of a chain with their positions, neighbouring tiles without position put together."""
     pair = "array<struct<position:int,tile:string>>"
@@ -61,6 +71,14 @@ def num_errors(mapping: str = "mapping") -> Column:
     return F.size(F.col(mapping)["mismatches"]) + F.aggregate(F.col(mapping)["indels"], F.lit(0), lambda a, x: a + x["length"])
 
 
+def mapping_text(mapping: str = "mapping") -> Column:
+    """A mapping in one line: position, then mismatches as place and base, then indels as type, place and length."""
+    m = F.col(mapping)
+    wrong = F.transform(m["mismatches"], lambda x: F.concat(F.lit("S"), x["position"].cast("string"), F.lit(":"), x["new_base"]))
+    gaps = F.transform(m["indels"], lambda x: F.concat(x["type"], x["position"].cast("string"), F.lit(":"), x["length"].cast("string")))
+    return F.concat_ws(" ", m["position"].cast("string"), F.array_join(F.concat(wrong, gaps), ","))
+
+
 def length_adjust(mapping: str = "mapping") -> Column:
     """Deleted less inserted bases."""
     return F.aggregate(F.col(mapping)["indels"], F.lit(0), lambda a, x: a + F.when(x["type"] == "D", x["length"]).otherwise(-x["length"]))

@@ -1,43 +1,86 @@
-"""Exact occurrences of patterns, by an equi-join on short strings, and suffix order."""
+"""Exact occurrences of patterns, by an equi-join on sampled short strings, and suffix order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Starts of one block of a reference's index.
-BLOCK = 256
+#: Bases of one block of a reference; blocks are cut in one pass over the sequence.
+BLOCK = 4096
 
 
-def exact_find(refs: DataFrame, patterns: DataFrame, k: int, by_ref: bool = False) -> DataFrame:
-    """ref_id, pattern_id, pos: all starts, overlapping ones too, of patterns (pattern_id, pattern) of ``k`` or more
-    bases in references (ref_id, seq). Shorter and null patterns have none.
+def blocks(seq: Column, over: int) -> Column:
+    """The sequence cut into blocks of ``BLOCK`` bases, each followed by the ``over`` bases behind it."""
+    parts = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    more = -(-over // BLOCK)
+    return F.transform(parts, lambda _, i: F.substring(F.array_join(F.slice(parts, i + 1, F.lit(1 + more)), ""), 1, BLOCK + over))
 
-    Substring search can't be a join key, so each reference is cut into its ``k``-base strings, joined with the
-    patterns' first ``k`` bases, and the rest compared. With ``by_ref``, patterns carry ref_id and meet it only.
+
+def classes_of(patterns: DataFrame, k: int) -> list[tuple[int, int, int, int]]:
+    """(class, k, stride, greatest length) of the patterns by length: each class goes up to twice its least length.
+
+    A class is searched by strings of at most ``k`` bases; where its patterns are longer than that, only every
+    stride-th place of a reference has to be looked up. At most one row for each power of two comes to the driver.
+    """
+    own = F.floor(F.log2(F.length("pattern"))).cast("int")
+    rows = patterns.filter(F.length("pattern") > 0).groupBy(own.alias("class")).agg(F.min(F.length("pattern")).alias("low"), F.max(F.length("pattern")).alias("high")).collect()
+    return [(r["class"], min(k, r["low"]), r["low"] - min(k, r["low"]) + 1, r["high"]) for r in sorted(rows)]
+
+
+def exact_find(refs: DataFrame, patterns: DataFrame, k: int = 24, by_ref: bool = False) -> DataFrame:
+    """ref_id, pattern_id, pos: all starts, overlapping ones too, of patterns (pattern_id, pattern) in references
+    (ref_id, seq). With ``by_ref``, patterns carry ref_id and meet it only.
+
+    Substring search can't be a join key. Starts are therefore dealt into segments of a stride, and one string of
+    ``k`` bases at each segment's last start stands for it; a pattern that begins anywhere in the segment holds that
+    string at one of its first places. These strings' hashes are joined, and the pattern is compared with the
+    segment's surroundings, which go with it. Null and empty patterns have no occurrences, and null and empty
+    references hold none; null ids are ids like others. Each row of either side counts for itself, so repeated rows
+    repeat their hits. No rows: no rows.
     """
-    # A substring is found by counting from the front, so a sequence is cut into blocks first. The exploded rows carry
-    # k bases each, not their sequence; that is joined again to the few rows that match.
-    none = F.array().cast("array<string>")
-    blocks = F.when(F.length("seq") >= k, F.transform(F.sequence(F.lit(0), F.length("seq") - k, F.lit(BLOCK)), lambda b: F.substring("seq", b + 1, F.lit(BLOCK + k - 1)))).otherwise(none)
-    index = refs.select("ref_id", F.posexplode(blocks).alias("block", "part"))
-    kmers = F.transform(F.sequence(F.lit(0), F.length("part") - k), lambda i: F.substring("part", i + 1, F.lit(k)))
-    index = index.select("ref_id", "block", F.posexplode(kmers).alias("off", "kmer")).select("ref_id", (F.col("block") * BLOCK + F.col("off")).alias("pos"), "kmer")
-    want = patterns.filter(F.length("pattern") >= k).withColumn("kmer", F.substring("pattern", 1, k))
-    got = index.join(want, ["ref_id", "kmer"] if by_ref else ["kmer"]).select("ref_id", "pattern_id", "pos", "pattern")
-    got = got.join(refs.select("ref_id", "seq"), "ref_id")
-    return got.filter(F.expr("substring(seq, pos + 1, length(pattern)) = pattern")).select("ref_id", "pattern_id", "pos")
+    kinds = classes_of(patterns, k)
+    if not kinds:
+        return refs.join(patterns.select("pattern_id").limit(0), F.lit(True)).select("ref_id", "pattern_id", F.lit(0).alias("pos")).limit(0)
+    over = max(stride + high for _, _, stride, high in kinds)
+    rows = refs.select("ref_id", F.length("seq").alias("size"), F.posexplode(blocks(F.col("seq"), over)).alias("block", "part")).withColumn("from", F.col("block") * BLOCK)
 
+    def segments(kind: int, width: int, stride: int, high: int) -> Column:
+        first = F.ceil(F.col("from") / stride).cast("int") * stride
+        last = F.least(F.col("from") + BLOCK - 1, F.col("size") - (stride + width - 1))
+        at = lambda w: w - F.col("from") + 1
+        one = lambda w: F.struct(F.lit(kind).alias("class"), F.xxhash64(F.substring("part", at(w) + stride - 1, F.lit(width))).alias("key"), w.alias("start"), F.substring("part", at(w), F.lit(stride - 1 + high)).alias("near"))
+        return F.when(first <= last, F.transform(F.sequence(first, last, F.lit(stride)), one)).otherwise(F.array())
 
-def seed_hits(tiles: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """``tiles`` (read_idx, tile_idx, tile) with hits: the sorted starts of each in each reference; none: no row."""
-    found = exact_find(refs, tiles.select(F.struct("read_idx", "tile_idx").alias("pattern_id"), F.col("tile").alias("pattern")), k)
-    return found.groupBy("ref_id", "pattern_id.read_idx", "pattern_id.tile_idx").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    index = rows.select("ref_id", F.explode(F.concat(*[segments(*x) for x in kinds])).alias("x")).select("ref_id", "x.*")
+    want = patterns.filter(F.length("pattern") > 0).withColumn("class", F.floor(F.log2(F.length("pattern"))).cast("int"))
+
+    def strings_of(width: int, stride: int) -> Column:
+        one = lambda o: F.struct(F.xxhash64(F.substring("pattern", o + 1, F.lit(width))).alias("key"), (F.lit(stride - 1) - o).alias("shift"))
+        return F.transform(F.sequence(F.lit(0), F.lit(stride - 1)), one)
+
+    strings = F.lit(None)
+    for kind, width, stride, _ in kinds:
+        strings = F.when(F.col("class") == kind, strings_of(width, stride)).otherwise(strings)
+    want = want.withColumn("s", F.explode(strings)).select(*(["ref_id"] if by_ref else []), "pattern_id", "pattern", "class", F.col("s.key"), F.col("s.shift"))
+    if by_ref:
+        want = want.withColumnRenamed("ref_id", "_ref")
+        got = index.join(want.withColumnsRenamed({"class": "_class", "key": "_key"}), F.col("ref_id").eqNullSafe(F.col("_ref")) & (F.col("key") == F.col("_key")) & (F.col("class") == F.col("_class")))
+    else:
+        got = index.join(want, ["class", "key"])
+    return got.filter(F.expr("substring(near, shift + 1, length(pattern)) = pattern")).select("ref_id", "pattern_id", (F.col("start") + F.col("shift")).cast("int").alias("pos"))
+
+
+def seed_hits(tiles: DataFrame, refs: DataFrame, k: int = 24, by_ref: bool = False) -> DataFrame:
+    """ref_id, pattern_id, hits: the sorted starts of each tile (pattern_id, pattern) in each reference; none: no row.
+
+    Rows of ``tiles`` with one pattern_id are taken together.
+    """
+    return exact_find(refs, tiles, k, by_ref).groupBy("ref_id", "pattern_id").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
 
 
 def suffix_order(refs: DataFrame) -> DataFrame:
     """ref_id, rank, start: all suffixes of each sequence in order, the empty one first. For inspection of short
-    sequences: searching goes by ``exact_find``."""
+    sequences: searching goes by ``exact_find``. Null sequences have none; rows of one ref_id are ranked together."""
     rows = refs.select("ref_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq"))).alias("start"))
-    order = Window.partitionBy("ref_id").orderBy(F.expr("substring(seq, start + 1)"))
+    order = Window.partitionBy("ref_id").orderBy(F.expr("substring(seq, start + 1)"), "start")
     return rows.select("ref_id", (F.row_number().over(order) - 1).alias("rank"), "start")

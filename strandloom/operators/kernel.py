@@ -1,4 +1,4 @@
-"""The alignment of one read with one window of a reference: the small per-row part of mapping.
+"""The alignment of reads with windows of a reference: the small part of mapping that is done in tasks, batch by batch.
 
 Scores: +2 for equal, -2 for different bases, -(k + 1) for a gap of k up to ``max_gap``. The read is used up to its
 end; the reference may be entered and left anywhere. A cell in which nothing reaches 0 holds -1 and ends the trace
@@ -8,11 +8,12 @@ best score the one with the fewest errors counts, then with the fewest indels, t
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from strandloom.config import DEFAULT, AlignConfig
+
 
 @dataclass
 class Mapping:
@@ -55,90 +56,277 @@ class Window:
         return self.text[i - self.start] if 0 <= i - self.start < len(self.text) else "\0"
 
 
-def align(ref: Window, read: str, left: int, right: int, max_gap: int, tolerance: int = 4) -> Mapping | None:
-    """The best mapping of ``read`` on places ``left`` to ``right`` (both included); None for an empty window.
+#: Back pointers of one batch of windows hold about so many bytes.
+BATCH = 32 << 20
+
+
+@dataclass(frozen=True)
+class Task:
+    """One alignment: ``read`` on places ``left`` to ``right`` of a reference, both included."""
+
+    ref: Window
+    read: str
+    left: int
+    right: int
+
+    @property
+    def rows(self) -> int:
+        return self.right - self.left + 1
+
+    def bases(self) -> np.ndarray:
+        """The window's letters; places past either end of the text hold 0, which equals no base."""
+        text = self.ref.text
+        a, b = self.left - self.ref.start, self.right + 1 - self.ref.start
+        inner = text[max(a, 0) : max(b, 0)].encode("latin-1", "replace")
+        return np.frombuffer(b"\0" * min(max(-a, 0), b - a) + inner + b"\0" * max(0, b - max(a, len(text))), np.uint8)[: b - a]
+
+
+class Recent:
+    """The greatest of the last ``most`` keys, kept up with a few steps a key: spans of doubling length."""
+
+    def __init__(self, most: int):
+        self.levels = most.bit_length() - 1
+        self.rest = most - (1 << self.levels)
+        self.held: list[list[np.ndarray]] = [[] for _ in range(self.levels + 1)]
+
+    def add(self, key: np.ndarray) -> None:
+        for k, held in enumerate(self.held):
+            held.append(key)
+            back = 1 << k if k < self.levels else self.rest
+            if k < self.levels and len(held) > back:
+                key = np.maximum(key, held[-1 - back])
+            del held[: -1 - back]
 
-    ValueError for a window that ends before that.
+    def best(self) -> np.ndarray:
+        top = self.held[-1]
+        return np.maximum(top[-1], top[-1 - self.rest]) if len(top) > self.rest else top[-1]
+
+
+def behind(key: np.ndarray, most: int) -> np.ndarray:
+    """For each column the greatest key among the ``most`` columns before it (none: a very small number)."""
+    out = np.full_like(key, -(1 << 40))
+    most = min(most, key.shape[1])
+    out[:, 1:] = key[:, :-1]
+    span = 1
+    while 2 * span <= most:  # twice as many columns in each pass
+        out[:, span:] = np.maximum(out[:, span:], out[:, :-span])
+        span *= 2
+    if span < most:
+        out[:, most - span :] = np.maximum(out[:, most - span :], out[:, : out.shape[1] - (most - span)])
+    return out
+
+
+def scored(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Last column's scores (window, row), and with ``trace`` back pointers (row, window, column) of a batch of windows.
+
+    ``refs`` (window, row) and ``reads`` (window, column) are letters. All windows go on by one row at a time. A back
+    pointer is 0 for the origin, 1 for the diagonal, k + 1 for a deletion and -k for an insertion of k. A key holds a
+    score and, below it, the place it comes from, so that of equal scores the nearest place is the greatest.
     """
-    n, m = right - left + 1, len(read)
-    if n < -1:
-        raise ValueError("a window of negative size")
-    if n < 0:
-        return None
-    letters = np.frombuffer(read.encode("latin-1", "replace"), np.uint8)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    back = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
+    count, n = refs.shape
+    m = reads.shape[1]
+    back = np.zeros((n + 1, count, m + 1), np.int8) if trace else None
+    last = np.zeros((count, n + 1), np.int32)
+    columns, wide = np.arange(m + 1, dtype=np.int64), np.int64(1 << 20)
+    line = np.zeros((count, m + 1), np.int64)
+    above = Recent(max_gap)  # keys of the rows before: (score + row) and the row
+    above.add(line * wide)
     for i in range(1, n + 1):
-        diagonal = (score[i - 1, :-1] + np.where(letters == ord(ref.base(left + i - 1)), 2, -2)).tolist()
-        deep = min(i, max_gap)
-        above = score[i - deep : i][::-1] - np.arange(2, deep + 2)[:, None]
-        gone, skip = above.max(axis=0).tolist(), (above.argmax(axis=0) + 1).tolist()
-        line = [0] * (m + 1)
-        ahead: deque[int] = deque()  # columns a gap may come from, the best first; of equals only the nearest stays
-        for j in range(1, m + 1):
-            worth = line[j - 1] + j - 1
-            while ahead and line[ahead[-1]] + ahead[-1] <= worth:
-                ahead.pop()
-            ahead.append(j - 1)
-            if ahead[0] < j - max_gap:
-                ahead.popleft()
-            match, deletion = diagonal[j - 1], gone[j]
-            insertion, jump = line[ahead[0]] + ahead[0] - j - 1, j - ahead[0]
-            insertion = max(insertion, -1)
-            best = max(match, deletion, insertion)
-            if best < 0:
-                line[j] = -1  # points at the origin
-            elif best == match:
-                line[j], back[i][j] = match, (i - 1, j - 1)
-            elif best == deletion:
-                line[j], back[i][j] = deletion, (i - skip[j], j)
+        match = np.full((count, m + 1), -1, np.int64)
+        match[:, 1:] = line[:, :-1] + np.where(reads == refs[:, i - 1 : i], 2, -2)
+        best = above.best()
+        gone, skip = (best >> 20) - i - 1, i - (best & (wide - 1))
+        score = np.maximum(match, gone)
+        score[:, 0] = 0
+        line = np.where(score < 0, -1, score)
+        while True:  # insertions may follow insertions, as max_gap bounds each
+            ahead = behind((line + columns) * wide + columns, max_gap)
+            more = (ahead >> 20) - columns - 1
+            raised = np.maximum(line, np.where(more < 0, -1, more))
+            if not (raised > line).any():
+                break
+            line = raised
+        if trace:
+            code = np.where(line == match, 1, np.where(line == gone, skip + 1, (ahead & (wide - 1)) - columns))
+            code[line < 0] = 0
+            code[:, 0] = 0
+            back[i] = code
+        last[:, i] = line[:, m]
+        above.add((line + i) * wide + i)
+    return last, back
+
+
+def traced(refs: np.ndarray, reads: np.ndarray, back: np.ndarray, window: np.ndarray, end: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Errors and number of indels of the traces from row ``end`` of each ``window``'s last column, all at once.
+
+    Steps that meet an indel at the same place add to it, if it is of the same type, or are not counted. ``cut`` rows
+    of the task's own window stand before the first row of each window.
+    """
+    i, j = end.copy(), np.full(len(end), reads.shape[1])
+    errors, indels, front = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+    place, kind = np.full(len(end), -1), np.zeros(len(end), np.int8)  # of the last indel: row, 1 deletion, 2 insertion
+    go = np.flatnonzero((i > 0) & (j > 0))
+    while len(go):
+        w, y, x = window[go], i[go], j[go]
+        step = back[y, w, x].astype(np.int64)
+        front[go] = x
+        row = np.where(step > 1, y - step + 1, np.where(step == 1, y - 1, np.where(step < 0, y, 0)))
+        column = np.where(step > 1, x, np.where(step == 1, x - 1, np.where(step < 0, x + step, 0)))
+        # A pointer to the origin uses up its own base like a diagonal one; but as a step it may stay in its row or column.
+        gap = np.where(column == x, 1, np.where(row == y, 2, 0))
+        size = np.where(gap == 1, y - row, x - column)
+        at = np.where(gap == 1, row, y)
+        same = (gap > 0) & (place[go] == at)
+        new = (gap > 0) & ~same
+        errors[go] += np.where(new | (same & (kind[go] == gap)), size, 0) + ((gap == 0) & (refs[w, y - 1] != reads[w, x - 1]))
+        indels[go] += new
+        place[go], kind[go] = np.where(new, at, place[go]), np.where(new, gap, kind[go])
+        i[go], j[go] = row, column
+        go = go[(row > 0) & (column > 0)]
+    rest = front > 1  # what the trace left of the read's front stands at the window's first place
+    met = rest & (place + cut[window] == 0)
+    errors += np.where(rest & (~met | (kind == 2)), front - 1, 0)
+    indels += rest & ~met
+    return errors, indels
+
+
+def mapping_from(task: Task, back: np.ndarray, end: int, first: int) -> Mapping:
+    """The mapping of one trace; ``back`` is one window's (row, column), ``first`` the place where a rest of the read's front is put."""
+    out, (i, j), seen, read = Mapping(0), (end, len(task.read)), (0, 0), task.read
+    while i > 0 and j > 0:
+        seen, step = (i, j), int(back[i, j])
+        row, column = (i - step + 1, j) if step > 1 else (i - 1, j - 1) if step == 1 else (i, j + step) if step < 0 else (0, 0)
+        if column == j:
+            out.add("D", task.left + row, i - row)
+        elif row == i:
+            out.add("I", task.left + i, j - column)
+        elif task.ref.base(task.left + i - 1) != read[j - 1]:
+            out.mismatches.setdefault(task.left + i - 1, read[j - 1])
+        i, j = row, column
+    if seen[1] > 1:
+        out.add("I", first, seen[1] - 1)
+    out.position = task.left + seen[0] - 1
+    return out
+
+
+def best_ends(last: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window, row, and whether the score is below the best, of all ends whose score is near the window's best."""
+    top = last.max(axis=1)
+    window, end = np.nonzero(last >= top[:, None] - tolerance)
+    return window, end, last[window, end] < top[window]
+
+
+def align_batch(tasks: list[Task], max_gap: int, tolerance: int) -> list[Mapping]:
+    """The best mappings of tasks whose windows have one size and whose reads have one length.
+
+    Long windows go through the score table once without back pointers; then each end has a short window of its own,
+    which holds all that its trace can reach: a trace over more than 3 rows a base would fall below 0, and so would
+    what its cells come from.
+    """
+    n, m = tasks[0].rows, len(tasks[0].read)
+    letters = lambda ts: (np.stack([t.bases() for t in ts]), np.stack([np.frombuffer(t.read.encode("latin-1", "replace"), np.uint8) for t in ts]))
+    refs, reads = letters(tasks)
+    span = 6 * m + 2 * max_gap + 2
+    if n <= 2 * span:
+        last, back = scored(refs, reads, max_gap)
+        owner, end, lower = best_ends(last, tolerance)
+        groups = [(tasks, refs, reads, back, owner, end, np.zeros(len(tasks), np.int64), np.arange(len(owner)))]
+    else:
+        last, _ = scored(refs, reads, max_gap, trace=False)
+        owner, end, lower = best_ends(last, tolerance)
+        groups = []
+        size = np.minimum(end, span)
+        many = max(1, BATCH // ((span + 1) * (m + 1)))
+        for rows in np.unique(size):
+            mine = np.flatnonzero(size == rows)
+            for at in range(0, len(mine), many):
+                some = mine[at : at + many]
+                short = [Task(tasks[k].ref, tasks[k].read, tasks[k].left + e - int(rows), tasks[k].left + e - 1) for k, e in zip(owner[some].tolist(), end[some].tolist())]
+                r, q = letters(short)
+                groups.append((short, r, q, scored(r, q, max_gap)[1], np.arange(len(some)), np.full(len(some), rows), end[some] - rows, some))
+    errors, indels = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+    for _, r, q, back, window, stop, cut, some in groups:
+        errors[some], indels[some] = traced(r, q, back, window, stop, cut)
+    # Of equal ones: the best-scoring ends first, then in order of rows.
+    order = np.lexsort((end, lower, indels, errors, owner))
+    won = order[np.searchsorted(owner[order], np.arange(len(tasks)))]
+    out: list[Mapping | None] = [None] * len(tasks)
+    for some_tasks, _, _, back, window, stop, _, some in groups:
+        for f in np.flatnonzero(np.isin(some, won)):
+            k, w = int(owner[some[f]]), int(window[f])
+            out[k] = mapping_from(some_tasks[w], back[:, w], int(stop[f]), tasks[k].left)
+    return out
+
+
+def align_many(tasks: list[Task], max_gap: int, tolerance: int = 4) -> list[Mapping | None]:
+    """The best mapping of each task's read on its window; None for an empty window (of size -1).
+
+    Windows of one size go through the score table together. ValueError for a window that ends before that.
+    """
+    out: list[Mapping | None] = [None] * len(tasks)
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for k, t in enumerate(tasks):
+        if t.rows < -1:
+            raise ValueError("a window of negative size")
+        if t.rows >= 0:
+            sizes.setdefault((t.rows, len(t.read)), []).append(k)
+    for (n, m), where in sizes.items():
+        many = max(1, BATCH // ((min(n, 16 * m) + 1) * (m + 1)))
+        for at in range(0, len(where), many):
+            some = where[at : at + many]
+            for k, mapping in zip(some, align_batch([tasks[k] for k in some], max_gap, tolerance)):
+                out[k] = mapping
+    return out
+
+
+def align(ref: Window, read: str, left: int, right: int, max_gap: int, tolerance: int = 4) -> Mapping | None:
+    """The best mapping of ``read`` on places ``left`` to ``right`` (both included); None for an empty window."""
+    return align_many([Task(ref, read, left, right)], max_gap, tolerance)[0]
+
+
+@dataclass
+class Chain:
+    """A chain to place: tiles in order and the place of each (-1: not found)."""
+
+    ref: Window
+    read: str
+    places: list[int]
+    tiles: list[str]
+
+    def segments(self, mean: int) -> list[tuple[int, Mapping | Task]]:
+        """(number of its tile, mapping of a found tile or task for another one); of a chain of one tile it comes twice."""
+        k, out = len(self.places), []
+        for turn, i in enumerate([0, *range(1, k - 1), k - 1]):
+            if self.places[i] >= 0:
+                out.append((i, Mapping(self.places[i])))
+                continue
+            if turn == 0:
+                window = (max(0, self.places[1] - mean - len(self.tiles[0])), self.places[1])
+            elif i == k - 1:
+                start = self.places[i - 1] + len(self.tiles[i - 1])
+                window = (start, min(self.ref.length, start + mean))
             else:
-                line[j], back[i][j] = insertion, (i, j - jump)
-        score[i] = line
-    last = score[:, m].tolist()
-    top = max(last)
-    ends = [i for i in range(n + 1) if last[i] == top] + [i for i in range(n + 1) if top > last[i] >= top - tolerance]
-    found = []
-    for end in ends:
-        out, at, seen = Mapping(0), (end, m), (0, 0)
-        while at[0] > 0 and at[1] > 0:
-            seen, (i, j) = at, at
-            pi, pj = back[i][j]
-            if pj == j:
-                out.add("D", left + pi, i - pi)
-            elif pi == i:
-                out.add("I", left + i, j - pj)
-            elif ref.base(left + i - 1) != read[j - 1]:
-                out.mismatches.setdefault(left + i - 1, read[j - 1])
-            at = (pi, pj)
-        if seen[1] > 1:  # what the trace left of the read's front
-            out.add("I", left, seen[1] - 1)
-        out.position = left + seen[0] - 1
-        found.append(out)
-    return min(found, key=lambda x: (x.errors(), len(x.indels)))
-
-
-def quick(ref: Window, read: str, chain: list[int], tiles: list[str], mean: int, gap: int, limit: int) -> tuple[Mapping | None, bool]:
-    """The mapping put together from a chain's tiles, and whether it is uncertain; None if that fails."""
-    k, parts = len(chain), []
-    for place, i in enumerate([0, *range(1, k - 1), k - 1]):
-        if chain[i] >= 0:
-            parts.append(Mapping(chain[i]))
-            continue
-        if place == 0:
-            window = (max(0, chain[1] - mean - len(tiles[0])), chain[1])
-        elif i == k - 1:
-            start = chain[i - 1] + len(tiles[i - 1])
-            window = (start, min(ref.length, start + mean))
-        else:
-            window = (chain[i - 1] + len(tiles[i - 1]), chain[i + 1])
-        part = align(ref, tiles[i], *window, gap)
-        if part is not None:
-            parts.append(part)
-        elif place == 0 or i == k - 1:
-            return None, True
-    merged, end, unsure = Mapping(parts[0].position), parts[0].position, False
-    for i, part in enumerate(parts):
+                window = (self.places[i - 1] + len(self.tiles[i - 1]), self.places[i + 1])
+            out.append((i, Task(self.ref, self.tiles[i], *window)))
+        return out
+
+    def whole(self, mean: int) -> Task:
+        """The whole read near the chain."""
+        found = [i for i, p in enumerate(self.places) if p >= 0]
+        return Task(self.ref, self.read, max(0, self.places[found[0]] - mean), min(self.ref.length - 1, self.places[found[-1]] + len(self.tiles[found[-1]]) + mean))
+
+
+def joined(tiles: list[str], parts: list[tuple[int, Mapping | None]], limit: int) -> tuple[Mapping | None, bool]:
+    """The mapping put together from the segments of a chain, and whether it is uncertain; None if that fails.
+
+    An empty middle segment is left out; the ones behind it then go with the tile before theirs.
+    """
+    k = len(tiles)
+    if any(part is None for turn, (i, part) in enumerate(parts) if turn == 0 or i == k - 1):
+        return None, True
+    kept = [part for _, part in parts if part is not None]
+    merged, end, unsure = Mapping(kept[0].position), kept[0].position, False
+    for i, part in enumerate(kept):
         if end != part.position:
             off = part.position - end
             part.add("D" if off > 0 else "I", end + 2, abs(off))
@@ -157,19 +345,32 @@ def quick(ref: Window, read: str, chain: list[int], tiles: list[str], mean: int,
     return merged, unsure
 
 
-def place(ref: Window, read: str, chain: list[int], tiles: list[str], mean: int, gap: int, near_gap: int, limit: int, reject: int) -> Mapping | None:
-    """The mapping of a read along one chain: the quick one where it is certain, else the better of it and an
-    alignment of the whole read near the chain. That alignment's errors can reject the chain."""
-    first, unsure = quick(ref, read, chain, tiles, mean, gap, limit)
-    if first is not None and not unsure:
-        return first
-    found = [i for i, p in enumerate(chain) if p >= 0]
-    whole = align(ref, read, max(0, chain[found[0]] - mean), min(ref.length - 1, chain[found[-1]] + len(tiles[found[-1]]) + mean), near_gap)
-    if whole is None:
-        return first
-    if whole.errors() >= reject:
-        return None
-    return first if first is not None and first.errors() < whole.errors() else whole
+def place_many(chains: list[Chain], mean: int, config: AlignConfig = DEFAULT) -> list[tuple[Mapping | None, bool]]:
+    """The mapping of a read along each chain, and whether computing it failed.
+
+    The quick one, put together from the chain's segments, where it is certain, else the better of it and an
+    alignment of the whole read near the chain. That alignment's errors can reject the chain. All segments of all
+    chains are aligned together, then all whole reads. A window of negative size is a failure of its chain.
+    """
+    parts = [c.segments(mean) for c in chains]
+    failed = [any(isinstance(x, Task) and x.rows < -1 for _, x in p) for p in parts]
+    where = [(c, s) for c, p in enumerate(parts) if not failed[c] for s, (_, x) in enumerate(p) if isinstance(x, Task)]
+    for (c, s), got in zip(where, align_many([parts[c][s][1] for c, s in where], config.max_gap, config.tolerance)):
+        parts[c][s] = (parts[c][s][0], got)
+    quick = [(None, True) if failed[c] else joined(chains[c].tiles, parts[c], config.repair_limit) for c in range(len(chains))]
+    again = [c for c, (m, unsure) in enumerate(quick) if not failed[c] and (m is None or unsure)]
+    tasks = {c: chains[c].whole(mean) for c in again}
+    for c in again:
+        failed[c] = tasks[c].rows < -1
+    again = [c for c in again if not failed[c]]
+    out = [(None if failed[c] else quick[c][0], failed[c]) for c in range(len(chains))]
+    for c, whole in zip(again, align_many([tasks[c] for c in again], config.accurate_max_gap, config.tolerance)):
+        first = quick[c][0]
+        if whole is not None and whole.errors() >= config.reject_errors:
+            out[c] = (None, False)
+        elif whole is not None and (first is None or first.errors() >= whole.errors()):
+            out[c] = (whole, False)
+    return out
 
 
 def drawn(ref: Window, read: str, mapping: Mapping, around: int = 10) -> tuple[str, str]:

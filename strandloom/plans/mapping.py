@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as Ordered
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, AlignConfig
-from strandloom.functions.sequence import MAPPING, chains, ladder, length_adjust, merge_unmatched, num_errors, tiles
-from strandloom.operators.find import exact_find
-from strandloom.operators.kernel import Window, align, place
+from strandloom.functions.sequence import MAPPING, chains, has_hit, ladder, length_adjust, merge_unmatched, num_errors, tiles
+from strandloom.operators.find import seed_hits
+from strandloom.operators.kernel import Chain, Task, Window, align_many, place_many
 from strandloom.operators.pairs import select_pairs
 from strandloom.operators.pileup import active, depth, majority, mutation_lines, read_mutations
 from strandloom.sources.shared import written
@@ -33,69 +33,84 @@ def attempts(reads: DataFrame, paddings: range, config: AlignConfig = DEFAULT) -
     return rows.select(*READ, (F.col("padding") * 10 + F.col("step")).alias("attempt"), "parts")
 
 
-def read_chains(tried: DataFrame, refs: DataFrame, k: int, config: AlignConfig = DEFAULT) -> DataFrame:
+def read_chains(tried: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT) -> DataFrame:
     """``tried`` with chain_idx and chain, for every chain that has a found tile."""
     each = tried.select("ref_id", "read_idx", "attempt", F.posexplode("parts").alias("tile", "pattern"))
     patterns = each.select("ref_id", F.struct("read_idx", "attempt", "tile").alias("pattern_id"), "pattern")
-    hits = exact_find(refs, patterns, k, by_ref=True).groupBy("ref_id", "pattern_id").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    hits = seed_hits(patterns, refs, by_ref=True)
     by_read = hits.groupBy("ref_id", "pattern_id.read_idx", "pattern_id.attempt").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pattern_id.tile"), "hits"))).alias("of"))
     rows = tried.join(by_read, ["ref_id", "read_idx", "attempt"])  # a read without any hit has no chain to use
     found = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.coalesce(F.try_element_at("of", i), F.array().cast("array<int>")))
     rows = rows.withColumn("chains", chains(found, config.max_gap)).drop("of")
-    return rows.select(*[c for c in rows.columns if c != "chains"], F.posexplode("chains").alias("chain_idx", "chain")).filter(F.exists("chain", lambda p: p >= 0))
+    rows = rows.select(*[c for c in rows.columns if c != "chains"], F.posexplode("chains").alias("chain_idx", "chain"))
+    return rows.filter(has_hit(F.col("chain")))
 
 
 def place_chains(found: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
-    """``found`` with the mapping along each chain that has one. Only the reference's part near the chain goes to
-    Python. A read for which some chain can't be computed gets failed = true and no mapping."""
+    """Keys of ``found`` with mapping, one row for each chain that gives one in its read's first attempt that gives any.
+
+    Attempts of a read are tried in order and no further than needed, those of all reads of an Arrow batch together.
+    Only the reference's part near the chain goes to Python. Where a chain can't be computed, its read goes no further
+    and has one row with failed = true.
+    """
     rows = found.withColumn("merged", merge_unmatched(F.col("chain"), F.col("parts"))).join(refs.select("ref_id", F.col("seq").alias("ref"), F.length("seq").alias("ref_length")), "ref_id")
     good = F.filter("chain", lambda p: p >= 0)
-    reach = F.length("seq") + 2 * mean
-    rows = rows.withColumn("from", F.greatest(F.lit(0), F.element_at(good, 1) - reach)).withColumn("ref", F.expr("substring(ref, from + 1, element_at(filter(chain, p -> p >= 0), -1) - from + length(seq) * 2 + %d)" % (2 * mean + 2)))
-    keep_ = ["ref_id", "read_idx", "pair_id", "mate", "attempt", "chain_idx"]
+    back = F.length("seq") + 2 * mean
+    rows = rows.withColumn("from", F.greatest(F.lit(0), F.element_at(good, 1) - back)).withColumn("ref", F.expr("substring(ref, from + 1, element_at(filter(chain, p -> p >= 0), -1) - from + length(seq) * 2 + %d)" % (2 * mean + 2)))
+    keys = ["ref_id", "read_idx", "pair_id", "mate", "attempt", "chain_idx"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read, won = None, None  # rows come by read and attempt: nothing is aligned behind the first attempt that maps
+        state: dict = {}  # read: (attempt that mapped or None, failed); only the last read can go on in the next batch
         for f in frames:
-            out, failed = [], []
-            for r in f.itertuples(index=False):
-                if r.read_idx != read:
-                    read, won = r.read_idx, None
-                if won is not None and r.attempt > won:
-                    out.append(None)
-                    failed.append(False)
-                    continue
-                chain, parts = [x["position"] for x in r.merged], [x["tile"] for x in r.merged]
-                try:
-                    m = place(Window(r.ref, r.start, r.ref_length), r.seq, chain, parts, mean, config.max_gap, config.accurate_max_gap, config.repair_limit, config.reject_errors)
-                    out.append(m.row() if m is not None else None)
-                    failed.append(False)
-                    won = r.attempt if m is not None else won
-                except ValueError:
-                    out.append(None)
-                    failed.append(True)
-            yield f[keep_].assign(mapping=out, failed=failed)
-
-    rows = rows.select(*keep_, "seq", "merged", "ref", F.col("from").alias("start"), "ref_length")
-    schema = ", ".join(f"{c} {t}" for c, t in rows.select(*keep_).dtypes)
+            todo: dict = {}
+            for at, (read, attempt) in enumerate(zip(f["read_idx"], f["attempt"])):
+                todo.setdefault(read, {}).setdefault(attempt, []).append(at)
+            state = {r: s for r, s in state.items() if r in todo}
+            mappings: list = [None] * len(f)
+            failed = [False] * len(f)
+            queues = {r: list(tries.items()) for r, tries in todo.items()}
+            while queues:
+                wave = []
+                for read in list(queues):
+                    won, broken = state.get(read, (None, False))
+                    attempt, where = queues[read].pop(0)
+                    if broken or (won is not None and attempt != won):
+                        del queues[read]
+                        continue
+                    wave += [(read, attempt, at) for at in where]
+                    if not queues[read]:
+                        del queues[read]
+                cols = {c: f[c].to_numpy() for c in ("merged", "ref", "start", "ref_length", "seq")}
+                tasks = [Chain(Window(cols["ref"][at], int(cols["start"][at]), int(cols["ref_length"][at])), cols["seq"][at], [x["position"] for x in cols["merged"][at]], [x["tile"] for x in cols["merged"][at]]) for _, _, at in wave]
+                for (read, attempt, at), (m, broken) in zip(wave, place_many(tasks, mean, config)):
+                    won, was = state.get(read, (None, False))
+                    state[read] = (attempt if m is not None else won, was or broken)
+                    mappings[at], failed[at] = m.row() if m is not None else None, broken
+            out = f[keys].assign(mapping=mappings, failed=failed)
+            yield out[out["failed"] | out["mapping"].notna()]
+
+    rows = rows.select(*keys, "seq", "merged", "ref", F.col("from").alias("start"), "ref_length")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
     rows = rows.repartition(n, "read_idx").sortWithinPartitions("read_idx", "attempt", "chain_idx")
     return rows.mapInPandas(run, f"{schema}, mapping {MAPPING}, failed boolean")
 
 
 def map_round(reads: DataFrame, refs: DataFrame, paddings: range, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
-    """All mappings of each read at its first attempt that gives any: READ keys, attempt, map_idx, mapping, failed."""
+    """All mappings of each read at its first attempt that gives any (READ keys, map_idx, mapping), and rows with
+    failed = true of reads for which computing one went wrong."""
     tried = written(attempts(reads, paddings, config), "map-attempts")
-    k = tried.agg(F.min(F.array_min(F.transform("parts", F.length))).alias("k")).first()["k"] or 1
-    placed = written(place_chains(written(read_chains(tried, refs, k, config), "map-chains"), refs, mean, config), "map-placed")
-    first = placed.groupBy("ref_id", "read_idx").agg(F.min(F.when(F.col("mapping").isNotNull(), F.col("attempt"))).alias("won"), F.max("failed").alias("broken"))
-    return placed.join(first, ["ref_id", "read_idx"]).filter((F.col("attempt") == F.col("won")) & F.col("mapping").isNotNull()).select("ref_id", "read_idx", "pair_id", "mate", "mapping", F.col("chain_idx").alias("map_idx"), "broken")
+    placed = written(place_chains(written(read_chains(tried, refs, config), "map-chains"), refs, mean, config), "map-placed")
+    return placed.select("ref_id", "read_idx", "pair_id", "mate", "mapping", F.col("chain_idx").alias("map_idx"), "failed")
 
 
 def map_reads(reads: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT) -> DataFrame:
     """``reads`` with the chosen mapping (null: unmapped), from exact tiles, chains and local alignment.
 
-    Two rounds: padding 0 for all reads, all other paddings for those it leaves unmapped.
+    ``reads``: ref_id, read_idx (unique), pair_id, mate (0 or 1), seq; ``refs``: ref_id (unique), seq. Reads that are
+    null or too short, or whose ref_id is null or isn't in ``refs``, stay unmapped. Two rounds: padding 0 for all
+    reads, all other paddings for those it leaves unmapped. If a read's mapping can't be computed, both mates of its
+    pair stay unmapped, whatever the other one gave.
     """
     mean = mean_read_length(reads).first()["mean_read_length"]
     if mean is None:
@@ -104,7 +119,7 @@ def map_reads(reads: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT)
     first = map_round(reads, refs, range(1), mean, config)
     rest = reads.join(first.select("read_idx").distinct(), "read_idx", "left_anti")
     maps = first.unionByName(map_round(rest, refs, range(1, config.max_padding + 1), mean, config))
-    good = maps.join(maps.filter("broken").select("pair_id").distinct(), "pair_id", "left_anti")
+    good = maps.join(maps.filter("failed").select("pair_id").distinct(), "pair_id", "left_anti").filter("mapping is not null")
     chosen = select_pairs(good.select("pair_id", "mate", "read_idx", "map_idx", "mapping"), length_adjust())
     return written(reads.join(chosen.select("read_idx", "mapping"), "read_idx", "left"), "map-reads")
 
@@ -120,22 +135,38 @@ def mutations(mapped: DataFrame, refs: DataFrame) -> DataFrame:
     return majority(votes, ["ref_id", "position"], ["type", "new_base"], ["start", "read_idx", "turn"], inside.join(where, ["ref_id", "position"], "left_semi"))
 
 
-def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
-    """``reads`` with the best mapping on the whole reference: a long one is cut into overlapping chunks, and the
-    chunk with the fewest errors counts, of equals the first."""
+def chunks(size: Column, mean: int, config: AlignConfig = DEFAULT, skip_covered_tail: bool = False) -> Column:
+    """The parts (left, right) in which a reference of ``size`` bases is aligned as a whole: one, or overlapping ones.
+
+    With ``skip_covered_tail`` a part that begins within the last two mean lengths is left out: the one before covers it.
+    """
     step = config.chunk - 2 * mean
-    size = F.length("ref")
-    rows = reads.join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id").withColumn("ref_length", size)
-    starts = F.when(size <= config.chunk, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), size - 1, F.lit(step)))
-    rows = rows.withColumn("left", F.explode(starts)).withColumn("right", F.when(size <= config.chunk, size).otherwise(F.least(F.col("left") + config.chunk, size)))
-    rows = rows.withColumn("ref", F.expr("substring(ref, left + 1, right - left + 1)"))
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(step))
+    if skip_covered_tail:
+        starts = F.filter(starts, lambda x: (x == 0) | (x < size - 2 * mean))
+    part = lambda x: F.struct(x.cast("int").alias("left"), F.least(x + config.chunk, size).cast("int").alias("right"))
+    return F.when(size <= config.chunk, F.array(part(F.lit(0)))).otherwise(F.transform(starts, part))
+
+
+def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT, together: int = 64, skip_covered_tail: bool = False) -> DataFrame:
+    """``reads`` with the best mapping on the whole reference: a long one is cut into overlapping chunks, and the
+    chunk with the fewest errors counts, of equals the first.
+
+    ``together`` reads go to Python with one copy of a chunk. Null or empty reads, and reads without a reference,
+    stay unmapped; read_idx is unique, and so is ref_id in ``refs``.
+    """
+    parts = refs.select("ref_id", F.col("seq").alias("ref"), F.length("seq").alias("ref_length")).withColumn("c", F.explode(chunks(F.col("ref_length"), mean, config, skip_covered_tail)))
+    parts = parts.select("ref_id", "ref_length", "c.*", F.expr("substring(ref, c.left + 1, c.right - c.left + 1)").alias("ref"))
+    groups = reads.filter(F.length("seq") > 0).groupBy("ref_id", F.expr(f"read_idx div {together}").alias("g")).agg(F.collect_list(F.struct("read_idx", "seq")).alias("rows"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [align(Window(r.ref, r.left, r.ref_length), r.seq, r.left, r.right, config.max_gap, config.tolerance) for r in f.itertuples(index=False)]
-            yield f[["read_idx", "left"]].assign(mapping=[m.row() if m else None for m in found])
+            for r in f.itertuples(index=False):
+                window = Window(r.ref, r.left, r.ref_length)
+                found = align_many([Task(window, x["seq"], r.left, r.right) for x in r.rows], config.max_gap, config.tolerance)
+                yield pd.DataFrame({"read_idx": [x["read_idx"] for x in r.rows], "left": r.left, "mapping": [m.row() if m else None for m in found]})
 
-    got = rows.select("read_idx", "left", "right", "seq", "ref", "ref_length").mapInPandas(run, f"read_idx long, left int, mapping {MAPPING}")
+    got = groups.join(parts, "ref_id").select("left", "right", "rows", "ref", "ref_length").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, f"read_idx long, left int, mapping {MAPPING}")
     best = got.filter("mapping is not null").groupBy("read_idx").agg(F.min_by("mapping", F.struct(num_errors(), "left")).alias("mapping"))
     return reads.join(best, "read_idx", "left")
 

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as s
 from strandloom.operators.find import exact_find, suffix_order
-from strandloom.operators.kernel import Window, align, drawn
 from strandloom.operators.pileup import ranked
 from strandloom.plans.mapping import map_files, map_reads
 from strandloom.sources.text import mean_read_length, read_reads, read_reference
@@ -67,45 +66,6 @@ def test_find_and_suffixes(spark):
     assert [r["start"] for r in suffix_order(refs).filter("ref_id = 'b'").orderBy("rank").collect()] == [6, 5, 3, 1, 0, 4, 2]
 
 
-def test_kernel():
-    ref = Window(REF, 0, len(REF))
-    m = align(ref, "CAATTACATAACATAGACGT", 0, len(REF), 25)
-    assert (m.position, m.mismatches, m.indels) == (8, {23: "G"}, [])
-    assert align(ref, "ACG", 5, 3, 25) is None
-    with pytest.raises(ValueError):
-        align(ref, "ACG", 6, 3, 25)
-    assert drawn(ref, L, align(ref, L, 0, 40, 25))[1].strip() == L
-
-
-def scalar_scores(ref, read, max_gap):
-    """The score table, cell by cell."""
-    n, m = len(ref), len(read)
-    t = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            gone = max([-1] + [t[i - k][j] - k - 1 for k in range(1, min(i, max_gap) + 1)])
-            more = max([-1] + [t[i][j - k] - k - 1 for k in range(1, min(j, max_gap) + 1)])
-            best = max(t[i - 1][j - 1] + (2 if ref[i - 1] == read[j - 1] else -2), gone, more)
-            t[i][j] = best if best >= 0 else -1
-    return t
-
-
-def test_kernel_errors_are_those_of_some_best_end():
-    import random
-
-    rng = random.Random(2)
-    for _ in range(60):
-        ref, read = "".join(rng.choices("ACG", k=rng.randint(0, 30))), "".join(rng.choices("ACG", k=rng.randint(1, 12)))
-        m = align(Window(ref, 0, len(ref)), read, 0, len(ref) - 1, 3) if ref else None
-        if m is not None:
-            last = [row[-1] for row in scalar_scores(ref, read, 3)]
-            # 2 a column matched, -2 a mismatch, -(k + 1) a gap: what the mapping says must not exceed the best score.
-            inserted = sum(n for t, _, n in m.indels if t == "I")
-            matched = len(read) - inserted - len(m.mismatches)
-            score = 2 * matched - 2 * len(m.mismatches) - sum(n + 1 for _, _, n in m.indels)
-            assert score <= max(last) or m.position < 0
-
-
 def test_ranked(spark):
     rows = [(None if i % 7 == 0 else i * 37 % 50, i) for i in range(400)]
     df = spark.createDataFrame(rows, "position int, read_idx long")
