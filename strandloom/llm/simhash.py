@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import keep, slices, table, words
 from strandloom.llm.components import components
-from strandloom.llm.shingles import alike_groups
+from strandloom.llm.shingles import one_of_each_group
 
 SEGMENTS, BITS, SHINGLE, SEED = 9, 4, 4, 42
 #: Rows of one bucket that are compared in one piece; a larger bucket is dealt out as pairs of pieces.
@@ -191,15 +191,9 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with alike five-word shingles stays: the one with the least id (of equal ids, one).
+    """One document of each group of texts with alike five-word shingles stays, unchanged: the one with the least id.
 
-    Documents without an id can't be named as copies and stay.
+    Documents without an id can't be named as copies and stay. Documents that share an id but not the text are judged
+    one by one; of rows with the same id and text one stays. Null and empty texts are one group. No rows: no rows.
     """
-    groups = keep(alike_groups(docs), "simhash-groups")
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    stay = docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi"))
-    again = keep(first.filter(F.col("_rows") > 1).select("_kept"), "simhash-again")
-    if again.isEmpty():
-        return stay
-    once = docs.join(again, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(again, F.col("doc_id") == F.col("_kept"), "left_anti").unionByName(once)
+    return one_of_each_group(docs)

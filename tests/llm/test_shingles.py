@@ -47,9 +47,16 @@ def test_equals_brute_force(spark):
 
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert alike_groups(none).collect() == []
+    assert alike_groups(none).collect() == [] and simhash_stage(spark, none, "").collect() == []
     df = spark.createDataFrame([(None, "a b"), (5, "a b"), (None, "c d"), (5, "e f"), (5, "e f")], "doc_id long, text string")
-    assert sorted((r[0] or 0, r[1] or 0) for r in alike_groups(df).collect()) == [(0, 0), (0, 5), (5, 5), (5, 5), (5, 5)]
+    assert sorted((r[0] or 0, r[2] or 0) for r in alike_groups(df).collect()) == [(0, 0), (0, 5), (5, 5), (5, 5), (5, 5)]
+
+
+def test_stage_with_shared_ids(spark):
+    rows = [(3, "text of one", "x"), (3, "another text here", "y"), (4, "a third one", "z"), (4, "a third one", "a"), (9, "another text here", "q"), (None, "a third one", None), (7, None, "e"), (8, "", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = simhash_stage(spark, df, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[1], rows[3], rows[5], rows[6]], key=str)
 
 
 def test_bands_find_pairs_at_the_limit():
