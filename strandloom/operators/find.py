@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bases of one block of a reference; blocks are cut in one pass over the sequence.
-BLOCK = 4096
+#: Bases of one block of a reference, at least; blocks are cut in one pass over the sequence. A substring is found by
+#: counting from the front, so blocks are short.
+BLOCK = 256
 
 
-def blocks(seq: Column, over: int) -> Column:
-    """The sequence cut into blocks of ``BLOCK`` bases, each followed by the ``over`` bases behind it."""
-    parts = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-    more = -(-over // BLOCK)
-    return F.transform(parts, lambda _, i: F.substring(F.array_join(F.slice(parts, i + 1, F.lit(1 + more)), ""), 1, BLOCK + over))
+def blocks(seq: Column, size: int, over: int) -> Column:
+    """The sequence cut into blocks of ``size`` bases, each followed by the ``over`` bases behind it."""
+    parts = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    more = -(-over // size)
+    return F.transform(parts, lambda _, i: F.substring(F.array_join(F.slice(parts, i + 1, F.lit(1 + more)), ""), 1, size + over))
 
 
 def classes_of(patterns: DataFrame, k: int) -> list[tuple[int, int, int, int]]:
@@ -27,7 +28,7 @@ def classes_of(patterns: DataFrame, k: int) -> list[tuple[int, int, int, int]]:
     return [(r["class"], min(k, r["low"]), r["low"] - min(k, r["low"]) + 1, r["high"]) for r in sorted(rows)]
 
 
-def exact_find(refs: DataFrame, patterns: DataFrame, k: int = 24, by_ref: bool = False) -> DataFrame:
+def exact_find(refs: DataFrame, patterns: DataFrame, k: int = 16, by_ref: bool = False) -> DataFrame:
     """ref_id, pattern_id, pos: all starts, overlapping ones too, of patterns (pattern_id, pattern) in references
     (ref_id, seq). With ``by_ref``, patterns carry ref_id and meet it only.
 
@@ -42,11 +43,12 @@ def exact_find(refs: DataFrame, patterns: DataFrame, k: int = 24, by_ref: bool =
     if not kinds:
         return refs.join(patterns.select("pattern_id").limit(0), F.lit(True)).select("ref_id", "pattern_id", F.lit(0).alias("pos")).limit(0)
     over = max(stride + high for _, _, stride, high in kinds)
-    rows = refs.select("ref_id", F.length("seq").alias("size"), F.posexplode(blocks(F.col("seq"), over)).alias("block", "part")).withColumn("from", F.col("block") * BLOCK)
+    block = max(BLOCK, over // 2)
+    rows = refs.select("ref_id", F.length("seq").alias("size"), F.posexplode(blocks(F.col("seq"), block, over)).alias("block", "part")).withColumn("from", F.col("block") * block)
 
     def segments(kind: int, width: int, stride: int, high: int) -> Column:
         first = F.ceil(F.col("from") / stride).cast("int") * stride
-        last = F.least(F.col("from") + BLOCK - 1, F.col("size") - (stride + width - 1))
+        last = F.least(F.col("from") + block - 1, F.col("size") - (stride + width - 1))
         at = lambda w: w - F.col("from") + 1
         one = lambda w: F.struct(F.lit(kind).alias("class"), F.xxhash64(F.substring("part", at(w) + stride - 1, F.lit(width))).alias("key"), w.alias("start"), F.substring("part", at(w), F.lit(stride - 1 + high)).alias("near"))
         return F.when(first <= last, F.transform(F.sequence(first, last, F.lit(stride)), one)).otherwise(F.array())
@@ -70,7 +72,7 @@ def exact_find(refs: DataFrame, patterns: DataFrame, k: int = 24, by_ref: bool =
     return got.filter(F.expr("substring(near, shift + 1, length(pattern)) = pattern")).select("ref_id", "pattern_id", (F.col("start") + F.col("shift")).cast("int").alias("pos"))
 
 
-def seed_hits(tiles: DataFrame, refs: DataFrame, k: int = 24, by_ref: bool = False) -> DataFrame:
+def seed_hits(tiles: DataFrame, refs: DataFrame, k: int = 16, by_ref: bool = False) -> DataFrame:
     """ref_id, pattern_id, hits: the sorted starts of each tile (pattern_id, pattern) in each reference; none: no row.
 
     Rows of ``tiles`` with one pattern_id are taken together.
