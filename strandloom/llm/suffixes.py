@@ -3,10 +3,10 @@
 Suffixes are compared by prefix polynomial hashes modulo the prime 2**61 - 1: a binary search finds how far two of
 them agree, and the byte behind decides. Only suffixes that can be equal for ``LENGTH`` bytes are ever compared: each
 window of that length is named by its minimizer, the ``GRAM``-byte string in it whose hash is least. Neighbouring
-windows with the same minimizer form a run. Runs with the same text, told by a 128-bit cryptographic digest, are one
-class and are counted by Spark; two runs of each class stand for it. All runs that stand for a class of a minimizer
-with several runs go through a mergesort of suffixes, and neighbours in the sorted order that agree in ``LENGTH`` bytes
-are repeated. Each such pair is verified byte by byte. The other runs of a class share the fate of the two.
+windows with the same minimizer form a run. Runs with the same text are one class, told by a 128-bit cryptographic
+digest; a class of several runs is repeated as a whole, and one run stands for it from there on. Where a minimizer has
+several classes, the windows of the runs that stand for them go through a mergesort of suffixes, and neighbours in the
+sorted order that agree in ``LENGTH`` bytes are repeated. Each such pair is verified byte by byte.
 
 A minimizer with more than ``CLASSES`` classes is dealt out before it is sorted, so that no group grows with the data:
 its windows are counted under two independent hashes modulo the prime, ``STRIDE`` neighbours at once where their
@@ -30,6 +30,8 @@ from strandloom.llm.common import keep, slices, table, text_bytes
 LENGTH, GRAM = 200, 64
 #: Classes of one minimizer that are sorted in one group.
 CLASSES = 64
+#: Runs of one minimizer that are held at once.
+MOST = 200_000
 #: Bytes of spans that one sort works on, besides the group at hand; bytes of a text that are hashed at once.
 BLOCK, PIECE = 1 << 20, 2 << 20
 #: Neighbouring windows that are counted together where a minimizer has more classes than that.
@@ -139,8 +141,8 @@ def pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[tuple[np.n
                 yield part, np.array([0, len(part)]) if batch.num_rows == 1 else offs, np.arange(batch.num_rows), np.full(batch.num_rows, at), doc, th
 
 
-def runs(batches: Iterator[pa.RecordBatch], digests: bool, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with one minimizer: its hash v; with ``digests`` the run's digest s, s2, its document and place."""
+def runs(batches: Iterator[pa.RecordBatch], piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with one minimizer: its hash v, the run's digest s, s2, its document and place."""
     for body, offs, rows, base, doc, th in pieces(batches, piece):
         n = len(body)
         grams = gram_hashes(body)
@@ -152,9 +154,6 @@ def runs(batches: Iterator[pa.RecordBatch], digests: bool, piece: int = PIECE) -
         at = place[start]
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
         v = grams[at[first]].view(np.int64)
-        if not digests:
-            yield pa.RecordBatch.from_arrays([pa.array(v)], ["v"])
-            continue
         count = np.diff(np.concatenate([first, [len(start)]]))
         p0, a = start[first], at[first]
         view, digest = memoryview(body), hashlib.blake2b
@@ -166,6 +165,64 @@ def runs(batches: Iterator[pa.RecordBatch], digests: bool, piece: int = PIECE) -
 
 RUN = "v long, s long, s2 long, doc long, th long, place long"
 P, COUNT, ANCHOR = "shiftright(place, 16)", "(shiftright(place, 8) & 255)", "(place & 255)"
+CLASS = "v long, doc long, th long, place long, copy boolean, large boolean"
+
+
+def classified(batches: Iterator[pa.RecordBatch], classes: int, most: int) -> Iterator[pa.RecordBatch]:
+    """What a partition of runs that is sorted by v, s, s2 says of them: rows with copy = true for all runs of a class of
+    several; rows with copy = false, one a class, of minimizers with several classes, ``large`` if they are over ``classes``.
+
+    Runs go by in order. Of a minimizer with over ``most`` runs only one run a class is held, and of one with very
+    many classes only the last.
+    """
+    names = ["v", "s", "s2", "doc", "th", "place"]
+
+    def first_of(cols: dict, keys: list[str]) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)]))
+
+    def rows(cols: dict, some: np.ndarray, copy: bool, large) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(cols[c][some]) for c in ("v", "doc", "th", "place")], pa.array(np.full(len(some), copy)), pa.array(np.broadcast_to(large, len(some)))], [c.split()[0] for c in CLASS.split(", ")])
+
+    def judged(cols: dict) -> Iterator[pa.RecordBatch]:
+        """Whole minimizers. Columns besides the runs': m (0: a run; more: that many runs that are listed as copies already),
+        r (the class is listed already) and big (the minimizer has more classes than are here)."""
+        first = first_of(cols, names[:3])
+        size = np.diff(np.append(first, len(cols["v"])))
+        total = np.add.reduceat(np.maximum(cols["m"], 1), first)
+        yield rows(cols, np.flatnonzero(np.repeat(total > 1, size) & (cols["m"] == 0)), True, False)
+        v = cols["v"][first]
+        turn = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        kinds = np.diff(np.append(turn, len(v)))
+        big = np.repeat((kinds > classes) | np.maximum.reduceat(cols["big"][first], turn), kinds)
+        listed = np.flatnonzero((big | (np.repeat(kinds, kinds) > 1)) & ~cols["r"][first])
+        yield rows(cols, first[listed], False, big[listed])
+
+    held: dict = {}
+    for batch in batches:
+        new = {c: np.asarray(batch.column(i)) for i, c in enumerate(names)}
+        n = batch.num_rows
+        if not n:
+            continue
+        new |= {"m": np.zeros(n, np.int64), "r": np.zeros(n, bool), "big": np.zeros(n, bool)}
+        held = {c: np.concatenate([held[c], new[c]]) for c in new} if held else new
+        last = np.flatnonzero(held["v"][1:] != held["v"][:-1])
+        if len(last):
+            cut = last[-1] + 1
+            yield from judged({c: x[:cut] for c, x in held.items()})
+            held = {c: x[cut:] for c, x in held.items()}
+        if len(held["v"]) > most:  # one minimizer
+            first = first_of(held, names[:3])
+            size = np.diff(np.append(first, len(held["v"])))
+            total = np.add.reduceat(np.maximum(held["m"], 1), first)
+            yield rows(held, np.flatnonzero(np.repeat(total > 1, size) & (held["m"] == 0)), True, False)
+            held["m"][first] = np.where(total > 1, total, 0)
+            held = {c: x[first] for c, x in held.items()}
+            if held["big"].any() or len(first) > classes:
+                yield rows(held, np.flatnonzero(~held["r"]), False, True)
+                held["r"][:], held["big"][:] = True, True
+                held = {c: x[-1:] for c, x in held.items()}
+    if held:
+        yield from judged(held)
 
 
 def agree(h: Hashes, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -401,31 +458,24 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_intervals(docs: DataFrame, classes: int = CLASSES, piece: int = PIECE) -> DataFrame:
-    """doc, th, a, b: byte intervals of documents (doc, th: id and text hash) that repeated windows cover.
-
-    A run whose minimizer stands nowhere else is dropped first; runs are found again from the text rather than stored.
-    """
-    texts = docs.select("doc", "th", "text")
-    shared = texts.mapInArrow(lambda b: runs(b, False, piece), "v long").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    shared = keep(shared.filter("n > 1").select("v"), "suffix-minimizers")
-    again = keep(texts.mapInArrow(lambda b: runs(b, True, piece), RUN).join(shared, "v", "left_semi"), "suffix-runs")
-    kinds = keep(two_of_each(again, ["v", "s", "s2"], ["place"]), "suffix-classes")
-    copies = again.join(kinds.filter("n > 1").select("v", "s", "s2"), ["v", "s", "s2"], "left_semi")
-    copies = copies.select("doc", "th", F.expr(P).alias("a"), F.expr(f"{P} + {COUNT} - 1 + {LENGTH}").alias("b"))
-    wide = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("classes"))
-    todo = standing(kinds).join(wide, "v").select(
+def repeated_intervals(docs: DataFrame, classes: int = CLASSES, piece: int = PIECE, most: int = MOST) -> DataFrame:
+    """doc, th, ab: byte intervals of documents (doc, th: id and text hash) that repeated windows cover, both ends in one number."""
+    found = docs.select("doc", "th", "text").mapInArrow(lambda b: runs(b, piece), RUN).repartition("v").sortWithinPartitions("v", "s", "s2")
+    kinds = keep(found.mapInArrow(lambda b: classified(b, classes, most), CLASS), "suffix-classes")
+    copies = kinds.filter("copy").select("doc", "th", F.expr(P).alias("a"), F.expr(f"{P} + {COUNT} - 1 + {LENGTH}").alias("b"))
+    todo = kinds.filter("not copy").select(
         "doc", "th", "v", F.lit(0).cast("long").alias("w"), F.expr(P).alias("p"), F.expr(f"cast({COUNT} as int)").alias("count"), F.expr(f"cast({ANCHOR} as int)").alias("anchor"),
-        (F.col("classes") == 1).alias("whole"), "must", (F.col("classes") > classes).alias("large"),
+        F.lit(False).alias("whole"), F.lit(False).alias("must"), "large",
     )
     spans = keep(with_text(docs, todo), "suffix-spans")
-    small = in_sorted_groups(spans.filter("not large"))
-    found = copies.unionByName(small)
+    intervals = copies.unionByName(in_sorted_groups(spans.filter("not large")))
     large = spans.filter("large")
-    return found if large.isEmpty() else found.unionByName(dealt_windows(docs, large))
+    if not large.isEmpty():
+        intervals = intervals.unionByName(dealt_windows(docs, large))
+    return intervals.select("doc", "th", F.expr("shiftleft(a, 16) + b - a").alias("ab"))  # an interval is shorter than 512 bytes
 
 
-def without_repeats(docs: DataFrame, classes: int = CLASSES, piece: int = PIECE) -> DataFrame:
+def without_repeats(docs: DataFrame, classes: int = CLASSES, piece: int = PIECE, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every row of ``docs``.
 
     A byte goes if a string of ``LENGTH`` bytes over it also starts at another place, in any document. Null texts are
@@ -436,9 +486,7 @@ def without_repeats(docs: DataFrame, classes: int = CLASSES, piece: int = PIECE)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))).withColumn("th", F.xxhash64("text"))
-    # Both ends of an interval in one number: it is shorter than 512 bytes.
-    found = repeated_intervals(docs, classes, piece).select("doc", "th", F.expr("shiftleft(a, 16) + b - a").alias("ab"))
-    spans = found.groupBy("doc", "th").agg(F.collect_list("ab").alias("spans"))
+    spans = repeated_intervals(docs, classes, piece, most).groupBy("doc", "th").agg(F.collect_set("ab").alias("spans"))
     out = docs.join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

@@ -32,8 +32,8 @@ def test_equals_brute_force(spark):
     docs += [(2000, "a" * 700), (2001, "ab" * 300), (2002, docs[5][1]), (2003, passage[:199]), (2004, passage[3:203]), (2005, None), (2006, ""), (2007, "x" * 199), (None, passage), (2008, passage + "q" + passage), (2009, "tw"), (2009, "tw"), (2010, docs[7][1]), (2010, docs[7][1])]
     df = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, n_spans int").repartition(4)
     want = slow(docs)
-    for classes in (suffixes.CLASSES, 3):
-        got = without_repeats(df, classes).collect()
+    for classes, most in ((suffixes.CLASSES, suffixes.MOST), (3, suffixes.MOST), (3, 2), (50, 2)):
+        got = without_repeats(df, classes, most=most).collect()
         assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == want
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
     assert without_repeats(df.limit(0)).collect() == []
