@@ -12,7 +12,7 @@ MAPPING = "struct<position:int,mismatches:array<struct<position:int,new_base:str
 
 def bases(text: str = "text") -> Column:
     """A sequence over ACGT from any text: its letters, each to one of four bases."""
-    letters = F.regexp_replace(F.lower(F.col(text)), "[^a-z]", "")
+    letters = F.regexp_replace(F.lower(F.expr(text)), "[^a-z]", "")
     return F.translate(letters, "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
 
 

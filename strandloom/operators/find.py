@@ -11,10 +11,11 @@ BLOCK = 256
 
 
 def blocks(seq: Column, size: int, over: int) -> Column:
-    """The sequence cut into blocks of ``size`` bases, each followed by the ``over`` bases behind it."""
-    parts = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    more = -(-over // size)
-    return F.transform(parts, lambda _, i: F.substring(F.array_join(F.slice(parts, i + 1, F.lit(1 + more)), ""), 1, size + over))
+    """The sequence cut into blocks of ``size`` bases, each followed by the ``over`` bases behind it.
+
+    One pass: the pattern takes ``size`` bases and looks ahead for what follows.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{1,{size + over}}})).{{1,{size}}}"), F.lit(1))
 
 
 def classes_of(patterns: DataFrame, k: int) -> list[tuple[int, int, int, int]]:

@@ -5,20 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts into which the whole range of places is cut, so that no key is ordered in one piece.
+PARTS = 256
+
 
 def nearest_ahead(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, left_order, right_order, distance: for each key with rows on both sides the least positive distance from
-    a left row's ``reach`` to a right row's ``place``; ties go by left, then right order."""
-    both = left.select(key, F.col("ord").alias("left_order"), "reach").join(right.select(key, F.col("ord").alias("right_order"), "place"), key)
-    both = both.withColumn("distance", F.col("place") - F.col("reach")).filter("distance > 0")
-    best = Window.partitionBy(key).orderBy("distance", "left_order", "right_order")
-    return both.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank", "reach", "place")
+    a left row's ``reach`` to a right row's ``place``; ties go by left, then right order.
+
+    No pairs are made. Both sides go through one running maximum: behind a right row stands the left row that reaches
+    farthest before it. The maximum runs within a part of the range, and over the parts' maxima, one row a part, so
+    a key with very many rows is dealt out. Rows with a null key, reach or place never pair; repeated rows change
+    nothing. No rows on a side: no rows.
+    """
+    # A left row is (reach, minus its order): the greatest is the farthest, of equals the first.
+    one = left.filter(F.col(key).isNotNull() & F.col("reach").isNotNull()).select(key, F.col("reach").cast("long").alias("at"), F.lit(1).alias("side"), F.struct(F.col("reach").cast("long").alias("reach"), (-F.col("ord")).alias("o")).alias("l"), F.lit(None).cast("long").alias("right_order"))
+    two = right.filter(F.col(key).isNotNull() & F.col("place").isNotNull()).select(key, F.col("place").cast("long").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(one.schema["l"].dataType).alias("l"), F.col("ord").cast("long").alias("right_order"))
+    rows = one.unionByName(two)
+    low, high = rows.agg(F.min("at"), F.max("at")).first()  # one row
+    width = ((high or 0) - (low or 0)) // PARTS + 1
+    rows = rows.withColumn("part", F.floor((F.col("at") - (low or 0)) / width))
+    tops = rows.groupBy(key, "part").agg(F.max("l").alias("top"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(key, "part", F.max("top").over(before).alias("carried"))
+    upto = Window.partitionBy(key, "part").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)  # at the same place right rows come first
+    rows = rows.withColumn("own", F.max("l").over(upto)).filter("side = 0").join(tops, [key, "part"])
+    rows = rows.withColumn("l", F.coalesce("own", "carried")).filter("l is not null")  # a part's own rows reach farther
+    best = rows.groupBy(key).agg(F.min(F.struct((F.col("at") - F.col("l.reach")).alias("distance"), (-F.col("l.o")).alias("left_order"), "right_order")).alias("b"))
+    return best.select(key, "b.left_order", "b.right_order", "b.distance")
+
+
+def first_success(tries: DataFrame, key: str, attempt: str, good: str) -> DataFrame:
+    """The rows of ``tries`` that are ``good`` at the first attempt of their key that has any such row.
+
+    A key without a good row has no rows; a null attempt is none.
+    """
+    won = tries.filter(good).groupBy(key).agg(F.min(attempt).alias("_won"))
+    return tries.filter(good).join(won, key).filter(F.col(attempt) == F.col("_won")).drop("_won")
 
 
 def select_pairs(maps: DataFrame, adjust) -> DataFrame:
     """The chosen mapping of each read of ``maps`` (pair_id, mate, read_idx, map_idx, mapping).
 
     With both mates mapped, the two placements whose distance is least and positive, or none; otherwise the first.
+    Null pair ids have none. (pair_id, mate, map_idx) is unique.
     """
     rows = maps.withColumn("adjust", adjust)
     side = lambda m: rows.filter(F.col("mate") == m).withColumn("ord", F.col("map_idx"))
@@ -26,6 +56,6 @@ def select_pairs(maps: DataFrame, adjust) -> DataFrame:
     right = side(1).withColumn("place", F.col("mapping")["position"])
     near = nearest_ahead(left, right, "pair_id")
     picked = near.select("pair_id", F.explode(F.array(F.struct(F.lit(0).alias("mate"), F.col("left_order").alias("map_idx")), F.struct(F.lit(1).alias("mate"), F.col("right_order").alias("map_idx")))).alias("c")).select("pair_id", "c.*")
-    mates = maps.groupBy("pair_id").agg(F.count_distinct("mate").alias("mates"), F.min("map_idx").alias("map_idx")).filter("mates = 1").select("pair_id", "map_idx")
+    mates = maps.groupBy("pair_id").agg((F.min("mate") == F.max("mate")).alias("lone"), F.min("map_idx").alias("map_idx")).filter("lone").select("pair_id", "map_idx")
     two = maps.join(picked, ["pair_id", "mate", "map_idx"])
     return two.unionByName(maps.join(mates, ["pair_id", "map_idx"]).select(two.columns))

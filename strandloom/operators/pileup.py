@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.find import blocks
 from strandloom.sources.shared import written
 
+#: Bases of a reference that meet calls in one row.
+PIECE = 4096
 
-def depth(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, position, depth: where the number of intervals [start, end) that hold a position changes, and to what.
 
-    Ends and starts are added up per position first, so a window sorts changes, not reads.
+#: Places of a reference that one running sum covers.
+REGION = 1 << 16
+
+
+def depth(intervals: DataFrame, keys: list[str], at: DataFrame | None = None) -> DataFrame:
+    """keys, position, depth: where the number of intervals [start, end) that hold a position changes, and to what;
+    with ``at`` (keys, position) also at those positions.
+
+    Ends and starts are added up per position first, and running sums go over regions, with the sums of the regions
+    before added: a task orders the changes in one region, not in a whole reference. An empty interval changes
+    nothing, but its place is listed. Rows with a null key or end are left out; repeated intervals count each.
     """
-    ends = intervals.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("position"), F.lit(1).alias("n")), F.struct(F.col("end").alias("position"), F.lit(-1).alias("n")))).alias("e"))
-    change = ends.groupBy(*keys, "e.position").agg(F.sum("e.n").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return change.select(*keys, "position", F.sum("n").over(upto).alias("depth"))
+    ends = intervals.dropna(subset=[*keys, "start", "end"]).select(*keys, F.explode(F.array(F.struct(F.col("start").alias("position"), F.lit(1).alias("n")), F.struct(F.col("end").alias("position"), F.lit(-1).alias("n")))).alias("e")).select(*keys, "e.*")
+    if at is not None:
+        ends = ends.unionByName(at.select(*keys, "position", F.lit(0).alias("n")))
+    change = ends.groupBy(*keys, "position").agg(F.sum("n").alias("n")).withColumn("region", F.floor(F.col("position") / REGION))
+    before = Window.partitionBy(*keys).orderBy("region").rowsBetween(Window.unboundedPreceding, -1)
+    carried = change.groupBy(*keys, "region").agg(F.sum("n").alias("sum")).select(*keys, "region", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("carried"))
+    upto = Window.partitionBy(*keys, "region").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    own = change.withColumn("own", F.sum("n").over(upto)).join(carried, [*keys, "region"])
+    return own.select(*keys, "position", (F.col("own") + F.col("carried")).alias("depth"))
 
 
 def active(mapped: DataFrame, length_adjust, ref_length) -> DataFrame:
@@ -27,12 +43,15 @@ def active(mapped: DataFrame, length_adjust, ref_length) -> DataFrame:
     return mapped.filter(start >= 0).withColumn("start", start).withColumn("end", F.when(end <= start, ref_length).otherwise(end))
 
 
-def read_mutations(mapped: DataFrame, ref_length) -> DataFrame:
-    """read_idx, position, type, new_base, turn: at most one indel (the first) and one mismatch of a read at a position.
+def read_mutations(mapped: DataFrame) -> DataFrame:
+    """ref_id, read_idx, position, type, new_base, turn, start: at most one indel (the first) and one mismatch of a read
+    at a position.
 
-    ``mapped`` has read_idx, seq, mapping, start, end. An insertion of n bases before P stands at P - 1 to P + n - 2.
+    ``mapped`` has ref_id, read_idx (unique), seq, mapping, start, end, ref_length. An insertion of n bases before P
+    stands at P - 1 to P + n - 2. A null mapping has none.
     """
-    indel = mapped.select("read_idx", "seq", "start", "end", F.posexplode(F.col("mapping")["indels"]).alias("at", "x"), F.col("mapping")["indels"].alias("all"))
+    own = ["ref_id", "read_idx", "start", "end", "ref_length"]
+    indel = mapped.select(*own, "seq", F.posexplode(F.col("mapping")["indels"]).alias("at", "x"), F.col("mapping")["indels"].alias("all"))
     shift = F.aggregate(F.slice("all", 1, F.col("at") + 1), F.lit(0), lambda a, x: a + F.when(x["type"] == "D", x["length"]).otherwise(0))
     first = F.when(F.col("x.type") == "I", F.col("x.position") - 1).otherwise(F.col("x.position"))
     each = indel.filter("x.length > 0").withColumn("shift", F.when(F.col("x.type") == "I", shift).otherwise(0)).withColumn("position", F.explode(F.sequence(first, first + F.col("x.length") - 1)))
@@ -41,26 +60,30 @@ def read_mutations(mapped: DataFrame, ref_length) -> DataFrame:
     base_at = F.col("position") - F.col("start") + F.col("shift") + 1
     base = F.when(F.col("x.type") == "I", F.expr("substring(seq, position - start + shift + 2, 1)"))
     each = each.filter((F.col("x.type") == "D") | ((base_at >= 0) & (base_at < F.length("seq"))))
-    indels = each.select("read_idx", "position", F.col("x.type").alias("type"), base.alias("new_base"), F.lit(0).alias("turn"), "start", "end")
-    other = mapped.select("read_idx", F.explode(F.col("mapping")["mismatches"]).alias("x"), "start", "end")
-    other = other.select("read_idx", F.col("x.position").alias("position"), F.lit("S").alias("type"), F.col("x.new_base").alias("new_base"), F.lit(1).alias("turn"), "start", "end")
-    return indels.unionByName(other).filter((F.col("position") >= F.col("start")) & (F.col("position") < F.col("end")) & (F.col("position") < ref_length) & (F.col("position") >= 0))
+    indels = each.select(*own, "position", F.col("x.type").alias("type"), base.alias("new_base"), F.lit(0).alias("turn"))
+    other = mapped.select(*own, F.explode(F.col("mapping")["mismatches"]).alias("x"))
+    other = other.select(*own, F.col("x.position").alias("position"), F.lit("S").alias("type"), F.col("x.new_base").alias("new_base"), F.lit(1).alias("turn"))
+    return indels.unionByName(other).filter("position >= start and position < end and position < ref_length and position >= 0").drop("end", "ref_length")
 
 
 def majority(votes: DataFrame, keys: list[str], choice: list[str], order: list[str], totals: DataFrame) -> DataFrame:
     """keys, choice, n: the most frequent choice under each key (ties: the one seen first in ``order``), if it has
-    more than half of ``total`` in ``totals``."""
+    more than half of ``total`` in ``totals``. A null choice is one like others; null keys have no total and no row."""
     count = votes.groupBy(*keys, *choice).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
-    best = Window.partitionBy(*keys).orderBy(F.desc("n"), "first")
-    top = count.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
-    return top.join(totals, keys).filter("n > total div 2").select(*keys, *choice, "n")
+    top = count.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), "first", *choice)).alias("top"))
+    return top.select(*keys, *[F.col(f"top.{c}").alias(c) for c in choice], (-F.col("top.m")).alias("n")).join(totals, keys).filter("n > total div 2").select(*keys, *choice, "n")
 
 
-def mutation_lines(calls: DataFrame, ref: DataFrame) -> DataFrame:
-    """position, line: '>S<position> <base> <new base>', '>I<position> <new base>' or '>D<position> <base>'."""
-    base = F.expr("substring(seq, position + 1, 1)")
+def mutation_lines(calls: DataFrame, refs: DataFrame) -> DataFrame:
+    """ref_id, position, line: '>S<position> <base> <new base>', '>I<position> <new base>' or '>D<position> <base>'.
+
+    References are cut into pieces that meet the calls by reference and place.
+    """
+    pieces = refs.select("ref_id", F.posexplode(blocks(F.col("seq"), PIECE, 0)).alias("piece", "part"))
+    rows = calls.withColumn("piece", F.expr(f"cast(position div {PIECE} as int)")).join(pieces, ["ref_id", "piece"])
+    base = F.expr(f"substring(part, position % {PIECE} + 1, 1)")
     line = F.when(F.col("type") == "S", F.concat(base, F.lit(" "), "new_base")).when(F.col("type") == "I", F.col("new_base")).otherwise(base)
-    return calls.join(F.broadcast(ref), F.lit(True)).select("position", F.concat(F.lit(">"), "type", F.col("position").cast("string"), F.lit(" "), line).alias("line"))  # ref is one row
+    return rows.select("ref_id", "position", F.concat(F.lit(">"), "type", F.col("position").cast("string"), F.lit(" "), line).alias("line"))
 
 
 def ranked(rows: DataFrame, first: str, second: str) -> DataFrame:

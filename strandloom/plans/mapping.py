@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as Ordered
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, AlignConfig
@@ -18,7 +17,7 @@ from strandloom.functions.sequence import MAPPING, chains, has_hit, ladder, leng
 from strandloom.operators.find import seed_hits
 from strandloom.operators.kernel import Chain, Task, Window, align_many, place_many
 from strandloom.operators.pairs import select_pairs
-from strandloom.operators.pileup import active, depth, majority, mutation_lines, read_mutations
+from strandloom.operators.pileup import active, depth, majority, mapping_order, mutation_lines, read_mutations
 from strandloom.sources.shared import written
 from strandloom.sources.text import mean_read_length, read_reads, read_reference
 
@@ -128,11 +127,10 @@ def mutations(mapped: DataFrame, refs: DataFrame) -> DataFrame:
     """ref_id, position, type, new_base, n: at most one mutation a position, found in more than half of the reads there."""
     rows = mapped.filter("mapping is not null").join(refs.select("ref_id", F.length("seq").alias("ref_length")), "ref_id")
     rows = active(rows, length_adjust(), F.col("ref_length"))
-    votes = read_mutations(rows.drop("ref_length"), F.lit(2**31 - 1)).join(rows.select("read_idx", "ref_id", "ref_length"), "read_idx").filter("position < ref_length")
+    votes = written(read_mutations(rows), "map-votes")
     where = votes.select("ref_id", "position").distinct()
-    starts = depth(rows.select("ref_id", "start", "end"), ["ref_id"]).withColumn("until", F.lead("position").over(Ordered.partitionBy("ref_id").orderBy("position")))
-    inside = starts.filter("depth > 0").select("ref_id", F.explode(F.sequence("position", F.col("until") - 1)).alias("position"), F.col("depth").alias("total"))
-    return majority(votes, ["ref_id", "position"], ["type", "new_base"], ["start", "read_idx", "turn"], inside.join(where, ["ref_id", "position"], "left_semi"))
+    total = depth(rows.select("ref_id", "start", "end"), ["ref_id"], where).withColumnRenamed("depth", "total")
+    return majority(votes, ["ref_id", "position"], ["type", "new_base"], ["start", "read_idx", "turn"], total)
 
 
 def chunks(size: Column, mean: int, config: AlignConfig = DEFAULT, skip_covered_tail: bool = False) -> Column:
@@ -172,12 +170,13 @@ def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignC
 
 
 def map_files(spark: SparkSession, reference: str, reads: str, order: bool = False) -> DataFrame:
-    """The command: mutation lines of a reads file, or with ``order`` its labels in mapped order."""
+    """The command: mutation lines of a reads file (position, line), or with ``order`` its labels in mapped order
+    (rank, label, position). Rows are in the order of their first column."""
     ref = read_reference(spark, reference)
     rows = read_reads(spark, reads).join(F.broadcast(ref.select("ref_id")), F.lit(True))  # one row
     if order:
         mean = mean_read_length(rows).first()["mean_read_length"] or 0
         placed = whole_alignment(rows, ref, mean)
-        return placed.select("label", F.col("mapping")["position"].alias("position"), "read_idx").orderBy(F.col("position").asc_nulls_last(), "read_idx")
+        return mapping_order(placed.withColumn("position", F.col("mapping")["position"])).orderBy("rank")
     calls = mutations(map_reads(rows, ref), ref)
-    return mutation_lines(calls, ref.select("seq")).orderBy("position")
+    return mutation_lines(calls, ref).select("position", "line").orderBy("position")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.shared import written
+
 
 def lines(text: str = "value"):
     """A column's lines as an array; a line break at the very end opens no line."""
@@ -23,20 +25,36 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame:
     return concat_lines(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("ref_id"), "value")).select("ref_id", "seq")
 
 
-def pair_records(df: DataFrame, order: str, label: str, seq: str) -> DataFrame:
-    """read_idx, pair_id, mate, label, seq from records with a running number ``order`` from 0; an odd last one goes."""
-    n = df.agg((F.floor(F.count(F.lit(1)) / 2) * 2).alias("n"))
-    kept = df.crossJoin(F.broadcast(n)).filter(F.col(order) < F.col("n"))  # n is one row
-    idx = F.col(order).cast("long")
-    return kept.select(idx.alias("read_idx"), F.expr(f"`{order}` div 2").cast("long").alias("pair_id"), (idx % 2).cast("int").alias("mate"), F.col(label).alias("label"), F.col(seq).alias("seq"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, at (from 0), line of every line of the files under ``path``; files may be read in many parts.
+
+    Rows of a part are numbered as they come; parts are put in order by where they begin in their file.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    rows = written(rows, "text-lines")  # the numbers are fixed from here on
+    parts = rows.groupBy("file", "part").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))  # a row a part
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("part")) - F.col("n")
+    return rows.join(parts.withColumn("before", before), ["file", "part"]).select("file", (F.col("before") + F.col("id") - F.col("low")).alias("at"), "line")
+
+
+def pair_records(records: DataFrame) -> DataFrame:
+    """read_idx, pair_id, mate, label, seq from records (file, rec from 0, label, seq); an odd last one of a file goes.
+
+    Files follow each other in order of their names.
+    """
+    files = records.groupBy("file").agg((F.floor(F.count(F.lit(1)) / 2) * 2).alias("n"))  # a row a file
+    files = files.withColumn("before", F.sum("n").over(Window.orderBy("file")) - F.col("n"))
+    kept = records.join(files, "file").filter(F.col("rec") < F.col("n"))
+    idx = (F.col("before") + F.col("rec")).cast("long")
+    return kept.select(idx.alias("read_idx"), F.floor(idx / 2).alias("pair_id"), (idx % 2).cast("int").alias("mate"), "label", "seq")
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of a file of label and sequence lines in turn; records 2i and 2i + 1 are mates. One file is one row of
-    Spark's whole-text source, so a file is at most 2 GB; a label at the end has an empty sequence."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(lines()).alias("at", "line"))
-    records = rows.groupBy(F.expr("at div 2").alias("rec")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("line"))).alias("label"), F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("line"))), F.lit("")).alias("seq"))
-    return pair_records(records, "rec", "label", "seq")
+    """Reads of files of label and sequence lines in turn; in each file records 2i and 2i + 1 are mates. A label at
+    the end has an empty sequence. Blank lines are lines; an empty file has no reads."""
+    rows = numbered_lines(spark, path)
+    records = rows.groupBy("file", F.expr("at div 2").alias("rec")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("line"))).alias("label"), F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("line"))), F.lit("")).alias("seq"))
+    return pair_records(records)
 
 
 def mean_read_length(reads: DataFrame) -> DataFrame:
@@ -45,5 +63,5 @@ def mean_read_length(reads: DataFrame) -> DataFrame:
 
 
 def write_lines(df: DataFrame, column: str, order: list, path: str) -> None:
-    """One text file with ``column`` in ``order``."""
-    df.orderBy(*order).select(column).coalesce(1).write.mode("overwrite").text(path)
+    """A folder of text files with ``column`` in ``order``, within and across the files in order of their names."""
+    df.orderBy(*order).select(column).write.mode("overwrite").text(path)
