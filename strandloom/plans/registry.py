@@ -289,14 +289,14 @@ CUT = "a AS (SELECT item_id, seq, p::INT AS padding, d::INT AS div, k, length(se
 TILE = "substr(seq, CASE WHEN i = 0 THEN 1 ELSE padding + i * step + 1 END, CASE WHEN i = fin THEN length(seq) ELSE (CASE WHEN i = 0 THEN padding ELSE 0 END) + step END)"
 ORDERS = (
     "r AS (SELECT o_custkey AS ref_id, o_orderkey AS read_idx, (o_orderkey * 7 % 40)::INT AS position, translate(regexp_replace(lower(o_orderpriority || o_orderstatus || 'thequickbrownfox'), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM orders), "
-    "e AS (SELECT read_idx, position + l_linenumber * 3 AS at, l_partkey, CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'D' ELSE 'I' END AS type, (l_partkey % 3)::INT AS len, row_number() OVER (PARTITION BY read_idx, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END ORDER BY l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 'D' ELSE 'I' END) AS turn FROM lineitem JOIN r ON l_orderkey = read_idx)"
+    "e AS (SELECT read_idx, position + l_linenumber * 3 AS spot, l_partkey, CASE l_returnflag WHEN 'R' THEN 'S' WHEN 'A' THEN 'D' ELSE 'I' END AS type, (l_partkey % 3)::INT AS len, row_number() OVER (PARTITION BY read_idx, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END ORDER BY l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 'D' ELSE 'I' END) AS turn FROM lineitem JOIN r ON l_orderkey = read_idx)"
 )
 SPANS = f"WITH {REFS}, {ORDERS}, adj AS (SELECT read_idx, sum(CASE type WHEN 'D' THEN len WHEN 'I' THEN -len ELSE 0 END) AS n FROM e GROUP BY 1), m AS (SELECT ref_id, read_idx, position AS start, CASE WHEN coalesce(n, 0) + length(r.seq) <= 0 THEN length(refs.seq) ELSE position + coalesce(n, 0) + length(r.seq) END AS stop, length(refs.seq) AS ref_length, r.seq AS seq FROM r JOIN refs USING (ref_id) LEFT JOIN adj USING (read_idx))"
 VOTES = (
-    f"{SPANS}, g AS (SELECT read_idx, at, type, len, turn, sum(CASE type WHEN 'D' THEN len ELSE 0 END) OVER (PARTITION BY read_idx ORDER BY turn) AS shift FROM e WHERE type <> 'S'), "
-    "x AS (SELECT read_idx, type, turn, shift, CASE type WHEN 'I' THEN at - 1 ELSE at END + i AS position FROM g, unnest(range(len)) AS u(i)), "
+    f"{SPANS}, g AS (SELECT read_idx, spot, type, len, turn, sum(CASE type WHEN 'D' THEN len ELSE 0 END) OVER (PARTITION BY read_idx ORDER BY turn) AS shift FROM e WHERE type <> 'S'), "
+    "x AS (SELECT read_idx, type, turn, shift, CASE type WHEN 'I' THEN spot - 1 ELSE spot END + i AS position FROM g, unnest(range(len)) AS u(i)), "
     "y AS (SELECT x.*, m.seq, m.start, position - start + shift + 1 AS off FROM x JOIN m USING (read_idx) QUALIFY row_number() OVER (PARTITION BY read_idx, position ORDER BY turn) = 1), "
-    "v AS (SELECT read_idx, position, type, CASE WHEN type = 'I' THEN substr(seq, (off + 1)::INT, 1) END AS new_base, 0 AS kind FROM y WHERE type = 'D' OR off BETWEEN 0 AND length(seq) - 1 UNION ALL SELECT read_idx, at, 'S', substr('ACGT', (at % 4 + 1)::INT, 1), 1 FROM e WHERE type = 'S'), "
+    "v AS (SELECT read_idx, position, type, CASE WHEN type = 'I' THEN substr(seq, (off + 1)::INT, 1) END AS new_base, 0 AS kind FROM y WHERE type = 'D' OR off BETWEEN 0 AND length(seq) - 1 UNION ALL SELECT read_idx, spot, 'S', substr('ACGT', (spot % 4 + 1)::INT, 1), 1 FROM e WHERE type = 'S'), "
     "votes AS (SELECT ref_id, read_idx, position::INT AS position, type, new_base, kind, start FROM v JOIN m USING (read_idx) WHERE position >= start AND position < stop AND position < ref_length AND position >= 0)"
 )
 PLANTED = "refs AS (SELECT o_custkey AS ref_id, string_agg(translate(md5(o_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY o_orderkey) AS seq FROM orders GROUP BY 1), p AS (SELECT ref_id, seq, k::INT AS k, ref_id * 3 + k AS pair, length(seq) >= 64 AND k < 2 AS changed, translate(substr(seq, 31, 1), 'ACGT', 'GTAC') AS other FROM refs, range(3) AS x(k))"
@@ -305,17 +305,17 @@ ORACLE_SQL = {
     "mapped_reads": f"WITH {PLANTED} SELECT pair * 2 AS read_idx, k * 4 AS position, (k * 4)::VARCHAR || ' ' || CASE WHEN changed THEN 'S30:' || other ELSE '' END AS line FROM p UNION ALL SELECT pair * 2 + 1, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN k * 4 + 60 END, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN (k * 4 + 60)::VARCHAR || ' ' END FROM p",
     "map_order": f"WITH {PLANTED} SELECT row_number() OVER (ORDER BY k, pair) - 1 AS rank, pair::VARCHAR AS label, k * 4 AS position FROM p",
     "padded_attempts": f"WITH {REFS}, divs AS (SELECT 2 AS d, 0 AS k, true AS short UNION ALL SELECT d, d - 3, false FROM range(3, 9) AS y(d)), {CUT.replace('divs WHERE', 'divs WHERE length(seq) > 15 AND short = (length(seq) - p <= 30) AND')}, z AS (SELECT *, 0 AS i FROM c), w AS (SELECT *, fin AS i FROM c) SELECT z.item_id AS read_idx, (z.padding * 10 + z.k)::INT AS attempt, (z.fin + 1)::INT AS n_tiles, {TILE.replace('seq', 'z.seq').replace('padding', 'z.padding').replace('step', 'z.step').replace('fin', 'z.fin').replace('i =', 'z.i =').replace('i *', 'z.i *')} AS first_tile, {TILE.replace('seq', 'w.seq').replace('padding', 'w.padding').replace('step', 'w.step').replace('fin', 'w.fin').replace('i =', 'w.i =').replace('i *', 'w.i *')} AS last_tile FROM z JOIN w ON z.item_id = w.item_id AND z.padding = w.padding AND z.div = w.div",
-    "unmatched_merge": f"WITH {LINES}, g AS (SELECT *, sum(CASE WHEN p >= 0 OR coalesce(q, 0) >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY n, x, y) AS grp FROM (SELECT *, lag(p) OVER (PARTITION BY l_orderkey ORDER BY n, x, y) AS q FROM c)), m AS (SELECT l_orderkey, grp, min(p) AS p, string_agg(t, '' ORDER BY n, x, y) AS t FROM g GROUP BY ALL) SELECT l_orderkey, string_agg(p::VARCHAR, ',' ORDER BY grp) AS places, string_agg(t, ',' ORDER BY grp) AS tiles FROM m GROUP BY 1",
-    "hit_chains": f"WITH {LINES} SELECT l_orderkey, string_agg(p::VARCHAR, ',' ORDER BY n, x, y) AS chain FROM c GROUP BY 1 HAVING max(p) >= 0",
+    "unmatched_merge": f"WITH {LINES}, g AS (SELECT *, sum(CASE WHEN p >= 0 OR coalesce(q, 0) >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY n, x, y, p, t) AS grp FROM (SELECT *, lag(p) OVER (PARTITION BY l_orderkey ORDER BY n, x, y, p, t) AS q FROM c)), m AS (SELECT l_orderkey, grp, min(p) AS p, string_agg(t, '' ORDER BY n, x, y, p, t) AS t FROM g GROUP BY ALL) SELECT l_orderkey, string_agg(p::VARCHAR, ',' ORDER BY grp) AS places, string_agg(t, ',' ORDER BY grp) AS tiles FROM m GROUP BY 1",
+    "hit_chains": f"WITH {LINES} SELECT l_orderkey, string_agg(p::VARCHAR, ',' ORDER BY n, x, y, p, t) AS chain FROM c GROUP BY 1 HAVING max(p) >= 0",
     "insertion_points": "SELECT c_custkey, count(*) FILTER (o_totalprice < c_acctbal)::INT AS place FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "suffix_ranks": "SELECT c_custkey AS ref_id, row_number() OVER (PARTITION BY c_custkey ORDER BY substr(c_name, i::INT + 1), i) - 1 AS rank, i::INT AS start FROM customer, unnest(range(length(c_name) + 1)) AS u(i)",
     "seed_hits": f"WITH {TILE_HITS} SELECT ref_id, item_id, t AS tile_idx, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS hits FROM h GROUP BY ALL",
     "first_purchase": "WITH p AS (SELECT user_id, hour(ts)::INT AS hour, event_id FROM events WHERE event_type = 'purchase') SELECT * FROM p QUALIFY hour = min(hour) OVER (PARTITION BY user_id)",
     "mate_select": "WITH m AS (SELECT user_id, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS mate, event_id, floor(epoch_us(ts) / 1000000)::INT AS pos, floor(value)::INT AS gap FROM events WHERE event_type IN ('click', 'purchase')), two AS (SELECT user_id FROM m GROUP BY 1 HAVING count(DISTINCT mate) = 2), b AS (SELECT l.user_id, l.event_id AS l, r.event_id AS r, l.pos AS lp, r.pos AS rp FROM m l JOIN m r ON l.user_id = r.user_id AND l.mate = 0 AND r.mate = 1 AND r.pos > l.pos + l.gap QUALIFY row_number() OVER (PARTITION BY l.user_id ORDER BY r.pos - l.pos - l.gap, l.event_id, r.event_id) = 1) SELECT user_id AS pair_id, 0 AS mate, l AS map_idx, lp AS position FROM b UNION ALL SELECT user_id, 1, r, rp FROM b UNION ALL (SELECT user_id, mate, event_id, pos FROM m WHERE user_id NOT IN (FROM two) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1)",
-    "mapping_errors": f"WITH {ORDERS} SELECT r.read_idx, (count(*) FILTER (type = 'S') + coalesce(sum(len) FILTER (type <> 'S'), 0))::INT AS errors, coalesce(sum(CASE type WHEN 'D' THEN len WHEN 'I' THEN -len ELSE 0 END), 0)::INT AS adjust, any_value(position)::VARCHAR || ' ' || coalesce(string_agg(type || at || ':' || CASE type WHEN 'S' THEN substr('ACGT', (at % 4 + 1)::INT, 1) ELSE len::VARCHAR END, ',' ORDER BY CASE type WHEN 'S' THEN 0 ELSE 1 END, turn), '') AS line FROM r LEFT JOIN e USING (read_idx) GROUP BY r.read_idx",
+    "mapping_errors": f"WITH {ORDERS} SELECT r.read_idx, (count(*) FILTER (type = 'S') + coalesce(sum(len) FILTER (type <> 'S'), 0))::INT AS errors, coalesce(sum(CASE type WHEN 'D' THEN len WHEN 'I' THEN -len ELSE 0 END), 0)::INT AS adjust, any_value(position)::VARCHAR || ' ' || coalesce(string_agg(type || spot || ':' || CASE type WHEN 'S' THEN substr('ACGT', (spot % 4 + 1)::INT, 1) ELSE len::VARCHAR END, ',' ORDER BY CASE type WHEN 'S' THEN 0 ELSE 1 END, turn), '') AS line FROM r LEFT JOIN e USING (read_idx) GROUP BY r.read_idx",
     "active_reads": f"{SPANS}, d AS (SELECT ref_id, start AS position, 1 AS n FROM m UNION ALL SELECT ref_id, stop, -1 FROM m), c AS (SELECT ref_id, position::INT AS position, sum(n) AS n FROM d GROUP BY ALL) SELECT ref_id, position, (sum(n) OVER (PARTITION BY ref_id ORDER BY position))::BIGINT AS depth FROM c",
     "pileup": f"{VOTES} SELECT ref_id, read_idx, position, type, new_base FROM votes",
-    "called_lines": f"{VOTES}, t AS (SELECT ref_id, position, type, new_base, count(*) AS n, min((start, read_idx, kind)) AS first FROM votes GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY ref_id, position ORDER BY count(*) DESC, min((start, read_idx, kind))) = 1), n AS (SELECT t.ref_id, t.position, count(*) AS total FROM t JOIN m ON t.ref_id = m.ref_id AND start <= position AND position < stop GROUP BY ALL) SELECT ref_id, position, '>' || type || position || ' ' || CASE type WHEN 'S' THEN substr(seq, position + 1, 1) || ' ' || new_base WHEN 'I' THEN new_base ELSE substr(seq, position + 1, 1) END AS line FROM t JOIN n USING (ref_id, position) JOIN refs USING (ref_id) WHERE n > total // 2",
+    "called_lines": f"{VOTES}, t AS (SELECT ref_id, position, type, new_base, count(*) AS n, min((start, read_idx, kind)) AS first FROM votes GROUP BY ref_id, position, type, new_base QUALIFY row_number() OVER (PARTITION BY ref_id, position ORDER BY count(*) DESC, min((start, read_idx, kind))) = 1), n AS (SELECT t.ref_id, t.position, count(*) AS total FROM t JOIN m ON t.ref_id = m.ref_id AND start <= position AND position < stop GROUP BY ALL) SELECT ref_id, position, '>' || type || position || ' ' || CASE type WHEN 'S' THEN substr(seq, position + 1, 1) || ' ' || new_base WHEN 'I' THEN new_base ELSE substr(seq, position + 1, 1) END AS line FROM t JOIN n USING (ref_id, position) JOIN refs USING (ref_id) WHERE n > total // 2",
     "reference_concat": "SELECT doc_id, array_to_string(list_slice(CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN list_slice(string_split(text, chr(10)), 1, len(string_split(text, chr(10))) - 1) ELSE string_split(text, chr(10)) END, 2, 1000000000), '') AS seq FROM documents",
     "read_pairing": f"WITH {TURNS} SELECT conv_id, rec // 2 AS pair_id, (rec % 2)::INT AS mate, role AS label, text AS seq FROM t WHERE rec < n - n % 2",
     "mean_read_length": f"WITH {TURNS} SELECT (sum(length(text)) // count(*))::BIGINT AS mean_read_length FROM t WHERE rec < n - n % 2",
