@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, html, language_model, media, mixing, pii, simhash, suffixes, toxicity, viterbi
+from strandloom.llm import decontaminate, html, language_model, media, mixing, oracle, pii, simhash, suffixes, toxicity, viterbi
 
 QUERIES = {
     "op1_telephony": media.op1_telephony,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_fair_queueing": mixing.op10_fair_queueing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_suffix_dedup": oracle.SUFFIX_DEDUP, "op10_fair_queueing": oracle.FAIR_QUEUEING}
