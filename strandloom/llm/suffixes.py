@@ -142,7 +142,11 @@ def pieces(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[tuple[np.n
 
 
 def runs(batches: Iterator[pa.RecordBatch], piece: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with one minimizer: its hash v, the run's digest s, s2, its document and place."""
+    """Runs of windows with one minimizer: its hash v, the run's digest s, s2, its document and place.
+
+    Runs that are met again in the piece at hand are listed at once (m = -1, under a random v, so that no task gets all
+    copies of a text); one row stands for all m of them. Other runs have m = 0.
+    """
     for body, offs, rows, base, doc, th in pieces(batches, piece):
         n = len(body)
         grams = gram_hashes(body)
@@ -160,10 +164,17 @@ def runs(batches: Iterator[pa.RecordBatch], piece: int = PIECE) -> Iterator[pa.R
         s = np.frombuffer(b"".join([digest(view[x:y], digest_size=16).digest() for x, y in zip(p0.tolist(), (p0 + LENGTH - 1 + count).tolist())]), np.int64)
         mine = owner[p0]
         packed = (p0 - offs[mine] + base[mine]) << 16 | count << 8 | (a - p0)  # number of windows and place of the minimizer: under 256
-        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(s[::2]), pa.array(s[1::2]), doc.take(pa.array(mine)), th.take(pa.array(mine)), pa.array(packed.astype(np.int64))], ["v", "s", "s2", "doc", "th", "place"])
+        _, one, kind, n_kind = np.unique(s.view("V16"), return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(n_kind[kind] > 1)
+        some = np.concatenate([np.flatnonzero(n_kind[kind] == 1), one[n_kind > 1], again])
+        m = np.concatenate([np.zeros(len(some) - len(again), np.int32), np.full(len(again), -1, np.int32)])
+        m[(n_kind == 1).sum() : len(m) - len(again)] = n_kind[n_kind > 1]
+        v = np.where(m < 0, mixed((packed[some] ^ (np.arange(len(some)) << 40)).astype(np.uint64)).view(np.int64), v[some])
+        mine = pa.array(mine[some])
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(s[::2][some]), pa.array(s[1::2][some]), doc.take(mine), th.take(mine), pa.array(packed[some].astype(np.int64)), pa.array(m)], ["v", "s", "s2", "doc", "th", "place", "m"])
 
 
-RUN = "v long, s long, s2 long, doc long, th long, place long"
+RUN = "v long, s long, s2 long, doc long, th long, place long, m int"
 P, COUNT, ANCHOR = "shiftright(place, 16)", "(shiftright(place, 8) & 255)", "(place & 255)"
 CLASS = "v long, doc long, th long, place long, copy boolean, large boolean"
 
@@ -199,11 +210,13 @@ def classified(batches: Iterator[pa.RecordBatch], classes: int, most: int) -> It
 
     held: dict = {}
     for batch in batches:
-        new = {c: np.asarray(batch.column(i)) for i, c in enumerate(names)}
-        n = batch.num_rows
+        new = {c: np.asarray(batch.column(i)) for i, c in enumerate([*names, "m"])}
+        yield rows(new, np.flatnonzero(new["m"] < 0), True, False)
+        some = np.flatnonzero(new["m"] >= 0)
+        n = len(some)
         if not n:
             continue
-        new |= {"m": np.zeros(n, np.int64), "r": np.zeros(n, bool), "big": np.zeros(n, bool)}
+        new = {c: x[some] for c, x in new.items()} | {"m": new["m"][some].astype(np.int64), "r": np.zeros(n, bool), "big": np.zeros(n, bool)}
         held = {c: np.concatenate([held[c], new[c]]) for c in new} if held else new
         last = np.flatnonzero(held["v"][1:] != held["v"][:-1])
         if len(last):
