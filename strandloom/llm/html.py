@@ -38,7 +38,8 @@ DEEPEST = 200
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]++))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+UNSEEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 
 
 class Node:
@@ -62,6 +63,16 @@ class Node:
             return True
         return self.attribute("hidden") is None and not UNSEEN.search(self.attribute("style") or "") and not (self.tag == "dialog" and self.attribute("open") is None)
 
+    def unseen(self, now: bool) -> bool:
+        """Whether its own text is invisible, ``now`` being so for what it stands in; children may be visible again."""
+        m = VISIBILITY.search(self.attribute("style") or "") if self.attrs else None
+        return now if m is None else m[1].lower() != "visible"
+
+    def number(self, name: str, default: int) -> int:
+        """An attribute that is a whole number."""
+        m = re.match(r"\s*([+-]?[0-9]{1,9})", self.attribute(name) or "", re.ASCII)
+        return int(m[1]) if m else default
+
 
 def build(html: str) -> Node:
     """The tree of a page. Comments and declarations go; an unfinished tag ends the page, as in browsers."""
@@ -155,10 +166,11 @@ class Page:
         self.gap = 0
         self.lead: list[str] = []
         self.mark = ""
+        self.unseen = False
 
     def word(self, text: str) -> None:
         """Flowing text: any white space is one blank between words, and none at a line's ends."""
-        if not text:
+        if not text or self.unseen:
             return
         core = SPACE.sub(" ", text)
         if core[0] == " ":
@@ -170,6 +182,8 @@ class Page:
         self.space = tail
 
     def put(self, text: str) -> None:
+        if self.unseen:
+            return
         if not self.line:
             if self.lines:
                 self.lines += [""] * self.gap
@@ -193,20 +207,23 @@ class Page:
         return "\n".join(self.lines)
 
 
-def one_line(node: Node) -> str:
+def one_line(node: Node, unseen: bool) -> str:
     page = Page()
+    page.unseen = unseen
     for c in node.children:
         render(c, page)
     return " ".join(x.strip() for x in page.text().split("\n") if x.strip())
 
 
-def rows_of(node: Node) -> Iterator[Node]:
-    for c in node.children:
+def rows_of(node: Node, unseen: bool) -> Iterator[tuple[Node, bool, int]]:
+    """The rows of a table, whether their text is invisible, and a number for the section that each stands in."""
+    for k, c in enumerate(node.children):
         if isinstance(c, Node) and c.shown():
             if c.tag == "tr":
-                yield c
+                yield c, c.unseen(unseen), -1
             elif c.tag in SECTIONS:
-                yield from rows_of(c)
+                for row, hidden, _ in rows_of(c, c.unseen(unseen)):
+                    yield row, hidden, k
 
 
 def strays_of(node: Node) -> Iterator[Node | str]:
@@ -223,16 +240,30 @@ def render_table(node: Node, page: Page) -> None:
     for c in strays_of(node):  # a caption stands above, stray content too
         render(c, page)
     page.end()
-    grid = []
-    for row in rows_of(node):
-        cells = []
+    grid, below, section = [], {}, None  # below: for how many more rows (-1: to the section's end) a column is taken
+    for row, unseen, part in rows_of(node, page.unseen):
+        if part != section:
+            below, section = {}, part
+        cells: list[str] = []
+        new: dict[int, int] = {}
+
+        def skip() -> None:
+            while below.get(len(cells), 0):
+                cells.append("")
+
         for c in row.children:
             if isinstance(c, Node) and c.tag in ("td", "th"):
                 if c.shown():
-                    span = c.attribute("colspan") or "1"
-                    cells += [one_line(c), *[""] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and len(span) < 5 else 0)]
+                    skip()
+                    wide, high = min(max(c.number("colspan", 1), 1), 1000), min(max(c.number("rowspan", 1), 0), 65534)
+                    if high != 1:
+                        new.update((len(cells) + i, high - 1) for i in range(wide))
+                    cells += [one_line(c, c.unseen(unseen)), *[""] * (wide - 1)]
             elif isinstance(c, Node) or c.strip():
+                was, page.unseen = page.unseen, unseen
                 render(c, page)
+                page.unseen = was
+        below = {k: v - (v > 0) for k, v in below.items() if v > 1 or v < 0} | new
         grid.append(cells)
     page.end()
     widths: list[int] = []
@@ -261,9 +292,15 @@ def render(node: Node | str, page: Page, pre: bool = False) -> None:
             if line:
                 page.put(line)
         return
-    tag = node.tag
     if not node.shown():
         return
+    was, page.unseen = page.unseen, node.unseen(page.unseen)
+    render_element(node, page, pre)
+    page.unseen = was
+
+
+def render_element(node: Node, page: Page, pre: bool) -> None:
+    tag = node.tag
     if tag == "br":
         if not page.line:
             page.put("")
@@ -285,16 +322,18 @@ def render(node: Node | str, page: Page, pre: bool = False) -> None:
     elif tag == "table":
         render_table(node, page)
     elif tag in ("ul", "ol", "menu"):
-        number = 0
+        number = node.number("start", 1) - 1
         for c in node.children:
             if isinstance(c, Node) and c.tag == "li" and c.shown():
-                number += 1
+                number = c.number("value", number + 1)
                 mark = f"{number}. " if tag == "ol" else "- "
                 page.end()
                 page.lead.append(" " * len(mark))
                 page.mark = mark
+                was, page.unseen = page.unseen, c.unseen(page.unseen)
                 for x in c.children:
                     render(x, page)
+                page.unseen = was
                 page.end()
                 page.gap = 0 if c is not node.children[-1] else page.gap
                 page.mark = ""
@@ -322,7 +361,8 @@ def visible_text(html: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text, n_lines, n_chars of every row of ``pages``.
 
-    Null and empty pages give empty text. Whole pages are rendered; other columns are ignored.
+    Null and empty pages give empty text. Whole pages are rendered, however long. Each row has its own result, so
+    equal rows have equal ones. No rows: no rows. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,3 +91,19 @@ def test_cells_imply_rows():
 def test_stray_content_of_sections():
     assert visible_text("<table><thead>up<tr><th>a</thead><tbody><p>in</p><tr><td>b</tbody><tfoot>down</table>x") == "up\n\nin\n\ndown\na\nb\n\nx"
     assert visible_text("<table><tbody hidden>no<tr><td>no</tbody><tbody>yes</table>") == "yes"
+
+
+def test_spans_of_rows():
+    assert visible_text("<table><tr><td rowspan=2>A<td>1<tr><td>2</table>") == "A  1\n   2"
+    assert visible_text("<table><tr><td>x<td rowspan=0 colspan=2>B<td>1<tr><td>y<td>2<tr><td>z<td>3<tbody><tr><td>p<td>q</table>") == "x  B    1\ny       2\nz       3\np  q"
+    assert visible_text("<table><tr><td colspan=99999>a<td>b</table>").split() == ["a", "b"]
+
+
+def test_list_numbers():
+    assert visible_text("<ol start=5><li>a<li value=9>b<li>c</ol>") == "5. a\n9. b\n10. c"
+
+
+def test_visible_inside_invisible():
+    assert visible_text("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d") == "b\nd"
+    assert visible_text("<table><tr style='visibility:hidden'><td>a<td style='visibility:visible'>b<tr><td>c<td>d</table>") == "   b\nc  d"
+    assert visible_text("<ul><li style='visibility:hidden'>a<li>b</ul>") == "- b"
