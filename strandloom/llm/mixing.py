@@ -63,18 +63,19 @@ def running(df: DataFrame, group: list[str], order: list[str], size: str, bucket
     return own.join(sums, cond).withColumn(out, F.col("_before") + F.col("_own")).drop("_before", "_own", *[f"_{c}" for c in [*group, bucket]])
 
 
-def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 10) -> DataFrame:
+def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 10, with_text: bool = False) -> DataFrame:
     """Every document with what the mix takes of it.
 
     ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns are ignored. Returns doc_id, size, source,
-    source_size, target, taken (words, repeats counted). A document is taken whole, up to ``most`` times.
+    source_size, target, taken (words, repeats counted), and the text if ``with_text``. A document is taken whole, up to ``most`` times.
     Null text: size 0, taken 0. Null source: a source of its own, last in order. Equal ids: each row is a document.
     No rows: no rows. The shuffle is a hash of ``seed`` and id, so reruns agree.
     """
     text = F.md5(F.coalesce(F.col("text"), F.lit("")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
-    sizes = docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key"), F.monotonically_increasing_id().alias("_row"))
-    sizes = keep(sizes, "mix-sizes")  # the row numbers are fixed from here on
+    sizes = docs.select("doc_id", "source", word_count().alias("size"), key.alias("_key"), F.monotonically_increasing_id().alias("_row"), *(["text"] if with_text else []))
+    whole = keep(sizes, "mix-sizes")  # the row numbers are fixed from here on
+    sizes = whole.drop("text")
     targets = keep(source_targets(sizes, weights, most), "mix-targets")
     # Sources are few against documents, but not provably so: Spark's own size check picks the join.
     named = targets.withColumnRenamed("source", "_source")
@@ -95,7 +96,8 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     sent = running(sent.withColumn("_all", F.lit(0)), ["_all"], ["_finish", "_key", "_row"], "size", "_slot", "_total")
     taken = sent.filter(F.col("_total") <= total).groupBy("_row").agg(F.sum("size").alias("taken"))
     out = queue.join(taken, "_row", "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).alias("taken"))
+    out = out.select("_row", "doc_id", "size", "source", "source_size", "target", F.coalesce(F.col("taken"), F.lit(0)).alias("taken"))
+    return (out.join(whole.select("_row", "text"), "_row") if with_text else out).drop("_row")
 
 
 def op10_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +105,9 @@ def op10_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of what came through the stages before: doc_id, size, source_size, target, taken."""
-    return fair_mix(docs).drop("source")
+    """The mix of what came through the stages before: doc_id, size, source_size, target, taken, text of every document.
+
+    Those with taken = 0 aren't in the mix; the others are in it taken / size times. See ``fair_mix`` for nulls, ties,
+    repeated rows and empty tables.
+    """
+    return fair_mix(docs, with_text=True).drop("source")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 from strandloom.llm.mixing import fair_mix, source_targets
@@ -41,6 +42,28 @@ def test_mix(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_taken_equals_a_plain_queue(spark):
+    """Every document's words taken, from its finish time and the order of all of them."""
+    rows = [(i, "w " * (i * 7 % 41) + "x", [f"s{i % 5}", "s0", None][i % 3], 1) for i in range(800)]
+    got = fair_mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    target = {r["source"]: (r["target"], r["source_size"]) for r in got}
+    key = {i: hashlib.md5(f"10:{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for i, t, _, _ in rows}
+    size = {i: len(t.split()) for i, t, _, _ in rows}
+    sent = []
+    for source, (words, whole) in target.items():
+        done = 0
+        for turn in range(3):
+            for i in sorted((i for i, _, s, _ in rows if s == source), key=lambda i: key[i]):
+                done += size[i]
+                if done - size[i] < words:
+                    sent.append((done / words, key[i], i))
+    taken, total = dict.fromkeys(size, 0), 0
+    for _, _, i in sorted(sent):
+        total += size[i]
+        taken[i] += size[i] if total <= sum(size.values()) else 0
+    assert {r["doc_id"]: r["taken"] for r in got} == taken
+
+
 def test_no_rows(spark):
     assert fair_mix(spark.createDataFrame([], SCHEMA)).collect() == []
     one = fair_mix(spark.createDataFrame([(1, None, "a", 0)], SCHEMA)).collect()
