@@ -22,6 +22,8 @@ from strandloom.sources.shared import written
 from strandloom.sources.text import mean_read_length, read_reads, read_reference
 
 READ = ["ref_id", "read_idx", "pair_id", "mate", "seq"]
+#: Bases of windows that one call of the kernel works on, besides those of the group of reads at hand.
+MOST_BASES = 1 << 20
 
 
 def attempts(reads: DataFrame, paddings: range, config: AlignConfig = DEFAULT) -> DataFrame:
@@ -159,10 +161,23 @@ def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignC
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            tasks: list[Task] = []
+            keys: list[tuple[int, int]] = []
+            bases = 0
             for r in f.itertuples(index=False):
                 window = Window(r.ref, r.left, r.ref_length)
-                found = align_many([Task(window, x["seq"], r.left, r.right) for x in r.rows], config.max_gap, config.tolerance)
-                yield pd.DataFrame({"read_idx": [x["read_idx"] for x in r.rows], "left": r.left, "mapping": [m.row() if m else None for m in found]})
+                tasks += [Task(window, x["seq"], r.left, r.right) for x in r.rows]
+                keys += [(x["read_idx"], r.left) for x in r.rows]
+                bases += len(r.ref) * len(r.rows)
+                if bases > MOST_BASES:  # chunks of one size are aligned together
+                    yield aligned(tasks, keys)
+                    tasks, keys, bases = [], [], 0
+            if tasks:
+                yield aligned(tasks, keys)
+
+    def aligned(tasks: list[Task], keys: list[tuple[int, int]]) -> pd.DataFrame:
+        found = align_many(tasks, config.max_gap, config.tolerance)
+        return pd.DataFrame({"read_idx": [k for k, _ in keys], "left": [x for _, x in keys], "mapping": [m.row() if m else None for m in found]})
 
     got = groups.join(parts, "ref_id").select("left", "right", "rows", "ref", "ref_length").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, f"read_idx long, left int, mapping {MAPPING}")
     best = got.filter("mapping is not null").groupBy("read_idx").agg(F.min_by("mapping", F.struct(num_errors(), "left")).alias("mapping"))
