@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, piece: int = PIECE) -> DataFrame:
 
     Texts link at ``BITS`` or fewer differing bits. Null, empty and blank texts have fingerprint 0, which links like
     any other. Rows with the same fingerprint are one node, so copies never meet in pairs. A null id belongs to
-    its fingerprint's component and never names it (null if there is no other). No rows: no rows.
+    its fingerprint's component and never names it (null if there is no other). Rows that share an id keep their own
+    fingerprints. Whole texts are read, however long. No rows: no rows. Other columns are ignored.
     """
     prints = keep(with_fingerprint(docs), "simhash-prints")
     nodes = keep(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).filter(F.col("node").isNotNull()), "simhash-nodes")

@@ -26,9 +26,9 @@ MARK = "▁"
 #: The Unicode property White_Space (fixed values).
 WORDS = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 UNKNOWN_COST = 10.0
-#: The vocabulary file, and words whose counts one task remembers.
+#: The vocabulary file; number and greatest length of the words whose counts one task remembers.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBER = 400_000
+REMEMBER, SHORT = 400_000, 64
 
 
 def load_pieces(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -60,7 +60,9 @@ class Counter:
         if got is None:
             if len(self.known) >= REMEMBER:
                 self.known.clear()
-            got = self.known[word] = self.solve(MARK + word)
+            got = self.solve(MARK + word)
+            if len(word) <= SHORT:
+                self.known[word] = got
         return got
 
     def solve(self, text: str) -> tuple[int, float]:
