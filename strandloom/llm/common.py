@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -96,3 +96,32 @@ def words(col: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
 def word_count(text: str = "text"):
     """Number of words of a text column (null: 0), native."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def numbered(df: DataFrame, order: list, label: str) -> DataFrame:
+    """``df`` with _rank: each row's place, from 0, in ``order`` (columns or names) over the whole table.
+
+    Rows are dealt by ranges and numbered in each; only the ranges' sizes, a row a partition, are summed up in one
+    place. So a key with very many rows is numbered by many tasks, if ``order`` tells its rows apart.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = keep(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", own), label)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], often: str, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and never null, where a key may hold much of ``left``.
+
+    ``often`` is a column of ``right``: how many rows of ``left`` have its key, at least. Keys with over a thousandth
+    of all of these are fewer than a thousand, so their rows are broadcast; the others are shuffled. ``often`` goes.
+    """
+    total = right.agg(F.coalesce(F.sum(often), F.lit(0)).alias("n")).first()["n"]
+    hot = right.filter(F.col(often) * 1000 > F.lit(total)).drop(often)
+    right = right.drop(often)
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right, on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)

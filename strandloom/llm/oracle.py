@@ -40,3 +40,35 @@ k AS (SELECT p.row, sum(b - a)::BIGINT AS removed, count(*) AS spans, string_agg
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN k USING (row)
 """
+
+#: The table of the reflected CRC-32 polynomial, and the CRC of the bytes of a hexadecimal string.
+CRC_TABLE = """SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) AS r(i))"""
+
+
+def crc(hexed: str) -> str:
+    """SQL for the unsigned CRC-32 of a column of hexadecimal digits, beside a row of ``CRC_TABLE``."""
+    octets = f"list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substr({hexed}, (2 * i + 1)::INT, 2))::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::INT])), 4294967295::UBIGINT)::BIGINT"
+
+
+#: Rebuilt conversations as lists of turns, all their prefixes grouped, and each node's prefixes for sums over subtrees.
+PREFIX_TRIE = f"""
+WITH crcs AS ({CRC_TABLE}),
+own AS (
+  SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hs AS (SELECT c, turns, {crc("hex(encode(c::VARCHAR))")} % 9 AS h FROM own, crcs),
+whole AS (SELECT a.c, list_concat(coalesce(b.turns, [])[1:h], a.turns[h + 1:]) AS turns FROM hs AS a LEFT JOIN own AS b ON b.c = a.c - a.c % 5),
+member AS (SELECT c, turns[1:d] AS path, d = len(turns) AS last FROM whole, unnest(range(len(turns) + 1)) AS u(d)),
+node AS (
+  SELECT path, len(path) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(strlen(path[len(path)].text), 0) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+  FROM member GROUP BY path),
+child AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT n.path[1:d] AS path, sum(n.saved) AS saved, count(*) FILTER (c.path IS NULL) AS leaves
+  FROM node AS n LEFT JOIN child AS c ON c.path = n.path, unnest(range(n.depth + 1)) AS u(d) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM node AS n JOIN below AS b ON b.path = n.path LEFT JOIN child AS c ON c.path = n.path LEFT JOIN node AS p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
