@@ -72,3 +72,39 @@ below AS (
 SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
 FROM node AS n JOIN below AS b ON b.path = n.path LEFT JOIN child AS c ON c.path = n.path LEFT JOIN node AS p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
 """
+
+#: Best fit one group at a time; `search` runs it for one capacity after the other (see ``packing.pack``), `placed` once more.
+BEST_FIT_SHARDS = f"""
+WITH RECURSIVE crcs AS ({CRC_TABLE}),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS g, hex(encode(coalesce(text, ''))) AS h FROM documents),
+o AS (SELECT g, s, row_number() OVER (ORDER BY s DESC, g) AS i FROM (SELECT g, sum(size)::BIGINT AS s FROM d GROUP BY g)),
+items AS (SELECT list(s ORDER BY i) AS s, count(*) AS n, sum(s)::BIGINT AS total FROM o),
+giant(lone, rest) AS (
+  SELECT 0::BIGINT, total FROM items
+  UNION ALL SELECT lone + 1, rest - s[lone + 1] FROM giant, items WHERE lone < least(15, n) AND s[lone + 1] * (16 - lone) >= rest),
+g AS (SELECT max(lone) AS lone, 16 - max(lone) AS bins, (min(rest) + 15 - max(lone)) // (16 - max(lone)) AS fair FROM giant),
+search(low, high, k, i, free, done) AS (
+  SELECT -1::BIGINT, NULL::BIGINT, 0::BIGINT, lone + 1, []::BIGINT[], false FROM g
+  UNION ALL
+  SELECT CASE WHEN verdict = 0 THEN k ELSE low END, CASE WHEN verdict = 1 THEN k ELSE high END,
+    CASE WHEN verdict IS NULL THEN k WHEN verdict = 0 AND high IS NULL THEN greatest(1, 2 * k)
+         WHEN coalesce(CASE WHEN verdict = 1 THEN k END, high) - CASE WHEN verdict = 0 THEN k ELSE low END <= 1 THEN coalesce(CASE WHEN verdict = 1 THEN k END, high)
+         ELSE (CASE WHEN verdict = 1 THEN k ELSE high END + CASE WHEN verdict = 0 THEN k ELSE low END) // 2 END,
+    CASE WHEN verdict IS NULL THEN i + 1 ELSE lone + 1 END,
+    CASE WHEN verdict IS NOT NULL THEN [] WHEN fit IS NULL THEN list_append(free, cap - s[i]) ELSE list_transform(free, lambda x, j: CASE WHEN j = list_position(free, fit) THEN x - s[i] ELSE x END) END,
+    verdict IS NOT NULL AND NOT (verdict = 0 AND high IS NULL) AND coalesce(CASE WHEN verdict = 1 THEN k END, high) - CASE WHEN verdict = 0 THEN k ELSE low END <= 1
+  FROM (
+    SELECT *, CASE WHEN i > n THEN 1 WHEN fit IS NULL AND (len(free) = bins OR s[i] > cap) THEN 0 END AS verdict
+    FROM (SELECT *, fair + (fair * k + 4095) // 4096 AS cap, list_min(list_filter(free, lambda x: x >= s[i])) AS fit FROM search, items, g WHERE NOT done))),
+placed(i, free, shard) AS (
+  SELECT lone, []::BIGINT[], NULL::BIGINT FROM g
+  UNION ALL
+  SELECT i + 1, CASE WHEN fit IS NULL THEN list_append(free, cap - s[i + 1]) ELSE list_transform(free, lambda x, j: CASE WHEN j = list_position(free, fit) THEN x - s[i + 1] ELSE x END) END,
+    lone + CASE WHEN fit IS NULL THEN len(free) ELSE list_position(free, fit) - 1 END
+  FROM (
+    SELECT p.*, s, n, lone, fair + (fair * k + 4095) // 4096 AS cap, list_min(list_filter(free, lambda x: x >= s[i + 1])) AS fit
+    FROM placed AS p, items, g, (SELECT max(k) AS k FROM search WHERE done) WHERE i < n)),
+shards AS (SELECT i, shard FROM placed WHERE shard IS NOT NULL UNION ALL SELECT lone, lone - 1 FROM giant WHERE lone > 0)
+SELECT doc_id, size, {crc("h")} AS text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY d.g, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM d JOIN o ON o.g = d.g JOIN shards USING (i), crcs
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, html, language_model, media, mixing, oracle, pii, prefix_trie, simhash, suffixes, toxicity, viterbi
+from strandloom.llm import decontaminate, html, language_model, media, mixing, oracle, packing, pii, prefix_trie, simhash, suffixes, toxicity, viterbi
 
 QUERIES = {
     "op1_telephony": media.op1_telephony,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
     "op10_fair_queueing": mixing.op10_fair_queueing,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_best_fit_shards": packing.op12_best_fit_shards,
 }
 
-ORACLE_SQL = {"op2_suffix_dedup": oracle.SUFFIX_DEDUP, "op10_fair_queueing": oracle.FAIR_QUEUEING, "op11_prefix_trie": oracle.PREFIX_TRIE}
+ORACLE_SQL = {"op2_suffix_dedup": oracle.SUFFIX_DEDUP, "op10_fair_queueing": oracle.FAIR_QUEUEING, "op11_prefix_trie": oracle.PREFIX_TRIE, "op12_best_fit_shards": oracle.BEST_FIT_SHARDS}
