@@ -48,7 +48,7 @@ CRC_TABLE = """SELECT list(v ORDER BY i) AS tab FROM (
 
 def crc(hexed: str) -> str:
     """SQL for the unsigned CRC-32 of a column of hexadecimal digits, beside a row of ``CRC_TABLE``."""
-    octets = f"list_transform(range(length({hexed}) // 2), lambda i: ('0x' || substr({hexed}, (2 * i + 1)::INT, 2))::UBIGINT)"
+    octets = f"list_transform(regexp_extract_all({hexed}, '..'), lambda x: ('0x' || x)::UBIGINT)"
     return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::INT])), 4294967295::UBIGINT)::BIGINT"
 
 
@@ -73,7 +73,24 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_con
 FROM node AS n JOIN below AS b ON b.path = n.path LEFT JOIN child AS c ON c.path = n.path LEFT JOIN node AS p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
 """
 
-#: Best fit one group at a time; `search` runs it for one capacity after the other (see ``packing.pack``), `placed` once more.
+
+
+def best_fit(k: str) -> str:
+    """SQL for a struct whose ``put`` has a bin (from 1) for each of ``ss``, the falling sizes; it is null if ``bins`` of the
+    capacity at step ``k`` don't do."""
+    start = "{'s': 0::BIGINT, 'free': []::BIGINT[], 'put': []::BIGINT[]}"
+    cap = f"(fair + (fair * {k} + 4095) // 4096)"
+    fit = "list_min(list_filter(a.free, lambda y: y >= x.s))"
+    at = f"list_position(a.free, {fit})"
+    taken = f"list_concat(a.free[1:{at} - 1], [{fit} - x.s], a.free[{at} + 1:])"
+    return f"""list_reduce(list_prepend({start}, list_transform(ss, lambda z: {{'s': z, 'free': []::BIGINT[], 'put': []::BIGINT[]}})), lambda a, x: CASE
+      WHEN a.put IS NULL THEN a
+      WHEN {fit} IS NOT NULL THEN {{'s': 0::BIGINT, 'free': {taken}, 'put': list_append(a.put, {at}::BIGINT)}}
+      WHEN len(a.free) < bins AND x.s <= {cap} THEN {{'s': 0::BIGINT, 'free': list_append(a.free, {cap} - x.s), 'put': list_append(a.put, len(a.free) + 1)}}
+      ELSE {{'s': 0::BIGINT, 'free': []::BIGINT[], 'put': NULL::BIGINT[]}} END).put"""
+
+
+#: Best fit one group at a time, for capacities at the steps 0, 1, 2, 4 and so on, and then halving the last interval.
 BEST_FIT_SHARDS = f"""
 WITH RECURSIVE crcs AS ({CRC_TABLE}),
 d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS g, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -83,28 +100,39 @@ giant(lone, rest) AS (
   SELECT 0::BIGINT, total FROM items
   UNION ALL SELECT lone + 1, rest - s[lone + 1] FROM giant, items WHERE lone < least(15, n) AND s[lone + 1] * (16 - lone) >= rest),
 g AS (SELECT max(lone) AS lone, 16 - max(lone) AS bins, (min(rest) + 15 - max(lone)) // (16 - max(lone)) AS fair FROM giant),
-search(low, high, k, i, free, done) AS (
-  SELECT -1::BIGINT, NULL::BIGINT, 0::BIGINT, lone + 1, []::BIGINT[], false FROM g
-  UNION ALL
-  SELECT CASE WHEN verdict = 0 THEN k ELSE low END, CASE WHEN verdict = 1 THEN k ELSE high END,
-    CASE WHEN verdict IS NULL THEN k WHEN verdict = 0 AND high IS NULL THEN greatest(1, 2 * k)
-         WHEN coalesce(CASE WHEN verdict = 1 THEN k END, high) - CASE WHEN verdict = 0 THEN k ELSE low END <= 1 THEN coalesce(CASE WHEN verdict = 1 THEN k END, high)
-         ELSE (CASE WHEN verdict = 1 THEN k ELSE high END + CASE WHEN verdict = 0 THEN k ELSE low END) // 2 END,
-    CASE WHEN verdict IS NULL THEN i + 1 ELSE lone + 1 END,
-    CASE WHEN verdict IS NOT NULL THEN [] WHEN fit IS NULL THEN list_append(free, cap - s[i]) ELSE list_transform(free, lambda x, j: CASE WHEN j = list_position(free, fit) THEN x - s[i] ELSE x END) END,
-    verdict IS NOT NULL AND NOT (verdict = 0 AND high IS NULL) AND coalesce(CASE WHEN verdict = 1 THEN k END, high) - CASE WHEN verdict = 0 THEN k ELSE low END <= 1
-  FROM (
-    SELECT *, CASE WHEN i > n THEN 1 WHEN fit IS NULL AND (len(free) = bins OR s[i] > cap) THEN 0 END AS verdict
-    FROM (SELECT *, fair + (fair * k + 4095) // 4096 AS cap, list_min(list_filter(free, lambda x: x >= s[i])) AS fit FROM search, items, g WHERE NOT done))),
-placed(i, free, shard) AS (
-  SELECT lone, []::BIGINT[], NULL::BIGINT FROM g
-  UNION ALL
-  SELECT i + 1, CASE WHEN fit IS NULL THEN list_append(free, cap - s[i + 1]) ELSE list_transform(free, lambda x, j: CASE WHEN j = list_position(free, fit) THEN x - s[i + 1] ELSE x END) END,
-    lone + CASE WHEN fit IS NULL THEN len(free) ELSE list_position(free, fit) - 1 END
-  FROM (
-    SELECT p.*, s, n, lone, fair + (fair * k + 4095) // 4096 AS cap, list_min(list_filter(free, lambda x: x >= s[i + 1])) AS fit
-    FROM placed AS p, items, g, (SELECT max(k) AS k FROM search WHERE done) WHERE i < n)),
-shards AS (SELECT i, shard FROM placed WHERE shard IS NOT NULL UNION ALL SELECT lone, lone - 1 FROM giant WHERE lone > 0)
+j AS (SELECT lone, bins, fair, s[lone + 1:] AS ss FROM g, items),
+coarse AS (SELECT k, {best_fit("k")} IS NOT NULL AS ok FROM j, (SELECT unnest([0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]::BIGINT[]) AS k)),
+span AS (SELECT high, CASE WHEN high < 2 THEN high - 1 ELSE high // 2 END AS low FROM (SELECT min(k) AS high FROM coarse WHERE ok)),
+fine AS (SELECT k, {best_fit("k")} IS NOT NULL AS ok FROM j, (SELECT unnest(range(low + 1, high)) AS k FROM span)),
+halved(low, high) AS (
+  SELECT low, high FROM span
+  UNION ALL SELECT CASE WHEN ok THEN low ELSE k END, CASE WHEN ok THEN k ELSE high END FROM halved JOIN fine ON k = (low + high) // 2 WHERE high - low > 1),
+put AS (SELECT lone, {best_fit("k")} AS put FROM j, (SELECT min(high) AS k FROM halved)),
+shards AS (SELECT lone + u.i AS i, lone + put[u.i] - 1 AS shard FROM put, unnest(range(1, len(put) + 1)) AS u(i) UNION ALL SELECT lone, lone - 1 FROM giant WHERE lone > 0)
 SELECT doc_id, size, {crc("h")} AS text_crc32, 'bytes' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY d.g, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
 FROM d JOIN o ON o.g = d.g JOIN shards USING (i), crcs
 """
+
+#: Near words by strings with one code point left out: of both at the same place, or of the longer one only.
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crcs AS ({CRC_TABLE}),
+r AS (
+  SELECT key, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS key, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY key, run),
+b AS (SELECT *, hex(encode(key || ':' || run)) AS hexed FROM r),
+h AS (SELECT run, n, {crc("hexed")} AS h FROM b, crcs),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM w, unnest(range(length(word))) AS u(i)),
+p AS (
+  SELECT x.word AS a, y.word AS b FROM x JOIN x AS y USING (i, rest) WHERE x.word != y.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON w.word = x.rest
+  UNION SELECT w.word, x.word FROM x JOIN w ON w.word = x.rest),
+f AS (SELECT a AS word, count(*) AS n_near, min({{'m': -n, 'w': b}}) AS top FROM p JOIN w ON w.word = p.b GROUP BY a),
+o AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -top.m >= 2 * n THEN top.w END AS form, CASE WHEN -top.m >= 2 * n THEN -top.m END AS form_n FROM w LEFT JOIN f USING (word)),
+t(word, root, step) AS (SELECT word, word, 0 FROM o UNION ALL SELECT t.word, o.form, step + 1 FROM t JOIN o ON o.word = t.root WHERE o.form IS NOT NULL),
+l AS (SELECT word, arg_max(root, step) AS root FROM t GROUP BY word)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM o JOIN l USING (word)
+"""

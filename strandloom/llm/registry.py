@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import decontaminate, html, language_model, media, mixing, oracle, packing, pii, prefix_trie, simhash, suffixes, toxicity, viterbi
+from strandloom.llm import decontaminate, html, language_model, media, mixing, oracle, packing, pii, prefix_trie, simhash, spelling, suffixes, toxicity, viterbi
 
 QUERIES = {
     "op1_telephony": media.op1_telephony,
@@ -17,6 +17,13 @@ QUERIES = {
     "op10_fair_queueing": mixing.op10_fair_queueing,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_best_fit_shards": packing.op12_best_fit_shards,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
-ORACLE_SQL = {"op2_suffix_dedup": oracle.SUFFIX_DEDUP, "op10_fair_queueing": oracle.FAIR_QUEUEING, "op11_prefix_trie": oracle.PREFIX_TRIE, "op12_best_fit_shards": oracle.BEST_FIT_SHARDS}
+ORACLE_SQL = {
+    "op2_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op10_fair_queueing": oracle.FAIR_QUEUEING,
+    "op11_prefix_trie": oracle.PREFIX_TRIE,
+    "op12_best_fit_shards": oracle.BEST_FIT_SHARDS,
+    "op13_spelling_variants": oracle.SPELLING_VARIANTS,
+}
