@@ -47,6 +47,16 @@ def chains(hits: Column, max_gap: int = DEFAULT.max_gap) -> Column:
     return F.transform(F.aggregate(hits, start, lambda acc, s: F.flatten(F.transform(acc, lambda a: grow(a, s))).cast(state)), lambda a: a["chain"])
 
 
+def chain_count(hits: Column, max_gap: int = DEFAULT.max_gap) -> Column:
+    """How many chains there are, without making any: the ways that lead to each place are summed up tile by tile."""
+    state = "array<struct<last:int,n:bigint>>"
+    fits = lambda p: lambda a: (a["last"] < 0) | ((p > a["last"]) & (p <= a["last"] + max_gap))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, a: n + a["n"])
+    grow = lambda acc, s: F.when(F.size(s) == 0, acc).otherwise(F.filter(F.transform(s, lambda p: F.struct(p.alias("last"), total(F.filter(acc, fits(p))).alias("n"))), lambda a: a["n"] > 0))
+    start = F.array(F.struct(F.lit(-1).alias("last"), F.lit(1).cast("bigint").alias("n"))).cast(state)
+    return total(F.aggregate(hits, start, lambda acc, s: grow(acc, s).cast(state)))
+
+
 def has_hit(chain: Column) -> Column:
     """Whether a chain has a found tile at all."""
     return F.exists(chain, lambda p: p >= 0)

@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.references import cut
+
 #: Bases of one block of a reference, at least; blocks are cut in one pass over the sequence. A substring is found by
 #: counting from the front, so blocks are short.
 BLOCK = 256
 
 
-def blocks(seq: Column, size: int, over: int) -> Column:
-    """The sequence cut into blocks of ``size`` bases, each followed by the ``over`` bases behind it.
-
-    One pass: the pattern takes ``size`` bases and looks ahead for what follows.
-    """
-    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{1,{size + over}}})).{{1,{size}}}"), F.lit(1))
-
-
 def classes_of(patterns: DataFrame, k: int) -> list[tuple[int, int, int, int]]:
     """(class, k, stride, greatest length) of the patterns by length: each class goes up to twice its least length.
 
@@ -45,13 +39,13 @@ def exact_find(refs: DataFrame, patterns: DataFrame, k: int = 16, by_ref: bool =
         return refs.join(patterns.select("pattern_id").limit(0), F.lit(True)).select("ref_id", "pattern_id", F.lit(0).alias("pos")).limit(0)
     over = max(stride + high for _, _, stride, high in kinds)
     block = max(BLOCK, over // 2)
-    rows = refs.select("ref_id", F.length("seq").alias("size"), F.posexplode(blocks(F.col("seq"), block, over)).alias("block", "part")).withColumn("from", F.col("block") * block)
+    rows = cut(refs, block, over)
 
     def segments(kind: int, width: int, stride: int, high: int) -> Column:
-        first = F.ceil(F.col("from") / stride).cast("int") * stride
-        last = F.least(F.col("from") + block - 1, F.col("size") - (stride + width - 1))
+        first = F.ceil(F.col("from") / stride) * stride
+        last = F.least(F.col("from") + block - 1, F.col("from") + F.length("part") - (stride + width - 1))
         at = lambda w: w - F.col("from") + 1
-        one = lambda w: F.struct(F.lit(kind).alias("class"), F.xxhash64(F.substring("part", at(w) + stride - 1, F.lit(width))).alias("key"), w.alias("start"), F.substring("part", at(w), F.lit(stride - 1 + high)).alias("near"))
+        one = lambda w: F.struct(F.lit(kind).alias("class"), F.xxhash64(F.substring("part", (at(w) + stride - 1).cast("int"), F.lit(width))).alias("key"), w.alias("start"), F.substring("part", at(w).cast("int"), F.lit(stride - 1 + high)).alias("near"))
         return F.when(first <= last, F.transform(F.sequence(first, last, F.lit(stride)), one)).otherwise(F.array())
 
     index = rows.select("ref_id", F.explode(F.concat(*[segments(*x) for x in kinds])).alias("x")).select("ref_id", "x.*")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.find import blocks
+from strandloom.operators.references import cut
 from strandloom.sources.shared import written
 
 #: Bases of a reference that meet calls in one row.
@@ -43,12 +43,12 @@ def active(mapped: DataFrame, length_adjust, ref_length) -> DataFrame:
     return mapped.filter(start >= 0).withColumn("start", start).withColumn("end", F.when(end <= start, ref_length).otherwise(end))
 
 
-def read_mutations(mapped: DataFrame) -> DataFrame:
+def read_mutations(mapped: DataFrame, seen: Observation | None = None) -> DataFrame:
     """ref_id, read_idx, position, type, new_base, turn, start: at most one indel (the first) and one mismatch of a read
     at a position.
 
     ``mapped`` has ref_id, read_idx (unique), seq, mapping, start, end, ref_length. An insertion of n bases before P
-    stands at P - 1 to P + n - 2. A null mapping has none.
+    stands at P - 1 to P + n - 2. A null mapping has none. ``seen`` observes how many indel bases are dropped beside another.
     """
     own = ["ref_id", "read_idx", "start", "end", "ref_length"]
     indel = mapped.select(*own, "seq", F.posexplode(F.col("mapping")["indels"]).alias("at", "x"), F.col("mapping")["indels"].alias("all"))
@@ -56,7 +56,10 @@ def read_mutations(mapped: DataFrame) -> DataFrame:
     first = F.when(F.col("x.type") == "I", F.col("x.position") - 1).otherwise(F.col("x.position"))
     each = indel.filter("x.length > 0").withColumn("shift", F.when(F.col("x.type") == "I", shift).otherwise(0)).withColumn("position", F.explode(F.sequence(first, first + F.col("x.length") - 1)))
     best = Window.partitionBy("read_idx", "position").orderBy("at")
-    each = each.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    each = each.withColumn("rank", F.row_number().over(best))
+    if seen is not None:
+        each = each.observe(seen, F.coalesce(F.sum((F.col("rank") > 1).cast("long")), F.lit(0).cast("long")).alias("dropped"))
+    each = each.filter("rank = 1")
     base_at = F.col("position") - F.col("start") + F.col("shift") + 1
     base = F.when(F.col("x.type") == "I", F.expr("substring(seq, position - start + shift + 2, 1)"))
     each = each.filter((F.col("x.type") == "D") | ((base_at >= 0) & (base_at < F.length("seq"))))
@@ -79,8 +82,8 @@ def mutation_lines(calls: DataFrame, refs: DataFrame) -> DataFrame:
 
     References are cut into pieces that meet the calls by reference and place.
     """
-    pieces = refs.select("ref_id", F.posexplode(blocks(F.col("seq"), PIECE, 0)).alias("piece", "part"))
-    rows = calls.withColumn("piece", F.expr(f"cast(position div {PIECE} as int)")).join(pieces, ["ref_id", "piece"])
+    pieces = cut(refs, PIECE, 0).select("ref_id", F.col("block").alias("piece"), "part")
+    rows = calls.withColumn("piece", F.expr(f"position div {PIECE}")).join(pieces, ["ref_id", "piece"])
     base = F.expr(f"substring(part, position % {PIECE} + 1, 1)")
     line = F.when(F.col("type") == "S", F.concat(base, F.lit(" "), "new_base")).when(F.col("type") == "I", F.col("new_base")).otherwise(base)
     return rows.select("ref_id", "position", F.concat(F.lit(">"), "type", F.col("position").cast("string"), F.lit(" "), line).alias("line"))

@@ -7,73 +7,124 @@ reference, so one job maps reads of many references at once. With one reference
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, AlignConfig
-from strandloom.functions.sequence import MAPPING, chains, has_hit, ladder, length_adjust, merge_unmatched, num_errors, tiles
+from strandloom.functions.sequence import MAPPING, ladder, length_adjust, merge_unmatched, num_errors, tiles
 from strandloom.operators.find import seed_hits
 from strandloom.operators.kernel import Chain, Task, Window, align_many, place_many
 from strandloom.operators.pairs import select_pairs
+from strandloom.operators.paths import paths
 from strandloom.operators.pileup import active, depth, majority, mapping_order, mutation_lines, read_mutations
+from strandloom.operators.references import PORTION, cut, lengths, spread_join, windows
 from strandloom.sources.shared import written
 from strandloom.sources.text import mean_read_length, read_reads, read_reference
 
 READ = ["ref_id", "read_idx", "pair_id", "mate", "seq"]
 #: Bases of windows that one call of the kernel works on, besides those of the group of reads at hand.
 MOST_BASES = 1 << 20
+#: Chains that one call of the kernel works on.
+CHAINS = 2048
+#: Attempts are numbered by padding and, within it, division.
+PADDING = 10
+#: With so many unmapped reads or fewer, all their other attempts make one round.
+SMALL = 10_000
+
+
+@dataclass
+class Summary:
+    """What a mapping job counted on the way: rounds are (first attempt, last attempt, reads sought)."""
+
+    reads: int = 0
+    mapped: int = 0
+    failed_pairs: int = 0
+    bases: int = 0
+    coverage: float = 0.0
+    dropped_indels: int = 0
+    rounds: list[tuple[int, int, int]] = field(default_factory=list)
+
+    def lines(self) -> list[str]:
+        share = 100 * self.mapped / self.reads if self.reads else 0.0
+        return [f"mapped {self.mapped} of {self.reads} reads ({share:.2f} %)", f"mean coverage {self.coverage:.4f}", f"pairs left out as a read failed: {self.failed_pairs}", f"indels left out beside another one: {self.dropped_indels}"]
 
 
 def attempts(reads: DataFrame, paddings: range, config: AlignConfig = DEFAULT) -> DataFrame:
-    """Reads that are long enough, once for each padding and division: attempt (their order), parts (the tiles)."""
+    """Reads that are long enough, once for each padding and division: attempt (their order), parts (the tiles).
+
+    A null read has none; repeated rows are tried each.
+    """
     rows = reads.filter(F.length("seq") > config.min_length).select(*READ, F.explode(F.array(*[F.lit(p) for p in paddings])).alias("padding"))
     rows = rows.select(*READ, "padding", F.posexplode(ladder(F.length("seq"), F.col("padding"), config)).alias("step", "div"))
     rows = rows.withColumn("parts", tiles(F.col("seq"), F.col("padding"), F.col("div"), config)).filter(F.size("parts") > 0)
-    return rows.select(*READ, (F.col("padding") * 10 + F.col("step")).alias("attempt"), "parts")
+    return rows.select(*READ, (F.col("padding") * PADDING + F.col("step")).alias("attempt"), "parts")
+
 
+def read_roots(tried: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT) -> DataFrame:
+    """``tried`` with root, hits and merged, a row for each place of the first found tile: all chains that begin there.
 
-def read_chains(tried: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT) -> DataFrame:
-    """``tried`` with chain_idx and chain, for every chain that has a found tile."""
+    hits are the places of the found tiles as far as a chain from the root can reach; a root from which some found tile
+    is out of reach has no chain. merged are the tiles, neighbours without a place put together, which are the same in
+    all chains of an attempt (place 0: found). Chains themselves aren't made here: their number may grow with every tile.
+    """
     each = tried.select("ref_id", "read_idx", "attempt", F.posexplode("parts").alias("tile", "pattern"))
     patterns = each.select("ref_id", F.struct("read_idx", "attempt", "tile").alias("pattern_id"), "pattern")
     hits = seed_hits(patterns, refs, by_ref=True)
-    by_read = hits.groupBy("ref_id", "pattern_id.read_idx", "pattern_id.attempt").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pattern_id.tile"), "hits"))).alias("of"))
+    by_read = hits.groupBy("ref_id", "pattern_id.read_idx", "pattern_id.attempt").agg(F.sort_array(F.collect_list(F.struct(F.col("pattern_id.tile").alias("tile"), "hits"))).alias("found"))
     rows = tried.join(by_read, ["ref_id", "read_idx", "attempt"])  # a read without any hit has no chain to use
-    found = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.coalesce(F.try_element_at("of", i), F.array().cast("array<int>")))
-    rows = rows.withColumn("chains", chains(found, config.max_gap)).drop("of")
-    rows = rows.select(*[c for c in rows.columns if c != "chains"], F.posexplode("chains").alias("chain_idx", "chain"))
-    return rows.filter(has_hit(F.col("chain")))
-
-
-def place_chains(found: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
-    """Keys of ``found`` with mapping, one row for each chain that gives one in its read's first attempt that gives any.
-
-    Attempts of a read are tried in order and no further than needed, those of all reads of an Arrow batch together.
-    Only the reference's part near the chain goes to Python. Where a chain can't be computed, its read goes no further
-    and has one row with failed = true.
+    pattern = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.when(F.exists("found", lambda x: x["tile"] == i), 0).otherwise(-1))
+    rows = rows.withColumn("merged", merge_unmatched(pattern, F.col("parts")))
+    rows = rows.withColumn("root", F.explode(F.col("found")[0]["hits"]))
+    reach = F.col("root") + config.max_gap * F.size("found")
+    near = F.transform("found", lambda x, i: F.filter(x["hits"], lambda p: F.when(i == 0, p == F.col("root")).otherwise((p > F.col("root")) & (p <= reach))))
+    return rows.withColumn("hits", near).drop("found", "parts").filter(F.forall("hits", lambda h: F.size(h) > 0))
+
+
+def place_chains(roots: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
+    """ref_id, read_idx, pair_id, mate, attempt, map_idx, mapping, failed: a row for each chain that gives a mapping in its
+    read's first attempt that gives any; map_idx is their order.
+
+    A root meets the block of its reference in which its window starts (see ``windows``), and only the window goes to
+    Python. There the chains of an attempt are made one after the other, and attempts of a read are tried in order and no
+    further than needed, those of all reads of an Arrow batch together. Where a chain can't be computed, its read goes no
+    further and has a row with failed = true.
     """
-    rows = found.withColumn("merged", merge_unmatched(F.col("chain"), F.col("parts"))).join(refs.select("ref_id", F.col("seq").alias("ref"), F.length("seq").alias("ref_length")), "ref_id")
-    good = F.filter("chain", lambda p: p >= 0)
     back = F.length("seq") + 2 * mean
-    rows = rows.withColumn("from", F.greatest(F.lit(0), F.element_at(good, 1) - back)).withColumn("ref", F.expr("substring(ref, from + 1, element_at(filter(chain, p -> p >= 0), -1) - from + length(seq) * 2 + %d)" % (2 * mean + 2)))
-    keys = ["ref_id", "read_idx", "pair_id", "mate", "attempt", "chain_idx"]
+    rows = roots.withColumn("start", F.greatest(F.lit(0), F.col("root") - back))
+    rows = rows.withColumn("span", config.max_gap * F.size("merged") + back + 2 * F.length("seq") + 2 * mean + 2)
+    rows = windows(rows, refs, "start", "span", ["read_idx"])
+    keys = ["ref_id", "read_idx", "pair_id", "mate", "attempt"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}  # read: (attempt that mapped or None, failed); only the last read can go on in the next batch
+        state: dict = {}  # read: (attempt that mapped or None, failed, mappings); only the last read can go on in the next batch
         for f in frames:
             todo: dict = {}
             for at, (read, attempt) in enumerate(zip(f["read_idx"], f["attempt"])):
                 todo.setdefault(read, {}).setdefault(attempt, []).append(at)
             state = {r: s for r, s in state.items() if r in todo}
-            mappings: list = [None] * len(f)
-            failed = [False] * len(f)
             queues = {r: list(tries.items()) for r, tries in todo.items()}
+            cols = {c: f[c].to_numpy() for c in ("merged", "hits", "window", "start", "seq")}
+
+            def chains(wave: list, cols: dict = cols) -> Iterator[tuple]:
+                for read, attempt, at in wave:
+                    text, start = cols["window"][at], int(cols["start"][at])
+                    # A window that ends early ends with its reference; otherwise nothing asks for what is behind it.
+                    ref, tiles = Window(text, start, start + len(text)), [x["tile"] for x in cols["merged"][at]]
+                    found = [k for k, x in enumerate(cols["merged"][at]) if x["position"] >= 0]
+                    for path in paths([h.tolist() for h in cols["hits"][at]], config.max_gap):
+                        places = [-1] * len(tiles)
+                        for k, p in zip(found, path):
+                            places[k] = p
+                        yield read, attempt, at, Chain(ref, cols["seq"][at], places, tiles)
+
             while queues:
                 wave = []
                 for read in list(queues):
-                    won, broken = state.get(read, (None, False))
+                    won, broken, _ = state.get(read, (None, False, 0))
                     attempt, where = queues[read].pop(0)
                     if broken or (won is not None and attempt != won):
                         del queues[read]
@@ -81,55 +132,104 @@ def place_chains(found: DataFrame, refs: DataFrame, mean: int, config: AlignConf
                     wave += [(read, attempt, at) for at in where]
                     if not queues[read]:
                         del queues[read]
-                cols = {c: f[c].to_numpy() for c in ("merged", "ref", "start", "ref_length", "seq")}
-                tasks = [Chain(Window(cols["ref"][at], int(cols["start"][at]), int(cols["ref_length"][at])), cols["seq"][at], [x["position"] for x in cols["merged"][at]], [x["tile"] for x in cols["merged"][at]]) for _, _, at in wave]
-                for (read, attempt, at), (m, broken) in zip(wave, place_many(tasks, mean, config)):
-                    won, was = state.get(read, (None, False))
-                    state[read] = (attempt if m is not None else won, was or broken)
-                    mappings[at], failed[at] = m.row() if m is not None else None, broken
-            out = f[keys].assign(mapping=mappings, failed=failed)
-            yield out[out["failed"] | out["mapping"].notna()]
-
-    rows = rows.select(*keys, "seq", "merged", "ref", F.col("from").alias("start"), "ref_length")
+                lazy = chains(wave)
+                while some := list(islice(lazy, CHAINS)):
+                    out = []
+                    for (read, attempt, at, _), (m, broken) in zip(some, place_many([c for *_, c in some], mean, config)):
+                        won, was, n = state.get(read, (None, False, 0))
+                        state[read] = (attempt if m is not None else won, was or broken, n + (m is not None))
+                        if m is not None or broken:
+                            out.append((at, n, m.row() if m is not None else None, broken))
+                    if out:
+                        at, n, mapping, broken = zip(*out)
+                        yield f[keys].iloc[list(at)].assign(map_idx=n, mapping=list(mapping), failed=broken)
+
+    rows = rows.select(*keys, "seq", "merged", "hits", "window", "start", "root")
     schema = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
-    rows = rows.repartition(n, "read_idx").sortWithinPartitions("read_idx", "attempt", "chain_idx")
-    return rows.mapInPandas(run, f"{schema}, mapping {MAPPING}, failed boolean")
+    rows = rows.repartition(n, "read_idx").sortWithinPartitions("read_idx", "attempt", "root")
+    return rows.mapInPandas(run, f"{schema}, map_idx long, mapping {MAPPING}, failed boolean")
 
 
-def map_round(reads: DataFrame, refs: DataFrame, paddings: range, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
-    """All mappings of each read at its first attempt that gives any (READ keys, map_idx, mapping), and rows with
+def map_round(tried: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
+    """All mappings of each read at its first attempt of ``tried`` that gives any (READ keys, map_idx, mapping), and rows with
     failed = true of reads for which computing one went wrong."""
-    tried = written(attempts(reads, paddings, config), "map-attempts")
-    placed = written(place_chains(written(read_chains(tried, refs, config), "map-chains"), refs, mean, config), "map-placed")
-    return placed.select("ref_id", "read_idx", "pair_id", "mate", "mapping", F.col("chain_idx").alias("map_idx"), "failed")
+    roots = written(read_roots(written(tried, "map-attempts"), refs, config), "map-roots")
+    placed = written(place_chains(roots, refs, mean, config), "map-placed")
+    return placed.select("ref_id", "read_idx", "pair_id", "mate", "mapping", "map_idx", "failed")
+
 
+def map_rounds(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT, small: int = SMALL, summary: Summary | None = None) -> DataFrame:
+    """What ``map_round`` gives for all attempts, in rounds over the reads that are still unmapped.
 
-def map_reads(reads: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT) -> DataFrame:
+    First the first division without padding, then the other divisions, then one padding a round. Once ``small`` reads or
+    fewer are left, all their other attempts make one round, in which each task stops a read at its first success.
+    """
+    last = config.max_padding * PADDING + PADDING - 1
+    rounds = [(0, 0), (1, PADDING - 1), *[(p * PADDING, p * PADDING + PADDING - 1) for p in range(1, config.max_padding + 1)]]
+    rest, maps, done = reads.filter(F.length("seq") > config.min_length), None, False
+    for k, (low, high) in enumerate(rounds):
+        left = rest.count()
+        if done or (not left and k):
+            break
+        if k and left <= small:
+            high, done = last, True  # noqa: PLW2901
+        if summary is not None:
+            summary.rounds.append((low, high, left))
+        tried = attempts(rest, range(low // PADDING, high // PADDING + 1), config).filter(F.col("attempt").between(low, high))
+        got = map_round(tried, refs, mean, config)
+        maps = got if maps is None else maps.unionByName(got)
+        if not done:
+            rest = written(rest.join(got.select("read_idx").distinct(), "read_idx", "left_anti"), "map-rest")
+    return maps
+
+
+def map_reads(reads: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT, small: int = SMALL, summary: Summary | None = None) -> DataFrame:
     """``reads`` with the chosen mapping (null: unmapped), from exact tiles, chains and local alignment.
 
-    ``reads``: ref_id, read_idx (unique), pair_id, mate (0 or 1), seq; ``refs``: ref_id (unique), seq. Reads that are
-    null or too short, or whose ref_id is null or isn't in ``refs``, stay unmapped. Two rounds: padding 0 for all
-    reads, all other paddings for those it leaves unmapped. If a read's mapping can't be computed, both mates of its
-    pair stay unmapped, whatever the other one gave.
+    ``reads``: ref_id, read_idx (unique), pair_id, mate (0 or 1), seq; ``refs``: whole sequences or parts, see
+    ``operators.references``, with ref_id unique among whole ones. Reads that are null or too short, or whose ref_id is
+    null or isn't in ``refs``, stay unmapped. If a read's mapping can't be computed, both mates of its pair stay
+    unmapped, whatever the other one gave. ``summary`` gets what was counted on the way.
     """
     mean = mean_read_length(reads).first()["mean_read_length"]
     if mean is None:
         return reads.withColumn("mapping", F.lit(None).cast(MAPPING))
     reads = written(reads, "map-input")
-    first = map_round(reads, refs, range(1), mean, config)
-    rest = reads.join(first.select("read_idx").distinct(), "read_idx", "left_anti")
-    maps = first.unionByName(map_round(rest, refs, range(1, config.max_padding + 1), mean, config))
-    good = maps.join(maps.filter("failed").select("pair_id").distinct(), "pair_id", "left_anti").filter("mapping is not null")
+    maps = map_rounds(reads, refs, mean, config, small, summary)
+    bad, done = Observation(), Observation()
+    failed = written(maps.filter("failed").select("pair_id").distinct().observe(bad, F.count(F.lit(1)).alias("pairs")), "map-failed")
+    good = maps.join(failed, "pair_id", "left_anti").filter("mapping is not null")
     chosen = select_pairs(good.select("pair_id", "mate", "read_idx", "map_idx", "mapping"), length_adjust())
-    return written(reads.join(chosen.select("read_idx", "mapping"), "read_idx", "left"), "map-reads")
+    out = reads.join(chosen.select("read_idx", "mapping"), "read_idx", "left")
+    out = written(out.observe(done, F.count(F.lit(1)).alias("reads"), F.count("mapping").alias("mapped")), "map-reads")
+    if summary is not None:
+        summary.failed_pairs, summary.reads, summary.mapped = bad.get["pairs"], done.get["reads"], done.get["mapped"]
+    return out
+
 
+def with_length(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """``rows`` with the ref_length of their reference; a reference of very many rows is dealt out."""
+    often = rows.groupBy("ref_id").agg(F.count(F.lit(1)).alias("often"))
+    return spread_join(rows.filter(F.col("ref_id").isNotNull()), lengths(refs).join(often, "ref_id"), ["ref_id"], "often", ["read_idx"])
 
-def mutations(mapped: DataFrame, refs: DataFrame) -> DataFrame:
-    """ref_id, position, type, new_base, n: at most one mutation a position, found in more than half of the reads there."""
-    rows = mapped.filter("mapping is not null").join(refs.select("ref_id", F.length("seq").alias("ref_length")), "ref_id")
-    rows = active(rows, length_adjust(), F.col("ref_length"))
-    votes = written(read_mutations(rows), "map-votes")
+
+def mutations(mapped: DataFrame, refs: DataFrame, summary: Summary | None = None) -> DataFrame:
+    """ref_id, position, type, new_base, n: at most one mutation a position, found in more than half of the reads there.
+
+    ``mapped``: ref_id, read_idx (unique), seq, mapping; rows without a mapping or a reference have no vote. No rows: no
+    calls. ``summary`` gets the mean coverage, over the references that reads map to, and the indels left out
+    because their read has another one at the position.
+    """
+    cover, gone = Observation(), Observation()
+    rows = active(with_length(mapped.filter("mapping is not null"), refs), length_adjust(), F.col("ref_length"))
+    inside = F.greatest(F.lit(0), F.least("end", "ref_length") - F.least("start", "ref_length"))
+    rows = written(rows.observe(cover, F.coalesce(F.sum(inside.cast("long")), F.lit(0).cast("long")).alias("bases")), "map-active")
+    votes = written(read_mutations(rows, gone), "map-votes")
+    if summary is not None:
+        summary.bases, summary.dropped_indels = cover.get["bases"], gone.get["dropped"]
+        met = lengths(refs).join(rows.select("ref_id").distinct(), "ref_id", "left_semi").agg(F.sum("ref_length").alias("n")).first()["n"]
+        summary.coverage = summary.bases / met if met else 0.0
     where = votes.select("ref_id", "position").distinct()
     total = depth(rows.select("ref_id", "start", "end"), ["ref_id"], where).withColumnRenamed("depth", "total")
     return majority(votes, ["ref_id", "position"], ["type", "new_base"], ["start", "read_idx", "turn"], total)
@@ -152,12 +252,21 @@ def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignC
     """``reads`` with the best mapping on the whole reference: a long one is cut into overlapping chunks, and the
     chunk with the fewest errors counts, of equals the first.
 
-    ``together`` reads go to Python with one copy of a chunk. Null or empty reads, and reads without a reference,
-    stay unmapped; read_idx is unique, and so is ref_id in ``refs``.
+    ``together`` reads go to Python with one copy of a chunk. Groups of reads meet chunks by reference, chunk and a
+    portion of the groups, so neither a reference nor a chunk is joined in one place. Null or empty reads, and reads
+    without a reference, stay unmapped; read_idx is unique, and so is ref_id among whole sequences. No reads: no rows.
     """
-    parts = refs.select("ref_id", F.col("seq").alias("ref"), F.length("seq").alias("ref_length")).withColumn("c", F.explode(chunks(F.col("ref_length"), mean, config, skip_covered_tail)))
-    parts = parts.select("ref_id", "ref_length", "c.*", F.expr("substring(ref, c.left + 1, c.right - c.left + 1)").alias("ref"))
-    groups = reads.filter(F.length("seq") > 0).groupBy("ref_id", F.expr(f"read_idx div {together}").alias("g")).agg(F.collect_list(F.struct("read_idx", "seq")).alias("rows"))
+    step = config.chunk - 2 * mean
+    rows = with_length(reads.filter(F.length("seq") > 0), refs)
+    groups = rows.groupBy("ref_id", "ref_length", F.expr(f"read_idx div {together}").alias("g")).agg(F.collect_list(F.struct("read_idx", "seq")).alias("rows"))
+    groups = written(groups.withColumn("salt", F.expr(f"g div {PORTION}")), "whole-groups")
+    left = F.explode(F.transform(chunks(F.col("ref_length"), mean, config, skip_covered_tail), lambda c: c["left"].cast("long"))).alias("left")
+    wanted = groups.select("ref_id", "ref_length", "salt").distinct().select("ref_id", "salt", left)
+    keys, n = ["ref_id", "left", "salt"], int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work: not to be coalesced
+    parts = cut(refs, step, config.chunk + 1 - step).select("ref_id", F.col("from").alias("left"), F.col("part").alias("ref"))
+    parts = parts.join(wanted, ["ref_id", "left"]).repartition(n, *keys)
+    pairs = groups.select("ref_id", "ref_length", "salt", "rows", left).repartition(n, *keys).join(parts, keys)
+    pairs = pairs.select("left", F.least(F.col("left") + config.chunk, "ref_length").alias("right"), "rows", "ref", "ref_length")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -179,7 +288,7 @@ def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignC
         found = align_many(tasks, config.max_gap, config.tolerance)
         return pd.DataFrame({"read_idx": [k for k, _ in keys], "left": [x for _, x in keys], "mapping": [m.row() if m else None for m in found]})
 
-    got = groups.join(parts, "ref_id").select("left", "right", "rows", "ref", "ref_length").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, f"read_idx long, left int, mapping {MAPPING}")
+    got = pairs.mapInPandas(run, f"read_idx long, left long, mapping {MAPPING}")
     best = got.filter("mapping is not null").groupBy("read_idx").agg(F.min_by("mapping", F.struct(num_errors(), "left")).alias("mapping"))
     return reads.join(best, "read_idx", "left")
 
