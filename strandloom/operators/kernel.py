@@ -58,6 +58,19 @@ class Window:
 
 #: Back pointers of one batch of windows hold about so many bytes.
 BATCH = 32 << 20
+#: Bits of a key that hold a row or column.
+PLACE_BITS = 20
+PLACES = 1 << PLACE_BITS
+
+
+def pointers(max_gap: int) -> np.dtype:
+    """The type of a back pointer, which goes up to ``max_gap`` + 1."""
+    return np.dtype(np.int8 if max_gap < 127 else np.int16 if max_gap < (1 << 15) - 1 else np.int32)
+
+
+def letters(text: str) -> np.ndarray:
+    """A text's code points, one number each."""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 @dataclass(frozen=True)
@@ -77,8 +90,10 @@ class Task:
         """The window's letters; places past either end of the text hold 0, which equals no base."""
         text = self.ref.text
         a, b = self.left - self.ref.start, self.right + 1 - self.ref.start
-        inner = text[max(a, 0) : max(b, 0)].encode("latin-1", "replace")
-        return np.frombuffer(b"\0" * min(max(-a, 0), b - a) + inner + b"\0" * max(0, b - max(a, len(text))), np.uint8)[: b - a]
+        out = np.zeros(max(b - a, 0), np.uint32)
+        inner = letters(text[max(a, 0) : max(b, 0)])
+        out[max(-a, 0) : max(-a, 0) + len(inner)] = inner
+        return out
 
 
 class Recent:
@@ -121,13 +136,16 @@ def scored(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool = True
 
     ``refs`` (window, row) and ``reads`` (window, column) are letters. All windows go on by one row at a time. A back
     pointer is 0 for the origin, 1 for the diagonal, k + 1 for a deletion and -k for an insertion of k. A key holds a
-    score and, below it, the place it comes from, so that of equal scores the nearest place is the greatest.
+    score and, below it, the place it comes from, so that of equal scores the nearest place is the greatest. ValueError
+    if a window or read is longer than a key can tell.
     """
     count, n = refs.shape
     m = reads.shape[1]
-    back = np.zeros((n + 1, count, m + 1), np.int8) if trace else None
+    if max(n, m) + 1 >= PLACES:
+        raise ValueError(f"a window or read of over {PLACES - 2} letters")
+    back = np.zeros((n + 1, count, m + 1), pointers(max_gap)) if trace else None
     last = np.zeros((count, n + 1), np.int32)
-    columns, wide = np.arange(m + 1, dtype=np.int64), np.int64(1 << 20)
+    columns, wide = np.arange(m + 1, dtype=np.int64), np.int64(PLACES)
     line = np.zeros((count, m + 1), np.int64)
     above = Recent(max_gap)  # keys of the rows before: (score + row) and the row
     above.add(line * wide)
@@ -135,13 +153,13 @@ def scored(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool = True
         match = np.full((count, m + 1), -1, np.int64)
         match[:, 1:] = line[:, :-1] + np.where(reads == refs[:, i - 1 : i], 2, -2)
         best = above.best()
-        gone, skip = (best >> 20) - i - 1, i - (best & (wide - 1))
+        gone, skip = (best >> PLACE_BITS) - i - 1, i - (best & (wide - 1))
         score = np.maximum(match, gone)
         score[:, 0] = 0
         line = np.where(score < 0, -1, score)
         while True:  # insertions may follow insertions, as max_gap bounds each
             ahead = behind((line + columns) * wide + columns, max_gap)
-            more = (ahead >> 20) - columns - 1
+            more = (ahead >> PLACE_BITS) - columns - 1
             raised = np.maximum(line, np.where(more < 0, -1, more))
             if not (raised > line).any():
                 break
@@ -209,10 +227,20 @@ def mapping_from(task: Task, back: np.ndarray, end: int, first: int) -> Mapping:
     return out
 
 
-def best_ends(last: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window, row, and whether the score is below the best, of all ends whose score is near the window's best."""
+def hopeless(last: np.ndarray, m: int, tolerance: int) -> np.ndarray:
+    """Which windows are answered by row 0, the read left out in full, which counts as free of errors.
+
+    It is among the ends where the best score is within the tolerance. Any other end free of errors has all of the read
+    equal and scores 2 m, so if that is more than the tolerance, there is none, and nothing needs to be traced.
+    """
+    return (last.max(axis=1) <= tolerance) & (2 * m > tolerance)
+
+
+def best_ends(last: np.ndarray, tolerance: int, none: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window, row, and whether the score is below the best, of all ends whose score is near the window's best, but for
+    the windows in ``none``."""
     top = last.max(axis=1)
-    window, end = np.nonzero(last >= top[:, None] - tolerance)
+    window, end = np.nonzero((last >= top[:, None] - tolerance) & ~none[:, None])
     return window, end, last[window, end] < top[window]
 
 
@@ -224,33 +252,35 @@ def align_batch(tasks: list[Task], max_gap: int, tolerance: int) -> list[Mapping
     what its cells come from.
     """
     n, m = tasks[0].rows, len(tasks[0].read)
-    letters = lambda ts: (np.stack([t.bases() for t in ts]), np.stack([np.frombuffer(t.read.encode("latin-1", "replace"), np.uint8) for t in ts]))
-    refs, reads = letters(tasks)
+    both = lambda ts: (np.stack([t.bases() for t in ts]), np.stack([letters(t.read) for t in ts]))
+    refs, reads = both(tasks)
     span = 6 * m + 2 * max_gap + 2
     if n <= 2 * span:
         last, back = scored(refs, reads, max_gap)
-        owner, end, lower = best_ends(last, tolerance)
+        none = hopeless(last, m, tolerance)
+        owner, end, lower = best_ends(last, tolerance, none)
         groups = [(tasks, refs, reads, back, owner, end, np.zeros(len(tasks), np.int64), np.arange(len(owner)))]
     else:
         last, _ = scored(refs, reads, max_gap, trace=False)
-        owner, end, lower = best_ends(last, tolerance)
+        none = hopeless(last, m, tolerance)
+        owner, end, lower = best_ends(last, tolerance, none)
         groups = []
         size = np.minimum(end, span)
-        many = max(1, BATCH // ((span + 1) * (m + 1)))
+        many = max(1, BATCH // ((span + 1) * (m + 1) * pointers(max_gap).itemsize))
         for rows in np.unique(size):
             mine = np.flatnonzero(size == rows)
             for at in range(0, len(mine), many):
                 some = mine[at : at + many]
                 short = [Task(tasks[k].ref, tasks[k].read, tasks[k].left + e - int(rows), tasks[k].left + e - 1) for k, e in zip(owner[some].tolist(), end[some].tolist())]
-                r, q = letters(short)
+                r, q = both(short)
                 groups.append((short, r, q, scored(r, q, max_gap)[1], np.arange(len(some)), np.full(len(some), rows), end[some] - rows, some))
     errors, indels = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
     for _, r, q, back, window, stop, cut, some in groups:
         errors[some], indels[some] = traced(r, q, back, window, stop, cut)
     # Of equal ones: the best-scoring ends first, then in order of rows.
     order = np.lexsort((end, lower, indels, errors, owner))
-    won = order[np.searchsorted(owner[order], np.arange(len(tasks)))]
-    out: list[Mapping | None] = [None] * len(tasks)
+    won = order[np.searchsorted(owner[order], np.flatnonzero(~none))]
+    out: list[Mapping | None] = [Mapping(t.left - 1) if x else None for t, x in zip(tasks, none)]
     for some_tasks, _, _, back, window, stop, _, some in groups:
         for f in np.flatnonzero(np.isin(some, won)):
             k, w = int(owner[some[f]]), int(window[f])
@@ -271,7 +301,7 @@ def align_many(tasks: list[Task], max_gap: int, tolerance: int = 4) -> list[Mapp
         if t.rows >= 0:
             sizes.setdefault((t.rows, len(t.read)), []).append(k)
     for (n, m), where in sizes.items():
-        many = max(1, BATCH // ((min(n, 16 * m) + 1) * (m + 1)))
+        many = max(1, BATCH // ((min(n, 16 * m) + 1) * (m + 1) * pointers(max_gap).itemsize))
         for at in range(0, len(where), many):
             some = where[at : at + many]
             for k, mapping in zip(some, align_batch([tasks[k] for k in some], max_gap, tolerance)):

@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
 from strandloom.config import AlignConfig
-from strandloom.operators.kernel import Chain, Recent, Task, Window, align, align_many, drawn, place_many
+from strandloom.operators.kernel import Chain, Recent, Task, Window, align, align_many, drawn, place_many, scored
 from tests import scalar_alignment as scalar
 
 REF = "GCTAAAGACAATTACATAACATACACGTCAGCACGAAACTTGTTGGCC" + "CAGTGTGAATCGCTTAAGGGTTAAGTAAGTGT"
@@ -114,3 +115,46 @@ def test_recent():
         for i, k in enumerate(keys):
             recent.add(np.array([k]))
             assert recent.best()[0] == keys[max(0, i - most + 1) : i + 1].max()
+
+
+@pytest.mark.parametrize("gap", [126, 127, 128, 140, 200, 300])
+def test_long_gaps(gap):
+    """A deletion and an insertion of up to the greatest gap, between parts that are long enough to pay for it."""
+    rng = random.Random(gap)
+    ref = "".join(rng.choices("ACGT", k=1200))
+    for size in (gap - 5, gap):
+        lost = ref[100:400] + ref[400 + size : 700 + size]
+        m = align(Window(ref, 0, 1200), lost, 0, 1200, gap)
+        assert m.errors() == size and [t for t, _, _ in m.indels] == ["D"] and m.position == 100
+        more = ref[100:400] + "".join(rng.choices("ACGT", k=size)) + ref[400:700]
+        m = align(Window(ref, 0, 1200), more, 0, 1200, gap)
+        assert m.position == 100 and sum(n for t, _, n in m.indels if t == "I") >= size - 5
+    ref, read = ref[:330], ref[5:25] + ref[25 + gap - 90 : 45 + gap - 90]
+    for left, right in ((0, 330), (0, 60)):
+        assert same(align(Window(ref, 0, 330), read, left, right, gap), scalar.align(ref, read, left, right, gap))
+
+
+def test_reads_that_fit_nowhere():
+    """They are answered without a trace, and equal the plain version, short reads included."""
+    rng = random.Random(2)
+    ref = "".join(rng.choices("ACGT", k=700))
+    for read in ("N" * 9, "N" * 2, "N", "NA", "AN", "NNANN", "A", "AC", "NNNNNNNNNNACG"):
+        for left, right in ((0, 700), (3, 40), (7, 7)):
+            assert same(align(Window(ref, 0, 700), read, left, right, 25), scalar.align(ref, read, left, right, 25)), (read, left, right)
+    ref = "".join(rng.choices("ACGT", k=8000))
+    began = time.time()
+    align(Window(ref, 0, 8000), ref[50:100], 0, 8000, 25)
+    plain, began = time.time() - began, time.time()
+    assert align(Window(ref, 0, 8000), "N" * 50, 0, 8000, 25).position == -1
+    assert time.time() - began < 2 * plain + 1
+
+
+def test_letters_of_any_script_differ():
+    ref = Window("αβγδεζηθικλμνξοπ", 0, 16)
+    m = align(ref, "δεζωθικλ", 0, 16, 25)
+    assert (m.position, m.mismatches) == (3, {6: "ω"})
+
+
+def test_what_is_too_long_is_refused():
+    with pytest.raises(ValueError):
+        scored(np.zeros((1, 1 << 20), np.uint32), np.zeros((1, 3), np.uint32), 1, trace=False)
