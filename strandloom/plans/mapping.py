@@ -23,7 +23,7 @@ from strandloom.operators.paths import paths
 from strandloom.operators.pileup import active, depth, majority, mapping_order, mutation_lines, read_mutations
 from strandloom.operators.references import PORTION, cut, lengths, spread_join, windows
 from strandloom.sources.shared import written
-from strandloom.sources.text import mean_read_length, read_reads, read_reference
+from strandloom.sources.text import mean_read_length, read_reads, reference_parts
 
 READ = ["ref_id", "read_idx", "pair_id", "mate", "seq"]
 #: Bases of windows that one call of the kernel works on, besides those of the group of reads at hand.
@@ -48,9 +48,13 @@ class Summary:
     dropped_indels: int = 0
     rounds: list[tuple[int, int, int]] = field(default_factory=list)
 
-    def lines(self) -> list[str]:
+    def lines(self, order: bool = False) -> list[str]:
+        """What the command prints; of an ordering job only the share of mapped reads is known."""
         share = 100 * self.mapped / self.reads if self.reads else 0.0
-        return [f"mapped {self.mapped} of {self.reads} reads ({share:.2f} %)", f"mean coverage {self.coverage:.4f}", f"pairs left out as a read failed: {self.failed_pairs}", f"indels left out beside another one: {self.dropped_indels}"]
+        out = [f"mapped {self.mapped} of {self.reads} reads ({share:.2f} %)"]
+        if not order:
+            out += [f"mean coverage {self.coverage:.4f}", f"pairs left out as a read failed: {self.failed_pairs}", f"indel bases left out beside another indel: {self.dropped_indels}"]
+        return out
 
 
 def attempts(reads: DataFrame, paddings: range, config: AlignConfig = DEFAULT) -> DataFrame:
@@ -293,14 +297,21 @@ def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignC
     return reads.join(best, "read_idx", "left")
 
 
-def map_files(spark: SparkSession, reference: str, reads: str, order: bool = False) -> DataFrame:
+def map_files(spark: SparkSession, reference: str, reads: str, order: bool = False, summary: Summary | None = None) -> DataFrame:
     """The command: mutation lines of a reads file (position, line), or with ``order`` its labels in mapped order
-    (rank, label, position). Rows are in the order of their first column."""
-    ref = read_reference(spark, reference)
-    rows = read_reads(spark, reads).join(F.broadcast(ref.select("ref_id")), F.lit(True))  # one row
+    (rank, label, position). Rows are in the order of their first column. ValueError if there isn't just one reference."""
+    parts = written(reference_parts(spark, reference), "reference-parts")
+    names = [r["ref_id"] for r in parts.select("ref_id").distinct().limit(2).collect()]
+    if len(names) != 1:
+        raise ValueError(f"one reference is needed in {reference}")
+    ref, rows = parts.filter("part != ''"), read_reads(spark, reads).withColumn("ref_id", F.lit(names[0]))
     if order:
         mean = mean_read_length(rows).first()["mean_read_length"] or 0
-        placed = whole_alignment(rows, ref, mean)
-        return mapping_order(placed.withColumn("position", F.col("mapping")["position"])).orderBy("rank")
-    calls = mutations(map_reads(rows, ref), ref)
+        placed = whole_alignment(rows, ref, mean).withColumn("position", F.col("mapping")["position"])
+        if summary is not None:
+            seen = Observation()
+            placed = written(placed.observe(seen, F.count(F.lit(1)).alias("reads"), F.count("position").alias("mapped")), "map-order")
+            summary.reads, summary.mapped = seen.get["reads"], seen.get["mapped"]
+        return mapping_order(placed).orderBy("rank")
+    calls = mutations(map_reads(rows, ref, summary=summary), ref, summary)
     return mutation_lines(calls, ref).select("position", "line").orderBy("position")

@@ -7,7 +7,7 @@ from strandloom.config import AlignConfig
 from strandloom.functions import sequence as s
 from strandloom.operators import find, pairs, pileup
 from strandloom.plans.mapping import chunks, map_reads, whole_alignment
-from strandloom.sources.text import read_reads, write_lines
+from strandloom.sources.text import read_reads
 
 
 def test_find_equals_plain_search(spark):
@@ -129,9 +129,6 @@ def test_lines_of_many_parts(spark, tmp_path):
 
 
 def test_written_lines_and_arguments(spark, tmp_path):
-    write_lines(spark.range(20).select(F.col("id"), F.concat(F.lit("x"), "id").alias("line")), "line", ["id"], str(tmp_path / "out"))
-    lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().split()]
-    assert lines == [f"x{i}" for i in range(20)]
     assert arguments(["r"]) is None and arguments(["a", "b", "c", "d", "e"]) is None
     assert arguments(["a", "b"]) == ("a", "b", "output/mappings.txt", False)
     assert arguments(["a", "b", "-m", "o"]) == ("a", "b", "o", True) and arguments(["a", "b", "c", "d"]) == ("a", "b", "d", False)
