@@ -33,7 +33,7 @@ CHAINS = 2048
 #: Attempts are numbered by padding and, within it, division.
 PADDING = 10
 #: With so many unmapped reads or fewer, all their other attempts make one round.
-SMALL = 10_000
+SMALL = 256
 
 
 @dataclass

@@ -8,12 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import MAPPING, bases, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, num_errors, tiles
+from strandloom.config import AlignConfig
+from strandloom.functions.sequence import MAPPING, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, num_errors, tiles
 from strandloom.operators.find import exact_find, suffix_order
 from strandloom.operators.find import seed_hits as find_seeds
 from strandloom.operators.pairs import first_success, nearest_ahead, select_pairs
+from strandloom.operators.paths import streamed_chains
 from strandloom.operators.pileup import active, depth, majority, mapping_order, mutation_lines, ranked, read_mutations
 from strandloom.plans.mapping import attempts, chunks, map_reads, mutations, whole_alignment
+from strandloom.sources.shared import written
 from strandloom.sources.text import concat_lines, mean_read_length
 
 
@@ -117,6 +120,22 @@ def increasing_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("ref_id", "item_id", joined("chain").alias("chain"))
 
 
+def chain_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item's places in a document by tile, none for a tile that isn't there."""
+    rows = tile_hits(spark, sf_dir).groupBy("ref_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("tile_idx", "hits"))).alias("of"))
+    return rows.select("ref_id", "item_id", F.array(*[F.coalesce(F.try_element_at("of", F.lit(k)), F.array().cast("array<int>")) for k in range(3)]).alias("h"))
+
+
+def chain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chains an item has in a document, a tile that isn't there left out; none is made for it."""
+    return chain_hits(spark, sf_dir).select("ref_id", "item_id", chain_count(F.col("h"), 1000).alias("n_chains"))
+
+
+def chain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These chains themselves, made one after the other."""
+    return streamed_chains(chain_hits(spark, sf_dir), ["ref_id", "item_id"], "h", 1000).withColumn("chain", joined("chain"))
+
+
 def pair_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     side = lambda kind, name: events.filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias("ord"), F.col("us").alias(name))
@@ -225,22 +244,43 @@ def called_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutation_lines(mutations(mapped_orders(spark, sf_dir), refs), refs)
 
 
-def planted_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def planted_reads(spark: SparkSession, sf_dir: str, indels: bool = False) -> tuple[DataFrame, DataFrame]:
     """Each customer's orders are a reference: the digests of their keys, one after the other, as bases. Three pairs of
     mates come from each, 4 bases apart; the left ones cover base 30, which two of them have changed if the reference
-    has 64 bases or more. The right ones begin 60 bases on, where the reference is that long."""
+    has 64 bases or more. The right ones begin 60 bases on, where the reference is that long.
+
+    With ``indels`` customers of an even key have the base deleted instead, if it differs from its neighbours, and the
+    others a base inserted before it, which differs from both sides."""
     part = F.translate(F.md5(F.col("o_orderkey").cast("string")), "0123456789abcdef", "ACGT" * 4)
     refs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ref_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("parts"))
-    refs = refs.select("ref_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("seq"))
+    refs = written(refs.select("ref_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("seq")), "planted")
     rows = refs.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
-    other = F.concat(F.substring("seq", 1, 30), F.translate(F.substring("seq", 31, 1), "ACGT", "GTAC"), F.expr("substring(seq, 32)"))
+    base = lambda i: F.substring("seq", i + 1, 1)
+    front, behind = F.substring("seq", 1, 30), F.expr("substring(seq, 32)")
+    other, good = F.concat(front, F.translate(base(30), "ACGT", "GTAC"), behind), F.length("seq") >= 64
+    if indels:
+        new = F.translate(base(30), "ACGT", "CGTA")
+        new = F.when(new != base(29), new).otherwise(F.translate(base(30), "ACGT", "GTAC"))
+        lost = F.col("ref_id") % 2 == 0
+        other = F.when(lost, F.concat(front, behind)).otherwise(F.concat(front, new, base(30), behind))
+        good = good & (~lost | ((base(29) != base(30)) & (base(30) != base(31))))
     left = F.expr("substring(source, k * 4 + 1, 50)")
-    rows = rows.withColumn("source", F.when((F.length("seq") >= 64) & (F.col("k") < 2), other).otherwise(F.col("seq")))
+    rows = rows.withColumn("source", F.when(good & (F.col("k") < 2), other).otherwise(F.col("seq")))
     reads = rows.select("ref_id", "k", F.posexplode(F.array(left, F.expr("substring(seq, k * 4 + 61, 50)"))).alias("mate", "seq"))
     pair = F.col("ref_id") * 3 + F.col("k")
     return reads.select("ref_id", (pair * 2 + F.col("mate")).alias("read_idx"), pair.alias("pair_id"), "mate", pair.cast("string").alias("label"), "seq"), refs
 
 
+def planted_long(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """References of the orders of 256 keys each, about 2000 bases, and of each two reads of 50 bases, at 300 and at 1500
+    where it is that long."""
+    part = F.translate(F.md5(F.col("o_orderkey").cast("string")), "0123456789abcdef", "ACGT" * 4)
+    refs = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 256").alias("ref_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", part.alias("part")))).alias("parts"))
+    refs = written(refs.select("ref_id", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("seq")), "planted")
+    reads = refs.select("ref_id", F.posexplode(F.array(F.expr("substring(seq, 301, 50)"), F.expr("substring(seq, 1501, 50)"))).alias("k", "seq")).filter(F.length("seq") == 50)
+    return reads.select("ref_id", (F.col("ref_id") * 2 + F.col("k")).alias("read_idx"), F.concat("ref_id", F.lit("-"), "k").alias("label"), "seq"), refs
+
+
 def call_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads, refs = planted_reads(spark, sf_dir)
     return mutations(map_reads(reads, refs), refs)
@@ -259,6 +299,24 @@ def map_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping_order(placed.withColumn("position", F.col("mapping")["position"]))
 
 
+def call_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads, refs = planted_reads(spark, sf_dir, indels=True)
+    return mutations(map_reads(reads, refs), refs)
+
+
+def mapped_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each read maps whose pairs have indels planted, and its mapping as text."""
+    reads, refs = planted_reads(spark, sf_dir, indels=True)
+    return map_reads(reads, refs).select("read_idx", F.col("mapping.position").alias("position"), F.when(F.col("mapping").isNotNull(), mapping_text()).alias("line"))
+
+
+def map_order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads aligned with references that are cut into overlapping chunks of 1100 bases, in mapped order."""
+    reads, refs = planted_long(spark, sf_dir)
+    placed = whole_alignment(reads, refs, 50, AlignConfig(chunk=1100))
+    return mapping_order(placed.withColumn("position", F.col("mapping")["position"]))
+
+
 FLAGSHIP = "coverage_depth"
 QUERIES = {
     "reference_concat": reference_concat, "read_pairing": read_pairing, "mean_read_length": mean_length, "short_read_filter": short_read_filter,
@@ -268,6 +326,8 @@ QUERIES = {
     "insertion_points": insertion_points, "suffix_ranks": suffix_ranks, "seed_hits": seed_hits, "first_purchase": first_purchase,
     "mate_select": mate_select, "mapping_errors": mapping_errors, "active_reads": active_reads, "pileup": pileup, "called_lines": called_lines,
     "call_mutations": call_mutations, "mapped_reads": mapped_reads, "map_order": map_order,
+    "chain_counts": chain_counts, "chain_stream": chain_stream, "call_indels": call_indels, "mapped_indels": mapped_indels,
+    "map_order_chunks": map_order_chunks,
 }
 
 SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -300,7 +360,19 @@ VOTES = (
     "votes AS (SELECT ref_id, read_idx, position::INT AS position, type, new_base, kind, start FROM v JOIN m USING (read_idx) WHERE position >= start AND position < stop AND position < ref_length AND position >= 0)"
 )
 PLANTED = "refs AS (SELECT o_custkey AS ref_id, string_agg(translate(md5(o_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY o_orderkey) AS seq FROM orders GROUP BY 1), p AS (SELECT ref_id, seq, k::INT AS k, ref_id * 3 + k AS pair, length(seq) >= 64 AND k < 2 AS changed, translate(substr(seq, 31, 1), 'ACGT', 'GTAC') AS other FROM refs, range(3) AS x(k))"
+CHAINS = f"{TILE_HITS}, k AS (SELECT DISTINCT ref_id, item_id FROM h), c AS (SELECT ref_id, item_id, a.pos AS a, b.pos AS b, c.pos AS c, coalesce(b.pos - a.pos BETWEEN 1 AND 1000, true) AND coalesce(c.pos - coalesce(b.pos, a.pos) BETWEEN 1 AND 1000, true) AS ok FROM k LEFT JOIN (SELECT * FROM h WHERE t = 0) a USING (ref_id, item_id) LEFT JOIN (SELECT * FROM h WHERE t = 1) b USING (ref_id, item_id) LEFT JOIN (SELECT * FROM h WHERE t = 2) c USING (ref_id, item_id))"
+EDITED = (
+    "refs AS (SELECT o_custkey AS ref_id, string_agg(translate(md5(o_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY o_orderkey) AS seq FROM orders GROUP BY 1), "
+    "n AS (SELECT *, CASE WHEN translate(substr(seq, 31, 1), 'ACGT', 'CGTA') != substr(seq, 30, 1) THEN translate(substr(seq, 31, 1), 'ACGT', 'CGTA') ELSE translate(substr(seq, 31, 1), 'ACGT', 'GTAC') END AS base, "
+    "length(seq) >= 64 AND (ref_id % 2 = 1 OR (substr(seq, 30, 1) != substr(seq, 31, 1) AND substr(seq, 31, 1) != substr(seq, 32, 1))) AS good FROM refs), "
+    "p AS (SELECT ref_id, seq, base, k::INT AS k, ref_id * 3 + k AS pair, good AND k < 2 AS changed FROM n, range(3) AS x(k))"
+)
 ORACLE_SQL = {
+    "chain_counts": f"WITH {CHAINS} SELECT ref_id, item_id, count(*) FILTER (ok) AS n_chains FROM c GROUP BY ALL",
+    "chain_stream": f"WITH {CHAINS} SELECT ref_id, item_id, row_number() OVER (PARTITION BY ref_id, item_id ORDER BY a, b, c) - 1 AS chain_idx, concat_ws(',', coalesce(a, -1), coalesce(b, -1), coalesce(c, -1)) AS chain FROM c WHERE ok",
+    "call_indels": f"WITH {EDITED} SELECT DISTINCT ref_id, CASE ref_id % 2 WHEN 0 THEN 30 ELSE 29 END AS position, CASE ref_id % 2 WHEN 0 THEN 'D' ELSE 'I' END AS type, CASE ref_id % 2 WHEN 1 THEN base END AS new_base, 2 AS n FROM p WHERE changed",
+    "mapped_indels": f"WITH {EDITED} SELECT pair * 2 AS read_idx, k * 4 AS position, (k * 4)::VARCHAR || ' ' || CASE WHEN changed THEN CASE ref_id % 2 WHEN 0 THEN 'D30:1' ELSE 'I30:1' END ELSE '' END AS line FROM p UNION ALL SELECT pair * 2 + 1, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN k * 4 + 60 END, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN (k * 4 + 60)::VARCHAR || ' ' END FROM p",
+    "map_order_chunks": "WITH r AS (SELECT o_orderkey // 256 AS ref_id, 32 * count(*) AS size FROM orders GROUP BY 1), p AS (SELECT ref_id, k, 300 + 1200 * k AS position FROM r, range(2) AS x(k) WHERE size >= 350 + 1200 * k) SELECT row_number() OVER (ORDER BY position, ref_id) - 1 AS rank, ref_id || '-' || k AS label, position::INT AS position FROM p",
     "call_mutations": f"WITH {PLANTED} SELECT DISTINCT ref_id, 30 AS position, 'S' AS type, other AS new_base, 2 AS n FROM p WHERE changed",
     "mapped_reads": f"WITH {PLANTED} SELECT pair * 2 AS read_idx, k * 4 AS position, (k * 4)::VARCHAR || ' ' || CASE WHEN changed THEN 'S30:' || other ELSE '' END AS line FROM p UNION ALL SELECT pair * 2 + 1, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN k * 4 + 60 END, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN (k * 4 + 60)::VARCHAR || ' ' END FROM p",
     "map_order": f"WITH {PLANTED} SELECT row_number() OVER (ORDER BY k, pair) - 1 AS rank, pair::VARCHAR AS label, k * 4 AS position FROM p",
