@@ -62,9 +62,70 @@ def has_hit(chain: Column) -> Column:
     return F.exists(chain, lambda p: p >= 0)
 
 
+#: Arrays of up to so many values are searched from the front.
+SHORT = 32
+
+
 def insertion_point(values: Column, value: Column) -> Column:
-    """First place in an ascending array whose value isn't below ``value``; the array's size if there is none."""
-    return F.size(F.filter(values, lambda x: x < value))
+    """First place in an ascending array whose value isn't below ``value``; the array's size if there is none.
+
+    A long array is halved again and again: as many steps as its size has bits. A null value has place 0, a null array none.
+    """
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 1.0)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.coalesce((s["low"] < s["high"]) & (F.try_element_at(values, middle + 1) < value), F.lit(False))
+        low = F.when(below, middle + 1).otherwise(s["low"])
+        high = F.when(below | (s["low"] >= s["high"]), s["high"]).otherwise(middle)
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    halved = F.aggregate(steps, start, halve, lambda s: s["low"])
+    return F.when(F.size(values) <= SHORT, F.size(F.filter(values, lambda x: x < value))).when(values.isNotNull(), halved)
+
+
+def bases_from(ref: Column, place: Column, count: Column) -> Column:
+    """``count`` bases of a reference from ``place`` on; a dot for each that lies before its front or behind its end."""
+    front = F.greatest(F.lit(0), F.least(count, -place))
+    inner = F.substring(ref, F.greatest(place, F.lit(0)) + 1, F.greatest(F.lit(0), count - front))
+    return F.rpad(F.concat(F.repeat(F.lit("."), front), inner), count, F.lit("."))
+
+
+def alignment_view(ref: Column, seq: Column, mapping: str = "mapping") -> Column:
+    """struct<top, low>: the reference and the read as they are aligned, one letter for each column, gaps as '-'.
+
+    One walk over the indels in order of place. What an insertion has beyond the read's end isn't drawn; an indel at a
+    place that a deletion has passed is left out. Null inputs give null.
+    """
+    m, size = F.col(mapping), F.length(seq)
+    state = "struct<i:int,j:int,top:string,low:string>"
+    start = F.struct(m["position"].alias("i"), F.lit(0).alias("j"), F.lit("").alias("top"), F.lit("").alias("low")).cast(state)
+
+    def along(s: Column, count: Column) -> Column:
+        top = F.concat(s["top"], bases_from(ref, s["i"], count))
+        return F.struct((s["i"] + count).alias("i"), (s["j"] + count).alias("j"), top.alias("top"), F.concat(s["low"], F.substring(seq, s["j"] + 1, count)).alias("low")).cast(state)
+
+    def gap(s: Column, x: Column) -> Column:
+        n, rest = x["length"], F.least(x["length"], size - s["j"])
+        lost = F.struct((s["i"] + n).alias("i"), s["j"].alias("j"), F.concat(s["top"], bases_from(ref, s["i"], n)).alias("top"), F.concat(s["low"], F.repeat(F.lit("-"), n)).alias("low"))
+        more = F.struct(s["i"].alias("i"), (s["j"] + rest).alias("j"), F.concat(s["top"], F.repeat(F.lit("-"), rest)).alias("top"), F.concat(s["low"], F.substring(seq, s["j"] + 1, rest)).alias("low"))
+        return F.when(s["j"] >= size, s).when(x["type"] == "D", lost.cast(state)).otherwise(more.cast(state))
+
+    def step(s: Column, x: Column) -> Column:
+        # The walk goes on to the indel first; two nested folds of one element keep each state from being spelled out twice.
+        on = F.transform(F.array(s), lambda t: along(t, F.least(x["position"] - t["i"], size - t["j"])))
+        return F.when(x["position"] < s["i"], s).otherwise(F.element_at(F.transform(on, lambda t: gap(t, x)), 1))
+
+    order = F.array_sort(m["indels"], lambda a, b: a["position"] - b["position"])
+    last = F.aggregate(order, start, lambda s, x: step(s, x).cast(state))
+    done = F.element_at(F.transform(F.array(last), lambda t: along(t, size - t["j"])), 1)
+    return F.when(ref.isNotNull() & seq.isNotNull() & m.isNotNull(), F.struct(done["top"].alias("top"), done["low"].alias("low")))
+
+
+def ungapped(line: Column) -> Column:
+    """What a line of a view shows, without gaps: of the lower one the read, of the upper one its part of the reference."""
+    return F.translate(line, "-.", "")
 
 
 def merge_unmatched(chain: Column, parts: Column) -> Column:

@@ -408,15 +408,16 @@ def drawn(ref: Window, read: str, mapping: Mapping, around: int = 10) -> tuple[s
     top, low, i, j = [], [], mapping.position, 0
     gaps = {p: (t, n) for t, p, n in mapping.indels}
     while j < len(read):
-        kind, n = gaps.pop(i, ("", 0))
-        if kind == "D":
+        while i in gaps and j < len(read):
+            kind, n = gaps.pop(i)
+            if kind == "I":
+                top += "-" * min(n, len(read) - j)
+                low += read[j : j + n]
+                j += n
+                continue
             top += [ref.base(x) for x in range(i, i + n)]
             low += "-" * n
             i += n
-        elif kind == "I":
-            top += "-" * min(n, len(read) - j)
-            low += read[j : j + n]
-            j += n
         if j < len(read):
             top.append(ref.base(i))
             low.append(read[j])

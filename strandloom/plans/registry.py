@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import AlignConfig
-from strandloom.functions.sequence import MAPPING, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, num_errors, tiles
+from strandloom.functions.sequence import MAPPING, alignment_view, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, num_errors, tiles, ungapped
 from strandloom.operators.find import exact_find, suffix_order
 from strandloom.operators.find import seed_hits as find_seeds
 from strandloom.operators.pairs import first_success, nearest_ahead, select_pairs
@@ -317,6 +317,26 @@ def map_order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping_order(placed.withColumn("position", F.col("mapping")["position"]))
 
 
+def alignment_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted left mates with indels as two lines each, by the mapping that they are made with, and the reads and
+    reference parts that the lines give back."""
+    reads, refs = planted_reads(spark, sf_dir, indels=True)
+    rows = reads.filter("mate = 0").join(refs.select("ref_id", F.col("seq").alias("ref")), "ref_id")
+    k = (F.col("pair_id") % 3 * 4).cast("int")
+    changed = F.col("seq") != F.expr("substring(ref, cast(pair_id % 3 * 4 as int) + 1, 50)")
+    gap = F.struct(F.when(F.col("ref_id") % 2 == 0, "D").otherwise("I").alias("type"), F.lit(30).alias("position"), F.lit(1).alias("length"))
+    mapping = F.struct(k.alias("position"), F.array().cast("array<struct<position:int,new_base:string>>").alias("mismatches"), F.when(changed, F.array(gap)).otherwise(F.array().cast("array<struct<type:string,position:int,length:int>>")).alias("indels")).cast(MAPPING)
+    view = rows.withColumn("mapping", mapping).select("pair_id", alignment_view(F.col("ref"), F.col("seq")).alias("v"))
+    return view.select("pair_id", "v.top", "v.low", ungapped(F.col("v.low")).alias("read"), ungapped(F.col("v.top")).alias("part"))
+
+
+def long_insertion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each supplier's balance would stand among all prices of a month's orders."""
+    prices = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sort_array(F.collect_list("o_totalprice")).alias("prices"))
+    asked = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal") * 20, F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("s_suppkey").cast("int")), "yyyy-MM").alias("month")).toDF("s_suppkey", "balance", "month")
+    return asked.join(prices, "month").select("s_suppkey", insertion_point(F.col("prices"), F.col("balance")).alias("place"))
+
+
 FLAGSHIP = "coverage_depth"
 QUERIES = {
     "reference_concat": reference_concat, "read_pairing": read_pairing, "mean_read_length": mean_length, "short_read_filter": short_read_filter,
@@ -327,7 +347,7 @@ QUERIES = {
     "mate_select": mate_select, "mapping_errors": mapping_errors, "active_reads": active_reads, "pileup": pileup, "called_lines": called_lines,
     "call_mutations": call_mutations, "mapped_reads": mapped_reads, "map_order": map_order,
     "chain_counts": chain_counts, "chain_stream": chain_stream, "call_indels": call_indels, "mapped_indels": mapped_indels,
-    "map_order_chunks": map_order_chunks,
+    "map_order_chunks": map_order_chunks, "alignment_views": alignment_views, "long_insertion_points": long_insertion_points,
 }
 
 SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -372,6 +392,8 @@ ORACLE_SQL = {
     "chain_stream": f"WITH {CHAINS} SELECT ref_id, item_id, row_number() OVER (PARTITION BY ref_id, item_id ORDER BY a, b, c) - 1 AS chain_idx, concat_ws(',', coalesce(a, -1), coalesce(b, -1), coalesce(c, -1)) AS chain FROM c WHERE ok",
     "call_indels": f"WITH {EDITED} SELECT DISTINCT ref_id, CASE ref_id % 2 WHEN 0 THEN 30 ELSE 29 END AS position, CASE ref_id % 2 WHEN 0 THEN 'D' ELSE 'I' END AS type, CASE ref_id % 2 WHEN 1 THEN base END AS new_base, 2 AS n FROM p WHERE changed",
     "mapped_indels": f"WITH {EDITED} SELECT pair * 2 AS read_idx, k * 4 AS position, (k * 4)::VARCHAR || ' ' || CASE WHEN changed THEN CASE ref_id % 2 WHEN 0 THEN 'D30:1' ELSE 'I30:1' END ELSE '' END AS line FROM p UNION ALL SELECT pair * 2 + 1, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN k * 4 + 60 END, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN (k * 4 + 60)::VARCHAR || ' ' END FROM p",
+    "alignment_views": f"WITH {EDITED}, v AS (SELECT pair, CASE WHEN changed AND ref_id % 2 = 1 THEN substr(seq, k * 4 + 1, 30 - k * 4) || '-' || substr(seq, 31, 19 + k * 4) ELSE substr(seq, k * 4 + 1, CASE WHEN changed THEN 51 ELSE 50 END) END AS top, CASE WHEN NOT changed THEN substr(seq, k * 4 + 1, 50) WHEN ref_id % 2 = 1 THEN substr(seq, k * 4 + 1, 30 - k * 4) || base || substr(seq, 31, 19 + k * 4) ELSE substr(seq, k * 4 + 1, 30 - k * 4) || '-' || substr(seq, 32, 20 + k * 4) END AS low FROM p) SELECT pair AS pair_id, top, low, replace(low, '-', '') AS read, replace(top, '-', '') AS part FROM v",
+    "long_insertion_points": "WITH a AS (SELECT s_suppkey, s_acctbal * 20 AS balance, strftime(DATE '1995-01-01' + s_suppkey::INT, '%Y-%m') AS month FROM supplier), o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS price FROM orders) SELECT s_suppkey, count(*) FILTER (price < balance)::INT AS place FROM a JOIN o USING (month) GROUP BY s_suppkey",
     "map_order_chunks": "WITH r AS (SELECT o_orderkey // 256 AS ref_id, 32 * count(*) AS size FROM orders GROUP BY 1), p AS (SELECT ref_id, k, 300 + 1200 * k AS position FROM r, range(2) AS x(k) WHERE size >= 350 + 1200 * k) SELECT row_number() OVER (ORDER BY position, ref_id) - 1 AS rank, ref_id || '-' || k AS label, position::INT AS position FROM p",
     "call_mutations": f"WITH {PLANTED} SELECT DISTINCT ref_id, 30 AS position, 'S' AS type, other AS new_base, 2 AS n FROM p WHERE changed",
     "mapped_reads": f"WITH {PLANTED} SELECT pair * 2 AS read_idx, k * 4 AS position, (k * 4)::VARCHAR || ' ' || CASE WHEN changed THEN 'S30:' || other ELSE '' END AS line FROM p UNION ALL SELECT pair * 2 + 1, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN k * 4 + 60 END, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN (k * 4 + 60)::VARCHAR || ' ' END FROM p",

@@ -1,3 +1,4 @@
+import bisect
 import random
 
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from strandloom.__main__ import arguments
 from strandloom.config import AlignConfig
 from strandloom.functions import sequence as s
 from strandloom.operators import find, pairs, pileup
+from strandloom.operators.kernel import Mapping, Window, drawn
 from strandloom.plans.mapping import chunks, map_reads, whole_alignment
 from strandloom.sources.text import read_reads
 
@@ -132,3 +134,49 @@ def test_written_lines_and_arguments(spark, tmp_path):
     assert arguments(["r"]) is None and arguments(["a", "b", "c", "d", "e"]) is None
     assert arguments(["a", "b"]) == ("a", "b", "output/mappings.txt", False)
     assert arguments(["a", "b", "-m", "o"]) == ("a", "b", "o", True) and arguments(["a", "b", "c", "d"]) == ("a", "b", "d", False)
+
+
+def test_insertion_point_by_halves(spark):
+    rng = random.Random(9)
+    rows = [(i, sorted(rng.randint(0, 40 + 4 * n) for _ in range(n)), rng.randint(-3, 60 + 4 * n)) for i, n in enumerate([0, 1, 2, 31, 32, 33, 64, 65, 100, 127, 128, 129, 700] * 6)]
+    rows += [(1000, list(range(100)), None), (1001, None, 5), (1002, [7] * 80, 7), (1003, [7] * 80, 8)]
+    df = spark.createDataFrame(rows, "i int, xs array<int>, x int")
+    got = {r["i"]: r["p"] for r in df.select("i", s.insertion_point(F.col("xs"), F.col("x")).alias("p")).collect()}
+    for i, xs, x in rows:
+        if xs is not None and x is not None:
+            assert got[i] == bisect.bisect_left(xs, x), (i, x)
+    assert got[1000] == 0 and got[1001] is None
+
+
+def test_hot_key_with_an_outlier_is_cut_evenly(spark):
+    """Places of a hot key lie close together but for one far away; parts follow its rows, not the range."""
+    rng = random.Random(10)
+    places = [rng.randint(0, 50_000) for _ in range(6000)] + [10**15]
+    df = spark.createDataFrame([("hot", p) for p in places] + [(f"k{i}", i) for i in range(300)], "k string, at long")
+    parts = {(r["k"], r["part"]): r["n"] for r in pairs.place_ranges(df, "k", "at").groupBy("k", "part").agg(F.count("*").alias("n")).collect()}
+    assert max(parts.values()) < 200 and len(parts) > 200 + 300
+    left = [("hot", i, p) for i, p in enumerate(places[:3000])] + [("one", 1, 5), ("one", 0, 5)]
+    right = [("hot", i, p + 3) for i, p in enumerate(places[3000:])] + [("one", 8, 7), ("one", 7, 7), ("one", 6, 5)]
+    a, b = spark.createDataFrame(left, "k string, ord long, reach long"), spark.createDataFrame(right, "k string, ord long, place long")
+    got = {r["k"]: (r["distance"], r["left_order"], r["right_order"]) for r in pairs.nearest_ahead(a, b, "k").collect()}
+    want = min((p - q, i, j) for k, i, q in left[:3000] for j, p in ((x[1], x[2]) for x in right[:3001]) if p > q)
+    assert got == {"hot": want, "one": (2, 0, 7)}
+    assert pairs.nearest_ahead(a.limit(0), b, "k").collect() == []
+
+
+def test_alignment_view_equals_the_drawn_lines(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for i in range(120):
+        ref = "".join(rng.choices("ACGT", k=60))
+        at = rng.randint(-2, 55)
+        read = "".join(rng.choices("ACGT", k=rng.randint(1, 30)))
+        indels = sorted({p: (rng.choice("DI"), p, rng.randint(1, 5)) for p in rng.sample(range(max(at, 0), 70), 3)}.values(), key=lambda x: x[1])
+        rows.append((i, ref, read, {"position": at, "mismatches": [], "indels": [{"type": t, "position": p, "length": n} for t, p, n in rng.sample(indels, 3)]}))
+        top, low = drawn(Window(ref, 0, 60), read, Mapping(at, {}, indels), 0)
+        want.append((i, top.replace("\0", "."), low))
+    rows.append((999, None, "ACGT", None))
+    view = spark.createDataFrame(rows, f"i int, ref string, seq string, mapping {s.MAPPING}").select("i", "ref", "seq", s.alignment_view(F.col("ref"), F.col("seq")).alias("v"))
+    got = view.select("*", s.ungapped(F.col("v.low")).alias("read")).orderBy("i").collect()
+    assert [(r["i"], r["v"]["top"], r["v"]["low"]) for r in got[:-1]] == want and got[-1]["v"] is None
+    assert all(r["read"] == r["seq"] for r in got[:-1])

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry_module
 from strandloom.plans import registry
 
-NAMES = "customer documents benchmark conversations events lineitem orders".split()
+NAMES = "customer documents benchmark conversations events lineitem orders supplier".split()
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
