@@ -33,6 +33,8 @@ ENDS = {
 }
 SECTIONS = frozenset("thead tbody tfoot colgroup".split())
 SCOPES = frozenset("table td th caption html template".split())
+#: Letters of a line that widen its column, and the last place of a line at which a column may begin aligned.
+WIDE, ALIGNED = 80, 240
 #: Deeper elements join the one at this depth; their text stays.
 DEEPEST = 200
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>")
@@ -207,12 +209,14 @@ class Page:
         return "\n".join(self.lines)
 
 
-def one_line(node: Node, unseen: bool) -> str:
+def block_of(node: Node, unseen: bool) -> list[str]:
+    """The lines of a cell, laid out as a page of its own."""
     page = Page()
     page.unseen = unseen
     for c in node.children:
         render(c, page)
-    return " ".join(x.strip() for x in page.text().split("\n") if x.strip())
+    text = page.text()
+    return text.split("\n") if text else []
 
 
 def rows_of(node: Node, unseen: bool) -> Iterator[tuple[Node, bool, int]]:
@@ -236,46 +240,98 @@ def strays_of(node: Node) -> Iterator[Node | str]:
             yield c
 
 
+class Taken:
+    """Columns that cells of rows above reach into: (from, upto, last row, -1 for all rows of the section)."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, int]] = []
+        self.at = 0
+
+    def row(self, number: int) -> None:
+        """Begins a row: spans that end above it go."""
+        self.spans = [x for x in self.spans if x[2] < 0 or x[2] >= number]
+        self.at = 0
+
+    def free(self, column: int) -> int:
+        """The first free column from this one on; a row asks from left to right."""
+        while self.at < len(self.spans) and self.spans[self.at][0] <= column:
+            column = max(column, self.spans[self.at][1])
+            self.at += 1
+        return column
+
+    def add(self, new: list[tuple[int, int, int]]) -> None:
+        """Ends a row, with the spans that begin in it; neighbours that end in one row become one."""
+        merged: list[tuple[int, int, int]] = []
+        for x in sorted(self.spans + new):
+            if merged and merged[-1][1] == x[0] and merged[-1][2] == x[2]:
+                merged[-1] = (merged[-1][0], x[1], x[2])
+            else:
+                merged.append(x)
+        self.spans = merged
+
+
 def render_table(node: Node, page: Page) -> None:
-    for c in strays_of(node):  # a caption stands above, stray content too
+    """A caption and stray content first, then the rows: cells are blocks of lines, side by side in aligned columns.
+
+    A column is as wide as its longest line of up to ``WIDE`` letters; a longer one pushes what stands right of it. Columns
+    without text take no room, and a table of one column is its blocks as they are. Columns that would begin behind
+    ``ALIGNED`` letters follow by two blanks, so a row's line is longer than its text by about as much at most.
+    """
+    for c in strays_of(node):
         render(c, page)
     page.end()
-    grid, below, section = [], {}, None  # below: for how many more rows (-1: to the section's end) a column is taken
+    grid: list[list[tuple[int, list[str]]]] = []
+    taken, section, number = Taken(), None, 0
     for row, unseen, part in rows_of(node, page.unseen):
         if part != section:
-            below, section = {}, part
-        cells: list[str] = []
-        new: dict[int, int] = {}
-
-        def skip() -> None:
-            while below.get(len(cells), 0):
-                cells.append("")
-
+            taken, section = Taken(), part
+        number += 1
+        taken.row(number)
+        cells, new, column = [], [], 0
         for c in row.children:
             if isinstance(c, Node) and c.tag in ("td", "th"):
                 if c.shown():
-                    skip()
+                    column = taken.free(column)
                     wide, high = min(max(c.number("colspan", 1), 1), 1000), min(max(c.number("rowspan", 1), 0), 65534)
                     if high != 1:
-                        new.update((len(cells) + i, high - 1) for i in range(wide))
-                    cells += [one_line(c, c.unseen(unseen)), *[""] * (wide - 1)]
+                        new.append((column, column + wide, number + high - 1 if high else -1))
+                    if lines := block_of(c, c.unseen(unseen)):
+                        cells.append((column, lines))
+                    column += wide
             elif isinstance(c, Node) or c.strip():
                 was, page.unseen = page.unseen, unseen
                 render(c, page)
                 page.unseen = was
-        below = {k: v - (v > 0) for k, v in below.items() if v > 1 or v < 0} | new
-        grid.append(cells)
+        taken.add(new)
+        if cells:
+            grid.append(cells)
     page.end()
-    widths: list[int] = []
+    widths: dict[int, int] = {}
     for cells in grid:
-        widths += [0] * (len(cells) - len(widths))
-        for i, c in enumerate(cells):
-            widths[i] = max(widths[i], len(c))
+        for column, lines in cells:
+            widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= WIDE), default=1))
+    starts, at = {}, 0
+    for column in sorted(widths):
+        starts[column] = at
+        at += widths[column] + 2
     for cells in grid:
-        line = "  ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip()
-        if line:
-            page.put(line)
-            page.end()
+        i, blank = 0, 0
+        while cells:
+            line = ""
+            for column, lines in cells:
+                if lines[i]:
+                    if line:
+                        line += "  "
+                    line = (line.ljust(starts[column]) if starts[column] <= ALIGNED else line) + lines[i]
+            if line:
+                page.end(blank)
+                page.put(line)
+                blank = 0
+            else:
+                blank += 1
+            i += 1
+            cells = [c for c in cells if len(c[1]) > i]
+        page.end()
 
 
 def render(node: Node | str, page: Page, pre: bool = False) -> None:
@@ -315,6 +371,12 @@ def render_element(node: Node, page: Page, pre: bool) -> None:
         if tag in ("td", "th"):
             page.word(" ")
         return
+    if tag == "details" and node.attribute("open") is None:  # closed: only its summary is seen
+        page.end()
+        for c in [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]:
+            render(c, page, pre)
+        page.end()
+        return
     gap = int(tag in APART and not (tag in ("ul", "ol") and len(page.lead) > 0))
     page.end(gap)
     if tag == "hr":
