@@ -150,6 +150,34 @@ def mapping_text(mapping: str = "mapping") -> Column:
     return F.concat_ws(" ", m["position"].cast("string"), F.array_join(F.concat(wrong, gaps), ","))
 
 
+# How the parts of a mapping are written out in full.
+
+
+def indel_form(x: Column) -> Column:
+    return F.concat(F.lit("Indel{"), x["type"], F.lit("@"), x["position"].cast("string"), F.lit(", l="), x["length"].cast("string"), F.lit("}"))
+
+
+def mutation_form(kind: Column, position: Column, new_base: Column) -> Column:
+    """A mutation of type S (written M), I or D; a deletion has no base."""
+    base = F.when(kind == "D", "").otherwise(F.concat(F.lit(", new="), new_base))
+    return F.concat(F.lit("Mutation{"), F.when(kind == "S", "M").otherwise(kind), F.lit("@"), position.cast("string"), base, F.lit("}"))
+
+
+def mapping_form(m: Column) -> Column:
+    wrong = F.array_join(F.transform(m["mismatches"], lambda x: F.concat(x["new_base"], F.lit("@"), x["position"].cast("string"))), ", ")
+    gaps = F.array_join(F.transform(m["indels"], indel_form), ", ")
+    return F.concat(F.lit("Mapping{pos="), m["position"].cast("string"), F.lit(", mis={"), wrong, F.lit("}, indels={"), gaps, F.lit("}}"))
+
+
+def read_form(seq: Column, m: Column) -> Column:
+    return F.concat(F.lit("ReadSequence{read="), seq, F.lit(", mapping="), mapping_form(m), F.lit("}"))
+
+
+def pair_form(left: Column, right: Column) -> Column:
+    """Both mates' sequences; null if one is."""
+    return F.concat(F.lit("ReadPair{left="), left, F.lit(", right="), right, F.lit("}"))
+
+
 def length_adjust(mapping: str = "mapping") -> Column:
     """Deleted less inserted bases."""
     return F.aggregate(F.col(mapping)["indels"], F.lit(0), lambda a, x: a + F.when(x["type"] == "D", x["length"]).otherwise(-x["length"]))

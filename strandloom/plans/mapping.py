@@ -188,6 +188,18 @@ def map_rounds(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig
     return maps
 
 
+def read_mappings(reads: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT, small: int = SMALL) -> DataFrame:
+    """ref_id, read_idx, pair_id, mate, map_idx (from 0), mapping: all mappings of each read, each read by itself.
+
+    Those of its first attempt that gives any, in order of their chains. Reads that can't be mapped, or of which one
+    mapping can't be computed, have no rows. For ``reads`` and ``refs`` see ``map_reads``. No reads: no rows.
+    """
+    mean = mean_read_length(reads).first()["mean_read_length"] or 0
+    found = map_rounds(written(reads, "map-input"), refs, mean, config, small)
+    bad = found.filter("failed").select("read_idx").distinct()
+    return found.join(bad, "read_idx", "left_anti").filter("mapping is not null").select("ref_id", "read_idx", "pair_id", "mate", "map_idx", "mapping")
+
+
 def map_reads(reads: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT, small: int = SMALL, summary: Summary | None = None) -> DataFrame:
     """``reads`` with the chosen mapping (null: unmapped), from exact tiles, chains and local alignment.
 

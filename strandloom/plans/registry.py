@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import AlignConfig
-from strandloom.functions.sequence import MAPPING, alignment_view, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, num_errors, tiles, ungapped
+from strandloom.functions.sequence import MAPPING, alignment_view, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, mutation_form, num_errors, pair_form, read_form, tiles, ungapped
 from strandloom.operators.find import exact_find, suffix_order
 from strandloom.operators.find import seed_hits as find_seeds
 from strandloom.operators.pairs import first_success, nearest_ahead, select_pairs
 from strandloom.operators.paths import streamed_chains
 from strandloom.operators.pileup import active, depth, majority, mapping_order, mutation_lines, ranked, read_mutations
-from strandloom.plans.mapping import attempts, chunks, map_reads, mutations, whole_alignment
+from strandloom.plans.mapping import attempts, chunks, map_reads, mutations, read_mappings, whole_alignment
 from strandloom.sources.shared import written
 from strandloom.sources.text import concat_lines, mean_read_length
 
@@ -337,6 +337,30 @@ def long_insertion_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(prices, "month").select("s_suppkey", insertion_point(F.col("prices"), F.col("balance")).alias("place"))
 
 
+def all_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mappings of the planted left mates, unchanged, on references that hold each sequence twice."""
+    _, refs = planted_reads(spark, sf_dir)
+    rows = refs.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    reads = rows.select("ref_id", (F.col("ref_id") * 3 + F.col("k")).alias("read_idx"), (F.col("ref_id") * 3 + F.col("k")).alias("pair_id"), F.lit(0).alias("mate"), F.expr("substring(seq, k * 4 + 1, 50)").alias("seq"))
+    found = read_mappings(reads, refs.select("ref_id", F.concat("seq", "seq").alias("seq")))
+    return found.select("read_idx", "map_idx", F.col("mapping.position").alias("position"), num_errors().alias("errors"))
+
+
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as mapped reads, written out in full."""
+    return mapped_orders(spark, sf_dir).select("read_idx", read_form(F.col("seq"), F.col("mapping")).alias("form"))
+
+
+def mutation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mutation of every read, written out: the trace of the pileup."""
+    return pileup(spark, sf_dir).select("ref_id", "read_idx", mutation_form(F.col("type"), F.col("position"), F.col("new_base")).alias("form"))
+
+
+def pair_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).groupBy("conv_id", "pair_id").agg(F.max(F.when(F.col("mate") == 0, F.col("seq"))).alias("a"), F.max(F.when(F.col("mate") == 1, F.col("seq"))).alias("b"))
+    return rows.select("conv_id", "pair_id", pair_form(F.col("a"), F.col("b")).alias("form"))
+
+
 FLAGSHIP = "coverage_depth"
 QUERIES = {
     "reference_concat": reference_concat, "read_pairing": read_pairing, "mean_read_length": mean_length, "short_read_filter": short_read_filter,
@@ -348,6 +372,7 @@ QUERIES = {
     "call_mutations": call_mutations, "mapped_reads": mapped_reads, "map_order": map_order,
     "chain_counts": chain_counts, "chain_stream": chain_stream, "call_indels": call_indels, "mapped_indels": mapped_indels,
     "map_order_chunks": map_order_chunks, "alignment_views": alignment_views, "long_insertion_points": long_insertion_points,
+    "all_mappings": all_mappings, "text_forms": text_forms, "mutation_forms": mutation_forms, "pair_forms": pair_forms,
 }
 
 SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -392,6 +417,10 @@ ORACLE_SQL = {
     "chain_stream": f"WITH {CHAINS} SELECT ref_id, item_id, row_number() OVER (PARTITION BY ref_id, item_id ORDER BY a, b, c) - 1 AS chain_idx, concat_ws(',', coalesce(a, -1), coalesce(b, -1), coalesce(c, -1)) AS chain FROM c WHERE ok",
     "call_indels": f"WITH {EDITED} SELECT DISTINCT ref_id, CASE ref_id % 2 WHEN 0 THEN 30 ELSE 29 END AS position, CASE ref_id % 2 WHEN 0 THEN 'D' ELSE 'I' END AS type, CASE ref_id % 2 WHEN 1 THEN base END AS new_base, 2 AS n FROM p WHERE changed",
     "mapped_indels": f"WITH {EDITED} SELECT pair * 2 AS read_idx, k * 4 AS position, (k * 4)::VARCHAR || ' ' || CASE WHEN changed THEN CASE ref_id % 2 WHEN 0 THEN 'D30:1' ELSE 'I30:1' END ELSE '' END AS line FROM p UNION ALL SELECT pair * 2 + 1, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN k * 4 + 60 END, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN (k * 4 + 60)::VARCHAR || ' ' END FROM p",
+    "all_mappings": f"WITH {PLANTED} SELECT pair AS read_idx, c AS map_idx, (k * 4 + c * length(seq))::INT AS position, 0 AS errors FROM p, range(2) AS y(c) WHERE length(substr(seq, k * 4 + 1, 50)) > 15",
+    "text_forms": f"WITH {ORDERS} SELECT r.read_idx, 'ReadSequence{{read=' || any_value(seq) || ', mapping=Mapping{{pos=' || any_value(position) || ', mis={{' || coalesce(string_agg(substr('ACGT', (spot % 4 + 1)::INT, 1) || '@' || spot, ', ' ORDER BY turn) FILTER (type = 'S'), '') || '}}, indels={{' || coalesce(string_agg('Indel{{' || type || '@' || spot || ', l=' || len || '}}', ', ' ORDER BY turn) FILTER (type <> 'S'), '') || '}}}}}}' AS form FROM r LEFT JOIN (SELECT read_idx, spot, type, len, turn FROM e) AS e USING (read_idx) GROUP BY r.read_idx",
+    "mutation_forms": f"{VOTES} SELECT ref_id, read_idx, 'Mutation{{' || CASE type WHEN 'S' THEN 'M' ELSE type END || '@' || position || CASE WHEN type = 'D' THEN '' ELSE ', new=' || new_base END || '}}' AS form FROM votes",
+    "pair_forms": f"WITH {TURNS} SELECT conv_id, rec // 2 AS pair_id, 'ReadPair{{left=' || max(text) FILTER (rec % 2 = 0) || ', right=' || max(text) FILTER (rec % 2 = 1) || '}}' AS form FROM t WHERE rec < n - n % 2 GROUP BY ALL",
     "alignment_views": f"WITH {EDITED}, v AS (SELECT pair, CASE WHEN changed AND ref_id % 2 = 1 THEN substr(seq, k * 4 + 1, 30 - k * 4) || '-' || substr(seq, 31, 19 + k * 4) ELSE substr(seq, k * 4 + 1, CASE WHEN changed THEN 51 ELSE 50 END) END AS top, CASE WHEN NOT changed THEN substr(seq, k * 4 + 1, 50) WHEN ref_id % 2 = 1 THEN substr(seq, k * 4 + 1, 30 - k * 4) || base || substr(seq, 31, 19 + k * 4) ELSE substr(seq, k * 4 + 1, 30 - k * 4) || '-' || substr(seq, 32, 20 + k * 4) END AS low FROM p) SELECT pair AS pair_id, top, low, replace(low, '-', '') AS read, replace(top, '-', '') AS part FROM v",
     "long_insertion_points": "WITH a AS (SELECT s_suppkey, s_acctbal * 20 AS balance, strftime(DATE '1995-01-01' + s_suppkey::INT, '%Y-%m') AS month FROM supplier), o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS price FROM orders) SELECT s_suppkey, count(*) FILTER (price < balance)::INT AS place FROM a JOIN o USING (month) GROUP BY s_suppkey",
     "map_order_chunks": "WITH r AS (SELECT o_orderkey // 256 AS ref_id, 32 * count(*) AS size FROM orders GROUP BY 1), p AS (SELECT ref_id, k, 300 + 1200 * k AS position FROM r, range(2) AS x(k) WHERE size >= 350 + 1200 * k) SELECT row_number() OVER (ORDER BY position, ref_id) - 1 AS rank, ref_id || '-' || k AS label, position::INT AS position FROM p",
