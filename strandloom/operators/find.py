@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.references import cut
+from strandloom.operators.references import cut, lengths, running_total, spread_join
+from strandloom.sources.shared import written
 
 #: Bases of one block of a reference, at least; blocks are cut in one pass over the sequence. A substring is found by
 #: counting from the front, so blocks are short.
@@ -75,9 +76,52 @@ def seed_hits(tiles: DataFrame, refs: DataFrame, k: int = 16, by_ref: bool = Fal
     return exact_find(refs, tiles, k, by_ref).groupBy("ref_id", "pattern_id").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
 
 
+#: Letters of a suffix that the first ranks go by.
+HEAD = 16
+
+
 def suffix_order(refs: DataFrame) -> DataFrame:
-    """ref_id, rank, start: all suffixes of each sequence in order, the empty one first. For inspection of short
-    sequences: searching goes by ``exact_find``. Null sequences have none; rows of one ref_id are ranked together."""
-    rows = refs.select("ref_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq"))).alias("start"))
-    order = Window.partitionBy("ref_id").orderBy(F.expr("substring(seq, start + 1)"), "start")
-    return rows.select("ref_id", (F.row_number().over(order) - 1).alias("rank"), "start")
+    """ref_id, rank, start: all suffixes of each sequence in order, the empty one first.
+
+    By prefix doubling: suffixes are ranked by their first ``HEAD`` letters, and then, as long as some share a rank, by
+    their own rank and that of the suffix as many letters behind as the ranks go by, so these double each round. A
+    suffix that is alone at its rank is done. No row holds more than ``HEAD`` letters, whatever the length of a
+    sequence. Rows of one rank may be many, so ranks come from counts that are summed up before they are ordered, and
+    are handed back in portions. Null sequences, and those without ref_id, have no suffixes; ref_id is unique.
+    """
+    refs = refs.filter(F.col("ref_id").isNotNull())
+    size = lengths(refs).filter(F.col("ref_length").isNotNull())
+    parts = cut(refs, BLOCK, HEAD)
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("part"), F.lit(BLOCK)) - 1), lambda i: F.struct((F.col("from") + i).alias("start"), F.substring("part", i + 1, HEAD).alias("head"))))
+    rows = parts.select("ref_id", each.alias("x")).select("ref_id", "x.*")
+    rows = written(rows.unionByName(size.select("ref_id", F.col("ref_length").cast("long").alias("start"), F.lit("").alias("head"))), "suffix-heads")
+    groups = rows.groupBy("ref_id", "head").agg(F.count(F.lit(1)).alias("n"))
+    groups = running_total(groups, ["ref_id", "head"], "n", "rank").withColumn("often", F.col("n"))
+    open_ = written(spread_join(rows, written(groups, "suffix-groups"), ["ref_id", "head"], "often", ["start"]).select("ref_id", "start", "rank", (F.col("n") > 1).alias("open")), "suffix-ranks")
+    done, step = open_.filter("not open").drop("open"), HEAD
+    open_ = open_.filter("open").drop("open")
+    while not open_.isEmpty():
+        behind = done.unionByName(open_).select("ref_id", (F.col("start") - step).alias("start"), F.col("rank").alias("next"))
+        rows = written(open_.join(behind, ["ref_id", "start"], "left").fillna(-1, ["next"]), "suffix-pairs")
+        groups = running_total(rows.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")), ["rank", "next"], "n", "upto")
+        groups = written(groups, "suffix-groups")
+        first = groups.groupBy("rank").agg(F.min("upto").alias("first"), F.count(F.lit(1)).alias("often"))
+        groups = spread_join(groups, written(first, "suffix-first"), ["rank"], "often", ["next"])
+        groups = written(groups.select("rank", "next", "n", F.col("n").alias("often"), (F.col("rank") + F.col("upto") - F.col("first")).alias("new")), "suffix-new")
+        ranked = spread_join(rows, groups, ["rank", "next"], "often", ["start"]).select("ref_id", "start", F.col("new").alias("rank"), (F.col("n") > 1).alias("open"))
+        ranked, step = written(ranked, "suffix-ranks"), 2 * step
+        done = done.unionByName(ranked.filter("not open").drop("open"))
+        open_ = ranked.filter("open").drop("open")
+    first = done.groupBy("ref_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("often"))
+    out = spread_join(done, written(first, "suffix-first"), ["ref_id"], "often", ["start"])
+    return out.select("ref_id", (F.col("rank") - F.col("first")).alias("rank"), F.col("start").cast("int").alias("start"))
+
+
+def suffix_bounds(order: DataFrame, hits: DataFrame) -> DataFrame:
+    """ref_id, pattern_id, left, right: the ranks, right excluded, of the suffixes that begin with a pattern.
+
+    ``order`` as from ``suffix_order``, ``hits`` (ref_id, pattern_id, pos) as from ``exact_find``, without repeated rows.
+    A pattern that occurs nowhere has no row.
+    """
+    found = hits.join(order.withColumnRenamed("start", "pos"), ["ref_id", "pos"])
+    return found.groupBy("ref_id", "pattern_id").agg(F.min("rank").alias("left"), (F.max("rank") + 1).alias("right"))

@@ -6,7 +6,7 @@ reference's bases gets them as blocks, cut from either form, and joins them by r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.sources.shared import written
@@ -92,3 +92,17 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], often: str, by
     left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_n", F.lit(1)))).drop("_n")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(portions, F.lit(1)) - 1))).drop(often)
     return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def running_total(rows: DataFrame, order: list, size: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``size`` over the rows before, in ``order`` over the whole table.
+
+    Rows are dealt by ranges and summed up within each; only the ranges' sums, a row a partition, are put in one place.
+    """
+    own = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_at": own})
+    dealt = written(dealt, "ranges")
+    sums = dealt.groupBy("_range").agg(F.sum(size).alias("_n"))
+    before = sums.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    upto = F.sum(size).over(Window.partitionBy("_range").orderBy("_at")) - F.col(size)
+    return dealt.withColumn("_upto", upto).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_upto")).drop("_range", "_at", "_before", "_upto")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import AlignConfig
 from strandloom.functions.sequence import MAPPING, alignment_view, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, mutation_form, num_errors, pair_form, read_form, tiles, ungapped
-from strandloom.operators.find import exact_find, suffix_order
+from strandloom.operators.find import exact_find, suffix_bounds, suffix_order
 from strandloom.operators.find import seed_hits as find_seeds
 from strandloom.operators.pairs import first_success, nearest_ahead, select_pairs
 from strandloom.operators.paths import streamed_chains
@@ -188,6 +188,13 @@ def suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_order(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref_id"), F.col("c_name").alias("seq")))
 
 
+def suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which places in the order of all suffixes of each document an item takes that occurs in it."""
+    refs = written(references(spark, sf_dir), "references")
+    patterns = items(spark, sf_dir).select(F.col("item_id").alias("pattern_id"), F.col("seq").alias("pattern"))
+    return suffix_bounds(suffix_order(refs), exact_find(refs, patterns)).withColumnRenamed("pattern_id", "item_id")
+
+
 def first_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's purchases in the first hour of a day that has any, as attempts and successes."""
     events = table(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
@@ -372,7 +379,7 @@ QUERIES = {
     "call_mutations": call_mutations, "mapped_reads": mapped_reads, "map_order": map_order,
     "chain_counts": chain_counts, "chain_stream": chain_stream, "call_indels": call_indels, "mapped_indels": mapped_indels,
     "map_order_chunks": map_order_chunks, "alignment_views": alignment_views, "long_insertion_points": long_insertion_points,
-    "all_mappings": all_mappings, "text_forms": text_forms, "mutation_forms": mutation_forms, "pair_forms": pair_forms,
+    "suffix_ranges": suffix_ranges, "all_mappings": all_mappings, "text_forms": text_forms, "mutation_forms": mutation_forms, "pair_forms": pair_forms,
 }
 
 SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -417,6 +424,7 @@ ORACLE_SQL = {
     "chain_stream": f"WITH {CHAINS} SELECT ref_id, item_id, row_number() OVER (PARTITION BY ref_id, item_id ORDER BY a, b, c) - 1 AS chain_idx, concat_ws(',', coalesce(a, -1), coalesce(b, -1), coalesce(c, -1)) AS chain FROM c WHERE ok",
     "call_indels": f"WITH {EDITED} SELECT DISTINCT ref_id, CASE ref_id % 2 WHEN 0 THEN 30 ELSE 29 END AS position, CASE ref_id % 2 WHEN 0 THEN 'D' ELSE 'I' END AS type, CASE ref_id % 2 WHEN 1 THEN base END AS new_base, 2 AS n FROM p WHERE changed",
     "mapped_indels": f"WITH {EDITED} SELECT pair * 2 AS read_idx, k * 4 AS position, (k * 4)::VARCHAR || ' ' || CASE WHEN changed THEN CASE ref_id % 2 WHEN 0 THEN 'D30:1' ELSE 'I30:1' END ELSE '' END AS line FROM p UNION ALL SELECT pair * 2 + 1, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN k * 4 + 60 END, CASE WHEN length(seq) - k * 4 - 60 > 15 THEN (k * 4 + 60)::VARCHAR || ' ' END FROM p",
+    "suffix_ranges": f"WITH {FOUND}, f AS (SELECT item_id, ref_id, count(*) AS n FROM found GROUP BY ALL), b AS (SELECT f.item_id, f.ref_id, n, count(*) FILTER (substr(r.seq, i::INT + 1, 2000) < i2.seq) AS low FROM f JOIN refs AS r USING (ref_id) JOIN items AS i2 USING (item_id), unnest(range(length(r.seq) + 1)) AS u(i) GROUP BY ALL) SELECT ref_id, item_id, low AS left, low + n AS right FROM b",
     "all_mappings": f"WITH {PLANTED} SELECT pair AS read_idx, c AS map_idx, (k * 4 + c * length(seq))::INT AS position, 0 AS errors FROM p, range(2) AS y(c) WHERE length(substr(seq, k * 4 + 1, 50)) > 15",
     "text_forms": f"WITH {ORDERS} SELECT r.read_idx, 'ReadSequence{{read=' || any_value(seq) || ', mapping=Mapping{{pos=' || any_value(position) || ', mis={{' || coalesce(string_agg(substr('ACGT', (spot % 4 + 1)::INT, 1) || '@' || spot, ', ' ORDER BY turn) FILTER (type = 'S'), '') || '}}, indels={{' || coalesce(string_agg('Indel{{' || type || '@' || spot || ', l=' || len || '}}', ', ' ORDER BY turn) FILTER (type <> 'S'), '') || '}}}}}}' AS form FROM r LEFT JOIN (SELECT read_idx, spot, type, len, turn FROM e) AS e USING (read_idx) GROUP BY r.read_idx",
     "mutation_forms": f"{VOTES} SELECT ref_id, read_idx, 'Mutation{{' || CASE type WHEN 'S' THEN 'M' ELSE type END || '@' || position || CASE WHEN type = 'D' THEN '' ELSE ', new=' || new_base END || '}}' AS form FROM votes",

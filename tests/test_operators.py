@@ -180,3 +180,28 @@ def test_alignment_view_equals_the_drawn_lines(spark):
     got = view.select("*", s.ungapped(F.col("v.low")).alias("read")).orderBy("i").collect()
     assert [(r["i"], r["v"]["top"], r["v"]["low"]) for r in got[:-1]] == want and got[-1]["v"] is None
     assert all(r["read"] == r["seq"] for r in got[:-1])
+
+
+def test_suffix_order_by_doubling(spark):
+    """Repeats of all lengths, runs of one letter, whole sequences and parts; against the plain order."""
+    rng = random.Random(13)
+    text = lambda n, letters="ACGT": "".join(rng.choices(letters, k=n))
+    again = text(200)
+    rows = [("a", ""), ("b", "A"), ("c", "A" * 300), ("d", again + text(30) + again + "G" + again[:90]), ("e", "banana"), ("f", text(500, "AB")), ("g", "é" * 40 + "zéa"), ("h", text(700))]
+    want = {(k, r, i) for k, t in rows for r, i in enumerate(sorted(range(len(t) + 1), key=lambda i: t[i:].encode()))}
+    refs = spark.createDataFrame([*rows, ("n", None), (None, "AC")], "ref_id string, seq string")
+    got = find.suffix_order(refs).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    parts = spark.createDataFrame([(k, i, t[i : i + 37]) for k, t in rows for i in range(0, len(t), 37)], "ref_id string, from long, part string")
+    assert {tuple(r) for r in find.suffix_order(parts).collect()} == {w for w in want if w[0] != "a"}
+    asked = [(1, "A"), (2, again[:50]), (3, "an"), (4, "nowhere")]
+    hits = find.exact_find(refs, spark.createDataFrame(asked, "pattern_id int, pattern string"))
+    found = {tuple(r) for r in find.suffix_bounds(find.suffix_order(refs), hits).collect()}
+    plain = set()
+    for k, t in rows:
+        order = sorted(t[i:] for i in range(len(t) + 1))
+        for p, x in asked:
+            if x in t:
+                plain.add((k, p, bisect.bisect_left(order, x), bisect.bisect_left(order, x) + sum(s.startswith(x) for s in order)))
+    assert found == {f for f in plain if f[0] != "g"}
+    assert find.suffix_order(refs.limit(0)).collect() == []
