@@ -37,7 +37,7 @@ def depth(intervals: DataFrame, keys: list[str], at: DataFrame | None = None) ->
 
 def active(mapped: DataFrame, length_adjust, ref_length) -> DataFrame:
     """Adds start and end: where a mapped read counts. A read before the reference never does; one whose end isn't
-    behind its start does up to the reference's end."""
+    behind its start does up to the reference's end. A null mapping has no row, and a null sequence a null end."""
     start = F.col("mapping")["position"]
     end = start + length_adjust + F.length("seq")
     return mapped.filter(start >= 0).withColumn("start", start).withColumn("end", F.when(end <= start, ref_length).otherwise(end))
@@ -80,7 +80,8 @@ def majority(votes: DataFrame, keys: list[str], choice: list[str], order: list[s
 def mutation_lines(calls: DataFrame, refs: DataFrame) -> DataFrame:
     """ref_id, position, line: '>S<position> <base> <new base>', '>I<position> <new base>' or '>D<position> <base>'.
 
-    References are cut into pieces that meet the calls by reference and place.
+    References are cut into pieces that meet the calls by reference and place. A call behind its reference's end or of
+    another reference has no line, one with a null type or position neither; repeated calls repeat their lines.
     """
     pieces = cut(refs, PIECE, 0).select("ref_id", F.col("block").alias("piece"), "part")
     rows = calls.withColumn("piece", F.expr(f"position div {PIECE}")).join(pieces, ["ref_id", "piece"])
@@ -92,7 +93,8 @@ def mutation_lines(calls: DataFrame, refs: DataFrame) -> DataFrame:
 def ranked(rows: DataFrame, first: str, second: str) -> DataFrame:
     """``rows`` with rank: the place, from 0, by ``first`` (nulls last), then ``second``.
 
-    Rows are dealt by ranges and numbered within each; only the ranges' sizes are summed up in one place.
+    Rows are dealt by ranges and numbered within each; only the ranges' sizes are summed up in one place. Rows equal in
+    both stand in any order next to each other. No rows: no rows.
     """
     order = [F.col(first).asc_nulls_last(), F.col(second).asc()]
     dealt = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "rank-ranges")
@@ -103,5 +105,5 @@ def ranked(rows: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def mapping_order(mapped: DataFrame) -> DataFrame:
-    """rank, label, position: all reads by mapped position, unmapped ones last."""
+    """rank, label, position: all reads by mapped position, of equal ones by read_idx (unique), unmapped ones last."""
     return ranked(mapped.select("label", "position", "read_idx"), "position", "read_idx").select("rank", "label", "position")

@@ -8,7 +8,7 @@ from strandloom.config import AlignConfig
 from strandloom.functions import sequence as s
 from strandloom.operators import find, pairs, pileup
 from strandloom.operators.kernel import Mapping, Window, drawn
-from strandloom.plans.mapping import chunks, map_reads, whole_alignment
+from strandloom.plans.mapping import chunks, map_reads, mutations, read_mappings, whole_alignment
 from strandloom.sources.text import read_reads
 
 
@@ -205,3 +205,20 @@ def test_suffix_order_by_doubling(spark):
                 plain.add((k, p, bisect.bisect_left(order, x), bisect.bisect_left(order, x) + sum(s.startswith(x) for s in order)))
     assert found == {f for f in plain if f[0] != "g"}
     assert find.suffix_order(refs.limit(0)).collect() == []
+
+
+def test_empty_tables(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    reads = none("ref_id string, read_idx long, pair_id long, mate int, seq string")
+    refs, maps = none("ref_id string, seq string"), none(f"pair_id long, mate int, read_idx long, map_idx long, mapping {s.MAPPING}")
+    mapped = none(f"ref_id string, read_idx long, seq string, mapping {s.MAPPING}")
+    votes = none("k string, c string, o int")
+    for out in (
+        pileup.depth(none("k string, start int, end int"), ["k"]),
+        pileup.majority(votes, ["k"], ["c"], ["o"], none("k string, total long")),
+        mutations(mapped, refs), map_reads(reads, refs), read_mappings(reads, refs), whole_alignment(reads, refs, 20),
+        pairs.select_pairs(maps, s.length_adjust()), pairs.first_success(votes, "k", "o", "c = 'x'"),
+        find.seed_hits(none("pattern_id int, pattern string"), refs), find.suffix_order(refs), pileup.mapping_order(none("label string, position int, read_idx long")),
+        pileup.mutation_lines(none("ref_id string, position int, type string, new_base string"), refs),
+    ):
+        assert out.collect() == []
