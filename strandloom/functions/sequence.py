@@ -150,6 +150,17 @@ def mapping_text(mapping: str = "mapping") -> Column:
     return F.concat_ws(" ", m["position"].cast("string"), F.array_join(F.concat(wrong, gaps), ","))
 
 
+def mutation_key(kind: Column, position: Column, new_base: Column) -> Column:
+    """What makes two mutations the same: type, position and base, which a deletion doesn't have; for grouping and joins."""
+    return F.struct(kind.alias("type"), position.alias("position"), F.when(kind != "D", new_base).alias("new_base"))
+
+
+def same_mapping(a: Column, b: Column) -> Column:
+    """Whether two mappings have the same position and the same mismatches and indels, in any order; nulls equal each other."""
+    parts = lambda m: F.struct(m["position"], F.array_sort(m["mismatches"]), F.array_sort(m["indels"]))
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(parts(a).eqNullSafe(parts(b)))
+
+
 # How the parts of a mapping are written out in full.
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, AlignConfig
-from strandloom.functions.sequence import MAPPING, ladder, length_adjust, merge_unmatched, num_errors, tiles
+from strandloom.functions.sequence import MAPPING, insertion_point, ladder, length_adjust, merge_unmatched, num_errors, tiles
 from strandloom.operators.find import seed_hits
 from strandloom.operators.kernel import Chain, Task, Window, align_many, place_many
 from strandloom.operators.pairs import select_pairs
@@ -84,7 +84,13 @@ def read_roots(tried: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT)
     rows = rows.withColumn("merged", merge_unmatched(pattern, F.col("parts")))
     rows = rows.withColumn("root", F.explode(F.col("found")[0]["hits"]))
     reach = F.col("root") + config.max_gap * F.size("found")
-    near = F.transform("found", lambda x, i: F.filter(x["hits"], lambda p: F.when(i == 0, p == F.col("root")).otherwise((p > F.col("root")) & (p <= reach))))
+
+    def near_hits(x: Column, i: Column) -> Column:
+        """A tile's places within reach, found by halving: a tile may stand at very many places of a reference."""
+        low, high = insertion_point(x["hits"], F.col("root") + 1), insertion_point(x["hits"], reach + 1)
+        return F.when(i == 0, F.array("root")).otherwise(F.slice(x["hits"], low + 1, high - low))
+
+    near = F.transform("found", near_hits)
     return rows.withColumn("hits", near).drop("found", "parts").filter(F.forall("hits", lambda h: F.size(h) > 0))
 
 

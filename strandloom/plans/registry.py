@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import AlignConfig
-from strandloom.functions.sequence import MAPPING, alignment_view, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, mutation_form, num_errors, pair_form, read_form, tiles, ungapped
+from strandloom.functions.sequence import MAPPING, alignment_view, bases, chain_count, chains, has_hit, insertion_point, ladder, length_adjust, mapping_text, merge_unmatched, mutation_form, mutation_key, num_errors, pair_form, read_form, tiles, ungapped
 from strandloom.operators.find import exact_find, suffix_bounds, suffix_order
 from strandloom.operators.find import seed_hits as find_seeds
 from strandloom.operators.pairs import first_success, nearest_ahead, select_pairs
@@ -363,6 +363,13 @@ def mutation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup(spark, sf_dir).select("ref_id", "read_idx", mutation_form(F.col("type"), F.col("position"), F.col("new_base")).alias("form"))
 
 
+def distinct_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different mutations the reads of each document have, and how often they were seen."""
+    rows = pileup(spark, sf_dir).select("ref_id", mutation_key(F.col("type"), F.col("position"), F.col("new_base")).alias("key"))
+    rows = rows.groupBy("ref_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("ref_id").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("seen"))
+
+
 def pair_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).groupBy("conv_id", "pair_id").agg(F.max(F.when(F.col("mate") == 0, F.col("seq"))).alias("a"), F.max(F.when(F.col("mate") == 1, F.col("seq"))).alias("b"))
     return rows.select("conv_id", "pair_id", pair_form(F.col("a"), F.col("b")).alias("form"))
@@ -379,7 +386,7 @@ QUERIES = {
     "call_mutations": call_mutations, "mapped_reads": mapped_reads, "map_order": map_order,
     "chain_counts": chain_counts, "chain_stream": chain_stream, "call_indels": call_indels, "mapped_indels": mapped_indels,
     "map_order_chunks": map_order_chunks, "alignment_views": alignment_views, "long_insertion_points": long_insertion_points,
-    "suffix_ranges": suffix_ranges, "all_mappings": all_mappings, "text_forms": text_forms, "mutation_forms": mutation_forms, "pair_forms": pair_forms,
+    "suffix_ranges": suffix_ranges, "all_mappings": all_mappings, "text_forms": text_forms, "mutation_forms": mutation_forms, "pair_forms": pair_forms, "distinct_mutations": distinct_mutations,
 }
 
 SEQ = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -428,6 +435,7 @@ ORACLE_SQL = {
     "all_mappings": f"WITH {PLANTED} SELECT pair AS read_idx, c AS map_idx, (k * 4 + c * length(seq))::INT AS position, 0 AS errors FROM p, range(2) AS y(c) WHERE length(substr(seq, k * 4 + 1, 50)) > 15",
     "text_forms": f"WITH {ORDERS} SELECT r.read_idx, 'ReadSequence{{read=' || any_value(seq) || ', mapping=Mapping{{pos=' || any_value(position) || ', mis={{' || coalesce(string_agg(substr('ACGT', (spot % 4 + 1)::INT, 1) || '@' || spot, ', ' ORDER BY turn) FILTER (type = 'S'), '') || '}}, indels={{' || coalesce(string_agg('Indel{{' || type || '@' || spot || ', l=' || len || '}}', ', ' ORDER BY turn) FILTER (type <> 'S'), '') || '}}}}}}' AS form FROM r LEFT JOIN (SELECT read_idx, spot, type, len, turn FROM e) AS e USING (read_idx) GROUP BY r.read_idx",
     "mutation_forms": f"{VOTES} SELECT ref_id, read_idx, 'Mutation{{' || CASE type WHEN 'S' THEN 'M' ELSE type END || '@' || position || CASE WHEN type = 'D' THEN '' ELSE ', new=' || new_base END || '}}' AS form FROM votes",
+    "distinct_mutations": f"{VOTES} SELECT ref_id, count(DISTINCT (position, type, CASE WHEN type != 'D' THEN new_base END)) AS different, count(*) AS seen FROM votes GROUP BY ref_id",
     "pair_forms": f"WITH {TURNS} SELECT conv_id, rec // 2 AS pair_id, 'ReadPair{{left=' || max(text) FILTER (rec % 2 = 0) || ', right=' || max(text) FILTER (rec % 2 = 1) || '}}' AS form FROM t WHERE rec < n - n % 2 GROUP BY ALL",
     "alignment_views": f"WITH {EDITED}, v AS (SELECT pair, CASE WHEN changed AND ref_id % 2 = 1 THEN substr(seq, k * 4 + 1, 30 - k * 4) || '-' || substr(seq, 31, 19 + k * 4) ELSE substr(seq, k * 4 + 1, CASE WHEN changed THEN 51 ELSE 50 END) END AS top, CASE WHEN NOT changed THEN substr(seq, k * 4 + 1, 50) WHEN ref_id % 2 = 1 THEN substr(seq, k * 4 + 1, 30 - k * 4) || base || substr(seq, 31, 19 + k * 4) ELSE substr(seq, k * 4 + 1, 30 - k * 4) || '-' || substr(seq, 32, 20 + k * 4) END AS low FROM p) SELECT pair AS pair_id, top, low, replace(low, '-', '') AS read, replace(top, '-', '') AS part FROM v",
     "long_insertion_points": "WITH a AS (SELECT s_suppkey, s_acctbal * 20 AS balance, strftime(DATE '1995-01-01' + s_suppkey::INT, '%Y-%m') AS month FROM supplier), o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS price FROM orders) SELECT s_suppkey, count(*) FILTER (price < balance)::INT AS place FROM a JOIN o USING (month) GROUP BY s_suppkey",

@@ -222,3 +222,22 @@ def test_empty_tables(spark):
         pileup.mutation_lines(none("ref_id string, position int, type string, new_base string"), refs),
     ):
         assert out.collect() == []
+
+
+def test_equal_mappings_and_mutations(spark):
+    one = {"position": 3, "mismatches": [{"position": 5, "new_base": "A"}, {"position": 4, "new_base": "C"}], "indels": [{"type": "D", "position": 9, "length": 2}]}
+    other = one | {"mismatches": one["mismatches"][::-1]}
+    wrong = [one | {"position": 4}, one | {"indels": []}, one | {"mismatches": [{"position": 5, "new_base": "G"}, {"position": 4, "new_base": "C"}]}, one | {"indels": [{"type": "I", "position": 9, "length": 2}]}, None]
+    rows = [(one, other, True), (None, None, True), *[(one, w, False) for w in wrong]]
+    df = spark.createDataFrame(rows, f"a {s.MAPPING}, b {s.MAPPING}, want boolean")
+    assert all(r["got"] == r["want"] for r in df.select("want", s.same_mapping(F.col("a"), F.col("b")).alias("got")).collect())
+    keys = spark.createDataFrame([("D", 1, "A"), ("D", 1, None), ("I", 1, "A"), ("I", 1, "C"), ("S", 1, "A")], "t string, p int, b string")
+    assert keys.select(s.mutation_key(F.col("t"), F.col("p"), F.col("b")).alias("k")).distinct().count() == 4
+
+
+def test_no_gap_in_a_chain_is_above_the_limit(spark):
+    rng = random.Random(14)
+    rows = [([sorted(rng.sample(range(120), rng.randint(0, 4))) for _ in range(5)],) for _ in range(600)]
+    got = spark.createDataFrame(rows, "h array<array<int>>").select(F.explode(s.chains(F.col("h"))).alias("c")).collect()
+    found = [[p for p in r["c"] if p >= 0] for r in got]
+    assert len(found) > 100 and all(0 < b - a <= 25 for c in found for a, b in zip(c, c[1:]))
