@@ -8,6 +8,9 @@ best score the one with the fewest errors counts, then with the fewest indels, t
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -131,25 +134,22 @@ def behind(key: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
-def scored(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """Last column's scores (window, row), and with ``trace`` back pointers (row, window, column) of a batch of windows.
+def score_rows(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool, first: int = 0, held: list[np.ndarray] | None = None, stop: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(row, its scores, with ``trace`` its back pointers) of the rows behind ``first``, up to ``stop``, of a batch of windows.
 
     ``refs`` (window, row) and ``reads`` (window, column) are letters. All windows go on by one row at a time. A back
     pointer is 0 for the origin, 1 for the diagonal, k + 1 for a deletion and -k for an insertion of k. A key holds a
-    score and, below it, the place it comes from, so that of equal scores the nearest place is the greatest. ValueError
-    if a window or read is longer than a key can tell.
+    score and, below it, the place it comes from, so that of equal scores the nearest place is the greatest. ``held``
+    are the scores of up to ``max_gap`` rows that end with ``first``: all that the rows behind it depend on.
     """
-    count, n = refs.shape
-    m = reads.shape[1]
-    if max(n, m) + 1 >= PLACES:
-        raise ValueError(f"a window or read of over {PLACES - 2} letters")
-    back = np.zeros((n + 1, count, m + 1), pointers(max_gap)) if trace else None
-    last = np.zeros((count, n + 1), np.int32)
+    count, m = reads.shape
     columns, wide = np.arange(m + 1, dtype=np.int64), np.int64(PLACES)
-    line = np.zeros((count, m + 1), np.int64)
     above = Recent(max_gap)  # keys of the rows before: (score + row) and the row
-    above.add(line * wide)
-    for i in range(1, n + 1):
+    for k, line in enumerate(held or [np.zeros((count, m + 1), np.int64)]):
+        row = first - len(held or [0]) + 1 + k
+        line = line.astype(np.int64)  # noqa: PLW2901
+        above.add((line + row) * wide + row)
+    for i in range(first + 1, (refs.shape[1] if stop is None else stop) + 1):
         match = np.full((count, m + 1), -1, np.int64)
         match[:, 1:] = line[:, :-1] + np.where(reads == refs[:, i - 1 : i], 2, -2)
         best = above.best()
@@ -157,6 +157,9 @@ def scored(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool = True
         score = np.maximum(match, gone)
         score[:, 0] = 0
         line = np.where(score < 0, -1, score)
+        if max_gap == 1:  # a run of insertions loses 2 a column, and none falls below 0 before its end does
+            run = np.maximum.accumulate(line + 2 * columns, axis=1) - 2 * columns
+            line = np.maximum(line, np.where(run < 0, -1, run))
         while True:  # insertions may follow insertions, as max_gap bounds each
             ahead = behind((line + columns) * wide + columns, max_gap)
             more = (ahead >> PLACE_BITS) - columns - 1
@@ -164,16 +167,61 @@ def scored(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool = True
             if not (raised > line).any():
                 break
             line = raised
+        code = None
         if trace:
             code = np.where(line == match, 1, np.where(line == gone, skip + 1, (ahead & (wide - 1)) - columns))
             code[line < 0] = 0
             code[:, 0] = 0
-            back[i] = code
-        last[:, i] = line[:, m]
+        yield i, line, code
         above.add((line + i) * wide + i)
+
+
+def scored(refs: np.ndarray, reads: np.ndarray, max_gap: int, trace: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Last column's scores (window, row), and with ``trace`` back pointers (row, window, column) of a batch of windows.
+
+    ValueError if a window or read is longer than a key can tell.
+    """
+    (count, n), m = refs.shape, reads.shape[1]
+    if max(n, m) + 1 >= PLACES:
+        raise ValueError(f"a window or read of over {PLACES - 2} letters")
+    back = np.zeros((n + 1, count, m + 1), pointers(max_gap)) if trace else None
+    last = np.zeros((count, n + 1), np.int32)
+    for i, line, code in score_rows(refs, reads, max_gap, trace):
+        last[:, i] = line[:, m]
+        if trace:
+            back[i] = code
     return last, back
 
 
+class Checkpoints:
+    """Back pointers of one long window, by row and column, without a table of all of them.
+
+    One pass keeps the scores of ``max_gap`` rows at every ``step``-th row. A trace goes upwards, and the rows
+    between two of these are scored again, with pointers, when it gets there: both take about the square root of the
+    rows.
+    """
+
+    def __init__(self, refs: np.ndarray, reads: np.ndarray, max_gap: int):
+        self.refs, self.reads, self.max_gap = refs, reads, max_gap
+        self.rows, self.step = refs.shape[1], max(1, math.isqrt(refs.shape[1] * max_gap))
+        recent = deque([np.zeros((1, reads.shape[1] + 1), np.int32)], maxlen=max_gap)
+        self.held, self.at, self.table = {0: list(recent)}, -1, np.zeros((0, 0))
+        for i, line, _ in score_rows(refs, reads, max_gap, trace=False):
+            recent.append(line.astype(np.int32))
+            if i % self.step == 0:
+                self.held[i] = list(recent)
+
+    def __getitem__(self, place: tuple[int, int]) -> int:
+        i, j = place
+        block = (i - 1) // self.step * self.step
+        if block != self.at:
+            stop = min(block + self.step, self.rows)
+            kind = pointers(self.max_gap)
+            self.table = np.stack([code[0].astype(kind) for _, _, code in score_rows(self.refs, self.reads, self.max_gap, True, block, self.held[block], stop)])
+            self.at = block
+        return self.table[i - 1 - block, j]
+
+
 def traced(refs: np.ndarray, reads: np.ndarray, back: np.ndarray, window: np.ndarray, end: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Errors and number of indels of the traces from row ``end`` of each ``window``'s last column, all at once.
 
@@ -208,7 +256,7 @@ def traced(refs: np.ndarray, reads: np.ndarray, back: np.ndarray, window: np.nda
     return errors, indels
 
 
-def mapping_from(task: Task, back: np.ndarray, end: int, first: int) -> Mapping:
+def mapping_from(task: Task, back: np.ndarray | Checkpoints, end: int, first: int) -> Mapping:
     """The mapping of one trace; ``back`` is one window's (row, column), ``first`` the place where a rest of the read's front is put."""
     out, (i, j), seen, read = Mapping(0), (end, len(task.read)), (0, 0), task.read
     while i > 0 and j > 0:
@@ -249,43 +297,58 @@ def align_batch(tasks: list[Task], max_gap: int, tolerance: int) -> list[Mapping
 
     Long windows go through the score table once without back pointers; then each end has a short window of its own,
     which holds all that its trace can reach: a trace over more than 3 rows a base would fall below 0, and so would
-    what its cells come from.
+    what its cells come from. A window whose table would be larger than a batch goes by checkpoints.
     """
     n, m = tasks[0].rows, len(tasks[0].read)
     both = lambda ts: (np.stack([t.bases() for t in ts]), np.stack([letters(t.read) for t in ts]))
     refs, reads = both(tasks)
     span = 6 * m + 2 * max_gap + 2
-    if n <= 2 * span:
+    bytes_of = lambda rows: (rows + 1) * (m + 1) * pointers(max_gap).itemsize
+    best: dict[int, tuple[tuple, Mapping]] = {}
+
+    def offer(some: np.ndarray, errors: np.ndarray, indels: np.ndarray, made) -> None:
+        """Of the ends ``some`` the first of each task stays if it is the best so far; ``made`` gives the mapping of one."""
+        # Of equal ones: the best-scoring ends first, then in order of rows.
+        order = np.lexsort((end[some], lower[some], indels, errors, owner[some]))
+        for x in order[np.unique(owner[some][order], return_index=True)[1]].tolist():
+            f = int(some[x])
+            k, key = int(owner[f]), (int(errors[x]), int(indels[x]), bool(lower[f]), int(end[f]))
+            if k not in best or key < best[k][0]:
+                best[k] = (key, made(x))
+
+    if n <= 2 * span and bytes_of(n) <= BATCH:
         last, back = scored(refs, reads, max_gap)
         none = hopeless(last, m, tolerance)
         owner, end, lower = best_ends(last, tolerance, none)
-        groups = [(tasks, refs, reads, back, owner, end, np.zeros(len(tasks), np.int64), np.arange(len(owner)))]
+        errors, indels = traced(refs, reads, back, owner, end, np.zeros(len(tasks), np.int64))
+        offer(np.arange(len(owner)), errors, indels, lambda x: mapping_from(tasks[owner[x]], back[:, owner[x]], int(end[x]), tasks[owner[x]].left))
     else:
         last, _ = scored(refs, reads, max_gap, trace=False)
         none = hopeless(last, m, tolerance)
         owner, end, lower = best_ends(last, tolerance, none)
-        groups = []
         size = np.minimum(end, span)
-        many = max(1, BATCH // ((span + 1) * (m + 1) * pointers(max_gap).itemsize))
-        for rows in np.unique(size):
+        many = max(1, BATCH // bytes_of(span))
+
+        def window(f: int) -> Task:
+            t, e, rows = tasks[owner[f]], int(end[f]), int(size[f])
+            return Task(t.ref, t.read, t.left + e - rows, t.left + e - 1)
+
+        for rows in np.unique(size).tolist():
             mine = np.flatnonzero(size == rows)
+            if bytes_of(rows) > BATCH:  # no table, one end at a time
+                for f in mine.tolist():
+                    short = window(f)
+                    got = mapping_from(short, Checkpoints(*both([short]), max_gap), rows, tasks[owner[f]].left)
+                    offer(np.array([f]), np.array([got.errors()]), np.array([len(got.indels)]), lambda _, got=got: got)
+                continue
             for at in range(0, len(mine), many):
                 some = mine[at : at + many]
-                short = [Task(tasks[k].ref, tasks[k].read, tasks[k].left + e - int(rows), tasks[k].left + e - 1) for k, e in zip(owner[some].tolist(), end[some].tolist())]
-                r, q = both(short)
-                groups.append((short, r, q, scored(r, q, max_gap)[1], np.arange(len(some)), np.full(len(some), rows), end[some] - rows, some))
-    errors, indels = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
-    for _, r, q, back, window, stop, cut, some in groups:
-        errors[some], indels[some] = traced(r, q, back, window, stop, cut)
-    # Of equal ones: the best-scoring ends first, then in order of rows.
-    order = np.lexsort((end, lower, indels, errors, owner))
-    won = order[np.searchsorted(owner[order], np.flatnonzero(~none))]
-    out: list[Mapping | None] = [Mapping(t.left - 1) if x else None for t, x in zip(tasks, none)]
-    for some_tasks, _, _, back, window, stop, _, some in groups:
-        for f in np.flatnonzero(np.isin(some, won)):
-            k, w = int(owner[some[f]]), int(window[f])
-            out[k] = mapping_from(some_tasks[w], back[:, w], int(stop[f]), tasks[k].left)
-    return out
+                shorts = [window(f) for f in some.tolist()]
+                r, q = both(shorts)
+                back = scored(r, q, max_gap)[1]
+                errors, indels = traced(r, q, back, np.arange(len(some)), np.full(len(some), rows), end[some] - rows)
+                offer(some, errors, indels, lambda x, some=some, shorts=shorts, back=back, rows=rows: mapping_from(shorts[x], back[:, x], rows, tasks[owner[some[x]]].left))
+    return [Mapping(t.left - 1) if none[k] else best[k][1] for k, t in enumerate(tasks)]
 
 
 def align_many(tasks: list[Task], max_gap: int, tolerance: int = 4) -> list[Mapping | None]:

@@ -233,7 +233,7 @@ def map_reads(reads: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT,
 def with_length(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """``rows`` with the ref_length of their reference; a reference of very many rows is dealt out."""
     often = rows.groupBy("ref_id").agg(F.count(F.lit(1)).alias("often"))
-    return spread_join(rows.filter(F.col("ref_id").isNotNull()), lengths(refs).join(often, "ref_id"), ["ref_id"], "often", ["read_idx"])
+    return spread_join(rows.filter(F.col("ref_id").isNotNull()), written(lengths(refs).join(often, "ref_id"), "lengths"), ["ref_id"], "often", ["read_idx"])
 
 
 def mutations(mapped: DataFrame, refs: DataFrame, summary: Summary | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from strandloom.config import AlignConfig
+from strandloom.operators import kernel
 from strandloom.operators.kernel import Chain, Recent, Task, Window, align, align_many, drawn, place_many, scored
 from tests import scalar_alignment as scalar
 
@@ -158,3 +160,35 @@ def test_letters_of_any_script_differ():
 def test_what_is_too_long_is_refused():
     with pytest.raises(ValueError):
         scored(np.zeros((1, 1 << 20), np.uint32), np.zeros((1, 3), np.uint32), 1, trace=False)
+
+
+@pytest.mark.parametrize("letters", ["AC", "ACGT"])
+def test_checkpoints_equal_tables(monkeypatch, letters):
+    """With hardly any room for tables, every end is traced by checkpoints."""
+    rng = random.Random(31)
+    tasks = []
+    for gap in (1, 3, 25, 140):
+        for _ in range(25):
+            ref = "".join(rng.choices(letters, k=rng.randint(1, 200)))
+            a = rng.randint(0, len(ref) - 1)
+            read = changed(rng, ref[a : a + rng.randint(1, 25)], letters) or "A"
+            tasks.append((Task(Window(ref, 0, len(ref)), read, 0, len(ref)), gap))
+    want = [align_many([t], g)[0] for t, g in tasks]
+    monkeypatch.setattr(kernel, "BATCH", 1)
+    seen = []
+    monkeypatch.setattr(kernel, "Checkpoints", lambda *x, made=kernel.Checkpoints: seen.append(1) or made(*x))
+    assert [align_many([t], g)[0] for t, g in tasks] == want and len(seen) >= len(tasks)
+
+
+def test_a_long_read_needs_little_memory(monkeypatch):
+    """A table for this read would take 3 MB of pointers."""
+    monkeypatch.setattr(kernel, "BATCH", 1 << 18)
+    rng = random.Random(32)
+    ref = "".join(rng.choices("ACGT", k=2000))
+    read = ref[200:900] + ref[901:1300] + "A" + ref[1301:1700]
+    tracemalloc.start()
+    m = align(Window(ref, 0, len(ref)), read, 0, len(ref), 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert m.position == 200 and [(t, n) for t, _, n in m.indels] == [("D", 1)] and len(m.mismatches) <= 1
+    assert peak < 3 << 19, peak
