@@ -1,14 +1,18 @@
 """Scoring texts with an n-gram trie in Elias-Fano form.
 
-The trie has two levels. Words are numbered by their place in the ascending sequence of word hashes (level one, with
-counts and back-off weights). Level two is one Elias-Fano sequence of keys, context number times vocabulary size plus
-word number, that ascends as a whole, so a context's successors are a run of it. There is no pointer sequence beside
-it: a search goes to the bucket of the key's high bits. Level two keeps quantised smoothed probabilities. Every level lies
-in flat files, one for each range of keys, that the scoring tasks map into memory; no process holds the model.
+The trie has two levels. Level one holds the words, numbered by their place in the ascending sequence of word hashes: an
+Elias-Fano sequence of hashes, one of running counts (a word's count is the difference of two), and the quantised weight
+that each word as a context leaves to single words. Level two holds each context's successors, as runs of word numbers:
+monotone pointers, an Elias-Fano sequence too, say where each context's run begins. Behind a run, numbers go on from its
+last one, so that the level ascends as a whole; a search takes the run of its context from the pointers, what stands
+before it, and seeks the successor in that run only. Level two keeps quantised smoothed probabilities. Every level lies in
+flat files, one for each range of keys, that the scoring tasks map into memory; no process holds the model. A context
+with very many successors lies in several files, each with its own part of the run.
 
 Smoothing: interpolated absolute discounting, p(w | h) = max(c(h w) - D, 0) / c(h) + D n(h) / c(h) * u(w) with
 u(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and D = n1 / (n1 + 2 n2) from the pair counts of counts. A text starts in the
-context of the end mark; behind an unseen word u(w) holds. For every context the probabilities of the V known words and
+context of the end mark; behind an unseen word u(w) holds. A word is followed as often as it stands there (the end mark
+by each text's first word), so c(h) is its count in level one. For every context the probabilities of the V known words and
 of one unknown word sum to 1, up to the quantisation step of ``STEP``.
 """
 
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import keep, shared_path, slices, table, words
-from strandloom.llm.eliasfano import Sequence, encode
+from strandloom.llm.eliasfano import files, mapped
 
 #: Log10 probabilities are kept as multiples of this in 16 bits: 0 to -13.1.
 STEP = 2e-4
@@ -45,15 +49,25 @@ def local(path: str) -> str:
     return path
 
 
-def hashed(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's word hashes with the end mark behind them, flat, and offsets."""
+def hashed(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different word hashes, ascending, each token's place among them, flat, with the end mark behind each text, and
+    the texts' offsets."""
     flat, offs = words(col)
-    out = np.full(len(flat) + len(offs) - 1, END, np.uint64)
+    d = pc.dictionary_encode(flat)
+    h = [xxhash.xxh64_intdigest(w, 42) for w in d.dictionary.cast(pa.binary()).to_pylist()]
+    distinct, place = np.unique(np.array([*h, END], np.uint64), return_inverse=True)
+    out = np.full(len(flat) + len(offs) - 1, place[-1], np.int64)
     if len(flat):
-        d = pc.dictionary_encode(flat)
-        h = np.array([xxhash.xxh64_intdigest(w, 42) for w in d.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(offs) - 1), np.diff(offs))] = h[np.asarray(d.indices)]
-    return out, offs + np.arange(len(offs))
+        out[np.arange(len(flat)) + np.repeat(np.arange(len(offs) - 1), np.diff(offs))] = place[np.asarray(d.indices)]
+    return distinct, out, offs + np.arange(len(offs))
+
+
+def preceding(tokens: np.ndarray, offs: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each token; the end mark before a text's first one."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[offs[:-1]] = end
+    return before
 
 
 def emit(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -61,17 +75,22 @@ def emit(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 500_000].view(np.int64)), pa.array(counts[at : at + 500_000].astype(np.int64))], ["key", "n"])
 
 
-def counted(pieces: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys, summed up over a bounded number at a time."""
+def counted(pieces: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Sums of the keys' counts, over a bounded number of keys at a time."""
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return emit(keys, np.bincount(place, np.concatenate([n for _, n in held])))
+
     held, size = [], 0
-    for p in pieces:
-        held.append(p)
-        size += len(p)
+    for keys, counts in pieces:
+        held.append((keys, counts))
+        size += len(keys)
         if size >= GATHER:
-            yield from emit(*np.unique(np.concatenate(held), return_counts=True))
+            yield from summed()
             held, size = [], 0
     if size:
-        yield from emit(*np.unique(np.concatenate(held), return_counts=True))
+        yield from summed()
 
 
 def ranged(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -79,63 +98,97 @@ def ranged(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.repartitionByRange(max(1, -(-rows // FILE_ROWS)), key).sortWithinPartitions(key)
 
 
+class Level:
+    """The files of a level by their ranges of keys, and for words by their numbers too."""
+
+    def __init__(self, rows: list[dict], kind: type):
+        self.rows = rows
+        self.first, self.last = (np.array([f[x] for f in rows], kind) for x in ("first", "last"))
+        self.base = np.cumsum([0] + [f["n"] for f in rows])
+
+    @staticmethod
+    def parts(starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, slice]]:
+        for i in np.flatnonzero(starts < stops):
+            yield int(i), slice(int(starts[i]), int(stops[i]))
+
+    def by_key(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Files with some of the ascending ``keys`` in their range, and which."""
+        return self.parts(np.searchsorted(keys, self.first), np.searchsorted(keys, self.last, side="right"))
+
+    def by_number(self, numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Files that hold some of the ascending ``numbers``, and which."""
+        at = np.searchsorted(numbers, self.base)
+        return self.parts(at[:-1], at[1:])
+
+
 class Trie:
     """Where the files of a fitted model lie, and its totals."""
 
     def __init__(self, folder: str, levels: list[dict], pairs: list[dict], n: int, v: int, discount: float):
         self.folder, self.levels, self.pairs, self.n, self.v, self.discount = folder, levels, pairs, n, v, discount
+        self.single, self.double = Level(levels, np.uint64), Level(pairs, np.int64)
+
+    def path(self, row: dict) -> str:
+        return os.path.join(self.folder, row["file"])
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number (-1: unseen in training) and count of each hash."""
-        number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for f in self.levels:
-            some = np.flatnonzero((hashes >= np.uint64(f["first"])) & (hashes <= np.uint64(f["last"])))
-            if len(some):
-                keys, counts = opened(self.folder, f["file"], f["n"], (("hash", np.uint64), ("count", np.int64)))
-                at = np.minimum(np.searchsorted(keys, hashes[some]), len(keys) - 1)
-                hit = keys[at] == hashes[some]
-                number[some[hit]], count[some[hit]] = f["base"] + at[hit], counts[at[hit]]
-        return number, count
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each of the ascending hashes, -1 where unseen in training."""
+        out = np.full(len(hashes), -1, np.int64)
+        for i, some in self.single.by_key(hashes):
+            row = self.levels[i]
+            at = mapped(self.path(row) + ".hash", row["n"]).find(hashes[some] - np.uint64(row["first"]))
+            out[some] = np.where(at >= 0, at + self.single.base[i], -1)
+        return out
 
-    def pair_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Smoothed log10 probability of each pair key, NaN where the pair is unseen."""
-        out = np.full(len(keys), np.nan)
-        for f in self.pairs:
-            some = np.flatnonzero((keys >= f["first"]) & (keys <= f["last"]))
-            if len(some):
-                seq, codes = pair_file(self.folder, f["file"], f["n"], f["low_bits"], f["low"], f["high"])
-                at = seq.find(keys[some] - f["first"])
-                out[some[at >= 0]] = codes[at[at >= 0]] * -STEP
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """How often the words of these ascending numbers stand in training (-1: never)."""
+        out = np.zeros(len(numbers), np.int64)
+        for i, some in self.single.by_number(numbers):
+            at = numbers[some] - self.single.base[i]
+            upto = mapped(self.path(self.levels[i]) + ".count", self.levels[i]["n"] + 1)
+            out[some] = (upto.get(at + 1) - upto.get(at)).astype(np.int64)
         return out
 
     def backoffs(self, contexts: np.ndarray) -> np.ndarray:
-        """Log10 weight that each context leaves to single words."""
+        """Log10 weight that each of the ascending contexts leaves to single words."""
         out = np.zeros(len(contexts))
-        for f in self.levels:
-            some = np.flatnonzero((contexts >= f["base"]) & (contexts < f["base"] + f["n"]))
-            if len(some):
-                out[some] = np.memmap(os.path.join(self.folder, f["file"] + ".backoff"), np.uint16, "r")[contexts[some] - f["base"]] * -STEP
+        for i, some in self.single.by_number(contexts):
+            out[some] = coded(self.path(self.levels[i]) + ".backoff")[contexts[some] - self.single.base[i]] * -STEP
+        return out
+
+    def pair_probabilities(self, keys: np.ndarray) -> np.ndarray:
+        """Smoothed log10 probability of each of the ascending pair keys, NaN where the pair is unseen."""
+        out = np.full(len(keys), np.nan)
+        for i, some in self.double.by_key(keys):
+            row, (context, word) = self.pairs[i], np.divmod(keys[some], self.v)
+            contexts, which = np.unique(context - row["first"] // self.v, return_inverse=True)
+            pointers, seq = mapped(self.path(row) + ".start", row["contexts"] + 1), mapped(self.path(row), row["n"])
+            start, stop = (pointers.get(contexts + x).astype(np.int64) for x in (0, 1))
+            before = np.where(start > 0, seq.get(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0)
+            at = seq.find(before[which] + word, start[which], stop[which])
+            out[some] = np.where(at >= 0, coded(self.path(row) + ".code")[np.maximum(at, 0)] * -STEP, np.nan)
         return out
 
     def score(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = self.numbers(np.array([END]))[0]
         for batch in slices(batches, "text", 4 << 20):
-            h, offs = hashed(batch.column("text"))
-            distinct, back = np.unique(h, return_inverse=True)
-            number, count = self.words(distinct)
-            number, count = number[back], count[back]
-            base = np.log10(self.unigram(count))
-            before = np.empty(len(h), np.int64)
-            before[1:] = number[:-1]
-            before[offs[:-1]] = self.words(np.array([END]))[0][0]
-            logp = base.copy()
-            seen = np.flatnonzero(before >= 0)
-            pairs, where = np.unique(np.where(number >= 0, before * max(1, self.v) + number, -1)[seen], return_inverse=True)
-            known = np.full(len(pairs), np.nan)
-            known[pairs >= 0] = self.pair_probabilities(pairs[pairs >= 0])
-            logp[seen] = np.where(np.isnan(known[where]), self.backoffs(before[seen]) + base[seen], known[where])
+            distinct, tokens, offs = hashed(batch.column("text"))
+            number, count = self.numbers(distinct), np.zeros(len(distinct), np.int64)
+            known = np.flatnonzero(number >= 0)
+            count[known] = self.counts(number[known])
+            base, count, number = np.log10(self.unigram(count))[tokens], count[tokens], number[tokens]
+            before = preceding(number, offs, end)
+            seen = np.flatnonzero((before >= 0) & (number >= 0))
+            pairs, where = np.unique(before[seen] * max(1, self.v) + number[seen], return_inverse=True)
+            pair = np.full(len(tokens), np.nan)
+            pair[seen] = self.pair_probabilities(pairs)[where]
+            logp = np.where(np.isnan(pair), base, pair)
+            left = np.flatnonzero((before >= 0) & np.isnan(pair))
+            contexts, where = np.unique(before[left], return_inverse=True)
+            logp[left] += self.backoffs(contexts)[where]
             total = lambda x: np.add.reduceat(x, offs[:-1])  # noqa: E731  every text has an end mark
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offs)), pa.array(total((count > 0).astype(np.int64))), pa.array(np.full(batch.num_rows, self.n)), pa.array(total(base)), pa.array(total(logp))],
@@ -143,16 +196,14 @@ class Trie:
             )
 
 
-@lru_cache(maxsize=256)
-def opened(folder: str, name: str, n: int, columns: tuple) -> list[np.ndarray]:
-    return [np.memmap(os.path.join(folder, f"{name}.{c}"), kind, "r", shape=(n,)) for c, kind in columns]
+@lru_cache(maxsize=4096)
+def coded(path: str) -> np.ndarray:
+    return np.memmap(path, np.uint16, "r")
 
 
-@lru_cache(maxsize=256)
-def pair_file(folder: str, name: str, n: int, low_bits: int, low: int, high: int) -> tuple[Sequence, np.ndarray]:
-    kind = {8: np.uint8, 16: np.uint16, 32: np.uint32}[low_bits]
-    path = os.path.join(folder, name)
-    return Sequence(n, low_bits, np.memmap(path + ".low", kind, "r", shape=(low,)), np.memmap(path + ".high", np.uint64, "r", shape=(high,))), np.memmap(path + ".code", np.uint16, "r", shape=(n,))
+def save_sequence(folder: str, name: str, values: np.ndarray) -> None:
+    for ending, array in files(values).items():
+        save(folder, f"{name}.{ending}", array)
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
@@ -181,7 +232,13 @@ def fit(docs: DataFrame) -> Trie:
     train = with_split(docs).filter(~F.col("held_out")).select("text")
 
     def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return counted(hashed(b.column("text"))[0] for b in slices(batches, "text", 4 << 20))
+        def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in slices(batches, "text", 4 << 20):
+                distinct, tokens, _ = hashed(b.column("text"))
+                n = np.bincount(tokens, minlength=len(distinct))
+                yield distinct[n > 0], n[n > 0]
+
+        return counted(pieces())
 
     # As a signed key the order is that of the hash with its first bit flipped.
     single = keep(train.mapInArrow(word_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie-words")
@@ -197,85 +254,70 @@ def fit(docs: DataFrame) -> Trie:
             keys = keys.view(np.uint64)
             order = np.argsort(keys, kind="stable")  # a partition may hold both signs
             name = f"words-{TaskContext.get().partitionId():05d}"
-            save(folder, f"{name}.hash", keys[order])
-            save(folder, f"{name}.count", counts[order])
+            save_sequence(folder, f"{name}.hash", keys[order] - keys.min())
+            save_sequence(folder, f"{name}.count", np.concatenate([[0], np.cumsum(counts[order])]))
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([str(keys.min())]), pa.array([str(keys.max())]), pa.array([len(keys)])], ["file", "first", "last", "n"])
 
     hashed_order = ranged(single.withColumn("place", F.shiftrightunsigned("key", 1)), "place", v).drop("place")
     levels = [r.asDict() | {"first": int(r["first"]), "last": int(r["last"])} for r in hashed_order.mapInArrow(word_files, "file string, first string, last string, n long").collect()]  # one row a file
-    base = 0
-    for f in sorted(levels, key=lambda f: f["file"]):
-        f["base"] = base
-        base += f["n"]
+    levels.sort(key=lambda f: f["first"])
     half = Trie(folder, levels, [], n, v, 0.5)
 
     def pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def keys() -> Iterator[np.ndarray]:
-            end = half.words(np.array([END]))[0][0]
+        def keys() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            end = half.numbers(np.array([END]))[0]
             for b in slices(batches, "text", 4 << 20):
-                h, offs = hashed(b.column("text"))
-                distinct, back = np.unique(h, return_inverse=True)
-                number = half.words(distinct)[0][back]
-                before = np.empty_like(number)
-                before[1:] = number[:-1]
-                before[offs[:-1]] = end
-                yield before * v + number
+                distinct, tokens, offs = hashed(b.column("text"))
+                number = half.numbers(distinct)[tokens]
+                yield preceding(number, offs, end) * v + number, np.ones(len(number))
 
         return counted(keys())
 
     pairs = keep(train.mapInArrow(pair_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie-pairs")
     ones = pairs.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
     discount = min(0.95, max(0.05, ones["n1"] / max(1, ones["n1"] + 2 * ones["n2"])))
-    contexts = keep(pairs.groupBy(F.expr(f"key div {v}").alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")), "trie-contexts")
-
-    def backoff_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, counts, kinds = (np.asarray(b.column(i)) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.log10(discount * kinds / counts))], ["key", "w"])
-
     # Every word of a training text is a context (of the end mark at least), so the numbers have no holes.
-    bounds = sorted((f["base"], f["file"], f["n"]) for f in levels)
+    contexts = pairs.groupBy(F.expr(f"key div {v}").alias("key")).agg(F.count(F.lit(1)).alias("kinds"))
+    bases = [int(b) for b in half.single.base[:-1]]
+    owner = F.size(F.filter(F.array(*[F.lit(b) for b in bases]), lambda b: b <= F.col("key")))
 
-    def level_backoff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.asarray(b.column("key")), np.asarray(b.column("w"))) for b in batches]
+    def backoff_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.asarray(b.column("key")), np.asarray(b.column("kinds"))) for b in batches]
         if held:
-            keys, w = (np.concatenate(x) for x in zip(*held))
-            for b0, name, size in bounds:
-                some = (keys >= b0) & (keys < b0 + size)
-                if some.any():
-                    out = np.zeros(size, np.uint16)
-                    out[keys[some] - b0] = code(w[some])
-                    save(folder, f"{name}.backoff", out)
+            keys, kinds = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys)
+            keys, kinds = keys[order], kinds[order]
+            weight = np.log10(discount * kinds / half.counts(keys))
+            for i, some in half.single.by_number(keys):
+                out = np.zeros(levels[i]["n"], np.uint16)
+                out[keys[some] - bases[i]] = code(weight[some])
+                save(folder, f"{levels[i]['file']}.backoff", out)
         yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], ["done"])
 
-    starts = F.array(*[F.lit(b) for b, _, _ in bounds])
-    owner = F.size(F.filter(starts, lambda s: s <= F.col("key")))
-    spread = contexts.mapInArrow(backoff_files, "key long, w double").repartition(len(bounds), owner)
-    spread.mapInArrow(level_backoff, "done long").count()
+    contexts.repartition(len(bases), owner).mapInArrow(backoff_files, "done long").count()
 
-    # The contexts' counts and single words' counts are joined to the pairs by key, for the smoothed probability.
     def pair_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(np.asarray(b.column(i)) for i in range(4)) for b in batches]
+        parts = [tuple(np.asarray(b.column(i)) for i in range(2)) for b in batches]
         if parts:
-            keys, counts, whole, kinds = (np.concatenate(x) for x in zip(*parts))
+            keys, counts = (np.concatenate(x) for x in zip(*parts))
             name = f"pairs-{TaskContext.get().partitionId():05d}"
-            u = np.empty(len(keys))
-            for b0, file, size in bounds:
-                w = keys % v
-                some = (w >= b0) & (w < b0 + size)
-                if some.any():
-                    u[some] = half.unigram(opened(folder, file, size, (("hash", np.uint64), ("count", np.int64)))[1][w[some] - b0])
-            p = (np.maximum(counts - discount, 0) + discount * kinds * u) / whole
-            low_bits, low, high = encode(keys - keys[0])
-            save(folder, f"{name}.low", low)
-            save(folder, f"{name}.high", high)
+            context, word = np.divmod(keys, v)
+            words_, at = np.unique(word, return_inverse=True)
+            unigram = half.unigram(half.counts(words_))[at]
+            own = np.arange(context[0], context[-1] + 1)
+            start = np.searchsorted(context, np.append(own, own[-1] + 1))
+            # What this file's contexts leave to single words is read as stored, however many files share the first and last.
+            n = np.diff(start)
+            p = np.maximum(counts - discount, 0) / np.repeat(half.counts(own), n) + np.repeat(10 ** half.backoffs(own), n) * unigram
+            ends = np.where(n > 0, word[np.maximum(start[1:] - 1, 0)] + 1, 0)
+            save_sequence(folder, name, word + np.repeat(np.cumsum(ends) - ends, n))
+            save_sequence(folder, f"{name}.start", start)
             save(folder, f"{name}.code", code(np.log10(p)))
-            row = [name, int(keys[0]), int(keys[-1]), len(keys), low_bits, len(low), len(high)]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["file", "first", "last", "n", "low_bits", "low", "high"])
+            row = [name, int(keys[0]), int(keys[-1]), len(keys), len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["file", "first", "last", "n", "contexts"])
 
-    joined = pairs.join(contexts.select(F.col("key").alias("h"), F.col("n").alias("whole"), "kinds"), F.expr(f"key div {v}") == F.col("h")).select("key", "n", "whole", "kinds")
-    files = ranged(joined, "key", ones["rows"]).mapInArrow(pair_files, "file string, first long, last long, n long, low_bits long, low long, high long").collect()  # one row a file
-    return Trie(folder, levels, sorted((r.asDict() for r in files), key=lambda f: f["file"]), n, v, discount)
+    rows = ranged(pairs, "key", ones["rows"]).mapInArrow(pair_files, "file string, first long, last long, n long, contexts long").collect()  # one row a file
+    return Trie(folder, levels, sorted((r.asDict() for r in rows), key=lambda f: f["first"]), n, v, discount)
 
 
 def scores(docs: DataFrame, trie: Trie) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandloom.llm import language_model as lm
-from strandloom.llm.eliasfano import Sequence, encode
+from strandloom.llm.eliasfano import Sequence, encode, files, mapped
 
 
 @settings(max_examples=80, deadline=None)
@@ -22,6 +22,22 @@ def test_elias_fano(values, others):
     ask = np.array(sorted(values) + others, np.int64)
     place = {x: i for i, x in enumerate(sorted(values))}
     assert seq.find(ask).tolist() == [place.get(x, -1) for x in ask.tolist()]
+    assert seq.get(np.arange(len(have))).tolist() == have.tolist()
+    start, stop = np.full(len(ask), len(have) // 3), np.full(len(ask), len(have) // 2)
+    assert seq.find(ask, start, stop).tolist() == [i if len(have) // 3 <= (i := place.get(x, -1)) < len(have) // 2 else -1 for x in ask.tolist()]
+
+
+def test_files_of_wide_and_repeated_values(tmp_path):
+    rng = np.random.default_rng(5)
+    wide = np.sort(rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2))
+    for name, values in {"wide": wide - wide[0], "repeated": np.sort(rng.integers(0, 50, 4000)), "one": np.array([7])}.items():
+        for ending, array in files(values).items():
+            array.tofile(tmp_path / f"{name}.{ending}")
+        seq = mapped(str(tmp_path / name), len(values))
+        assert seq.get(np.arange(len(values))).tolist() == values.tolist()
+        at = seq.find(values)
+        assert (at >= 0).all() and values[at].tolist() == values.tolist()
+    assert sum(f.stat().st_size for f in tmp_path.glob("wide.*")) < 7.5 * len(wide)
 
 
 def tokens(text):
