@@ -87,7 +87,13 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate:
 
 
 def calibrated_threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest probability from which on the rows are right often enough, and never under one half."""
+    """From which probability on the rows are right often enough: halfway to the next row below, and never under one half.
+
+    Where no row lies below, one half: nothing speaks against it.
+    """
     order = np.argsort(-p, kind="stable")
-    good = np.cumsum(y[order]) >= precision * np.arange(1, len(p) + 1)
-    return max(0.5, float(p[order][np.flatnonzero(good)[-1]])) if good.any() else 1.1
+    good = np.flatnonzero(np.cumsum(y[order]) >= precision * np.arange(1, len(p) + 1))
+    if not len(good):
+        return 1.1
+    below = float(p[order][good[-1] + 1]) if good[-1] + 1 < len(p) else 0.0
+    return max(0.5, (float(p[order][good[-1]]) + below) / 2)

@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: About so many documents are read to gather candidates to fit on, and at most so many candidates.
 SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 20_000
 PRECISION = 0.98
+#: Rewritten forms, and plain pieces, to learn from for each found span.
+WAYS = 3
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A start inside a run of digits fails whenever the run's first digit does, so only first digits are tried.
@@ -84,31 +86,45 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-#: Digits with at most two separators between them; parts of such a stretch are cut at blanks.
-NUMBER = re.compile(r"(?<![0-9A-Za-z@._-])[+(]?[0-9](?:[ ()./:-]{0,2}[0-9])*+(?![0-9A-Za-z@])")
-PART = re.compile(r"[^ ]+")
-HIDDEN = re.compile(r" ?[\[(]at[\])] ?| at (?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z]{2,}| (?:\(dot\)|\[dot\]|dot) ))", re.IGNORECASE)
-HIDDEN_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
+#: Dashes and blanks that stand for the plain ones.
+DASHES, BLANKS = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "\u00a0\u2002\u2003\u2007\u2009\u200a\u202f"
+PLAIN = str.maketrans(DASHES + BLANKS, "-" * len(DASHES) + " " * len(BLANKS))
+#: Digits with at most two separators, or a dot in brackets, between them.
+NUMBER = re.compile(rf"(?<![0-9A-Za-z@_])[0-9](?:(?:\[\.\]|\(\.\)|[ ()./:{DASHES}{BLANKS}-]{{0,2}})[0-9])*+")
+DIGITS = re.compile("[0-9]+")
+DOTS = (".", "[.]", "(.)")
+EXTENSION = re.compile(r" ?(?:x|ext\.?) ?[0-9]{1,6}(?![0-9A-Za-z])", re.IGNORECASE)
+HIDDEN = re.compile(r" ?[\[(]at[\])] ?| at (?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z]{2,}| (?:\(dot\)|\[dot\]|dot) ))|_at_| ?@ ?", re.IGNORECASE)
+HIDDEN_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |_dot_|\[\.\]|\(\.\)|\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE)
 
 
-def number_spans(start: int, stretch: str) -> Iterator[Span]:
-    """Runs of a stretch's parts that may be a number of some kind: 7 to 19 digits, so few runs begin at each part."""
-    parts = [(m.start(), m.end(), sum(c.isdigit() for c in m.group())) for m in PART.finditer(stretch)]
-    for i, (a, _, _) in enumerate(parts):
-        n = 0
+def number_spans(text: str, start: int, end: int) -> Iterator[Span]:
+    """Runs of a stretch's groups of digits that may be a number of some kind.
+
+    A run has 4 to 19 digits, so few begin at each group. The last group is left out if a letter follows that begins no
+    extension; an extension behind it makes one more span.
+    """
+    parts = [(m.start(), m.end()) for m in DIGITS.finditer(text, start, end)]
+    extension = EXTENSION.match(text, end)
+    if not extension and (text[end : end + 1].isalnum() or text[end : end + 1] in ("@", "_")):
+        parts.pop()
+    for i, (first, _) in enumerate(parts):
+        a, n = first, 0
+        while a > 0 and first - a < 2 and text[a - 1] in "+(":
+            a -= 1
         for j in range(i, len(parts)):
-            _, b, digits = parts[j]
-            n += digits
+            b = parts[j][1]
+            n += b - parts[j][0]
             if n > 19:
                 break
-            if not digits or not stretch[b - 1].isdigit():
-                continue
             if 7 <= n <= 15:
-                yield "phone", start + a, start + b
+                yield "phone", a, b
+                if extension and j == len(parts) - 1:
+                    yield "phone", a, extension.end()
             if 12 <= n:
-                yield "card", start + a, start + b
-            if n <= 12 and stretch.count(".", a, b) == 3:
-                yield "ip", start + a, start + b
+                yield "card", first, b
+            if j == i + 3 and n <= 12 and all(text[parts[k][1] : parts[k + 1][0]] in DOTS for k in range(i, j)):
+                yield "ip", first, b
 
 
 def candidates(text: str) -> list[Span]:
@@ -117,7 +133,7 @@ def candidates(text: str) -> list[Span]:
     if DIGIT.search(text):
         for m in NUMBER.finditer(text):
             if m.end() - m.start() >= 7:
-                found += number_spans(m.start(), m.group())
+                found += number_spans(text, m.start(), m.end())
     for m in HIDDEN.finditer(text):
         start = m.start()
         while start > max(0, m.start() - 64) and text[start - 1] in LOCAL:
@@ -159,10 +175,18 @@ CUES = {
 DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
 
 
+def beside(text: str) -> int:
+    """What parts a number from digits that go on next to it: 0 no digits, 1 nothing or a blank, 2 a dash or dot, 3 other."""
+    at = next((i for i, c in enumerate(text[:3]) if c.isdigit()), None)
+    if at is None or not all(c in " ()./:-" for c in text[:at]):
+        return 0
+    return 1 if not text[:at].strip() else 2 if text[0] in "-." else 3
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format of the span and its context, 40 characters on either side."""
     kind, a, b = span
-    s, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 40]
+    s, before, after = (x.translate(PLAIN) for x in (text[a:b], text[max(0, a - 40) : a], text[b : b + 40]))
     groups = [len(g) for g in NOT_DIGIT.split(s) if g] or [0]
     digits = NOT_DIGIT.sub("", s)
     words_ = re.split(r"[^A-Za-z0-9]+", s)
@@ -173,6 +197,8 @@ def features(text: str, span: Span) -> list[float]:
         float(kind == "card" and luhn(digits)), float(digits[:1] or -1), float(bool(DATE.search(s))), float("@" in s),
         float(bool(CUES[kind].search(before))), float(bool(CUES[kind].search(after))), float(sum(c.isdigit() for c in before + after)),
         float(before[-1:].isalpha()), float(2 <= len(tail) <= 6 and tail.isalpha()), float("dot" in s.lower()), float("at)" in s.lower() or "at]" in s.lower()),
+        float(beside(before[::-1])), float(beside(after)), float("[.]" in s or "(.)" in s), float("x" in s[-8:]), float("_at_" in s.lower()), float(" @ " in s),
+        float(after[:1].isalpha()), float(tail.islower()),
     ]
 
 
@@ -180,24 +206,34 @@ def rewritten(text: str, span: Span, turn: int) -> tuple[str, Span]:
     """The text with one found span written as people also write it; a span to learn from."""
     kind, a, b = span
     s = text[a:b]
+    tail = ""
     if kind == "email":
-        s = s.replace("@", (" at ", " (at) ", "[at]")[turn % 3]).replace(".", (" dot ", ".", " (dot) ")[turn % 3]) if turn % 3 else s.replace("@", " (at) ")
+        if turn // 6 % 2:  # a name needn't have digits
+            s = s[0] + DIGITS.sub("", s[1:])
+        name, domain = s.rsplit("@", 1)
+        at, dot = ((" (at) ", "."), (" at ", " dot "), ("[at]", " (dot) "), ("@", "(dot)"), (" @ ", "."), ("_at_", "_dot_"))[turn % 6]
+        s = name + at + domain.replace(".", dot)
     elif kind == "phone":
         groups = [g for g in NOT_DIGIT.split(s) if g]
-        s = (re.sub(r"^\+1?[ .-]?", "", s), s.replace("-", ".").lstrip("+"), "-".join(groups[len(groups) > 3 :]), " ".join(groups))[turn % 4]
+        own = groups[len(groups) > 3 :]
+        s = (re.sub(r"^\+1?[ .-]?", "", s), s.replace("-", ".").lstrip("+"), "-".join(own), " ".join(groups), "\u2013".join(own), "".join(own), "-".join(own) + f"x{10 + turn % 900}", "".join(own))[turn % 8]
+        tail = f"/{s[::-1]}" if turn % 16 == 7 else ""
     elif kind == "card":
         d = NOT_DIGIT.sub("", s)
-        s = ("-", ".", " ")[turn % 3].join(d[i : i + 4] for i in range(0, len(d), 4))
-    return text[:a] + s + text[b:], (kind, a, a + len(s))
+        s = ("-", ".", " ", "\u2013")[turn % 4].join(d[i : i + 4] for i in range(0, len(d), 4))
+    else:
+        s = s.replace(".", DOTS[1 + turn % 2])
+    return text[:a] + s + tail + text[b:], (kind, a, a + len(s))
 
 
-def plain_numbers(turn: int) -> str:
-    """Numbers that are nobody's: dates, amounts, times, counters."""
+def plain_pieces(turn: int) -> str:
+    """What is nobody's: dates, amounts, times, counters, prices, sentences without a blank between."""
     k = turn * 7919 % 100_003
     return (
         f"{1990 + k % 40}-{1 + k % 12:02d}-{1 + k % 28:02d}", f"{1 + k % 28}.{1 + k % 12}.{1990 + k % 40}", f"{1000000 + k * 97}", f"{k % 24:02d}:{k % 60:02d}:{k % 59:02d} {k % 9}",
-        f"{1990 + k % 30} {1991 + k % 30}", f"{k}.{k % 100:02d} {k % 977}", f"{10**11 + k * 1234577}", f"{k % 90 + 10}/{k % 50} {k % 1000}",
-    )[turn % 8]
+        f"{1990 + k % 30} {1991 + k % 30}", f"{k}.{k % 100:02d} {k % 977}", f"{10**11 + k * 1234577}", f"{k % 90 + 10}/{k % 50} {k % 1000}", f"v{k % 9}.{k % 20}.{k % 30}.{k % 7}", f"INV-{10**6 + k * 13}",
+        f"{k % 9 + 1} @ {k % 90}.{k % 100:02d}", f"stay at home{'.' * (k % 3 == 0)}.Then go", "look at it.So they did",
+    )[turn % 13]
 
 
 @dataclass
@@ -246,18 +282,19 @@ def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # Only the surroundings of the span are written anew.
                 low = max(0, span[1] - 200)
                 near, here = text[low : span[2] + 200], (span[0], span[1] - low, span[2] - low)
-                other, moved = rewritten(near, here, turn)
-                found = candidates(other)
-                if moved in found:
-                    add(other, moved, 1, own)
-                    for c in found:
-                        if c[0] == moved[0] and c != moved and moved[1] <= c[1] and c[2] <= moved[2]:
+                for way in range(turn, turn + WAYS):
+                    other, moved = rewritten(near, here, way)
+                    found = candidates(other)
+                    if moved in found:
+                        add(other, moved, 1, own)
+                        for c in found:
+                            if c != moved and moved[1] <= c[1] and c[2] <= moved[2]:
+                                add(other, c, 0, own)
+                    piece = plain_pieces(way)
+                    other = near[: here[1]] + piece + near[here[2] :]
+                    for c in candidates(other):
+                        if here[1] <= c[1] and c[2] <= here[1] + len(piece):
                             add(other, c, 0, own)
-                number = plain_numbers(turn)
-                other = near[: here[1]] + number + near[here[2] :]
-                for c in candidates(other):
-                    if here[1] <= c[1] and c[2] <= here[1] + len(number):
-                        add(other, c, 0, own)
             taken = Taken(base)
             for c in candidates(text):
                 if taken.free(c[1], c[2]):
@@ -330,7 +367,11 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by [EMAIL], [IP], [CARD] or [PHONE]; n_chars follows the text."""
+    """All documents, personal data replaced by [EMAIL], [IP], [CARD] or [PHONE]; n_chars follows the text.
+
+    Null and empty texts stay as they are; long ones are read whole. Rows with equal ids or texts are each rewritten alike.
+    No rows: no rows. All other columns are kept, whatever their names.
+    """
     finder, schema = fit(docs), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
