@@ -35,6 +35,18 @@ def tiles(seq: Column, padding: Column, div: Column, config: AlignConfig = DEFAU
     return F.when(step >= 1, F.transform(F.sequence(F.lit(0), last), piece)).otherwise(F.array().cast("array<string>"))
 
 
+def cut_tiles(seq: str, padding: int, div: int, config: AlignConfig = DEFAULT) -> list[str]:
+    """The tiles of a read that a task holds, as ``tiles`` cuts them."""
+    body = len(seq) - padding
+    step = body // div
+    if step < 1:
+        return []
+    count = -(-body // step)
+    last = count - 2 if count > 1 and body - (count - 1) * step < config.combine_length else count - 1
+    start = lambda i: padding + i * step if i else 0
+    return [seq[start(i) : len(seq) if i == last else padding + (i + 1) * step] for i in range(last + 1)]
+
+
 def chains(hits: Column, max_gap: int = DEFAULT.max_gap) -> Column:
     """All chains through the tiles' sorted hits: arrays with a position for each tile, -1 for a tile without hits.
 

@@ -76,6 +76,15 @@ def seed_hits(tiles: DataFrame, refs: DataFrame, k: int = 16, by_ref: bool = Fal
     return exact_find(refs, tiles, k, by_ref).groupBy("ref_id", "pattern_id").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
 
 
+def occurrences(pattern: str, text: str) -> list[int]:
+    """The sorted starts of a pattern in a text that a task holds, overlapping ones too."""
+    out, at = [], text.find(pattern)
+    while at >= 0:
+        out.append(at)
+        at = text.find(pattern, at + 1)
+    return out
+
+
 #: Letters of a suffix that the first ranks go by.
 HEAD = 16
 

@@ -79,18 +79,21 @@ def windows(rows: DataFrame, refs: DataFrame, start: str, length: str, by: list[
 PORTION = 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], often: str, by: list[str]) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], often: str, by: list[str], parts: int | None = None) -> DataFrame:
     """The inner join of ``left`` with ``right``, whose keys are unique and never null, where a key may hold much of ``left``.
 
     ``often`` is a column of ``right``: how many rows of ``left`` have its key. A key with over a thousandth of all is
     dealt out: its row of ``right`` is repeated, and rows of ``left`` meet one of the copies, by their hash of ``by``.
     Such keys are fewer than a thousand, so what is broadcast is a small table of keys and numbers. ``often`` goes.
+    With ``parts`` both sides are dealt into so many, which are not coalesced.
     """
     total = right.agg(F.coalesce(F.sum(often), F.lit(0)).alias("n")).first()["n"]
     portions = F.least(F.ceil(F.col(often) * 1000 / F.lit(max(total, 1))), F.ceil(F.col(often) / PORTION))
     hot = right.filter(F.col(often) * 1000 > F.lit(total)).select(*on, portions.alias("_n"))
     left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_n", F.lit(1)))).drop("_n")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(portions, F.lit(1)) - 1))).drop(often)
+    if parts is not None:
+        left, right = left.repartition(parts, *on, "_salt"), right.repartition(parts, *on, "_salt")
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 

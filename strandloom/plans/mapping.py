@@ -11,17 +11,18 @@ from dataclasses import dataclass, field
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import DEFAULT, AlignConfig
-from strandloom.functions.sequence import MAPPING, insertion_point, ladder, length_adjust, merge_unmatched, num_errors, tiles
-from strandloom.operators.find import seed_hits
+from strandloom.functions.sequence import MAPPING, cut_tiles, insertion_point, ladder, length_adjust, merge_unmatched, num_errors, tiles
+from strandloom.operators.find import occurrences, seed_hits
 from strandloom.operators.kernel import Chain, Task, Window, align_many, place_many
 from strandloom.operators.pairs import select_pairs
 from strandloom.operators.paths import paths
 from strandloom.operators.pileup import active, depth, majority, mapping_order, mutation_lines, read_mutations
-from strandloom.operators.references import PORTION, cut, lengths, spread_join, windows
+from strandloom.operators.references import PORTION, cut, in_parts, lengths, spread_join, windows
 from strandloom.sources.shared import written
 from strandloom.sources.text import mean_read_length, read_reads, reference_parts
 
@@ -34,6 +35,10 @@ CHAINS = 2048
 PADDING = 10
 #: With so many unmapped reads or fewer, all their other attempts make one round.
 SMALL = 256
+#: Whole references of so many bases or fewer go to their reads; longer ones are searched by blocks.
+NEAR = 4096
+#: Reads that one task gets together with their references, about.
+READS = 32_768
 
 
 @dataclass
@@ -64,7 +69,8 @@ def attempts(reads: DataFrame, paddings: range, config: AlignConfig = DEFAULT) -
     """
     rows = reads.filter(F.length("seq") > config.min_length).select(*READ, F.explode(F.array(*[F.lit(p) for p in paddings])).alias("padding"))
     rows = rows.select(*READ, "padding", F.posexplode(ladder(F.length("seq"), F.col("padding"), config)).alias("step", "div"))
-    rows = rows.withColumn("parts", tiles(F.col("seq"), F.col("padding"), F.col("div"), config)).filter(F.size("parts") > 0)
+    rows = rows.filter(F.length("seq") - F.col("padding") >= F.col("div"))  # others have no tiles; cheaper than cutting them first
+    rows = rows.withColumn("parts", tiles(F.col("seq"), F.col("padding"), F.col("div"), config))
     return rows.select(*READ, (F.col("padding") * PADDING + F.col("step")).alias("attempt"), "parts")
 
 
@@ -79,7 +85,11 @@ def read_roots(tried: DataFrame, refs: DataFrame, config: AlignConfig = DEFAULT)
     patterns = each.select("ref_id", F.struct("read_idx", "attempt", "tile").alias("pattern_id"), "pattern")
     hits = seed_hits(patterns, refs, by_ref=True)
     by_read = hits.groupBy("ref_id", "pattern_id.read_idx", "pattern_id.attempt").agg(F.sort_array(F.collect_list(F.struct(F.col("pattern_id.tile").alias("tile"), "hits"))).alias("found"))
-    rows = tried.join(by_read, ["ref_id", "read_idx", "attempt"])  # a read without any hit has no chain to use
+    return rooted(tried.join(by_read, ["ref_id", "read_idx", "attempt"]), config)  # a read without any hit has no chain to use
+
+
+def rooted(rows: DataFrame, config: AlignConfig = DEFAULT) -> DataFrame:
+    """Attempts with found, the tiles that have a place and their sorted places, as ``read_roots`` gives them."""
     pattern = F.transform(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.when(F.exists("found", lambda x: x["tile"] == i), 0).otherwise(-1))
     rows = rows.withColumn("merged", merge_unmatched(pattern, F.col("parts")))
     rows = rows.withColumn("root", F.explode(F.col("found")[0]["hits"]))
@@ -103,10 +113,20 @@ def place_chains(roots: DataFrame, refs: DataFrame, mean: int, config: AlignConf
     further than needed, those of all reads of an Arrow batch together. Where a chain can't be computed, its read goes no
     further and has a row with failed = true.
     """
+    rows = windows(with_reach(roots, mean, config), refs, "start", "span", ["read_idx"])
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
+    return place_windows(rows.repartition(n, "read_idx"), mean, config)
+
+
+def with_reach(roots: DataFrame, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
+    """``roots`` with start and span, the place and length of the window that a root's chains can need."""
     back = F.length("seq") + 2 * mean
     rows = roots.withColumn("start", F.greatest(F.lit(0), F.col("root") - back))
-    rows = rows.withColumn("span", config.max_gap * F.size("merged") + back + 2 * F.length("seq") + 2 * mean + 2)
-    rows = windows(rows, refs, "start", "span", ["read_idx"])
+    return rows.withColumn("span", config.max_gap * F.size("merged") + back + 2 * F.length("seq") + 2 * mean + 2)
+
+
+def place_windows(rows: DataFrame, mean: int, config: AlignConfig = DEFAULT) -> DataFrame:
+    """What ``place_chains`` gives, of roots that have their window; all rows of a read are in one partition."""
     keys = ["ref_id", "read_idx", "pair_id", "mate", "attempt"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,8 +176,7 @@ def place_chains(roots: DataFrame, refs: DataFrame, mean: int, config: AlignConf
 
     rows = rows.select(*keys, "seq", "merged", "hits", "window", "start", "root")
     schema = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
-    rows = rows.repartition(n, "read_idx").sortWithinPartitions("read_idx", "attempt", "root")
+    rows = rows.sortWithinPartitions("read_idx", "attempt", "root")
     return rows.mapInPandas(run, f"{schema}, map_idx long, mapping {MAPPING}, failed boolean")
 
 
@@ -169,8 +188,91 @@ def map_round(tried: DataFrame, refs: DataFrame, mean: int, config: AlignConfig
     return placed.select("ref_id", "read_idx", "pair_id", "mate", "mapping", "map_idx", "failed")
 
 
+def near_references(reads: DataFrame, refs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The whole references of ``NEAR`` bases or fewer, with often, the number of their reads; and the others. None: no rows."""
+    if in_parts(refs):
+        return None, refs
+    often = reads.groupBy("ref_id").agg(F.count(F.lit(1)).alias("often"))
+    near = refs.filter(F.length("seq") <= NEAR).select("ref_id", F.col("seq").alias("text")).join(often, "ref_id")
+    near, far = written(near, "map-near"), refs.filter(F.length("seq") > NEAR)
+    return (None if near.isEmpty() else near), (None if far.isEmpty() else far)
+
+
+def tries(seq: str, config: AlignConfig = DEFAULT) -> Iterator[tuple[int, list[str]]]:
+    """(attempt, tiles) of a read that a task holds, one after the other: what ``attempts`` gives, in order."""
+    for padding in range(config.max_padding + 1):
+        divisions = config.short_divisions if len(seq) - padding <= config.short_length else config.divisions
+        for step, div in enumerate(divisions):
+            if len(seq) - padding >= div:
+                yield padding * PADDING + step, cut_tiles(seq, padding, div, config)
+
+
+def tile_chains(read: str, tiles: list[str], ref: Window, config: AlignConfig = DEFAULT) -> Iterator[Chain]:
+    """The chains of one attempt on a reference that a task holds, in lexicographic order; neighbouring tiles without a
+    place are put together."""
+    hits = [occurrences(t, ref.text) for t in tiles]
+    merged: list[str] = []
+    found: list[int] = []
+    for k, tile in enumerate(tiles):
+        if k and not hits[k] and not hits[k - 1]:
+            merged[-1] += tile
+            continue
+        if hits[k]:
+            found.append(len(merged))
+        merged.append(tile)
+    for path in paths([h for h in hits if h], config.max_gap):
+        places = [-1] * len(merged)
+        for k, p in zip(found, path):
+            places[k] = p
+        yield Chain(ref, read, places, merged)
+
+
+def near_round(reads: DataFrame, near: DataFrame, mean: int, parts: int, config: AlignConfig = DEFAULT) -> DataFrame:
+    """What ``map_round`` gives for all attempts, of reads whose references go to them whole: one shuffle by reference, in
+    which one of very many reads is dealt out, and nothing written but the mappings.
+
+    Attempts are made one after the other, those of all reads of an Arrow batch together, and a read's end at its first success.
+    """
+    rows = spread_join(reads.select(*READ), near, ["ref_id"], "often", ["read_idx"], parts).select(*READ, "text")
+    keys = ["ref_id", "read_idx", "pair_id", "mate"]
+    types = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
+    mapping = pa.struct([("position", pa.int32()), ("mismatches", pa.list_(pa.struct([("position", pa.int32()), ("new_base", pa.string())]))), ("indels", pa.list_(pa.struct([("type", pa.string()), ("position", pa.int32()), ("length", pa.int32())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, texts = batch.column(READ.index("seq")).to_pylist(), batch.column(len(READ)).to_pylist()
+            live = {at: tries(seq, config) for at, seq in enumerate(seqs)}
+
+            def wave(live: dict = live, seqs: list = seqs, texts: list = texts) -> Iterator[tuple[int, Chain]]:
+                for at in list(live):
+                    attempt = next(live[at], None)
+                    if attempt is None:
+                        del live[at]
+                        continue
+                    for chain in tile_chains(seqs[at], attempt[1], Window(texts[at], 0, len(texts[at])), config):
+                        yield at, chain
+
+            while live:
+                lazy, count = wave(), {}
+                while some := list(islice(lazy, CHAINS)):
+                    out = []
+                    for (at, _), (m, broken) in zip(some, place_many([c for _, c in some], mean, config)):
+                        if m is not None or broken:
+                            out.append((at, count.get(at, 0), None if m is None else m.row(), broken))
+                            count[at] = count.get(at, 0) + (m is not None)
+                    if out:
+                        at, n, found, broken = zip(*out)
+                        taken = batch.select(keys).take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(n, pa.int64()), pa.array(found, mapping), pa.array(broken)], [*keys, "map_idx", "mapping", "failed"])
+                for at in count:
+                    live.pop(at, None)
+
+    return written(rows.mapInArrow(run, f"{types}, map_idx long, mapping {MAPPING}, failed boolean"), "map-placed").select(*keys, "mapping", "map_idx", "failed")
+
+
 def map_rounds(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT, small: int = SMALL, summary: Summary | None = None) -> DataFrame:
-    """What ``map_round`` gives for all attempts, in rounds over the reads that are still unmapped.
+    """What ``map_round`` gives for all attempts, of reads of short references by ``near_round``, of others in rounds over
+    the reads that are still unmapped.
 
     First the first division without padding, then the other divisions, then one padding a round. Once ``small`` reads or
     fewer are left, all their other attempts make one round, in which each task stops a read at its first success.
@@ -178,6 +280,18 @@ def map_rounds(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig
     last = config.max_padding * PADDING + PADDING - 1
     rounds = [(0, 0), (1, PADDING - 1), *[(p * PADDING, p * PADDING + PADDING - 1) for p in range(1, config.max_padding + 1)]]
     rest, maps, done = reads.filter(F.length("seq") > config.min_length), None, False
+    near, far = near_references(rest, refs)
+    if near is not None:
+        if far is not None:
+            rest = written(with_length(rest, refs), "map-rest")
+        some = rest if far is None else rest.filter(F.col("ref_length") <= NEAR)
+        left, n = some.count(), int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        maps = near_round(some, near, mean, max(n, -(-left // READS)), config)
+        if summary is not None:
+            summary.rounds.append((0, last, left))
+        if far is None:
+            return maps
+        rest, refs = rest.filter(F.col("ref_length") > NEAR), far
     for k, (low, high) in enumerate(rounds):
         left = rest.count()
         if done or (not left and k):

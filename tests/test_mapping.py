@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from strandloom.config import AlignConfig
 from strandloom.functions import sequence as s
 from strandloom.operators import references as refs_op
-from strandloom.operators.find import exact_find, suffix_order
+from strandloom.operators.find import exact_find, occurrences, suffix_order
 from strandloom.operators.kernel import Window, align
 from strandloom.operators.paths import paths, streamed_chains, ways
 from strandloom.operators.pileup import mutation_lines, ranked
+from strandloom.plans import mapping
 from strandloom.plans.mapping import Summary, attempts, map_files, map_reads, mutations, place_chains, read_roots, whole_alignment
+from strandloom.sources.shared import written
 from strandloom.sources.text import mean_read_length, read_reads, read_reference
 
 REF = "GCTAAAGACAATTACATAACATACACGTCAGCACGAAACTTGTTGGCC" + "CAGTGTGAATCGCTTAAGGGTTAAGTAAGTGT"
@@ -226,3 +228,35 @@ def test_whole_alignment_in_chunks(spark):
         best = min(each, key=lambda e: e[:2])[2]
         assert got[i].asDict(recursive=True) == best.row()
     assert len(got) == len(reads) and whole_alignment(df.limit(0), parts, 40, config).collect() == []
+
+
+def test_short_references_go_to_their_reads(spark, monkeypatch):
+    """One pass over all attempts, with nothing written between reads and mappings, gives what the rounds give."""
+    rng = random.Random(12)
+    refs, reads = [], []
+    for r in range(3):
+        ref, some = planted(rng, [900, 1900, 2600][r])
+        ref += ref[: rng.choice([0, 300])]
+        refs.append((f"r{r}", ref))
+        reads += [(f"r{r}", 1000 * r + i, 500 * r + p, m, x) for _, i, p, m, x in some]
+    reads += [(None, 90000, 45000, 0, "ACGT" * 10), ("none", 90001, 45000, 1, "ACGT" * 10)]
+    reads = spark.createDataFrame(reads, "ref_id string, read_idx long, pair_id long, mate int, seq string").repartition(3)
+    whole = spark.createDataFrame(refs, "ref_id string, seq string")
+    made = []
+    monkeypatch.setattr(mapping, "written", lambda df, label: made.append(label) or written(df, label))
+    rows = lambda: {r["read_idx"]: r["mapping"] for r in map_reads(reads, whole).collect()}
+    got = rows()
+    assert "map-roots" not in made and "map-attempts" not in made
+    monkeypatch.setattr(mapping, "NEAR", 2000)  # some references either way
+    both = rows()
+    monkeypatch.setattr(mapping, "NEAR", 0)
+    assert got == both == rows() and 150 < sum(m is not None for m in got.values()) < len(got)
+    assert "map-roots" in made
+
+
+def test_tiles_of_a_held_read(spark):
+    rows = [("ACGTTGCA" * 9)[:n] for n in range(16, 60)]
+    df = spark.createDataFrame([("r", i, i, 0, x) for i, x in enumerate(rows)], "ref_id string, read_idx long, pair_id long, mate int, seq string")
+    want = {(r["read_idx"], r["attempt"]): r["parts"] for r in attempts(df, range(11)).collect()}
+    assert want == {(i, a): t for i, x in enumerate(rows) for a, t in mapping.tries(x)}
+    assert occurrences("AA", "AAATAA") == [0, 1, 4] and occurrences("C", "AAA") == []
