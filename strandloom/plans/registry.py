@@ -192,7 +192,10 @@ def suffix_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which places in the order of all suffixes of each document an item takes that occurs in it."""
     refs = written(references(spark, sf_dir), "references")
     patterns = items(spark, sf_dir).select(F.col("item_id").alias("pattern_id"), F.col("seq").alias("pattern"))
-    return suffix_bounds(suffix_order(refs), exact_find(refs, patterns)).withColumnRenamed("pattern_id", "item_id")
+    hits = written(exact_find(refs, patterns), "suffix-hits")
+    # A document in which no item occurs has no row: only the suffixes of the others need an order.
+    met = refs.join(hits.select("ref_id").distinct(), "ref_id", "left_semi")
+    return suffix_bounds(suffix_order(written(met, "suffix-refs")), hits).withColumnRenamed("pattern_id", "item_id")
 
 
 def first_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
