@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.references import cut, lengths, running_total, spread_join
+from strandloom.operators.references import cut, in_parts, lengths, running_total, spread_join
 from strandloom.sources.shared import written
 
 #: Bases of one block of a reference, at least; blocks are cut in one pass over the sequence. A substring is found by
@@ -87,6 +87,15 @@ def occurrences(pattern: str, text: str) -> list[int]:
 
 #: Letters of a suffix that the first ranks go by.
 HEAD = 16
+#: Suffixes of sequences of so many letters or fewer are ordered in their row.
+SHORT = 256
+
+
+def short_order(refs: DataFrame) -> DataFrame:
+    """``suffix_order`` of sequences of up to ``SHORT`` letters: an array of suffixes is sorted in each row, without a shuffle."""
+    own = F.transform(F.sequence(F.lit(0), F.length("seq")), lambda i: F.struct(F.substring("seq", i + 1, F.length("seq")).alias("suffix"), i.alias("start")))
+    starts = F.transform(F.sort_array(own), lambda x: x["start"])
+    return refs.select("ref_id", F.posexplode(starts).alias("rank", "start")).select("ref_id", F.col("rank").cast("long").alias("rank"), F.col("start").cast("int").alias("start"))
 
 
 def suffix_order(refs: DataFrame) -> DataFrame:
@@ -96,9 +105,18 @@ def suffix_order(refs: DataFrame) -> DataFrame:
     their own rank and that of the suffix as many letters behind as the ranks go by, so these double each round. A
     suffix that is alone at its rank is done. No row holds more than ``HEAD`` letters, whatever the length of a
     sequence. Rows of one rank may be many, so ranks come from counts that are summed up before they are ordered, and
-    are handed back in portions. Null sequences, and those without ref_id, have no suffixes; ref_id is unique.
+    are handed back in portions. Short whole sequences are ordered in their rows instead. Null sequences, and those
+    without ref_id, have no suffixes; ref_id is unique.
     """
     refs = refs.filter(F.col("ref_id").isNotNull())
+    if not in_parts(refs):
+        short, refs = short_order(refs.filter(F.length("seq") <= SHORT)), refs.filter(F.length("seq") > SHORT)
+        return short if refs.isEmpty() else short.unionByName(doubled_order(refs))
+    return doubled_order(refs)
+
+
+def doubled_order(refs: DataFrame) -> DataFrame:
+    """``suffix_order`` by doubling, of sequences of any length."""
     size = lengths(refs).filter(F.col("ref_length").isNotNull())
     parts = cut(refs, BLOCK, HEAD)
     each = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("part"), F.lit(BLOCK)) - 1), lambda i: F.struct((F.col("from") + i).alias("start"), F.substring("part", i + 1, HEAD).alias("head"))))

@@ -8,6 +8,7 @@ from strandloom.config import AlignConfig
 from strandloom.functions import sequence as s
 from strandloom.operators import find, pairs, pileup
 from strandloom.operators.kernel import Mapping, Window, drawn
+from strandloom.plans import registry
 from strandloom.plans.mapping import chunks, map_reads, mutations, read_mappings, whole_alignment
 from strandloom.sources.text import read_reads
 
@@ -241,3 +242,18 @@ def test_no_gap_in_a_chain_is_above_the_limit(spark):
     got = spark.createDataFrame(rows, "h array<array<int>>").select(F.explode(s.chains(F.col("h"))).alias("c")).collect()
     found = [[p for p in r["c"] if p >= 0] for r in got]
     assert len(found) > 100 and all(0 < b - a <= 25 for c in found for a, b in zip(c, c[1:]))
+
+
+def test_short_suffixes_without_a_shuffle(spark):
+    refs = spark.createDataFrame([(1, "banana"), (2, ""), (3, "é" * 30 + "zéa")], "ref_id int, seq string")
+    got = find.suffix_order(refs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r["start"] for r in got.filter("ref_id = 1").orderBy("rank").collect()] == [6, 5, 3, 1, 0, 4, 2]
+
+
+def test_suffixes_of_documents_that_hold_an_item(spark, sf_dir, monkeypatch):
+    """Documents without an item have no row, so their suffixes need no order."""
+    seen = []
+    monkeypatch.setattr(registry, "suffix_order", lambda refs: seen.append(refs.count()) or find.suffix_order(refs))
+    held = {r["ref_id"] for r in registry.suffix_ranges(spark, sf_dir).collect()}
+    assert seen == [len(held)] and held
