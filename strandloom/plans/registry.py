@@ -215,18 +215,25 @@ def mate_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_pairs(maps, length_adjust()).select("pair_id", "mate", "map_idx", F.col("mapping.position").alias("position"))
 
 
+#: Lines that one task gathers to orders, about.
+GATHERED = 250_000
+
+
 def mapped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as mapped reads: an order's customer names the document it maps to, its key the place, its lines the
     mismatches (returned) and indels (accepted: deletions, not returned: insertions)."""
     place = (F.col("o_orderkey") * 7 % 40).cast("int")
+    lines = table(spark, sf_dir, "lineitem")
+    # Lines meet their orders once, by key: parts grow in number, not in size. What the lines need of an order is its key.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // GATHERED))
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ref_id"), F.col("o_orderkey").alias("read_idx"), place.alias("position"), bases("concat(o_orderpriority, o_orderstatus, 'thequickbrownfox')").alias("seq"))
-    at = place + F.col("l_linenumber") * 3
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    at = (F.col("l_orderkey") * 7 % 40).cast("int") + F.col("l_linenumber") * 3
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition(parts, "l_orderkey")
     wrong = F.when(F.col("l_returnflag") == "R", F.struct(at.alias("position"), F.substring(F.lit("ACGT"), at % 4 + 1, F.lit(1)).alias("new_base")))
     kind = F.when(F.col("l_returnflag") == "A", "D").when(F.col("l_returnflag") == "N", "I")
     gap = F.when(kind.isNotNull(), F.struct(at.alias("position"), F.col("l_partkey"), kind.alias("type"), (F.col("l_partkey") % 3).cast("int").alias("length")))
     edits = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(wrong)).alias("mismatches"), F.sort_array(F.collect_list(gap)).alias("gaps"))
-    rows = orders.join(edits, F.col("read_idx") == F.col("l_orderkey"), "left")
+    rows = orders.repartition(parts, "read_idx").join(edits, F.col("read_idx") == F.col("l_orderkey"), "left")
     indels = F.transform(F.coalesce("gaps", F.array().cast(edits.schema["gaps"].dataType)), lambda g: F.struct(g["type"].alias("type"), g["position"].alias("position"), g["length"].alias("length")))
     mapping = F.struct("position", F.coalesce("mismatches", F.array().cast(edits.schema["mismatches"].dataType)).alias("mismatches"), indels.alias("indels")).cast(MAPPING)
     return rows.select("ref_id", "read_idx", "seq", mapping.alias("mapping"))

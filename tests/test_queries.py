@@ -25,3 +25,12 @@ def test_same_as_sql(spark, sf_dir, name):
 def test_flagship(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(entry_module.queries())
+
+
+def test_lines_are_gathered_in_parts_of_a_bounded_size(spark, sf_dir, monkeypatch):
+    """More lines make more parts, not larger ones, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(registry, "GATHERED", 500)
+    lines = registry.table(spark, sf_dir, "lineitem").count()
+    rows = registry.mapped_orders(spark, sf_dir)
+    assert rows.rdd.getNumPartitions() == -(-lines // 500) > 4
+    assert rows.count() == registry.table(spark, sf_dir, "orders").count()
