@@ -257,8 +257,9 @@ def pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def called_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = references(spark, sf_dir)
-    return mutation_lines(mutations(mapped_orders(spark, sf_dir), refs), refs)
+    # Both are read several times: bases are made, and lines gathered, once.
+    refs, mapped = written(references(spark, sf_dir), "references"), written(mapped_orders(spark, sf_dir), "mapped-orders")
+    return mutation_lines(mutations(mapped, refs), refs)
 
 
 def planted_reads(spark: SparkSession, sf_dir: str, indels: bool = False) -> tuple[DataFrame, DataFrame]:
