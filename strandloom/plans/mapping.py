@@ -384,14 +384,8 @@ def chunks(size: Column, mean: int, config: AlignConfig = DEFAULT, skip_covered_
     return F.when(size <= config.chunk, F.array(part(F.lit(0)))).otherwise(F.transform(starts, part))
 
 
-def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT, together: int = 64, skip_covered_tail: bool = False) -> DataFrame:
-    """``reads`` with the best mapping on the whole reference: a long one is cut into overlapping chunks, and the
-    chunk with the fewest errors counts, of equals the first.
-
-    ``together`` reads go to Python with one copy of a chunk. Groups of reads meet chunks by reference, chunk and a
-    portion of the groups, so neither a reference nor a chunk is joined in one place. Null or empty reads, and reads
-    without a reference, stay unmapped; read_idx is unique, and so is ref_id among whole sequences. No reads: no rows.
-    """
+def chunk_pairs(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig, together: int, skip_covered_tail: bool) -> DataFrame:
+    """left, right, rows (read_idx, seq), ref, ref_length: groups of ``together`` reads with each chunk of their reference."""
     step = config.chunk - 2 * mean
     rows = with_length(reads.filter(F.length("seq") > 0), refs)
     groups = rows.groupBy("ref_id", "ref_length", F.expr(f"read_idx div {together}").alias("g")).agg(F.collect_list(F.struct("read_idx", "seq")).alias("rows"))
@@ -402,7 +396,40 @@ def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignC
     parts = cut(refs, step, config.chunk + 1 - step).select("ref_id", F.col("from").alias("left"), F.col("part").alias("ref"))
     parts = parts.join(wanted, ["ref_id", "left"]).repartition(n, *keys)
     pairs = groups.select("ref_id", "ref_length", "salt", "rows", left).repartition(n, *keys).join(parts, keys)
-    pairs = pairs.select("left", F.least(F.col("left") + config.chunk, "ref_length").alias("right"), "rows", "ref", "ref_length")
+    return pairs.select("left", F.least(F.col("left") + config.chunk, "ref_length").alias("right"), "rows", "ref", "ref_length")
+
+
+def equal_places(pairs: DataFrame, config: AlignConfig = DEFAULT) -> DataFrame:
+    """read_idx, mapping of the reads that stand unchanged in a chunk, and whose mapping this alone decides.
+
+    Such a place has the greatest score and no error, and of several the first counts. In an earlier chunk only a read
+    that is left out in full would be as free of errors; that is so if no score there is above the tolerance, which
+    the last letters of the read rule out where they occur: a score of -1 or more goes on with 2 for each of them.
+    """
+    tail = (config.tolerance + 1) // 2 + 1
+    each = pairs.select("left", "ref", F.explode("rows").alias("x")).select("left", "ref", "x.*")
+    seen = F.call_function("locate", F.col("seq"), F.col("ref"), F.lit(1))
+    ends = F.call_function("locate", F.expr(f"right(seq, {tail})"), F.col("ref"), F.lit(1))
+    each = each.filter(F.length("seq") >= tail).select("read_idx", "left", seen.alias("seen"), (ends == 0).alias("open"))
+    first = each.groupBy("read_idx").agg(F.min(F.when(F.col("seen") > 0, F.struct("left", "seen"))).alias("at"), F.min(F.when(F.col("open"), F.col("left"))).alias("open"))
+    first = first.filter(F.col("at").isNotNull() & (F.col("open").isNull() | (F.col("open") > F.col("at.left"))))
+    none = [F.array().cast(t) for t in ("array<struct<position:int,new_base:string>>", "array<struct<type:string,position:int,length:int>>")]
+    place = (F.col("at.left") + F.col("at.seen") - 1).cast("int")
+    return first.select("read_idx", F.struct(place.alias("position"), none[0].alias("mismatches"), none[1].alias("indels")).cast(MAPPING).alias("mapping"))
+
+
+def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignConfig = DEFAULT, together: int = 64, skip_covered_tail: bool = False) -> DataFrame:
+    """``reads`` with the best mapping on the whole reference: a long one is cut into overlapping chunks, and the
+    chunk with the fewest errors counts, of equals the first.
+
+    Reads that stand unchanged in a chunk are placed by a plain search (``equal_places``). Of the others ``together`` go
+    to Python with one copy of a chunk. Groups of reads meet chunks by reference, chunk and a
+    portion of the groups, so neither a reference nor a chunk is joined in one place. Null or empty reads, and reads
+    without a reference, stay unmapped; read_idx is unique, and so is ref_id among whole sequences. No reads: no rows.
+    """
+    equal = written(equal_places(chunk_pairs(reads, refs, mean, config, together, skip_covered_tail), config), "whole-equal")
+    rest = reads.join(equal.select("read_idx"), "read_idx", "left_anti")
+    pairs = chunk_pairs(rest, refs, mean, config, together, skip_covered_tail)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -426,7 +453,7 @@ def whole_alignment(reads: DataFrame, refs: DataFrame, mean: int, config: AlignC
 
     got = pairs.mapInPandas(run, f"read_idx long, left long, mapping {MAPPING}")
     best = got.filter("mapping is not null").groupBy("read_idx").agg(F.min_by("mapping", F.struct(num_errors(), "left")).alias("mapping"))
-    return reads.join(best, "read_idx", "left")
+    return reads.join(best.unionByName(equal), "read_idx", "left")
 
 
 def map_files(spark: SparkSession, reference: str, reads: str, order: bool = False, summary: Summary | None = None) -> DataFrame:

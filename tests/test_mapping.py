@@ -260,3 +260,21 @@ def test_tiles_of_a_held_read(spark):
     want = {(r["read_idx"], r["attempt"]): r["parts"] for r in attempts(df, range(11)).collect()}
     assert want == {(i, a): t for i, x in enumerate(rows) for a, t in mapping.tries(x)}
     assert occurrences("AA", "AAATAA") == [0, 1, 4] and occurrences("C", "AAA") == []
+
+
+def test_unchanged_reads_are_placed_by_search(spark):
+    """What the search decides equals the alignment of all chunks; a chunk in which nothing fits leaves it open."""
+    rng = random.Random(31)
+    text = "".join(rng.choices("ACGT", k=700))
+    refs = [("a", text), ("n", "N" * 420 + text), ("t", text[:100] + "N" * 400 + text[:300])]
+    reads = [(r, i * 10 + k, x) for k, (r, t) in enumerate(refs) for i, x in enumerate([t[450:490], t[10:60], t[10:30] + "T" + t[31:60], t[640:680], "AC", "N" * 9])]
+    df = spark.createDataFrame(reads, "ref_id string, read_idx long, seq string")
+    whole, config = spark.createDataFrame(refs, "ref_id string, seq string"), AlignConfig(chunk=300)
+    equal = {r["read_idx"]: r["mapping"] for r in mapping.equal_places(mapping.chunk_pairs(df, whole, 40, config, 4, False), config).collect()}
+    got = {r["read_idx"]: r["mapping"] for r in whole_alignment(df, whole, 40, config).collect()}
+    for r, i, x in reads:
+        t = dict(refs)[r]
+        each = [(m.errors(), a, m) for a in range(0, len(t), 220) if (m := align(Window(t, 0, len(t)), x, a, min(a + 300, len(t)), config.max_gap))]
+        want = min(each, key=lambda e: e[:2])[2].row()
+        assert got[i].asDict(recursive=True) == want and (i not in equal or equal[i].asDict(recursive=True) == want)
+    assert {0, 10, 30} <= set(equal) and not {1, 31, 20} & set(equal)
