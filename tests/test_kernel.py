@@ -192,3 +192,22 @@ def test_a_long_read_needs_little_memory(monkeypatch):
     tracemalloc.stop()
     assert m.position == 200 and [(t, n) for t, _, n in m.indels] == [("D", 1)] and len(m.mismatches) <= 1
     assert peak < 3 << 19, peak
+
+
+def test_narrow_windows_equal_whole_ones(monkeypatch):
+    """Windows cut down to where a whole piece of the read stands, at either end and beside repeats."""
+    rng = random.Random(3)
+    tasks = []
+    for turn in range(40):
+        ref = "".join(rng.choices("ACGT", k=rng.randint(150, 300)))
+        ref = ref[:90] + ref[10:60] + ref[90:] if turn % 3 == 0 else ref
+        at, k = rng.choice([0, 4, rng.randint(0, len(ref) - 60), len(ref) - 50]), rng.randint(0, 40)
+        read = ref[at : at + 50]
+        read = [read, read[:k] + "T" + read[k + 1 :], read[:k] + read[k + 1 :], read[:k] + "GA" + read[k:]][turn % 4]
+        tasks.append(kernel.Task(kernel.Window(ref, 0, len(ref)), read, 0, len(ref)))
+    assert sum(kernel.narrowed(t) is not None for t in tasks) > 20
+    for gap in (1, 25):
+        got = kernel.align_many(tasks, gap)
+        with monkeypatch.context() as m:
+            m.setattr(kernel, "narrowed", lambda t: None)
+            assert got == kernel.align_many(tasks, gap)
