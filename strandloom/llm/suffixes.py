@@ -9,16 +9,17 @@ several classes, the windows of the runs that stand for them go through a merges
 sorted order that agree in ``LENGTH`` bytes are repeated. Each such pair is verified byte by byte.
 
 A minimizer with more than ``CLASSES`` classes is dealt out before it is sorted, so that no group grows with the data:
-its windows are counted under two independent hashes modulo the prime, ``STRIDE`` neighbours at once where their
-text is the same, and two of each kind that is met again go through the same sort, a group for each kind. That is
-exact: equal windows have equal hashes, and unequal windows under one pair of hashes, which the sort would show, raise
-an error.
+its windows are counted under two independent hashes modulo the prime, as many neighbours at once as ``WIDTHS`` says in
+turn, and two of each kind that is met again go through the same sort, a group for each kind. Neighbours whose
+common bytes (their core) are met nowhere else hold no repeated window and are cut no further. That is exact: equal
+windows have equal hashes, and unequal windows under one pair of hashes, which the sort would show, raise an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ CLASSES = 64
 MOST = 200_000
 #: Bytes of spans that one sort works on, besides the group at hand; bytes of a text that are hashed at once.
 BLOCK, PIECE = 1 << 20, 2 << 20
-#: Neighbouring windows that are counted together where a minimizer has more classes than that.
-STRIDE = 8
+#: Neighbouring windows that are counted together where a minimizer has more classes than that; from one to the next, only
+#: those are cut that can still hold a window that is met again.
+WIDTHS = (64, 8, 1)
 PLACE = 28  # bits for a place in a piece of text
 PRIME = np.uint64((1 << 61) - 1)
 LOW32, LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
@@ -385,36 +387,40 @@ def in_sorted_groups(spans: DataFrame) -> DataFrame:
     return rows.mapInArrow(sorted_spans, "doc long, th long, a long, b long")
 
 
-def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of spans whose minimizer has very many classes, ``STRIDE`` neighbours a row.
+NODE = "b1 long, b2 long, count int, slot int, c1 long, c2 long, anchor int, doc long, th long, a long, span binary"
 
-    Rows are cut at multiples of ``STRIDE`` from the minimizer, so that equal text gives equal rows: two hashes of the
-    row's text, its place and number of windows, and two hashes of each window.
+
+def node_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The windows of spans whose minimizer has very many classes, up to ``width`` neighbours a row.
+
+    Rows are cut where a window's minimizer stands at a multiple of ``width`` (``slot`` counts them). Two hashes of the
+    row's text (b1, b2), and two of its core (c1, c2): the bytes that every window of its slot would have around the
+    minimizer. Equal windows lie in rows with equal cores, whatever else these rows hold.
     """
     for batch in slices(batches, "span", BLOCK):
         spans = batch.column("span").to_pylist()
         if not spans:
             continue
         sizes = np.array([len(x) for x in spans])
-        count = np.asarray(batch.column("count"))
+        count = np.asarray(batch.column("count")).astype(np.int64)
         body = np.frombuffer(b"".join(spans), np.uint8)
         row = np.repeat(np.arange(len(spans)), count)
         k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        off = np.asarray(batch.column("anchor")).astype(np.int64)[row] - k
+        slot = off // width
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (slot[1:] != slot[:-1])]))
+        c = np.diff(np.append(first, len(row)))
+        row, k, off, slot = row[first], k[first], off[first], slot[first]
         at = (np.cumsum(sizes) - sizes)[row] + k
-        part = (np.asarray(batch.column("anchor"))[row] - k) // STRIDE
-        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
-        ends = np.append(first, len(row))
-        c = np.diff(ends)
-        keys, windows = [], []
-        for seed in (1, 2):
-            h = Hashes(body, seed)
-            keys.append(pa.array(h.of(at[first], LENGTH - 1 + c).view(np.int64)))
-            windows.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.of(at, LENGTH).view(np.int64))))
-        place = np.asarray(batch.column("p"))[row[first]].astype(np.int64) + k[first]
-        yield pa.RecordBatch.from_arrays(
-            [*keys, pa.array(c.astype(np.int32)), pa.array(np.asarray(batch.column("doc"))[row[first]]), pa.array(np.asarray(batch.column("th"))[row[first]]), pa.array(place), *windows],
-            ["b1", "b2", "count", "doc", "th", "a", "w1", "w2"],
-        )
+        least, most = slot * width, np.minimum(slot * width + width - 1, LENGTH - GRAM)
+        whole, core = (at, LENGTH - 1 + c), (at + off - least, LENGTH - (most - least))
+        one, other = Hashes(body, 1), Hashes(body, 2)
+        keys = [pa.array(h.of(*x).view(np.int64)) for x in (whole, core) for h in (one, other)]
+        texts = [spans[r][x : x + n] for r, x, n in zip(row.tolist(), k.tolist(), (LENGTH - 1 + c).tolist())]
+        mine = [pa.array(np.asarray(batch.column(x))[row]) for x in ("doc", "th")]
+        place = np.asarray(batch.column("p"))[row].astype(np.int64) + k
+        cols = [*keys[:2], pa.array(c.astype(np.int32)), pa.array(slot.astype(np.int32)), *keys[2:], pa.array(off.astype(np.int32)), *mine, pa.array(place), pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in NODE.split(", ")])
 
 
 def two_of_each(rows: DataFrame, keys: list[str], also: list[str]) -> DataFrame:
@@ -430,24 +436,28 @@ def standing(kinds: DataFrame) -> DataFrame:
     return kinds.select(*rest, two.alias("must"), F.explode(F.when(two, F.array("low", "high")).otherwise(F.array("low"))).alias("one")).select(*rest, "must", "one.*")
 
 
-def dealt_windows(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def dealt_windows(docs: DataFrame, spans: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Intervals doc, th, a, b that repeated windows of the large spans cover.
 
-    Equal rows of neighbouring windows are copies of each other; one of each goes on to be counted window by window.
+    Rows of neighbouring windows with equal texts are copies of each other, and one of each kind stands for them. It is
+    cut further only if a row of another kind has its core: in all others no window is left that could be met again.
     """
-    rows = keep(spans.mapInArrow(block_hashes, "b1 long, b2 long, count int, doc long, th long, a long, w1 array<long>, w2 array<long>"), "suffix-blocks")
-    kinds = keep(two_of_each(rows.withColumnRenamed("w1", "_w1").withColumnRenamed("w2", "_w2"), ["b1", "b2", "count"], ["a", "_w1", "_w2"]), "suffix-block-classes")
-    many = kinds.filter("n > 1")
-    copies = rows.join(many.select("b1", "b2", "count"), ["b1", "b2", "count"], "left_semi").select("doc", "th", "a", F.expr(f"a + count - 1 + {LENGTH}").alias("b"))
-    each = kinds.select("low.*").select("doc", "th", "a", F.posexplode(F.arrays_zip("_w1", "_w2")).alias("i", "w"))
-    windows = keep(each.select(F.col("w._w1").alias("w1"), F.col("w._w2").alias("w2"), "doc", "th", (F.col("a") + F.col("i")).alias("a")), "suffix-windows")
-    twice = keep(two_of_each(windows, ["w1", "w2"], ["a"]).filter("n > 1"), "suffix-window-classes")
-    single = windows.join(twice.select("w1", "w2"), ["w1", "w2"], "left_semi").select("doc", "th", "a", (F.col("a") + LENGTH).alias("b"))
-    # Two of each kind that is met again are sorted and compared byte by byte.
-    of_blocks = standing(many).select("doc", "th", F.col("b1").alias("v"), F.col("b2").alias("w"), F.col("a").alias("p"), "count", "must")
-    of_windows = standing(twice).select("doc", "th", F.col("w1").alias("v"), F.col("w2").alias("w"), F.col("a").alias("p"), F.lit(1).alias("count"), "must")
-    todo = of_blocks.unionByName(of_windows).select("*", F.lit(0).alias("anchor"), F.lit(True).alias("whole"), F.lit(False).alias("large"))
-    return copies.unionByName(single).unionByName(in_sorted_groups(with_text(docs, todo)))
+    rows, found, todo = spans, [], []
+    kind = ["b1", "b2", "count", "slot", "c1", "c2", "anchor"]
+    for width in widths:
+        rows = keep(rows.mapInArrow(lambda b, w=width: node_hashes(b, w), NODE), f"suffix-rows-{width}")
+        kinds = keep(two_of_each(rows, kind, ["a"]), f"suffix-kinds-{width}")
+        many = kinds.filter("n > 1")
+        found.append(rows.join(many.select("b1", "b2", "count"), ["b1", "b2", "count"], "left_semi").select("doc", "th", "a", F.expr(f"a + count - 1 + {LENGTH}").alias("b")))
+        # Two of each kind that is met again are sorted and compared byte by byte.
+        todo.append(standing(many).select("doc", "th", F.col("b1").alias("v"), F.col("b2").alias("w"), F.col("a").alias("p"), "count", "must"))
+        core = ["slot", "c1", "c2"]
+        shared = kinds.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*core)
+        further = kinds.join(shared, core, "left_semi").select("low.doc", "low.th", "low.a", "count")
+        rows = rows.join(further, ["doc", "th", "a", "count"], "left_semi").select("doc", "th", F.col("a").alias("p"), "count", "anchor", "span")
+    copies, again = reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, todo)
+    again = again.select("*", F.lit(0).alias("anchor"), F.lit(True).alias("whole"), F.lit(False).alias("large"))
+    return copies.unionByName(in_sorted_groups(with_text(docs, again)))
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

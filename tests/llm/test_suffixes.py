@@ -84,3 +84,23 @@ def test_long_text_in_pieces(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     got = without_repeats(df, piece=700).collect()
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == slow(docs)
+
+
+def test_windows_around_a_common_line_are_not_listed_one_by_one(spark, monkeypatch):
+    rng = random.Random(10)
+    line = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    common, passage = line(100), line(300)
+    docs = [(i, line(260) + common + line(260)) for i in range(90)] + [(500 + i, line(150) + passage + line(150)) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows, keep = {}, suffixes.keep
+
+    def counted(table, label):
+        kept = keep(table, label)
+        rows[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(suffixes, "keep", counted)
+    got = without_repeats(df, classes=3).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == slow(docs)
+    spans = rows["suffix-spans"]
+    assert spans >= 90 and max(n for label, n in rows.items() if label not in ("suffix-classes", "suffix-spans")) <= 3 * spans, rows
