@@ -1,6 +1,6 @@
 """SimHash near-duplicates, found by pigeonring filtering.
 
-The 64 bits of a fingerprint lie on a ring of ``SEGMENTS`` segments. If two fingerprints differ in at most ``BITS``
+The 64 bits of a fingerprint lie on a ring of ``pigeonring.SEGMENTS`` segments. If two fingerprints differ in at most ``BITS``
 bits, some segment starts a chain on which the first k segments together differ in at most ``k * BITS / SEGMENTS``
 bits, for every k. With 9 segments and 4 bits the budgets of 1 to 9 segments are 0 0 1 1 2 2 3 3 4: the first two
 segments of the chain agree, of the next two at least one, and of the next four at least two. Candidates are
@@ -11,7 +11,6 @@ the full distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,31 +21,14 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import keep, slices, table, words
 from strandloom.llm.components import components
+from strandloom.llm.pigeonring import chain_keys, key_structs, within_budgets
 from strandloom.llm.shingles import one_of_each_group
 
-SEGMENTS, BITS, SHINGLE, SEED = 9, 4, 4, 42
+SHINGLE, SEED = 4, 42
 #: Rows of one bucket that are compared in one piece; a larger bucket is dealt out as pairs of pieces.
 PIECE = 2048
 
 
-def segment_masks() -> list[int]:
-    """Masks of the segments: 64 bits in order, the last segment takes what is left."""
-    width = 64 // SEGMENTS
-    masks = [((1 << width) - 1) << (width * i) for i in range(SEGMENTS - 1)]
-    return [*masks, ((1 << 64) - 1) ^ sum(masks)]
-
-
-def chain_keys() -> list[tuple[int, int]]:
-    """(start, mask) of the four segments on which candidates of a chain from ``start`` agree.
-
-    Offsets 0 and 1 have no difference. Of offsets 2 and 3 together at most one bit differs, and of 2 to 5 at most
-    two, so at least two of these four are equal, one of them among the first two.
-    """
-    masks = segment_masks()
-    pairs = [p for p in combinations((2, 3, 4, 5), 2) if p[0] < 4]
-    return [(i, sum(masks[(i + o) % SEGMENTS] for o in (0, 1, *p))) for i in range(SEGMENTS) for p in pairs]
-
-
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, fingerprint (as a signed long) of each text."""
     digest = xxhash.xxh64_intdigest
@@ -78,23 +60,6 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(fingerprints, "doc_id long, fingerprint long")
 
 
-MASKS = np.array(segment_masks(), dtype=np.uint64)
-
-
-def within_budgets(diff: np.ndarray, start: np.ndarray | int) -> np.ndarray:
-    """Indexes of the differences that keep the budget of every chain from ``start``, the full distance last."""
-    found, used = np.arange(len(diff)), np.zeros(len(diff), np.int64)
-    for k in range(SEGMENTS):
-        used = used + np.bitwise_count(diff & MASKS[(start + k) % SEGMENTS])
-        ok = used * SEGMENTS <= (k + 1) * BITS
-        found, used, diff = found[ok], used[ok], diff[ok]
-        if isinstance(start, np.ndarray):
-            start = start[ok]
-        if not len(found):
-            break
-    return found
-
-
 def walk(prints: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that tie together all rows of a bucket that links of this chain connect.
 
@@ -150,12 +115,11 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
     """Links a, b between the nodes of ``prints`` (node, fingerprint; one row a fingerprint).
 
-    Not all pairs within ``BITS`` of each other, but enough of them to connect all that such pairs connect.
+    Not all pairs within ``pigeonring.BITS`` of each other, but enough of them to connect all that such pairs connect.
     A bucket of over ``piece`` rows is cut at random into pieces, and each two of these are compared in a group of
     their own: no group holds more than about twice ``piece`` rows, and no pair is left out.
     """
-    keys = F.array(*[F.struct(F.lit(k).cast("int").alias("key"), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)).alias("value")) for k, (_, m) in enumerate(chain_keys())])
-    rows = prints.select("node", "fingerprint", F.explode(keys).alias("k")).select("k.key", "k.value", "fingerprint", "node")
+    rows = prints.select("node", "fingerprint", F.explode(key_structs("fingerprint")).alias("k")).select("k.key", "k.value", "fingerprint", "node")
     large = keep(rows.groupBy("key", "value").count().filter(F.col("count") > piece), "simhash-large")
     if large.isEmpty():
         parts = rows.withColumn("pair", F.lit(0).cast("long"))
@@ -172,7 +136,7 @@ def near_links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
 def near_duplicates(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the least id reachable over links) of every row.
 
-    Texts link at ``BITS`` or fewer differing bits. Null, empty and blank texts have fingerprint 0, which links like
+    Texts link at ``pigeonring.BITS`` or fewer differing bits. Null, empty and blank texts have fingerprint 0, which links like
     any other. Rows with the same fingerprint are one node, so copies never meet in pairs. A null id belongs to
     its fingerprint's component and never names it (null if there is no other). Rows that share an id keep their own
     fingerprints. Whole texts are read, however long. No rows: no rows. Other columns are ignored.
@@ -194,6 +158,7 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with alike five-word shingles stays, unchanged: the one with the least id.
 
+    Candidates are texts with near SimHash fingerprints, found by pigeonring filtering; their shingles are compared in full.
     Documents without an id can't be named as copies and stay. Documents that share an id but not the text are judged
     one by one; of rows with the same id and text one stays. Null and empty texts are one group. No rows: no rows.
     """

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from strandloom.llm import shingles
 from strandloom.llm.shingles import alike_groups, bands_of, shingle_sets
 from strandloom.llm.simhash import simhash_stage
 
@@ -66,3 +68,23 @@ def test_bands_find_pairs_at_the_limit():
         one, other = x[:99], np.concatenate([x[:88], x[99:]])
         assert (bands_of(one) == bands_of(other)).any()
     assert [len(s) for s in shingle_sets(__import__("pyarrow").array(["a b c d e f", "a", None]))] == [2, 1, 0]
+
+
+def test_fingerprints_join_by_pigeonring(spark):
+    """Links come from near fingerprints only, of whole texts or of samples, and only between texts that are alike."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [(k, " ".join(words[:299] + [f"end{k}"])) for k in range(8)] + [(8, "quite another text of seven words"), (9, "and one more")]
+    df = shingles.with_keys(spark.createDataFrame(texts, "doc_id long, text string"))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "text": r["text"], "th": r["th"]} for r in df.orderBy("doc_id").collect()])
+    marks = pa.Table.from_batches(shingles.marks_of(iter([batch]))).to_pylist()
+    assert all(len(m["prints"]) == 1 + shingles.BANDS for m in marks)
+    rng = np.random.default_rng(6)
+    far = rng.integers(0, 1 << 62, (10, 1 + shingles.BANDS))
+    far[1, 0] = far[0, 0] ^ 0b1111  # four bits of a whole text: a link
+    far[3, 0] = far[2, 0] ^ 0b11111 ^ 1 << 50  # six bits: none
+    far[5, 7] = far[4, 7] ^ 1 << 40  # one bit of a sample: a link
+    far[7, 9] = far[6, 9] ^ 3 << 40  # two bits: none
+    far[9, 0] = far[8, 0]  # the same fingerprint, but other texts: none
+    nodes = [(m["doc_id"], m["a"], m["b"], m["doc_id"], m["th"], [int(x) for x in far[k]]) for k, m in enumerate(marks)]
+    nodes = spark.createDataFrame(nodes, "node long, a long, b long, doc_id long, th long, prints array<long>")
+    assert sorted(tuple(sorted(r)) for r in shingles.alike_links(df, nodes).distinct().collect()) == [(0, 1), (4, 5)]
