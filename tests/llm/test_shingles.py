@@ -88,3 +88,45 @@ def test_fingerprints_join_by_pigeonring(spark):
     nodes = [(m["doc_id"], m["a"], m["b"], m["doc_id"], m["th"], [int(x) for x in far[k]]) for k, m in enumerate(marks)]
     nodes = spark.createDataFrame(nodes, "node long, a long, b long, doc_id long, th long, prints array<long>")
     assert sorted(tuple(sorted(r)) for r in shingles.alike_links(df, nodes).distinct().collect()) == [(0, 1), (4, 5)]
+
+
+def test_drifting_copies_in_pieces(spark):
+    """No head is alike to all of its bucket: links go on from copy to copy, beside a second family and outliers."""
+    rng = random.Random(8)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for k in range(40):
+        base[10 * k % 400 + rng.randint(0, 9)] = f"new{k}"
+        texts.append((k, " ".join(base)))
+    for k in range(12):
+        ws = [f"w{i}" for i in range(300)] + [f"other{k % 2}-{i}" for i in range(90)]
+        ws[7 * k + 3] = f"x{k}"
+        texts.append((100 + k, " ".join(ws)))
+    want = slow(texts)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for piece in (2048, 4):
+        assert {r["doc_id"]: r["component_id"] for r in alike_groups(df, piece).collect()} == want
+
+
+def test_rows_grow_as_a_group_of_near_copies(spark, monkeypatch):
+    """Twice the near copies make about twice the rows that are compared, in buckets far over a piece."""
+
+    def counted(f, rows):
+        def g(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: f(g(batches))
+
+    def compared(n):
+        rows = spark.sparkContext.accumulator(0)
+        with monkeypatch.context() as m:
+            for name in ("head_links", "bucket_links", "group_links"):
+                m.setattr(shingles, name, counted(getattr(shingles, name, None), rows), raising=False)
+            words = [f"w{i}" for i in range(400)]
+            texts = [(k, " ".join([*words[: 3 * k], f"new{k}", *words[3 * k + 1 :]])) for k in range(n)]
+            found = alike_groups(spark.createDataFrame(texts, "doc_id long, text string"), 4).collect()
+        assert {r["component_id"] for r in found} == {0} and len(found) == n
+        return rows.value
+
+    assert compared(96) <= 3 * compared(48)
